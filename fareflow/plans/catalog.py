@@ -54,3 +54,140 @@ def q_available_seats(spark, sf):
 def q_double_booked_seats(spark, sf):
     fx = build_fixtures(spark, sf, "bookings", "passengers")
     return inventory.double_booked_seats(fx["bookings"], fx["passengers"])
+
+
+# ---------------------------------------------------------------------------
+# Read side: listings, reports, lookups
+# ---------------------------------------------------------------------------
+from ..operators import listings, money  # noqa: E402
+
+# "Now" of the registered keyed updates (a parameter, never the wall clock).
+AS_OF = "1998-08-02 12:00:00"
+LISTING_FILTER = {"status": "Paid", "ts_from": "1994-01-01", "ts_to": "1997-06-30"}
+_HISTORY = ("users", "bookings", "trips", "routes", "buses", "bus_classes", "partners")
+
+
+@query
+def q_booking_history(spark, sf):
+    fx = build_fixtures(spark, sf, *_HISTORY)
+    return listings.booking_history(*(fx[n] for n in _HISTORY))
+
+
+@query
+def q_booking_contacts(spark, sf):
+    fx = build_fixtures(spark, sf, "bookings", "users")
+    return listings.booking_contacts(fx["bookings"], fx["users"])
+
+
+@query
+def q_default_cancel_policy(spark, sf):
+    fx = build_fixtures(spark, sf, "trips", "cancel_policies")
+    return listings.default_cancel_policy(fx["trips"], fx["cancel_policies"])
+
+
+@query
+def q_latest_device_token(spark, sf):
+    fx = build_fixtures(spark, sf, "user_device_tokens")
+    return listings.latest_device_token(fx["user_device_tokens"])
+
+
+@query
+def q_faq_list(spark, sf):
+    return listings.faq_list(build_fixtures(spark, sf, "faqs")["faqs"])
+
+
+@query
+def q_faq_category_counts(spark, sf):
+    return listings.faq_category_counts(build_fixtures(spark, sf, "faqs")["faqs"])
+
+
+@query
+def q_filter_listing(spark, sf):
+    fx = build_fixtures(spark, sf, "commissions")
+    return money.filter_listing(fx["commissions"], status="Pending", ts_from="1995-03-01", ts_to="1996-12-31")
+
+
+def _summary(spark, sf):
+    fx = build_fixtures(spark, sf, "commissions", "bookings", "partners")
+    return fx, money.commission_summary(fx["commissions"], fx["bookings"], fx["partners"])
+
+
+@query
+def q_partner_commissions(spark, sf):
+    _, summary = _summary(spark, sf)
+    return money.filter_listing(summary, **LISTING_FILTER)
+
+
+@query
+def q_partner_commission_totals(spark, sf):
+    fx, summary = _summary(spark, sf)
+    return money.partner_commission_totals(summary, fx["partners"], **LISTING_FILTER)
+
+
+@query
+def q_partner_month_stats(spark, sf):
+    return money.partner_month_stats(build_fixtures(spark, sf, "commissions")["commissions"])
+
+
+@query
+def q_daily_commission_summary(spark, sf):
+    return money.daily_commission_summary(build_fixtures(spark, sf, "commissions")["commissions"])
+
+
+@query
+def q_commission_by_booking(spark, sf):
+    fx, summary = _summary(spark, sf)
+    return money.commission_by_booking(fx["bookings"], summary)
+
+
+@query
+def q_refund_commission_report(spark, sf):
+    fx = build_fixtures(spark, sf, "commissions", "refund_transactions")
+    return money.refund_commission_report(fx["commissions"], fx["refund_transactions"])
+
+
+def _details(spark, sf):
+    fx = build_fixtures(spark, sf, "refund_transactions", "bookings", "users")
+    return fx, money.refund_details(fx["refund_transactions"], fx["bookings"], fx["users"])
+
+
+@query
+def q_refund_listing(spark, sf):
+    _, details = _details(spark, sf)
+    return money.filter_listing(details, status="Pending", ts_to="1996-06-30", status_col="refund_status")
+
+
+@query
+def q_refund_by_booking(spark, sf):
+    fx, details = _details(spark, sf)
+    return money.refund_by_booking(fx["bookings"], details)
+
+
+@query
+def q_mark_commissions_paid(spark, sf):
+    fx = build_fixtures(spark, sf, "commissions", "commission_commands")
+    return money.mark_commissions_paid(fx["commissions"], fx["commission_commands"], AS_OF)[0]
+
+
+@query
+def q_mark_commissions_paid_rows(spark, sf):
+    fx = build_fixtures(spark, sf, "commissions", "commission_commands")
+    return money.mark_commissions_paid(fx["commissions"], fx["commission_commands"], AS_OF)[1]
+
+
+@query
+def q_recalculate_commissions(spark, sf):
+    fx = build_fixtures(spark, sf, "commissions", "commission_adjustments")
+    return money.recalculate_commissions(fx["commissions"], fx["commission_adjustments"])
+
+
+@query
+def q_process_refunds(spark, sf):
+    fx = build_fixtures(spark, sf, "refund_transactions", "refund_commands")
+    return money.process_refunds(fx["refund_transactions"], fx["refund_commands"], AS_OF)
+
+
+@query
+def q_complete_refunds(spark, sf):
+    fx = build_fixtures(spark, sf, "refund_transactions", "refund_commands")
+    return money.complete_refunds(fx["refund_transactions"], fx["refund_commands"], AS_OF)

@@ -12,9 +12,18 @@ from ..sources.fixtures import duckdb_prefix
 ORACLES: dict[str, str] = {}
 
 
+def _join(prefix: str, body: str) -> str:
+    """Append ``body`` to a ``WITH`` prefix; a body with its own ``with``
+    clause continues the prefix's CTE list."""
+    b = body.lstrip()
+    if b[:5].lower() == "with ":
+        return prefix.rstrip() + ",\n" + b[5:]
+    return prefix + body
+
+
 def oracle(name: str, *fixtures: str):
     def deco(body: str):
-        ORACLES[name] = duckdb_prefix(*fixtures) + body
+        ORACLES[name] = _join(duckdb_prefix(*fixtures), body)
         return body
     return deco
 
@@ -89,3 +98,246 @@ from bookings b join passengers p on p.booking_id = b.booking_id
 where p.seat_id is not null
 group by b.trip_id, p.seat_id having count(*) > 1
 """)
+
+
+# ---------------------------------------------------------------------------
+# Read side
+# ---------------------------------------------------------------------------
+AS_OF = "timestamp '1998-08-02 12:00:00'"
+_M = "decimal(18,2)"
+
+oracle("booking_history", "users", "bookings", "trips", "routes", "buses", "bus_classes", "partners")("""
+select u.user_id, u.full_name, b.booking_id, b.booking_status, t.trip_id, t.departure_time, t.arrival_time,
+       r.origin_city, r.destination_city, bc.class_name as bus_class, p.company_name, t.base_price,
+       count(*) over (partition by u.user_id) as booking_count
+from users u
+join bookings b on b.user_id = u.user_id
+join trips t on t.trip_id = b.trip_id
+join routes r on t.route_id = r.route_id
+join buses bu on t.bus_id = bu.bus_id
+join bus_classes bc on bu.bus_class_id = bc.bus_class_id
+join partners p on t.partner_id = p.partner_id
+order by u.user_id, b.booking_id desc
+""")
+
+oracle("booking_contacts", "bookings", "users")("""
+select b.booking_id, u.user_id, u.phone_number, u.full_name, b.total_price
+from bookings b join users u on u.user_id = b.user_id
+""")
+
+oracle("default_cancel_policy", "trips", "cancel_policies")("""
+select t.trip_id, t.partner_id,
+       (select min(cp.cancel_policy_id) from cancel_policies cp
+         where cp.partner_id = t.partner_id and cp.is_default = true and cp.is_active = true) as cancel_policy_id,
+       case when not exists (select 1 from cancel_policies cp where cp.partner_id = t.partner_id
+                             and cp.is_default = true and cp.is_active = true)
+            then 'no_default_policy' end as reject_reason
+from trips t
+""")
+
+oracle("latest_device_token", "user_device_tokens")("""
+select user_id, fcm_token, device_type, created_at from (
+  select *, row_number() over (partition by user_id order by created_at desc, fcm_token desc, device_type desc) as rn
+  from user_device_tokens) x
+where rn = 1 and fcm_token is not null and fcm_token <> ''
+""")
+
+oracle("faq_list", "faqs")("""
+select faq_id as id, category, question, answer from faqs where is_active = true order by category asc, faq_id asc
+""")
+
+oracle("faq_category_counts", "faqs")("""
+select category, count(*) as count from faqs where is_active = true group by category order by category asc
+""")
+
+oracle("filter_listing", "commissions")("""
+select * from commissions
+where status = 'Pending' and created_at >= '1995-03-01' and created_at <= '1996-12-31'
+order by created_at desc
+""")
+
+_SUMMARY = """
+v_commission_summary as (
+  select c.commission_id, c.booking_id, c.partner_id, c.booking_amount, c.commission_amount, c.partner_revenue,
+         c.status, c.created_at, b.user_id, b.booking_status, p.company_name
+  from commissions c join bookings b on b.booking_id = c.booking_id join partners p on p.partner_id = c.partner_id)
+"""
+_LISTING_WHERE = "status = 'Paid' and created_at >= '1994-01-01' and created_at <= '1997-06-30'"
+
+
+def _with_extra(extra: str, *fixtures: str):
+    """Fixture prefix followed by one more CTE (an assumed view body)."""
+    def deco(name: str, body: str):
+        ORACLES[name] = _join(duckdb_prefix(*fixtures).rstrip("\n") + ",\n" + extra.strip() + "\n", body)
+    return deco
+
+
+_with_extra(_SUMMARY, "commissions", "bookings", "partners")("partner_commissions", f"""
+select * from v_commission_summary where {_LISTING_WHERE} order by created_at desc
+""")
+
+_with_extra(_SUMMARY, "commissions", "bookings", "partners")("partner_commission_totals", f"""
+select p.partner_id,
+       count(s.commission_id) as count,
+       cast(coalesce(sum(s.commission_amount), 0) as {_M}) as total_commission,
+       cast(coalesce(sum(s.partner_revenue), 0) as {_M}) as total_partner_revenue
+from partners p left join (select * from v_commission_summary where {_LISTING_WHERE}) s on s.partner_id = p.partner_id
+group by p.partner_id
+""")
+
+oracle("partner_month_stats", "commissions")(f"""
+select partner_id, cast(extract(year from created_at) as integer) as year,
+       cast(extract(month from created_at) as integer) as month,
+       count(*) as total_bookings,
+       cast(sum(booking_amount) as {_M}) as total_revenue,
+       cast(sum(commission_amount) as {_M}) as total_commission,
+       cast(sum(partner_revenue) as {_M}) as total_partner_revenue,
+       count(case when status = 'Pending' then 1 end) as pending_count,
+       count(case when status = 'Paid' then 1 end) as paid_count,
+       cast(sum(case when status = 'Pending' then commission_amount else 0 end) as {_M}) as pending_amount,
+       cast(sum(case when status = 'Paid' then commission_amount else 0 end) as {_M}) as paid_amount,
+       cast(extract(year from created_at) as varchar) || '-' || cast(extract(month from created_at) as varchar) as period
+from commissions
+group by partner_id, extract(year from created_at), extract(month from created_at)
+""")
+
+oracle("daily_commission_summary", "commissions")(f"""
+select cast(d.day as date) as commission_date,
+       coalesce(dc.total_bookings, 0) as total_bookings,
+       cast(coalesce(dc.total_revenue, 0) as {_M}) as total_revenue,
+       cast(coalesce(dc.total_commission, 0) as {_M}) as total_commission
+from (select unnest(generate_series(min(cast(created_at as date)), max(cast(created_at as date)), interval 1 day)) as day
+      from commissions) d
+left join (select cast(created_at as date) as commission_date, count(*) as total_bookings,
+                  sum(booking_amount) as total_revenue, sum(commission_amount) as total_commission
+           from commissions group by 1) dc on dc.commission_date = cast(d.day as date)
+""")
+
+_with_extra(_SUMMARY, "commissions", "bookings", "partners")("commission_by_booking", """
+select b.booking_id, s.commission_id is not null as found, s.commission_id, s.partner_id, s.commission_amount,
+       s.partner_revenue, s.status
+from bookings b
+left join (select *, row_number() over (partition by booking_id order by commission_id) as rn
+           from v_commission_summary) s on s.booking_id = b.booking_id and s.rn = 1
+""")
+
+oracle("refund_commission_report", "commissions", "refund_transactions")("""
+select r.refund_id, r.booking_id, r.refund_status, r.created_at, c.commission_id, c.partner_id,
+       c.commission_amount, c.partner_revenue, c.status as commission_status
+from refund_transactions r join commissions c on c.booking_id = r.booking_id
+order by r.created_at desc
+""")
+
+_DETAILS = """
+v_refund_details as (
+  select r.refund_id, r.booking_id, r.refund_status, r.created_at, b.user_id, b.total_price, b.payment_status,
+         u.full_name, u.email, u.phone_number
+  from refund_transactions r join bookings b on b.booking_id = r.booking_id join users u on u.user_id = b.user_id)
+"""
+
+_with_extra(_DETAILS, "refund_transactions", "bookings", "users")("refund_listing", """
+select * from v_refund_details where refund_status = 'Pending' and created_at <= '1996-06-30'
+order by created_at desc
+""")
+
+_with_extra(_DETAILS, "refund_transactions", "bookings", "users")("refund_by_booking", """
+select b.booking_id, d.refund_id is not null as found, d.refund_id, d.refund_status, d.created_at
+from bookings b
+left join (select *, row_number() over (partition by booking_id order by refund_id) as rn
+           from v_refund_details) d on d.booking_id = b.booking_id and d.rn = 1
+""")
+
+_K1_WINNERS = """
+items as (select distinct command_id, trim(coalesce(notes, '')) as new_notes, unnest(commission_ids) as commission_id
+          from commission_commands where len(commission_ids) > 0),
+winners as (
+  select i.commission_id, i.command_id, i.new_notes, c.notes as old_notes,
+         row_number() over (partition by i.commission_id order by i.command_id) as rn
+  from items i join commissions c on c.commission_id = i.commission_id
+  where c.status = 'Pending' and i.commission_id is not null)
+"""
+
+_with_extra(_K1_WINNERS, "commissions", "commission_commands")("mark_commissions_paid", """
+select k.command_id,
+       case when k.commission_ids is null or len(k.commission_ids) = 0 then null
+            else (select count(*) from winners w where w.command_id = k.command_id and w.rn = 1) end as updated_count,
+       case when k.commission_ids is null or len(k.commission_ids) = 0 then 'commission_ids_required' end as reject_reason
+from commission_commands k
+""")
+
+_with_extra(_K1_WINNERS, "commissions", "commission_commands")("mark_commissions_paid_rows", f"""
+select commission_id, command_id, 'Paid' as status, {AS_OF} as payment_date,
+       coalesce(nullif(new_notes, ''), old_notes) as notes
+from winners where rn = 1
+""")
+
+oracle("recalculate_commissions", "commissions", "commission_adjustments")("""
+select booking_id, commission_id, reject_reason,
+       case when reject_reason is null then new_amount end as booking_amount,
+       case when reject_reason is null then new_comm end as commission_amount,
+       case when reject_reason is null then cast(new_amount - new_comm as decimal(12,2)) end as partner_revenue
+from (
+  select a.booking_id, c.commission_id, cast(a.new_amount as decimal(12,2)) as new_amount,
+         case when a.new_amount <= 0 then 'new_amount_required'
+              when c.commission_id is null then 'commission_not_found'
+              when c.booking_amount = 0 then 'zero_booking_amount' end as reject_reason,
+         -- half-up rounding of new * commission / booking in integer cents
+         cast(cast((2 * cast(a.new_amount * 100 as hugeint) * cast(c.commission_amount * 100 as hugeint)
+                     + cast(c.booking_amount * 100 as hugeint))
+                    // (2 * nullif(cast(c.booking_amount * 100 as hugeint), 0)) as decimal(18,0)) * 0.01
+              as decimal(12,2)) as new_comm
+  from commission_adjustments a left join commissions c on c.booking_id = a.booking_id) x
+""")
+
+_REFUND_METHODS = "('Bank Transfer', 'Kareemi', 'Cash', 'Same as Original')"
+_PROCESSING_NOTE = "'جاري معالجة طلب الاسترداد. سيتم التحويل خلال 3-5 أيام عمل.'"
+
+oracle("process_refunds", "refund_transactions", "refund_commands")(f"""
+with cmd as (
+  select refund_id, trim(coalesce(refund_method, '')) as refund_method, employee_id,
+         case when refund_id <= 0 or trim(coalesce(refund_method, '')) = '' then 'refund_id_and_method_required'
+              when trim(coalesce(refund_method, '')) not in {_REFUND_METHODS} then 'invalid_refund_method' end as invalid
+  from refund_commands),
+ranked as (
+  select c.*, r.refund_status as old_status,
+         row_number() over (partition by c.refund_id order by (c.invalid is not null), c.refund_id, c.refund_method,
+                            c.employee_id) as rn
+  from cmd c left join refund_transactions r on r.refund_id = c.refund_id),
+decided as (
+  select *, coalesce(invalid, case when old_status is null or old_status <> 'Pending' or rn > 1
+                                   then 'not_found_or_already_processed' end) as reject_reason
+  from ranked)
+select refund_id, refund_method, reject_reason,
+       case when reject_reason is null then 'Processing' end as refund_status,
+       case when reject_reason is null then '' end as bank_name,
+       case when reject_reason is null then '' end as bank_account,
+       case when reject_reason is null then '' end as account_holder_name,
+       case when reject_reason is null then '' end as kareemi_number,
+       case when reject_reason is null then cast(employee_id as bigint) end as processed_by,
+       case when reject_reason is null then {AS_OF} end as processing_started_at,
+       case when reject_reason is null then '' end as internal_notes,
+       case when reject_reason is null then {_PROCESSING_NOTE} end as customer_notes
+from decided
+""")
+
+oracle("complete_refunds", "refund_transactions", "refund_commands")(f"""
+with ranked as (
+  select c.refund_id, trim(coalesce(c.refund_reference, '')) as refund_reference, c.employee_id,
+         case when c.refund_id <= 0 then 'refund_id_required' end as invalid, r.refund_status as old_status,
+         row_number() over (partition by c.refund_id order by (c.refund_id <= 0), c.refund_id, c.refund_method,
+                            c.refund_reference, c.employee_id) as rn
+  from refund_commands c left join refund_transactions r on r.refund_id = c.refund_id),
+decided as (
+  select *, coalesce(invalid, case when old_status is null or old_status <> 'Processing' or rn > 1
+                                   then 'not_found_or_not_processing' end) as reject_reason
+  from ranked)
+select refund_id, reject_reason,
+       case when reject_reason is null then 'Completed' end as refund_status,
+       case when reject_reason is null then refund_reference end as refund_reference,
+       case when reject_reason is null then cast(employee_id as bigint) end as completed_by,
+       case when reject_reason is null then {AS_OF} end as completed_at,
+       case when reject_reason is null then '' end as internal_notes,
+       case when reject_reason is null then 'تم إرجاع المبلغ بنجاح.' ||
+            case when refund_reference <> '' then ' رقم المعاملة: ' || refund_reference else '' end end as customer_notes
+from decided
+""")
