@@ -191,3 +191,65 @@ def q_process_refunds(spark, sf):
 def q_complete_refunds(spark, sf):
     fx = build_fixtures(spark, sf, "refund_transactions", "refund_commands")
     return money.complete_refunds(fx["refund_transactions"], fx["refund_commands"], AS_OF)
+
+
+# ---------------------------------------------------------------------------
+# Accounts, contact quality, tokens
+# ---------------------------------------------------------------------------
+from pyspark.sql import functions as F  # noqa: E402
+
+from ..functions import quality  # noqa: E402
+from ..operators import accounts  # noqa: E402
+
+TOKEN_BATCH_START = "2024-01-20 00:00:00"
+
+
+@query
+def q_resolve_identifiers(spark, sf):
+    fx = build_fixtures(spark, sf, "identifier_lookups", "users")
+    return accounts.resolve_identifiers(fx["identifier_lookups"], fx["users"])
+
+
+@query
+def q_duplicate_accounts(spark, sf):
+    return accounts.duplicate_accounts(build_fixtures(spark, sf, "users")["users"])
+
+
+@query
+def q_admit_accounts(spark, sf):
+    fx = build_fixtures(spark, sf, "registrations", "users")
+    return accounts.admit_accounts(fx["registrations"], fx["users"])
+
+
+def _phone_updates(fx):
+    # stand-in command table: each registration row read as (user_id, new phone)
+    return fx["registrations"].select(F.col("registration_id").alias("user_id"), "phone_number")
+
+
+@query
+def q_apply_phone_updates(spark, sf):
+    fx = build_fixtures(spark, sf, "registrations", "users")
+    return accounts.apply_phone_updates(fx["users"], _phone_updates(fx))[0]
+
+
+@query
+def q_apply_phone_updates_state(spark, sf):
+    fx = build_fixtures(spark, sf, "registrations", "users")
+    return accounts.apply_phone_updates(fx["users"], _phone_updates(fx))[1]
+
+
+@query
+def q_upsert_device_tokens(spark, sf):
+    t = build_fixtures(spark, sf, "user_device_tokens")["user_device_tokens"]
+    cut = F.to_timestamp_ntz(F.lit(TOKEN_BATCH_START))
+    return accounts.upsert_device_tokens(t.filter(F.col("created_at") < cut), t.filter(F.col("created_at") >= cut))
+
+
+@query
+def q_quality_report(spark, sf):
+    return quality.quality_report(build_fixtures(spark, sf, "users")["users"], "user_id")
+
+
+@query
+def q_quality_summary(spark, sf):
+    return quality.quality_summary(build_fixtures(spark, sf, "users")["users"])

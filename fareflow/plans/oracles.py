@@ -16,6 +16,9 @@ def _join(prefix: str, body: str) -> str:
     """Append ``body`` to a ``WITH`` prefix; a body with its own ``with``
     clause continues the prefix's CTE list."""
     b = body.lstrip()
+    if b[:15].lower() == "with recursive ":
+        assert prefix.startswith("WITH ")
+        return "WITH RECURSIVE " + prefix[5:].rstrip() + ",\n" + b[15:]
     if b[:5].lower() == "with ":
         return prefix.rstrip() + ",\n" + b[5:]
     return prefix + body
@@ -341,3 +344,138 @@ select refund_id, reject_reason,
             case when refund_reference <> '' then ' رقم المعاملة: ' || refund_reference else '' end end as customer_notes
 from decided
 """)
+
+
+# ---------------------------------------------------------------------------
+# Accounts, contact quality, tokens
+# ---------------------------------------------------------------------------
+from ..functions.rules import EMAIL_PATTERN, PHONE_PATTERN  # noqa: E402  (fixed patterns)
+
+_EMAIL_RE = EMAIL_PATTERN.replace("'", "''")
+
+
+def _empty(c):
+    return _EMPTY.format(c=c)
+
+
+oracle("resolve_identifiers", "identifier_lookups", "users")(f"""
+select l.lookup_id, l.identifier,
+       case when not {_empty('l.identifier')} then m.user_id end as user_id,
+       case when {_empty('l.identifier')} then 'identifier_required'
+            when m.user_id is null then 'user_not_found' end as reject_reason
+from identifier_lookups l
+left join (select l2.lookup_id, min(u.user_id) as user_id from identifier_lookups l2
+           join users u on u.email = l2.identifier or u.phone_number = l2.identifier group by l2.lookup_id) m
+  on m.lookup_id = l.lookup_id
+""")
+
+oracle("duplicate_accounts", "users")("""
+select email as key_value, count(*) as n_users, min(user_id) as first_user_id, max(user_id) as last_user_id,
+       'email' as key_kind
+from users where email is not null and trim(email) <> '' group by email having count(*) > 1
+union all
+select phone_number, count(*), min(user_id), max(user_id), 'phone'
+from users where phone_number is not null and trim(phone_number) <> '' group by phone_number having count(*) > 1
+""")
+
+# Sequential fold of the reference, one registration per recursion step.
+oracle("admit_accounts", "registrations", "users")(f"""
+with recursive cand as (
+  select registration_id, trim(coalesce(full_name, '')) as full_name, trim(coalesce(email, '')) as email,
+         trim(coalesce(phone_number, '')) as phone_number,
+         row_number() over (order by registration_id) as k
+  from registrations),
+pre as (
+  select c.*,
+         case when {_empty('c.full_name')} or {_empty('c.email')} or {_empty('c.phone_number')} then 'missing_fields'
+              when exists (select 1 from users u where u.email = c.email or u.phone_number = c.phone_number)
+              then 'already_in_use' end as pre_reason
+  from cand c),
+walk(k, used_e, used_p, acc) as (
+  select 0::bigint, []::varchar[], []::varchar[], false
+  union all
+  select p.k,
+         case when ok then list_append(w.used_e, p.email) else w.used_e end,
+         case when ok then list_append(w.used_p, p.phone_number) else w.used_p end,
+         ok
+  from walk w join (select *, null as _ from pre) p on p.k = w.k + 1,
+       lateral (select p.pre_reason is null and not list_contains(w.used_e, p.email)
+                       and not list_contains(w.used_p, p.phone_number) as ok) o),
+accepted as (
+  select p.registration_id,
+         (select coalesce(max(user_id), 0) from users) + row_number() over (order by p.k) as user_id
+  from pre p join walk w on w.k = p.k where w.acc)
+select p.registration_id, p.full_name, p.email, p.phone_number,
+       case when a.user_id is not null then 'Customer' end as user_type,
+       case when a.user_id is not null then 'Unverified' end as account_status,
+       a.user_id,
+       case when p.pre_reason = 'missing_fields' then 'missing_fields'
+            when a.user_id is null then 'already_in_use' end as reject_reason
+from pre p left join accepted a on a.registration_id = p.registration_id
+""")
+
+oracle("apply_phone_updates", "registrations", "users")("""
+select r.registration_id as user_id, trim(coalesce(r.phone_number, '')) as phone,
+       case when r.registration_id <= 0 then 'invalid_user_id'
+            when u.user_id is null then 'user_not_found'
+            when trim(coalesce(r.phone_number, '')) = '' then 'nothing_to_update' end as reject_reason,
+       case when r.registration_id > 0 and u.user_id is not null and trim(coalesce(r.phone_number, '')) <> ''
+            then trim(r.phone_number) end as user_phone
+from registrations r left join users u on u.user_id = r.registration_id
+""")
+
+oracle("apply_phone_updates_state", "registrations", "users")("""
+select u.user_id, u.full_name, u.email,
+       coalesce((select max_by(trim(r.phone_number), r.phone_number) from registrations r
+                 where r.registration_id = u.user_id and r.registration_id > 0
+                   and trim(coalesce(r.phone_number, '')) <> ''),
+                u.phone_number) as phone_number,
+       u.user_type
+from users u
+""")
+
+oracle("upsert_device_tokens", "user_device_tokens")("""
+with new as (
+  select user_id, trim(coalesce(fcm_token, '')) as fcm_token,
+         case when trim(coalesce(device_type, 'android')) in ('android', 'ios', 'web')
+              then trim(coalesce(device_type, 'android')) else 'android' end as device_type, created_at
+  from user_device_tokens where created_at >= timestamp '2024-01-20 00:00:00'),
+latest as (
+  select user_id, device_type, fcm_token, created_at from (
+    select *, row_number() over (partition by user_id, device_type order by created_at desc, fcm_token desc) as rn
+    from new where fcm_token <> '') x where rn = 1)
+select t.user_id, t.fcm_token, t.device_type, t.created_at
+from user_device_tokens t
+where t.created_at < timestamp '2024-01-20 00:00:00'
+  and not exists (select 1 from latest l where l.user_id = t.user_id and l.device_type = t.device_type)
+union all
+select user_id, fcm_token, device_type, created_at from latest
+""")
+
+_Q_CHECKS = f"""
+  select user_id,
+         coalesce(not (full_name is null or full_name = ''), false) as ok_name,
+         coalesce(not {_empty('email')} and regexp_full_match(email, '{_EMAIL_RE}')
+                  and length(split_part(email, '@', 1)) <= 64 and length(email) <= 320, false) as ok_email,
+         coalesce(not {_empty('phone_number')}
+                  and regexp_full_match(regexp_replace(phone_number, '\\s+', '', 'g'), '{PHONE_PATTERN}'), false) as ok_phone
+  from users"""
+
+oracle("quality_report", "users")(f"""
+with q as ({_Q_CHECKS})
+select user_id,
+       list_filter([case when not ok_name then 'full_name' end, case when not ok_email then 'email' end,
+                    case when not ok_phone then 'phone_number' end], lambda x: x is not null) as error_fields,
+       case when not ok_name then 'full_name is required'
+            when not ok_email then 'email is missing or invalid'
+            when not ok_phone then 'phone_number is missing or invalid' end as first_error,
+       not (ok_name and ok_email and ok_phone) as has_errors
+from q
+""")
+
+oracle("quality_summary", "users")(f"""
+with q as ({_Q_CHECKS})
+select count(*) as rows_checked, 'full_name' as field, count(*) filter (where not ok_name) as violations from q
+union all select count(*), 'email', count(*) filter (where not ok_email) from q
+union all select count(*), 'phone_number', count(*) filter (where not ok_phone) from q
+""")
