@@ -27,10 +27,14 @@ def ts_param(x) -> Column:
 
 def arrival(commands: DataFrame, col: str = "command_id") -> Column:
     """Arrival order of a command batch: ``command_id`` when present, else
-    the whole command row (a deterministic order; identical commands tie)."""
+    ``ts`` then the rest of the row, else the whole row (a deterministic
+    order; identical commands tie)."""
     if col in commands.columns:
         return F.col(col).alias("_arrival")
-    return F.struct(*commands.columns).alias("_arrival")
+    cols = list(commands.columns)
+    if "ts" in cols:
+        cols = ["ts"] + [c for c in cols if c != "ts"]
+    return F.struct(*cols).alias("_arrival")
 
 
 def first_per_key(df: DataFrame, key: list[str] | str, order: list, flag: str = "is_first") -> DataFrame:

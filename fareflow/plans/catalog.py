@@ -253,3 +253,128 @@ def q_quality_report(spark, sf):
 @query
 def q_quality_summary(spark, sf):
     return quality.quality_summary(build_fixtures(spark, sf, "users")["users"])
+
+
+# ---------------------------------------------------------------------------
+# Rules, guarded updates, notifications, scalar functions
+# ---------------------------------------------------------------------------
+from ..functions import rules as R  # noqa: E402
+from ..operators import bookings as B  # noqa: E402
+from ..operators import notifications  # noqa: E402
+
+_CANCEL = ("cancel_requests", "bookings", "trips", "cancel_policy_rules")
+
+
+@query
+def q_match_cancel_rule(spark, sf):
+    fx = build_fixtures(spark, sf, *_CANCEL)
+    return B.cancel_rule_matches(*(fx[n] for n in _CANCEL))
+
+
+@query
+def q_cancellation_quote(spark, sf):
+    fx = build_fixtures(spark, sf, *_CANCEL)
+    return B.cancellation_quote(*(fx[n] for n in _CANCEL))
+
+
+def _cancellations(spark, sf):
+    fx = build_fixtures(spark, sf, *_CANCEL, "passengers")
+    return B.apply_cancellations(*(fx[n] for n in _CANCEL), fx["passengers"])
+
+
+@query
+def q_apply_cancellations(spark, sf):
+    return _cancellations(spark, sf)["outcomes"]
+
+
+@query
+def q_apply_cancellations_bookings(spark, sf):
+    return _cancellations(spark, sf)["bookings"]
+
+
+@query
+def q_apply_cancellations_ledger(spark, sf):
+    return _cancellations(spark, sf)["ledger"]
+
+
+@query
+def q_apply_cancellations_freed_seats(spark, sf):
+    return _cancellations(spark, sf)["freed_seats"]
+
+
+@query
+def q_refund_fee_quote(spark, sf):
+    fx = build_fixtures(spark, sf, "refund_transactions", "bookings", "trips", "cancel_policy_rules")
+    targets = fx["refund_transactions"].select("booking_id", F.col("created_at").alias("requested_at"))
+    return B.refund_fee_quote(targets, fx["bookings"], fx["trips"], fx["cancel_policy_rules"])
+
+
+@query
+def q_apply_payment_updates(spark, sf):
+    fx = build_fixtures(spark, sf, "bookings", "payment_updates")
+    return B.apply_payment_updates(fx["bookings"], fx["payment_updates"])[0]
+
+
+@query
+def q_apply_payment_updates_state(spark, sf):
+    fx = build_fixtures(spark, sf, "bookings", "payment_updates")
+    return B.apply_payment_updates(fx["bookings"], fx["payment_updates"])[1]
+
+
+@query
+def q_confirm_bookings(spark, sf):
+    fx = build_fixtures(spark, sf, "bookings", "users", "confirm_commands")
+    return B.confirm_bookings(fx["bookings"], fx["users"], fx["confirm_commands"])[0]
+
+
+@query
+def q_confirm_bookings_audit(spark, sf):
+    fx = build_fixtures(spark, sf, "bookings", "users", "confirm_commands")
+    return B.confirm_bookings(fx["bookings"], fx["users"], fx["confirm_commands"])[1]
+
+
+@query
+def q_submit_payment_proof(spark, sf):
+    fx = build_fixtures(spark, sf, "bookings", "payment_proofs")
+    return B.submit_payment_proof(fx["bookings"], fx["payment_proofs"])[0]
+
+
+@query
+def q_submit_payment_proof_state(spark, sf):
+    fx = build_fixtures(spark, sf, "bookings", "payment_proofs")
+    return B.submit_payment_proof(fx["bookings"], fx["payment_proofs"])[1]
+
+
+@query
+def q_notification_outbox(spark, sf):
+    """Outbox of the accepted payment updates (B2) and confirmations."""
+    fx = build_fixtures(spark, sf, "bookings", "users", "payment_updates", "confirm_commands", "user_device_tokens")
+    paid = B.apply_payment_updates(fx["bookings"], fx["payment_updates"])[0].filter(F.col("reject_reason").isNull())
+    conf = B.confirm_bookings(fx["bookings"], fx["users"], fx["confirm_commands"])[0].filter(
+        F.col("reject_reason").isNull())
+    changes = (paid.select("booking_id", "status")
+               .unionByName(conf.select("booking_id", F.col("booking_status").alias("status"))))
+    contacts = listings.booking_contacts(fx["bookings"], fx["users"])
+    return notifications.notification_outbox(changes.join(contacts, "booking_id"), fx["user_device_tokens"])
+
+
+@query
+def q_trip_duration(spark, sf):
+    t = build_fixtures(spark, sf, "trips")["trips"]
+    return t.select("trip_id", R.trip_duration("departure_time", "arrival_time").alias("duration"),
+                    R.duration_minutes("departure_time", "arrival_time").cast("bigint").alias("duration_minutes"))
+
+
+@query
+def q_minor_units(spark, sf):
+    b = build_fixtures(spark, sf, "bookings")["bookings"]
+    return b.select("booking_id", "total_price", R.minor_units("total_price").alias("amount_minor"),
+                    R.minor_units_exact("total_price").alias("amount_minor_exact"))
+
+
+@query
+def q_contact_checks(spark, sf):
+    u = build_fixtures(spark, sf, "users")["users"]
+    return u.select("user_id", R.valid_email("email").alias("email_ok"), R.valid_phone("phone_number").alias("phone_ok"),
+                    R.normalize_phone("phone_number").alias("whatsapp_number"),
+                    R.required("full_name").alias("name_ok"))

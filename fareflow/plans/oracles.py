@@ -479,3 +479,271 @@ select count(*) as rows_checked, 'full_name' as field, count(*) filter (where no
 union all select count(*), 'email', count(*) filter (where not ok_email) from q
 union all select count(*), 'phone_number', count(*) filter (where not ok_phone) from q
 """)
+
+
+# ---------------------------------------------------------------------------
+# Rules, guarded updates, notifications, scalar functions
+# ---------------------------------------------------------------------------
+_HOURS = "date_sub('second', c.requested_at, bt.departure_time) / 3600.0"
+_BT = "(select b.*, t.departure_time from bookings b join trips t on t.trip_id = b.trip_id)"
+_RULE_JOIN = """
+  join cancel_policy_rules r on r.cancel_policy_id = q.cancel_policy_id and r.is_active
+   and r.min_hours_before_departure <= q.hours
+   and (r.max_hours_before_departure is null or q.hours < r.max_hours_before_departure)"""
+_REFUND = "greatest(cast(0 as decimal(12,2)), cast(round(q.total_price * m.refund_percentage * 0.01 - m.cancellation_fee, 2) as decimal(12,2)))"
+
+oracle("match_cancel_rule", "cancel_requests", "bookings", "trips", "cancel_policy_rules")(f"""
+with q as (
+  select c.booking_id, c.requested_at, bt.cancel_policy_id, {_HOURS} as hours
+  from cancel_requests c join {_BT} bt on bt.booking_id = c.booking_id),
+m as (
+  select q.booking_id, q.requested_at, r.cancel_policy_rule_id, r.refund_percentage, r.cancellation_fee,
+         row_number() over (partition by q.booking_id, q.requested_at
+                            order by r.min_hours_before_departure desc, r.cancel_policy_rule_id) as rn
+  from q {_RULE_JOIN})
+select q.booking_id, q.requested_at, q.cancel_policy_id, q.hours as hours_before_departure,
+       m.cancel_policy_rule_id, m.refund_percentage, m.cancellation_fee
+from q left join m on m.booking_id = q.booking_id and m.requested_at = q.requested_at and m.rn = 1
+""")
+
+
+def _cancel_cte(looks_up: str) -> str:
+    return f"""
+with q as (
+  select c.booking_id, c.requested_at, coalesce(c.reason, 'Customer request') as reason, bt.booking_id is not null as found,
+         bt.total_price, bt.booking_status, bt.payment_status, bt.cancel_policy_id, {_HOURS} as hours,
+         {looks_up} as looks_up
+  from cancel_requests c left join {_BT} bt on bt.booking_id = c.booking_id),
+m as (
+  select q.booking_id, q.requested_at, r.cancel_policy_rule_id, r.refund_percentage, r.cancellation_fee,
+         row_number() over (partition by q.booking_id, q.requested_at
+                            order by r.min_hours_before_departure desc, r.cancel_policy_rule_id) as rn
+  from q {_RULE_JOIN}
+  where q.found and q.looks_up),
+qm as (
+  select q.*, m.cancel_policy_rule_id as rule_id, m.refund_percentage as pct, m.cancellation_fee as rule_fee,
+         case when q.looks_up and m.cancel_policy_rule_id is not null then {_REFUND} else cast(0 as decimal(12,2)) end as refund
+  from q left join m on m.booking_id = q.booking_id and m.requested_at = q.requested_at and m.rn = 1)"""
+
+
+_QUOTE_CTE = _cancel_cte("coalesce(bt.payment_status, 'Unpaid') <> 'Unpaid'")
+_QUOTE_SELECT = """
+select booking_id, requested_at, reason_code as reject_reason,
+       case when ok then total_price end as total_price,
+       case when ok then hours end as hours_before_departure,
+       case when ok then cast(coalesce(case when looks_up then rule_id end, 0) as bigint) end as cancel_policy_rule_id,
+       case when ok then cast(coalesce(case when looks_up then pct end, 0) as decimal(5,2)) end as refund_percentage,
+       case when ok then cast(case when not looks_up then 0 when rule_id is not null then rule_fee else total_price end
+                              as decimal(12,2)) end as cancellation_fee,
+       case when ok then refund end as refund_amount,
+       case when ok then cast(greatest(0, total_price - refund) as decimal(12,2)) end as non_refundable_part
+from (select *, case when booking_id <= 0 then 'invalid_booking_id' when not found then 'booking_not_found'
+                     when booking_status = 'Cancelled' then 'already_cancelled' end as reason_code,
+             not (booking_id <= 0 or not found or coalesce(booking_status = 'Cancelled', false)) as ok
+      from qm) x
+"""
+
+oracle("cancellation_quote", "cancel_requests", "bookings", "trips", "cancel_policy_rules")(_QUOTE_CTE + _QUOTE_SELECT)
+
+_CONFIRM_CTE = _cancel_cte("(bt.payment_status is null or bt.payment_status <> 'Unpaid')") + """,
+dec as (
+  select qm.*, cast(case when looks_up and rule_id is not null then rule_fee else total_price end as decimal(12,2)) as fee,
+         cast(case when looks_up and rule_id is not null then pct else 0 end as decimal(5,2)) as pct2,
+         cast(case when looks_up and rule_id is not null then rule_id else 0 end as bigint) as rid,
+         case when not found or booking_status = 'Cancelled'
+                   or row_number() over (partition by booking_id order by requested_at, reason) > 1
+              then 'invalid_or_already_cancelled' end as reject_reason
+  from qm)"""
+
+oracle("apply_cancellations", "cancel_requests", "bookings", "trips", "cancel_policy_rules")(_CONFIRM_CTE + """
+select booking_id, requested_at, reject_reason, case when reject_reason is null then refund end as refund_amount from dec
+""")
+
+oracle("apply_cancellations_bookings", "cancel_requests", "bookings", "trips", "cancel_policy_rules")(_CONFIRM_CTE + """
+select booking_id, 'Cancelled' as booking_status,
+       case when payment_status = 'Paid' then 'Refunded' else payment_status end as payment_status,
+       reason as cancel_reason, requested_at as cancel_timestamp
+from dec where reject_reason is null
+""")
+
+oracle("apply_cancellations_ledger", "cancel_requests", "bookings", "trips", "cancel_policy_rules")(_CONFIRM_CTE + """
+select booking_id, cancel_policy_id, rid as cancel_policy_rule_id, pct2 as refund_percentage, fee as cancellation_fee,
+       refund as refund_amount, reason, hours as hours_before_departure
+from dec where reject_reason is null
+""")
+
+oracle("apply_cancellations_freed_seats", "cancel_requests", "bookings", "trips", "cancel_policy_rules",
+       "passengers")(_CONFIRM_CTE + """
+select distinct p.seat_id, true as is_available
+from passengers p join dec d on d.booking_id = p.booking_id
+where d.reject_reason is null and p.seat_id is not null
+""")
+
+oracle("refund_fee_quote", "refund_transactions", "bookings", "trips", "cancel_policy_rules")(
+    (_QUOTE_CTE + _QUOTE_SELECT).replace("from cancel_requests c",
+                                         "from (select booking_id, created_at as requested_at, cast(null as varchar) as reason "
+                                         "from refund_transactions) c")
+    .replace("\nselect booking_id, requested_at, reason_code as reject_reason,",
+             ",\nquote as (select booking_id, requested_at, reason_code as reject_reason,", 1)
+    .rstrip() + """)
+select q.booking_id, q.requested_at, q.reject_reason, b.total_price,
+       cast(b.total_price - q.refund_amount as decimal(12,2)) as refund_fee,
+       cast(b.total_price - cast(b.total_price - q.refund_amount as decimal(12,2)) as decimal(12,2)) as net_refund
+from quote q left join bookings b on b.booking_id = q.booking_id
+""")
+
+_PAY_CTE = """
+with u as (
+  select command_id, booking_id, ts, trim(coalesce(payment_status, '')) as status,
+         trim(coalesce(payment_method, '')) as method, trim(coalesce(transaction_id, '')) as txn
+  from payment_updates),
+d as (
+  select u.*, case when u.booking_id <= 0 or u.status = '' then 'booking_id_and_status_required'
+                   when u.status not in ('Unpaid', 'Paid', 'Refunded') then 'invalid_payment_status'
+                   when u.method <> '' and u.method not in ('Electronic', 'Cash', 'Kareemi', 'Transfer') then 'invalid_payment_method'
+                   when not exists (select 1 from bookings b where b.booking_id = u.booking_id) then 'booking_not_found'
+              end as reject_reason
+  from u)"""
+
+oracle("apply_payment_updates", "bookings", "payment_updates")(_PAY_CTE + """
+select booking_id, ts, status, method, txn, reject_reason from d
+""")
+
+oracle("apply_payment_updates_state", "bookings", "payment_updates")(_PAY_CTE + """,
+last as (
+  select booking_id, arg_max(status, command_id) as status,
+         arg_max(method, command_id) filter (where method <> '') as method,
+         arg_max(txn, command_id) filter (where txn <> '') as txn,
+         arg_max(ts, command_id) filter (where status = 'Paid') as paid_at
+  from d where reject_reason is null group by booking_id)
+select b.booking_id, l.status as payment_status, coalesce(l.method, b.payment_method) as payment_method,
+       coalesce(l.paid_at, b.payment_timestamp) as payment_timestamp,
+       coalesce(l.txn, b.gateway_transaction_id) as gateway_transaction_id
+from bookings b join last l on l.booking_id = b.booking_id
+""")
+
+_CONF_CTE = """
+with c as (
+  select booking_id, employee_id, ts, payment_status as raw_status, notes as raw_notes,
+         trim(coalesce(payment_status, '')) as force, trim(coalesce(notes, '')) as notes2,
+         case when booking_id <= 0 then 'invalid_booking_id'
+              when trim(coalesce(payment_status, '')) <> ''
+               and trim(coalesce(payment_status, '')) not in ('Unpaid', 'Paid', 'Refunded') then 'invalid_payment_status'
+         end as invalid
+  from confirm_commands),
+r as (
+  select c.*, row_number() over (partition by c.booking_id
+                                 order by (c.invalid is not null), c.ts, c.employee_id, c.raw_status, c.raw_notes) as rn,
+         bu.booking_id is not null as found, bu.booking_status, bu.payment_status
+  from c left join (select b.* from bookings b join users u on u.user_id = b.user_id) bu on bu.booking_id = c.booking_id),
+d as (
+  select r.*, coalesce(invalid, case when not found then 'booking_not_found'
+                                     when booking_status is null or booking_status <> 'Pending' or rn > 1
+                                     then 'not_pending' end) as reject_reason,
+         case when force <> '' then force else payment_status end as new_pay
+  from r)"""
+
+oracle("confirm_bookings", "bookings", "users", "confirm_commands")(_CONF_CTE + """
+select booking_id, employee_id, reject_reason,
+       case when reject_reason is null then 'Confirmed' end as booking_status,
+       case when reject_reason is null then new_pay end as payment_status
+from d
+""")
+
+oracle("confirm_bookings_audit", "bookings", "users", "confirm_commands")(_CONF_CTE + """
+select booking_id, employee_id, 'CONFIRM_BOOKING' as action_type, booking_status as old_status,
+       'Confirmed' as new_status,
+       case when notes2 in ('', '0') then 'Payment Status: ' || coalesce(new_pay, '') else notes2 end as notes
+from d where reject_reason is null
+""")
+
+_PROOF_CTE = """
+with p as (
+  select command_id, booking_id, actor_user_id, actor_user_type, trim(coalesce(transaction_id, '')) as txn,
+         trim(coalesce(payment_method, '')) as method, trim(coalesce(note, '')) as note
+  from payment_proofs),
+d as (
+  select p.*, case when p.booking_id <= 0 or p.txn in ('', '0') then 'booking_id_and_transaction_required'
+                   when b.booking_id is null then 'booking_not_found'
+                   when not coalesce(b.user_id = p.actor_user_id, false)
+                        and not coalesce(p.actor_user_type in ('Employee', 'Admin'), false) then 'access_denied'
+                   when b.payment_status = 'Paid' then 'already_paid'
+                   when p.method <> '' and p.method not in ('Electronic', 'Cash', 'Kareemi', 'Transfer')
+                   then 'invalid_payment_method' end as reject_reason
+  from p left join bookings b on b.booking_id = p.booking_id)"""
+
+oracle("submit_payment_proof", "bookings", "payment_proofs")(_PROOF_CTE + """
+select booking_id, actor_user_id, txn, reject_reason from d
+""")
+
+oracle("submit_payment_proof_state", "bookings", "payment_proofs")(_PROOF_CTE + """,
+last as (
+  select booking_id, arg_max(txn, command_id) as txn,
+         arg_max(method, command_id) filter (where method <> '') as method,
+         arg_max(case when note in ('', '0') then 'Submitted by customer' else note end, command_id) as note
+  from d where reject_reason is null group by booking_id)
+select b.booking_id, b.payment_status, l.txn as gateway_transaction_id,
+       coalesce(l.method, b.payment_method) as payment_method, l.note as notes
+from bookings b join last l on l.booking_id = b.booking_id
+""")
+
+_GREET = "'مرحبا ' || coalesce(x.full_name, '') || '، '"
+oracle("notification_outbox", "bookings", "users", "payment_updates", "confirm_commands", "user_device_tokens")(
+    _PAY_CTE + "," + _CONF_CTE.replace("with c as", "c as", 1).replace("\nd as (", "\nd2 as (") + f""",
+changes as (
+  select booking_id, status from d where reject_reason is null
+  union all
+  select booking_id, 'Confirmed' from d2 where reject_reason is null),
+x as (
+  select ch.booking_id, u.user_id, ch.status, u.phone_number, u.full_name, bk.total_price
+  from changes ch join bookings bk on bk.booking_id = ch.booking_id join users u on u.user_id = bk.user_id),
+tok as (
+  select user_id, fcm_token from (
+    select *, row_number() over (partition by user_id order by created_at desc, fcm_token desc, device_type desc) as rn
+    from user_device_tokens) t where rn = 1 and fcm_token <> ''),
+msg as (
+  select x.booking_id, x.user_id, x.status, x.phone_number,
+         case x.status when 'Unpaid' then 'تم إنشاء الحجز بنجاح' when 'Paid' then 'تم الدفع بنجاح'
+                       when 'Refunded' then 'تم استرداد المبلغ' when 'Confirmed' then 'تم تأكيد الحجز' end as title,
+         case x.status
+           when 'Unpaid' then {_GREET} || 'تم حجز رحلتك رقم ' || cast(x.booking_id as varchar)
+                || '. يرجى الدفع لإتمام التأكيد. المبلغ: ' || coalesce(cast(x.total_price as varchar), '')
+           when 'Paid' then {_GREET} || 'تم استلام دفعة الحجز رقم ' || cast(x.booking_id as varchar)
+                || ' بنجاح. نتمنى لك رحلة سعيدة!'
+           when 'Refunded' then {_GREET} || 'تم استرداد مبلغ الحجز رقم ' || cast(x.booking_id as varchar) || '.'
+           when 'Confirmed' then {_GREET} || 'تم تأكيد حجزك رقم ' || cast(x.booking_id as varchar)
+                || ' بنجاح! نتمنى لك رحلة سعيدة.' end as body
+  from x where x.status in ('Unpaid', 'Paid', 'Refunded', 'Confirmed'))
+select booking_id, user_id, status, 'db' as channel, cast(null as varchar) as recipient, title, body from msg
+union all
+select booking_id, user_id, status, 'whatsapp',
+       case when length(regexp_replace(phone_number, '[^0-9]', '', 'g')) = 9
+                 and starts_with(regexp_replace(phone_number, '[^0-9]', '', 'g'), '7')
+            then '967' || regexp_replace(phone_number, '[^0-9]', '', 'g')
+            else regexp_replace(phone_number, '[^0-9]', '', 'g') end, title, body
+from msg where phone_number is not null and phone_number not in ('', '0')
+union all
+select m.booking_id, m.user_id, m.status, 'push', t.fcm_token, m.title, m.body
+from msg m join tok t on t.user_id = m.user_id
+""")
+
+oracle("trip_duration", "trips")(f"""
+select t.trip_id, {_DURATION} as duration, cast({_SECS} // 60 as bigint) as duration_minutes from trips t
+""")
+
+oracle("minor_units", "bookings")("""
+select booking_id, total_price, cast(trunc(cast(total_price as double) * 100) as bigint) as amount_minor,
+       cast(total_price * 100 as bigint) as amount_minor_exact
+from bookings
+""")
+
+oracle("contact_checks", "users")(f"""
+with q as ({_Q_CHECKS.replace("select user_id,", "select user_id, phone_number,", 1)})
+select user_id, ok_email as email_ok, ok_phone as phone_ok,
+       case when length(regexp_replace(phone_number, '[^0-9]', '', 'g')) = 9
+                 and starts_with(regexp_replace(phone_number, '[^0-9]', '', 'g'), '7')
+            then '967' || regexp_replace(phone_number, '[^0-9]', '', 'g')
+            else regexp_replace(phone_number, '[^0-9]', '', 'g') end as whatsapp_number,
+       ok_name as name_ok
+from q
+""")
