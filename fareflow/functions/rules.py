@@ -113,9 +113,11 @@ def lenient_int(s: ColumnOrName) -> Column:
 
 
 def lenient_float(s: ColumnOrName, dtype: str = "decimal(12,2)") -> Column:
-    """Q2: PHP ``(float)$s``: leading decimal number, else 0."""
+    """Q2: PHP ``(float)$s``: leading decimal number, else 0.  The number's
+    text is cast straight to ``dtype`` (a decimal column rounds the text
+    half-up, as the database does with the value PHP sends)."""
     num = F.regexp_extract(_c(s).cast("string"), r"^\s*([+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?)", 1)
-    return F.coalesce(num.try_cast("double").try_cast(dtype), F.lit(0).cast(dtype))
+    return F.coalesce(num.try_cast(dtype), F.lit(0).cast(dtype))
 
 
 def valid_email(s: ColumnOrName) -> Column:

@@ -27,6 +27,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.rules import PAYMENT_METHODS
+from .keyed import reasons
+from .listings import default_cancel_policy
+
 
 def first_come_admission(items: DataFrame, rid: str, order: str, res: str,
                          max_rounds: int = 10_000) -> DataFrame:
@@ -82,3 +86,123 @@ def assign_sequence_ids(df: DataFrame, order_cols: list[str], start: Column, id_
 def max_id(df: DataFrame, col: str) -> Column:
     """Largest existing id as a scalar subquery (0 for an empty table)."""
     return df.agg(F.coalesce(F.max(col), F.lit(0)).cast("bigint")).scalar()
+
+
+# ---------------------------------------------------------------------------
+# B1 admit_bookings, B1b expand_passengers, J3 resolve_seat_codes
+# ---------------------------------------------------------------------------
+def expand_passengers(requests: DataFrame) -> DataFrame:
+    """One row per passenger of each parsed request (``passenger_no``
+    from 1); optional fields stay null, ``id_number`` defaults to '' and the
+    seat code is trimmed (the reference looked codes up trimmed but stored
+    them untrimmed - fixed here)."""
+    p = requests.select("request_id", F.posexplode("passengers").alias("pos", "p"))
+    return p.select("request_id", (F.col("pos") + 1).alias("passenger_no"),
+                    F.col("p.full_name").alias("full_name"),
+                    F.coalesce(F.col("p.id_number"), F.lit("")).alias("id_number"),
+                    F.trim(F.coalesce(F.col("p.seat_code"), F.lit(""))).alias("seat_code"),
+                    F.col("p.gender").alias("gender"), F.col("p.birth_date").alias("birth_date"),
+                    F.col("p.phone_number").alias("phone_number"), F.col("p.id_image").alias("id_image"))
+
+
+def resolve_seat_codes(requests: DataFrame, trips: DataFrame, seats: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(trip, seat code) -> seat id through trips -> buses -> seats.
+    Codes are the trimmed seat codes with PHP-falsy ones ('' and '0')
+    dropped.  A request fails when it has no code (``no_seat_codes``) or
+    when the seats found differ in number from the codes given
+    (``unknown_seats``) - so a duplicated code also fails, as the
+    reference's ``count($rows) !== count($codes)``.  Returns
+    ``(codes, per_request)``: codes = (request_id, trip_id, seat_code,
+    seat_id); per_request = (request_id, n_codes, n_found, reject_reason)."""
+    codes = (expand_passengers(requests)
+             .filter(~F.col("seat_code").isin("", "0"))
+             .join(requests.select("request_id", "trip_id"), "request_id")
+             .select("request_id", "trip_id", "seat_code"))
+    bus_seats = (trips.select("trip_id", "bus_id")
+                 .join(seats.select("bus_id", F.col("seat_number").alias("seat_code"), "seat_id"), "bus_id"))
+    found = codes.join(bus_seats, ["trip_id", "seat_code"], "left")
+    per = found.groupBy("request_id").agg(F.count(F.lit(1)).alias("n_codes"),
+                                          F.count_distinct("seat_id").alias("n_found"))
+    per = (requests.select("request_id").join(per, "request_id", "left")
+           .select("request_id", F.coalesce("n_codes", F.lit(0).cast("bigint")).alias("n_codes"),
+                   F.coalesce("n_found", F.lit(0).cast("bigint")).alias("n_found"))
+           .withColumn("reject_reason", F.when(F.col("n_codes") == 0, "no_seat_codes")
+                       .when(F.col("n_codes") != F.col("n_found"), "unknown_seats")))
+    return found.select("request_id", "trip_id", "seat_code", "seat_id"), per
+
+
+def booking_request_checks(requests: DataFrame, trips: DataFrame, policies: DataFrame, seats: DataFrame,
+                           bookings: DataFrame, passengers: DataFrame) -> DataFrame:
+    """The reject stages of B1 that do not depend on other requests, in the
+    reference's order: ``missing_fields`` (user, trip or passengers),
+    ``trip_not_found``, ``no_default_policy``, ``no_seat_codes``,
+    ``unknown_seats``, ``already_booked`` (a seat held by an existing
+    passenger of the trip, cancelled ones included), then
+    ``invalid_payment_method``.  Returns one row per request with
+    ``cancel_policy_id`` and ``reject_reason`` (null = goes to contention)."""
+    req = requests.select("request_id", "user_id", "trip_id", "payment_method",
+                          (F.size("passengers") == 0).alias("_no_pax"))
+    pol = default_cancel_policy(trips, policies).select("trip_id", "cancel_policy_id", F.lit(True).alias("_trip"))
+    codes, per = resolve_seat_codes(requests, trips, seats)
+    held = (bookings.select("booking_id", "trip_id")
+            .join(passengers.select("booking_id", "seat_id").filter(F.col("seat_id").isNotNull()), "booking_id")
+            .select("trip_id", "seat_id"))
+    taken = codes.join(held, ["trip_id", "seat_id"], "left_semi").select("request_id").distinct() \
+        .withColumn("_taken", F.lit(True))
+    j = (req.join(pol, "trip_id", "left").join(per.withColumnRenamed("reject_reason", "_seat_reason"), "request_id", "left")
+         .join(taken, "request_id", "left"))
+    reason = reasons(
+        ((F.col("user_id") <= 0) | (F.col("trip_id") <= 0) | F.col("_no_pax"), "missing_fields"),
+        (F.col("_trip").isNull(), "trip_not_found"),
+        (F.col("cancel_policy_id").isNull(), "no_default_policy"),
+        (F.col("_seat_reason") == "no_seat_codes", "no_seat_codes"),
+        (F.col("_seat_reason") == "unknown_seats", "unknown_seats"),
+        (F.col("_taken").isNotNull(), "already_booked"),
+        (~F.col("payment_method").isin(*PAYMENT_METHODS), "invalid_payment_method"))
+    return j.select("request_id", "trip_id", "cancel_policy_id", reason.alias("reject_reason"))
+
+
+def admit_bookings(requests: DataFrame, trips: DataFrame, policies: DataFrame, seats: DataFrame,
+                   bookings: DataFrame, passengers: DataFrame) -> dict[str, DataFrame]:
+    """B1: admit parsed booking requests (S2 output plus ``request_id`` and
+    ``received_at``) in arrival order (received_at, request_id).
+
+    Stage rejects come from ``booking_request_checks``; the survivors then
+    compete for seats: a request is accepted only if none of its seats was
+    taken by an earlier accepted request of the same trip (all-or-nothing
+    per request, ``first_come_admission`` over (trip, seat)), else
+    ``already_booked``.  The price is the client's.  Accepted requests get
+    a ``booking_id`` = max existing + arrival rank, status Pending/Unpaid,
+    the trip partner's default policy; their passengers are Active; their
+    seats are flagged unavailable.  Returns ``outcomes``, ``bookings``,
+    ``passengers`` and ``seat_updates``."""
+    checks = booking_request_checks(requests, trips, policies, seats, bookings, passengers)
+    codes, _ = resolve_seat_codes(requests, trips, seats)
+    arrival = requests.select("request_id", F.struct("received_at", "request_id").alias("_order"))
+    ok = checks.filter(F.col("reject_reason").isNull()).select("request_id")
+    items = (codes.join(ok, "request_id", "left_semi").join(arrival, "request_id")
+             .select("request_id", "_order", F.struct("trip_id", "seat_id").alias("_seat")))
+    verdict = first_come_admission(items, "request_id", "_order", "_seat")
+    won = verdict.filter("accepted").select("request_id")
+    ids = assign_sequence_ids(won.join(arrival, "request_id").select("request_id", "_order"), ["_order"],
+                              max_id(bookings, "booking_id"), "booking_id").select("request_id", "booking_id")
+    out = (checks.join(ids, "request_id", "left")
+           .withColumn("reject_reason", F.coalesce("reject_reason",
+                                                   F.when(F.col("booking_id").isNull(), F.lit("already_booked")))))
+    acc = requests.join(ids, "request_id")
+    new_bookings = (acc.join(checks.select("request_id", "cancel_policy_id"), "request_id")
+                    .select("booking_id", "user_id", "trip_id", "total_price",
+                            F.lit("Pending").alias("booking_status"), "payment_method",
+                            F.lit("Unpaid").alias("payment_status"), F.col("received_at").alias("booking_date"),
+                            "cancel_policy_id"))
+    seat_of = codes.select("request_id", "seat_code", "seat_id")
+    new_pax = (expand_passengers(requests.join(ids, "request_id", "left_semi"))
+               .join(ids, "request_id")
+               .join(requests.select("request_id", "trip_id"), "request_id")
+               .join(seat_of.dropDuplicates(["request_id", "seat_code"]), ["request_id", "seat_code"], "left")
+               .select("booking_id", "passenger_no", "full_name", "id_number", "seat_id", "trip_id", "gender",
+                       "birth_date", "phone_number", "id_image", F.lit("Active").alias("passenger_status")))
+    seat_updates = (codes.join(ids, "request_id", "left_semi").select("seat_id").distinct()
+                    .withColumn("is_available", F.lit(False)))
+    return {"outcomes": out.select("request_id", "trip_id", "booking_id", "reject_reason"),
+            "bookings": new_bookings, "passengers": new_pax, "seat_updates": seat_updates}

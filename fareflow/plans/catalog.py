@@ -378,3 +378,59 @@ def q_contact_checks(spark, sf):
     return u.select("user_id", R.valid_email("email").alias("email_ok"), R.valid_phone("phone_number").alias("phone_ok"),
                     R.normalize_phone("phone_number").alias("whatsapp_number"),
                     R.required("full_name").alias("name_ok"))
+
+
+# ---------------------------------------------------------------------------
+# Admission: booking requests, tickets
+# ---------------------------------------------------------------------------
+from ..operators import admission  # noqa: E402
+from ..sources import requests as S  # noqa: E402
+
+_ADMIT = ("booking_requests_raw", "trips", "cancel_policies", "seats", "bookings", "passengers")
+
+
+def _parsed(spark, sf):
+    fx = build_fixtures(spark, sf, *_ADMIT)
+    return fx, S.parse_booking_requests(fx["booking_requests_raw"])
+
+
+@query
+def q_parse_booking_requests(spark, sf):
+    _, req = _parsed(spark, sf)
+    return req.select("request_id", "received_at", "user_id", "trip_id", "total_price", "payment_method",
+                      F.size("passengers").alias("n_passengers"))
+
+
+@query
+def q_expand_passengers(spark, sf):
+    _, req = _parsed(spark, sf)
+    return admission.expand_passengers(req)
+
+
+@query
+def q_resolve_seat_codes(spark, sf):
+    fx, req = _parsed(spark, sf)
+    return admission.resolve_seat_codes(req, fx["trips"], fx["seats"])[1]
+
+
+@query
+def q_booking_request_checks(spark, sf):
+    fx, req = _parsed(spark, sf)
+    return admission.booking_request_checks(req, fx["trips"], fx["cancel_policies"], fx["seats"], fx["bookings"],
+                                            fx["passengers"])
+
+
+def _admitted(spark, sf):
+    fx, req = _parsed(spark, sf)
+    return admission.admit_bookings(req, fx["trips"], fx["cancel_policies"], fx["seats"], fx["bookings"],
+                                    fx["passengers"])
+
+
+@query
+def q_admit_bookings(spark, sf):
+    return _admitted(spark, sf)["outcomes"]
+
+
+@query
+def q_admit_bookings_passengers(spark, sf):
+    return _admitted(spark, sf)["passengers"]

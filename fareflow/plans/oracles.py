@@ -747,3 +747,113 @@ select user_id, ok_email as email_ok, ok_phone as phone_ok,
        ok_name as name_ok
 from q
 """)
+
+
+# ---------------------------------------------------------------------------
+# Admission: booking requests
+# ---------------------------------------------------------------------------
+_INT = r"coalesce(try_cast(regexp_extract(json_extract_string(body, '$.{f}'), '^\s*([+-]?[0-9]+)', 1) as bigint), 0)"
+_DEC = (r"coalesce(try_cast(regexp_extract(json_extract_string(body, '$.{f}'), "
+        r"'^\s*([+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?)', 1) as decimal(12,2)), 0)")
+_REQ_CTE = f"""
+with req as (
+  select request_id, received_at, {_INT.format(f='user_id')} as user_id, {_INT.format(f='trip_id')} as trip_id,
+         {_DEC.format(f='total_price')} as total_price,
+         case when json_extract_string(body, '$.payment_method') is null then 'Cash'
+              else trim(json_extract_string(body, '$.payment_method')) end as payment_method,
+         case when json_type(json_extract(body, '$.passengers')) = 'ARRAY' then json_extract(body, '$.passengers')
+              else '[]'::json end as pax
+  from booking_requests_raw),
+pax as (
+  select request_id, i + 1 as passenger_no,
+         json_extract_string(pax, '$[' || i || '].full_name') as full_name,
+         coalesce(json_extract_string(pax, '$[' || i || '].id_number'), '') as id_number,
+         trim(coalesce(json_extract_string(pax, '$[' || i || '].seat_code'), '')) as seat_code,
+         json_extract_string(pax, '$[' || i || '].gender') as gender,
+         json_extract_string(pax, '$[' || i || '].birth_date') as birth_date,
+         json_extract_string(pax, '$[' || i || '].phone_number') as phone_number,
+         json_extract_string(pax, '$[' || i || '].id_image') as id_image
+  from (select request_id, pax, unnest(range(cast(json_array_length(pax) as bigint))) as i from req) x),
+codes as (
+  select p.request_id, r.trip_id, p.seat_code,
+         (select s.seat_id from trips t join buses b on b.bus_id = t.bus_id join seats s on s.bus_id = b.bus_id
+           where t.trip_id = r.trip_id and s.seat_number = p.seat_code) as seat_id
+  from pax p join req r on r.request_id = p.request_id
+  where p.seat_code not in ('', '0')),
+per as (
+  select r.request_id, count(c.seat_code) as n_codes, count(distinct c.seat_id) as n_found
+  from req r left join codes c on c.request_id = r.request_id group by r.request_id),
+chk as (
+  select r.*, pol.cancel_policy_id,
+         case when r.user_id <= 0 or r.trip_id <= 0 or json_array_length(r.pax) = 0 then 'missing_fields'
+              when not exists (select 1 from trips t where t.trip_id = r.trip_id) then 'trip_not_found'
+              when pol.cancel_policy_id is null then 'no_default_policy'
+              when p.n_codes = 0 then 'no_seat_codes'
+              when p.n_codes <> p.n_found then 'unknown_seats'
+              when exists (select 1 from codes c join passengers ps on ps.seat_id = c.seat_id
+                           join bookings bk on bk.booking_id = ps.booking_id and bk.trip_id = c.trip_id
+                           where c.request_id = r.request_id) then 'already_booked'
+              when r.payment_method not in ('Electronic', 'Cash', 'Kareemi', 'Transfer') then 'invalid_payment_method'
+         end as reject_reason
+  from req r join per p on p.request_id = r.request_id
+  left join (select t.trip_id, min(cp.cancel_policy_id) as cancel_policy_id from trips t
+             join cancel_policies cp on cp.partner_id = t.partner_id and cp.is_default and cp.is_active
+             group by t.trip_id) pol on pol.trip_id = r.trip_id)"""
+
+oracle("parse_booking_requests", "booking_requests_raw")(_REQ_CTE.split(",\npax as (")[0] + """
+select request_id, received_at, user_id, trip_id, total_price, payment_method,
+       cast(json_array_length(pax) as integer) as n_passengers
+from req
+""")
+
+oracle("expand_passengers", "booking_requests_raw", "trips", "buses", "seats")(
+    _REQ_CTE.split(",\ncodes as (")[0] + """
+select request_id, cast(passenger_no as integer) as passenger_no, full_name, id_number, seat_code, gender, birth_date,
+       phone_number, id_image from pax
+""")
+
+oracle("resolve_seat_codes", "booking_requests_raw", "trips", "buses", "seats")(
+    _REQ_CTE.split(",\nchk as (")[0] + """
+select request_id, n_codes, n_found,
+       case when n_codes = 0 then 'no_seat_codes' when n_codes <> n_found then 'unknown_seats' end as reject_reason
+from per
+""")
+
+_ADMIT_FX = ("booking_requests_raw", "trips", "buses", "seats", "cancel_policies", "bookings", "passengers")
+
+oracle("booking_request_checks", *_ADMIT_FX)(_REQ_CTE + """
+select request_id, trip_id, cancel_policy_id, reject_reason from chk
+""")
+
+# Sequential fold per trip: the k-th surviving request of a trip is accepted
+# when none of its seats is among the seats taken by steps 1..k-1.
+_ADMIT_CTE = "with recursive " + _REQ_CTE.strip()[5:] + """,
+cand as (
+  select c.request_id, c.trip_id, c.received_at,
+         row_number() over (partition by c.trip_id order by c.received_at, c.request_id) as k,
+         (select list(distinct cd.seat_id) from codes cd where cd.request_id = c.request_id) as seats
+  from chk c where c.reject_reason is null),
+walk(trip_id, k, taken, acc) as (
+  select distinct trip_id, 0::bigint, []::bigint[], false from cand
+  union all
+  select w.trip_id, c.k,
+         case when not list_has_any(w.taken, c.seats) then list_concat(w.taken, c.seats) else w.taken end,
+         not list_has_any(w.taken, c.seats)
+  from walk w join cand c on c.trip_id = w.trip_id and c.k = w.k + 1),
+won as (
+  select c.request_id, (select coalesce(max(booking_id), 0) from bookings)
+           + row_number() over (order by c.received_at, c.request_id) as booking_id
+  from cand c join walk w on w.trip_id = c.trip_id and w.k = c.k where w.acc)"""
+
+oracle("admit_bookings", *_ADMIT_FX)(_ADMIT_CTE + """
+select c.request_id, c.trip_id, w.booking_id,
+       coalesce(c.reject_reason, case when w.booking_id is null then 'already_booked' end) as reject_reason
+from chk c left join won w on w.request_id = c.request_id
+""")
+
+oracle("admit_bookings_passengers", *_ADMIT_FX)(_ADMIT_CTE + """
+select w.booking_id, cast(p.passenger_no as integer) as passenger_no, p.full_name, p.id_number,
+       (select min(cd.seat_id) from codes cd where cd.request_id = p.request_id and cd.seat_code = p.seat_code) as seat_id,
+       r.trip_id, p.gender, p.birth_date, p.phone_number, p.id_image, 'Active' as passenger_status
+from won w join pax p on p.request_id = w.request_id join req r on r.request_id = w.request_id
+""")
