@@ -434,3 +434,61 @@ def q_admit_bookings(spark, sf):
 @query
 def q_admit_bookings_passengers(spark, sf):
     return _admitted(spark, sf)["passengers"]
+
+
+# ---------------------------------------------------------------------------
+# Streams: payment webhooks, daily commissions
+# ---------------------------------------------------------------------------
+from ..sources.fixtures import WEBHOOK_TEST_SECRET  # noqa: E402
+from ..streaming import daily, payments, scratch_dir  # noqa: E402
+
+
+def _verified(spark, sf):
+    fx = build_fixtures(spark, sf, "webhooks_raw", "bookings")
+    return fx, payments.verify_payment_events(fx["webhooks_raw"], WEBHOOK_TEST_SECRET)
+
+
+@query
+def q_verify_payment_events(spark, sf):
+    return _verified(spark, sf)[1].select("event_id", "received_at", "t", "verified", "reject_reason")
+
+
+@query
+def q_gateway_payments(spark, sf):
+    return payments.gateway_payments(_verified(spark, sf)[1])
+
+
+@query
+def q_apply_gateway_payments(spark, sf):
+    fx, v = _verified(spark, sf)
+    return payments.apply_gateway_payments(fx["bookings"], payments.gateway_payments(v))
+
+
+def _as_stream_source(spark, df, name, ts_cols):
+    """Write rows once to a fresh folder (timestamps as ``timestamp``, which
+    watermarks require) and open that folder as a file stream."""
+    base = scratch_dir(spark, name)
+    for c in ts_cols:
+        df = df.withColumn(c, F.col(c).cast("timestamp"))
+    df.write.parquet(base + "/in")
+    schema = spark.read.parquet(base + "/in").schema
+    return base, spark.readStream.schema(schema).parquet(base + "/in")
+
+
+@query
+def q_gateway_payment_stream(spark, sf):
+    """E1 -> E2 -> dedup -> E3 run as a stream with ``foreachBatch``."""
+    fx = build_fixtures(spark, sf, "webhooks_raw", "bookings")
+    base, stream = _as_stream_source(spark, fx["webhooks_raw"], "webhooks", ["received_at"])
+    payments.run_gateway_stream(spark, stream, fx["bookings"], WEBHOOK_TEST_SECRET, base + "/out", base + "/ck")
+    return (spark.read.parquet(base + "/out/applied").drop("batch_id")
+            .withColumn("payment_timestamp", F.col("payment_timestamp").cast("timestamp_ntz")))
+
+
+@query
+def q_stream_daily_commissions(spark, sf):
+    """E5: G4 as a watermarked streaming aggregate; closed days only."""
+    c = build_fixtures(spark, sf, "commissions")["commissions"]
+    base, stream = _as_stream_source(spark, c, "commissions", ["created_at"])
+    daily.run_daily_commission_stream(stream, base + "/out", base + "/ck")
+    return spark.read.parquet(base + "/out")

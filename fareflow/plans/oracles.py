@@ -857,3 +857,75 @@ select w.booking_id, cast(p.passenger_no as integer) as passenger_no, p.full_nam
        r.trip_id, p.gender, p.birth_date, p.phone_number, p.id_image, 'Active' as passenger_status
 from won w join pax p on p.request_id = w.request_id join req r on r.request_id = w.request_id
 """)
+
+
+# ---------------------------------------------------------------------------
+# Streams: payment webhooks, daily commissions
+# ---------------------------------------------------------------------------
+from ..sources.fixtures import WEBHOOK_TEST_SECRET, hmac_pads  # noqa: E402
+
+_IPAD, _OPAD = hmac_pads(WEBHOOK_TEST_SECRET)
+_VERIFY_CTE = f"""
+with parts as (
+  select w.*, list_filter(list_transform(string_split(coalesce(sig_header, ''), ','),
+                                         lambda p: [split_part(p, '=', 1),
+                                                    case when strpos(p, '=') > 0 then substr(p, strpos(p, '=') + 1) end]),
+                          lambda kv: kv[2] is not null) as kvs
+  from webhooks_raw w),
+hdr as (
+  select *, list_transform(list_filter(kvs, lambda kv: trim(kv[1]) = 't'), lambda kv: trim(kv[2])) as ts_vals,
+         list_transform(list_filter(kvs, lambda kv: trim(kv[1]) = 'v1'), lambda kv: trim(kv[2])) as sigs
+  from parts),
+v as (
+  select event_id, received_at, payload,
+         ts_vals[len(ts_vals)] as t_text,
+         coalesce(try_cast(regexp_extract(ts_vals[len(ts_vals)], '^\\s*([+-]?[0-9]+)', 1) as bigint), 0) as t,
+         sigs
+  from hdr),
+chk as (
+  select *, case when payload is null or payload in ('', '0') then 'empty_request'
+                 when t_text is null or len(sigs) = 0 then 'malformed_signature'
+                 when abs(date_sub('second', timestamp '1970-01-01', received_at) - t) > 300 then 'rejected_late'
+                 when not list_contains(sigs, sha256(unhex('{_OPAD}') || unhex(sha256(unhex('{_IPAD}')
+                                              || encode(t_text || '.' || payload)))))
+                 then 'bad_signature' end as reject_reason
+  from v)"""
+
+oracle("verify_payment_events", "webhooks_raw")(_VERIFY_CTE + """
+select event_id, received_at, t, reject_reason is null as verified, reject_reason from chk
+""")
+
+_GATEWAY_CTE = _VERIFY_CTE + """,
+pay as (
+  select event_id, received_at, coalesce(json_extract_string(payload, '$.data.object.id'), '') as session_id,
+         coalesce(try_cast(regexp_extract(json_extract_string(payload, '$.data.object.metadata.booking_id'),
+                                          '^\\s*([+-]?[0-9]+)', 1) as bigint), 0) as booking_id,
+         json_extract_string(payload, '$.data.object.metadata.booking_id') as raw_bid
+  from chk
+  where reject_reason is null and json_extract_string(payload, '$.type') = 'checkout.session.completed')"""
+
+oracle("gateway_payments", "webhooks_raw")(_GATEWAY_CTE + """
+select event_id, received_at, session_id, booking_id from pay where raw_bid is not null and raw_bid not in ('', '0')
+""")
+
+_APPLY_GATEWAY = _GATEWAY_CTE + """,
+firsts as (
+  select *, row_number() over (partition by booking_id order by received_at, event_id) as rn
+  from pay where raw_bid is not null and raw_bid not in ('', '0'))
+select f.booking_id, 'Paid' as payment_status, 'Electronic' as payment_method, f.session_id as gateway_transaction_id,
+       f.received_at as payment_timestamp, f.event_id
+from firsts f join bookings b on b.booking_id = f.booking_id
+where f.rn = 1 and b.payment_status <> 'Paid'
+"""
+
+oracle("apply_gateway_payments", "webhooks_raw", "bookings")(_APPLY_GATEWAY)
+oracle("gateway_payment_stream", "webhooks_raw", "bookings")(_APPLY_GATEWAY)
+
+oracle("stream_daily_commissions", "commissions")("""
+select cast(created_at as date) as commission_date, count(*) as total_bookings,
+       cast(sum(booking_amount) as decimal(18,2)) as total_revenue,
+       cast(sum(commission_amount) as decimal(18,2)) as total_commission
+from commissions
+group by 1
+having cast(created_at as date) + interval 1 day <= (select max(created_at) from commissions)
+""")
