@@ -122,3 +122,36 @@ def upsert_device_tokens(tokens: DataFrame, new: DataFrame) -> DataFrame:
                       F.col("t.created_at").alias("created_at")))
     kept = tokens.join(latest.select("user_id", "device_type"), ["user_id", "device_type"], "left_anti")
     return kept.select("user_id", "fcm_token", "device_type", "created_at").unionByName(latest)
+
+
+# Defaults the database applies to a new ticket (values absent from the
+# reference: *assumption*).
+TICKET_DEFAULT_STATUS = "Open"
+TICKET_DEFAULT_PRIORITY = "Normal"
+
+
+def admit_tickets(raw: DataFrame, existing: DataFrame | None = None, as_of=None) -> DataFrame:
+    """Support tickets (ticket_key = arrival order, user_id, issue_type,
+    title, description).  All four fields are required with PHP truthiness
+    (null, '', '0' and 0 fail) -> ``missing_fields``.  Accepted rows get a
+    ``ticket_id`` after the largest existing one (S6), status ``Open``,
+    priority ``Normal`` and ``created_at`` = ``as_of`` (or the row's
+    ``received_at`` when present)."""
+    from .keyed import ts_param
+
+    falsy = None
+    for c in ("user_id", "issue_type", "title", "description"):
+        f = php_empty(c)
+        falsy = f if falsy is None else falsy | f
+    t = raw.withColumn("_missing", falsy)
+    start = max_id(existing, "ticket_id") if existing is not None else F.lit(0).cast("bigint")
+    ids = assign_sequence_ids(t.filter(~F.col("_missing")).select("ticket_key"), ["ticket_key"], start, "ticket_id")
+    created = (F.col("received_at") if "received_at" in raw.columns
+               else (ts_param(as_of) if as_of is not None else F.lit(None).cast("timestamp_ntz")))
+    ok = ~F.col("_missing")
+    return (t.join(ids, "ticket_key", "left")
+            .select("ticket_key", "ticket_id", "user_id", "issue_type", "title", "description",
+                    F.when(ok, F.lit(TICKET_DEFAULT_STATUS)).alias("status"),
+                    F.when(ok, F.lit(TICKET_DEFAULT_PRIORITY)).alias("priority"),
+                    F.when(ok, created).alias("created_at"),
+                    F.when(~ok, F.lit("missing_fields")).alias("reject_reason")))

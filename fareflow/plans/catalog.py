@@ -492,3 +492,33 @@ def q_stream_daily_commissions(spark, sf):
     base, stream = _as_stream_source(spark, c, "commissions", ["created_at"])
     daily.run_daily_commission_stream(stream, base + "/out", base + "/ck")
     return spark.read.parquet(base + "/out")
+
+
+@query
+def q_admit_tickets(spark, sf):
+    return accounts.admit_tickets(build_fixtures(spark, sf, "tickets_raw")["tickets_raw"], as_of=AS_OF)
+
+
+# ---------------------------------------------------------------------------
+# Per-booking fold of the five command feeds
+# ---------------------------------------------------------------------------
+from ..streaming import state as E4  # noqa: E402
+
+
+def _booking_state(spark, sf):
+    fx = build_fixtures(spark, sf, "bookings", "confirm_commands", "payment_updates", "webhooks_raw",
+                        "payment_proofs", "cancel_requests")
+    gateway = payments.gateway_payments(payments.verify_payment_events(fx["webhooks_raw"], WEBHOOK_TEST_SECRET))
+    cmds = E4.booking_commands(fx["bookings"], fx["confirm_commands"], fx["payment_updates"], gateway,
+                               fx["payment_proofs"], fx["cancel_requests"])
+    return E4.booking_state(cmds, fx["bookings"])
+
+
+@query
+def q_booking_state(spark, sf):
+    return _booking_state(spark, sf)[1]
+
+
+@query
+def q_booking_state_verdicts(spark, sf):
+    return _booking_state(spark, sf)[0].drop("seq")

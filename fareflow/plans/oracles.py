@@ -929,3 +929,94 @@ from commissions
 group by 1
 having cast(created_at as date) + interval 1 day <= (select max(created_at) from commissions)
 """)
+
+
+oracle("admit_tickets", "tickets_raw")(f"""
+with t as (
+  select *, ({_empty('user_id')} or {_empty('issue_type')} or {_empty('title')} or {_empty('description')}) as missing
+  from tickets_raw)
+select ticket_key,
+       case when not missing then row_number() over (partition by missing order by ticket_key) end as ticket_id,
+       user_id, issue_type, title, description,
+       case when not missing then 'Open' end as status, case when not missing then 'Normal' end as priority,
+       case when not missing then {AS_OF} end as created_at,
+       case when missing then 'missing_fields' end as reject_reason
+from t
+""")
+
+
+# ---------------------------------------------------------------------------
+# Sequential fold per booking, one command per recursion step
+# ---------------------------------------------------------------------------
+_E4_CTE = _GATEWAY_CTE.replace("with parts as", "parts as", 1) + """,
+gw as (select booking_id, received_at as ts, session_id as txn from pay
+       where raw_bid is not null and raw_bid not in ('', '0')),
+cmds as (
+  select booking_id, ts, 0 as ko, 'confirm' as kind, trim(coalesce(payment_status, '')) as status,
+         null::varchar as method, null::varchar as txn, trim(coalesce(notes, '')) as note
+  from confirm_commands
+  where booking_id > 0 and trim(coalesce(payment_status, '')) in ('', 'Unpaid', 'Paid', 'Refunded')
+  union all
+  select booking_id, ts, 1, 'pay', trim(coalesce(payment_status, '')), trim(coalesce(payment_method, '')),
+         trim(coalesce(transaction_id, '')), null
+  from payment_updates
+  where booking_id > 0 and trim(coalesce(payment_status, '')) in ('Unpaid', 'Paid', 'Refunded')
+    and trim(coalesce(payment_method, '')) in ('', 'Electronic', 'Cash', 'Kareemi', 'Transfer')
+  union all
+  select booking_id, ts, 2, 'gateway', null, null, txn, null from gw
+  union all
+  select p.booking_id, p.ts, 3, 'proof', null, trim(coalesce(p.payment_method, '')), trim(coalesce(p.transaction_id, '')),
+         trim(coalesce(p.note, ''))
+  from payment_proofs p join bookings b on b.booking_id = p.booking_id
+  where p.booking_id > 0 and trim(coalesce(p.transaction_id, '')) not in ('', '0')
+    and (coalesce(b.user_id = p.actor_user_id, false) or coalesce(p.actor_user_type in ('Employee', 'Admin'), false))
+    and trim(coalesce(p.payment_method, '')) in ('', 'Electronic', 'Cash', 'Kareemi', 'Transfer')
+  union all
+  select booking_id, requested_at, 4, 'cancel', null, null, null, null from cancel_requests),
+seqd as (
+  select c.*, row_number() over (partition by c.booking_id order by c.ts, c.ko, c.status, c.method, c.txn, c.note) as k
+  from cmds c where exists (select 1 from bookings b where b.booking_id = c.booking_id)),
+walk(booking_id, k, kind, ts, bs, ps, method, txn, paid_at, notes, accepted) as (
+  select b.booking_id, 0::bigint, null::varchar, null::timestamp, b.booking_status, b.payment_status, b.payment_method,
+         b.gateway_transaction_id, b.payment_timestamp, b.notes, null::boolean
+  from bookings b where b.booking_id in (select booking_id from seqd)
+  union all
+  select w.booking_id, c.k, c.kind, c.ts,
+         case when o.ok and c.kind = 'confirm' then 'Confirmed' when o.ok and c.kind = 'cancel' then 'Cancelled'
+              else w.bs end,
+         case when o.ok and c.kind = 'confirm' and c.status <> '' then c.status
+              when c.kind = 'pay' then c.status
+              when o.ok and c.kind = 'gateway' then 'Paid'
+              when o.ok and c.kind = 'cancel' and w.ps = 'Paid' then 'Refunded'
+              else w.ps end,
+         case when c.kind = 'pay' and c.method <> '' then c.method
+              when o.ok and c.kind = 'gateway' then 'Electronic'
+              when o.ok and c.kind = 'proof' and c.method <> '' then c.method
+              else w.method end,
+         case when c.kind = 'pay' and c.txn <> '' then c.txn
+              when o.ok and c.kind in ('gateway', 'proof') then c.txn
+              else w.txn end,
+         case when c.kind = 'pay' and c.status = 'Paid' then c.ts
+              when o.ok and c.kind = 'gateway' then c.ts
+              else w.paid_at end,
+         case when o.ok and c.kind = 'proof' then (case when c.note in ('', '0') then 'Submitted by customer' else c.note end)
+              else w.notes end,
+         o.ok
+  from walk w join seqd c on c.booking_id = w.booking_id and c.k = w.k + 1,
+       lateral (select case c.kind when 'confirm' then coalesce(w.bs = 'Pending', false)
+                                   when 'pay' then true
+                                   when 'gateway' then w.ps is not null and w.ps <> 'Paid'
+                                   when 'proof' then w.ps is distinct from 'Paid'
+                                   when 'cancel' then w.bs is distinct from 'Cancelled' end as ok) o)"""
+
+oracle("booking_state", "webhooks_raw", "bookings", "confirm_commands", "payment_updates", "payment_proofs",
+       "cancel_requests")("with recursive " + _E4_CTE.strip() + """
+select booking_id, bs as booking_status, ps as payment_status, method as payment_method, txn as gateway_transaction_id,
+       paid_at as payment_timestamp, notes
+from (select *, row_number() over (partition by booking_id order by k desc) as r from walk) x where r = 1
+""")
+
+oracle("booking_state_verdicts", "webhooks_raw", "bookings", "confirm_commands", "payment_updates", "payment_proofs",
+       "cancel_requests")("with recursive " + _E4_CTE.strip() + """
+select booking_id, ts, kind, accepted from walk where k > 0
+""")
