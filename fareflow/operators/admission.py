@@ -28,6 +28,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.rules import PAYMENT_METHODS
+from ..plans.lineage import cut_lineage
 from .keyed import reasons
 from .listings import default_cancel_policy
 
@@ -37,7 +38,7 @@ def first_come_admission(items: DataFrame, rid: str, order: str, res: str,
     """``items``: one row per (request ``rid``, arrival ``order``, resource
     ``res``); ``order`` must be equal for all rows of a request and, with
     ``rid``, totally ordered.  Returns ``(rid, accepted)`` for every request."""
-    pending = items.select(rid, order, res).dropDuplicates([rid, res]).checkpoint()
+    pending = cut_lineage(items.select(rid, order, res).dropDuplicates([rid, res]))
     decided: list[DataFrame] = []
     for _ in range(max_rounds):
         if pending.isEmpty():
@@ -50,10 +51,10 @@ def first_come_admission(items: DataFrame, rid: str, order: str, res: str,
         held = pending.join(winners, rid, "left_semi").select(res)
         losers = (pending.join(winners, rid, "left_anti").join(held, res, "left_semi")
                   .select(rid).distinct())
-        now = (winners.withColumn("accepted", F.lit(True))
-               .unionByName(losers.withColumn("accepted", F.lit(False)))).checkpoint()
+        now = cut_lineage(winners.withColumn("accepted", F.lit(True))
+                          .unionByName(losers.withColumn("accepted", F.lit(False))))
         decided.append(now)
-        pending = pending.join(now, rid, "left_anti").checkpoint()
+        pending = cut_lineage(pending.join(now, rid, "left_anti"))
     else:
         raise RuntimeError("first_come_admission did not converge")
     if not decided:
@@ -71,7 +72,7 @@ def assign_sequence_ids(df: DataFrame, order_cols: list[str], start: Column, id_
     contents), take each row's position inside its partition from
     ``monotonically_increasing_id`` and add the row count of all earlier
     partitions (a table of one row per partition, broadcast)."""
-    ck = df.repartitionByRange(*order_cols).sortWithinPartitions(*order_cols).checkpoint()
+    ck = cut_lineage(df.repartitionByRange(*order_cols).sortWithinPartitions(*order_cols))
     x = ck.withColumn("_mid", F.monotonically_increasing_id())
     x = x.withColumn("_pid", F.shiftright("_mid", 33))
     x = x.withColumn("_local", F.col("_mid") - F.shiftleft(F.col("_pid"), 33))
@@ -132,7 +133,8 @@ def resolve_seat_codes(requests: DataFrame, trips: DataFrame, seats: DataFrame)
 
 
 def booking_request_checks(requests: DataFrame, trips: DataFrame, policies: DataFrame, seats: DataFrame,
-                           bookings: DataFrame, passengers: DataFrame) -> DataFrame:
+                           bookings: DataFrame, passengers: DataFrame,
+                           resolved: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """The reject stages of B1 that do not depend on other requests, in the
     reference's order: ``missing_fields`` (user, trip or passengers),
     ``trip_not_found``, ``no_default_policy``, ``no_seat_codes``,
@@ -143,7 +145,7 @@ def booking_request_checks(requests: DataFrame, trips: DataFrame, policies: Data
     req = requests.select("request_id", "user_id", "trip_id", "payment_method",
                           (F.size("passengers") == 0).alias("_no_pax"))
     pol = default_cancel_policy(trips, policies).select("trip_id", "cancel_policy_id", F.lit(True).alias("_trip"))
-    codes, per = resolve_seat_codes(requests, trips, seats)
+    codes, per = resolved or resolve_seat_codes(requests, trips, seats)
     held = (bookings.select("booking_id", "trip_id")
             .join(passengers.select("booking_id", "seat_id").filter(F.col("seat_id").isNotNull()), "booking_id")
             .select("trip_id", "seat_id"))
@@ -176,8 +178,10 @@ def admit_bookings(requests: DataFrame, trips: DataFrame, policies: DataFrame, s
     the trip partner's default policy; their passengers are Active; their
     seats are flagged unavailable.  Returns ``outcomes``, ``bookings``,
     ``passengers`` and ``seat_updates``."""
-    checks = booking_request_checks(requests, trips, policies, seats, bookings, passengers)
-    codes, _ = resolve_seat_codes(requests, trips, seats)
+    codes, per = resolve_seat_codes(requests, trips, seats)
+    codes = cut_lineage(codes)                  # parsed once, reused by every branch below
+    checks = cut_lineage(booking_request_checks(requests, trips, policies, seats, bookings, passengers,
+                                                resolved=(codes, per)))
     arrival = requests.select("request_id", F.struct("received_at", "request_id").alias("_order"))
     ok = checks.filter(F.col("reject_reason").isNull()).select("request_id")
     items = (codes.join(ok, "request_id", "left_semi").join(arrival, "request_id")

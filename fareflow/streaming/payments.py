@@ -16,7 +16,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.rules import lenient_int, php_empty
-from ..operators.keyed import first_per_key
 from ..sources.fixtures import hmac_pads
 
 FRESHNESS_SECONDS = 300                          # reference tolerance, abs(now - t)
@@ -104,12 +103,13 @@ def apply_gateway_payments(bookings: DataFrame, payments: DataFrame) -> DataFram
     Paid); a NULL status is *not* updated (``NULL != 'Paid'`` is unknown).
     Returns the changed rows.  The pick is a partial-aggregate ``min``, so
     a booking hit by a third of all events costs one row per task."""
-    first = first_per_key(payments, "booking_id", ["received_at", "event_id"]).filter("is_first")
+    first = (payments.groupBy("booking_id")
+             .agg(F.min(F.struct("received_at", "event_id", "session_id")).alias("f")))
     return (first.join(bookings.select("booking_id", "payment_status"), "booking_id")
             .filter(F.col("payment_status") != "Paid")
             .select("booking_id", F.lit("Paid").alias("payment_status"), F.lit("Electronic").alias("payment_method"),
-                    F.col("session_id").alias("gateway_transaction_id"),
-                    F.col("received_at").alias("payment_timestamp"), "event_id"))
+                    F.col("f.session_id").alias("gateway_transaction_id"),
+                    F.col("f.received_at").alias("payment_timestamp"), F.col("f.event_id").alias("event_id")))
 
 
 # ---------------------------------------------------------------------------

@@ -34,6 +34,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..plans.lineage import cut_lineage
+
 KIND_ORDER = {"confirm": 0, "pay": 1, "gateway": 2, "proof": 3, "cancel": 4}
 STATE_FIELDS = ("booking_status", "payment_status", "payment_method", "gateway_transaction_id",
                 "payment_timestamp", "notes")
@@ -192,12 +194,19 @@ def _pass2(batches):
     cols = [f.name for f in OUT_SCHEMA.fields]
     cur, state, pid = None, None, None
 
-    def exit_row():
-        return {"row_type": "state", "pid": pid, "booking_id": cur, "ts": None, "seq": None, "kind": None,
-                "accepted": None, **state}
+    def emit(out, row_type, booking, ts, seq, kind, accepted, st):
+        out["row_type"].append(row_type)
+        out["pid"].append(pid)
+        out["booking_id"].append(booking)
+        out["ts"].append(ts)
+        out["seq"].append(seq)
+        out["kind"].append(kind)
+        out["accepted"].append(accepted)
+        for f in STATE_FIELDS:
+            out[f].append(st.get(f) if st is not None else None)
 
     for pdf in batches:
-        out = []
+        out = {c: [] for c in cols}
         if len(pdf):
             pid = int(pdf["pid"].iat[0])
         carried = pdf["has_carry"].to_numpy()
@@ -205,17 +214,18 @@ def _pass2(batches):
             b = int(r[0])
             if b != cur:
                 if cur is not None:
-                    out.append(exit_row())
+                    emit(out, "state", cur, None, None, None, None, state)
                 cur = b
                 src = "carry_" if carried[i] else "init_"
                 state = {f: _val(pdf[src + f].iat[i]) for f in STATE_FIELDS}
             ok = step(state, r[3], _val(r[1]), _val(r[4]), _val(r[5]), _val(r[6]), _val(r[7]))
-            out.append({"row_type": "cmd", "pid": pid, "booking_id": b, "ts": r[1], "seq": int(r[2]),
-                        "kind": r[3], "accepted": bool(ok), **{f: None for f in STATE_FIELDS}})
-        if out:
+            emit(out, "cmd", b, r[1], int(r[2]), r[3], bool(ok), None)
+        if out["row_type"]:
             yield pd.DataFrame(out, columns=cols)
     if cur is not None:
-        yield pd.DataFrame([exit_row()], columns=cols)
+        out = {c: [] for c in cols}
+        emit(out, "state", cur, None, None, None, None, state)
+        yield pd.DataFrame(out, columns=cols)
 
 
 def booking_state(commands: DataFrame, bookings: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -227,8 +237,8 @@ def booking_state(commands: DataFrame, bookings: DataFrame) -> tuple[DataFrame,
     init = bookings.select("booking_id", *[F.col(f).alias("init_" + f) for f in STATE_FIELDS])
     rows = (commands.select(*COMMAND_COLS).join(init, "booking_id")
             .select(*[f.name for f in CMD_SCHEMA.fields]))
-    ck = (rows.repartitionByRange("booking_id", "ts", "seq")
-          .sortWithinPartitions("booking_id", "ts", "seq").checkpoint())
+    ck = cut_lineage(rows.repartitionByRange("booking_id", "ts", "seq")
+                     .sortWithinPartitions("booking_id", "ts", "seq"))
     pidded = ck.withColumn("pid", F.spark_partition_id())
     # one row per partition: its first and last booking
     bounds = pidded.groupBy("pid").agg(F.min("booking_id").alias("first_booking"),
@@ -243,13 +253,13 @@ def booking_state(commands: DataFrame, bookings: DataFrame) -> tuple[DataFrame,
     cont = (transfers.join(firsts, "pid", "left")
             .withColumn("starts_next", F.when(F.col("next_first") == F.col("booking_id"), F.col("next_pid"))))
     multi = cont.filter(F.col("starts_next").isNotNull()).select("booking_id").distinct()
-    carry_in = (cont.join(multi, "booking_id", "left_semi")
-                .join(init, "booking_id")
-                .groupBy("booking_id").applyInPandas(_carry, CARRY_SCHEMA))
+    carry_in = cut_lineage(cont.join(multi, "booking_id", "left_semi")
+                           .join(init, "booking_id")
+                           .groupBy("booking_id").applyInPandas(_carry, CARRY_SCHEMA))
     staged = (pidded.join(F.broadcast(carry_in), ["pid", "booking_id"], "left")
               .withColumn("has_carry", F.coalesce(F.col("carried"), F.lit(False)))
               .sortWithinPartitions("booking_id", "ts", "seq"))
-    out = staged.mapInPandas(_pass2, OUT_SCHEMA).checkpoint()
+    out = cut_lineage(staged.mapInPandas(_pass2, OUT_SCHEMA))
     verdicts = out.filter(F.col("row_type") == "cmd").select("booking_id", "ts", "seq", "kind", "accepted")
     final = (out.filter(F.col("row_type") == "state").groupBy("booking_id")
              .agg(F.max_by(F.struct(*STATE_FIELDS), "pid").alias("s"))
