@@ -522,3 +522,18 @@ def q_booking_state(spark, sf):
 @query
 def q_booking_state_verdicts(spark, sf):
     return _booking_state(spark, sf)[0].drop("seq")
+
+
+@query
+def q_booking_state_stream(spark, sf):
+    """E4 run as a stream (``foreachBatch`` over the batch fold); final states."""
+    fx = build_fixtures(spark, sf, "bookings", "confirm_commands", "payment_updates", "webhooks_raw",
+                        "payment_proofs", "cancel_requests")
+    gateway = payments.gateway_payments(payments.verify_payment_events(fx["webhooks_raw"], WEBHOOK_TEST_SECRET))
+    cmds = E4.booking_commands(fx["bookings"], fx["confirm_commands"], fx["payment_updates"], gateway,
+                               fx["payment_proofs"], fx["cancel_requests"])
+    base = scratch_dir(spark, "commands")
+    cmds.write.parquet(base + "/in")
+    stream = spark.readStream.schema(spark.read.parquet(base + "/in").schema).parquet(base + "/in")
+    E4.run_booking_state_stream(stream, fx["bookings"], base + "/out", base + "/ck")
+    return E4.final_states(spark, base + "/out")

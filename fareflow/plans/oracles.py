@@ -1016,6 +1016,8 @@ select booking_id, bs as booking_status, ps as payment_status, method as payment
 from (select *, row_number() over (partition by booking_id order by k desc) as r from walk) x where r = 1
 """)
 
+ORACLES["booking_state_stream"] = ORACLES["booking_state"]
+
 oracle("booking_state_verdicts", "webhooks_raw", "bookings", "confirm_commands", "payment_updates", "payment_proofs",
        "cancel_requests")("with recursive " + _E4_CTE.strip() + """
 select booking_id, ts, kind, accepted from walk where k > 0

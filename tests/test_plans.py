@@ -15,7 +15,7 @@ JOIN_QUERIES = ["trip_search", "unmatched_searches", "booking_history", "availab
                 "cancellation_quote", "notification_outbox", "refund_listing", "partner_commission_totals"]
 
 # Queries that legitimately run Python (pandas) code inside tasks.
-PYTHON_QUERIES = {"booking_state", "booking_state_verdicts"}
+PYTHON_QUERIES = {"booking_state", "booking_state_verdicts", "booking_state_stream"}
 
 
 @pytest.mark.parametrize("name", JOIN_QUERIES)

@@ -165,3 +165,34 @@ def test_booking_state_sf001_runs(spark):
     import __spark_entry__ as entry
     df = entry.queries()["booking_state"](spark, MEDIUM)
     assert df.count() > 0
+
+
+def test_booking_state_stream_over_batches_equals_batch(spark):
+    """E4 stream = batch fold when commands arrive in time order over
+    several micro-batches (state carried between batches)."""
+    import time as _time
+
+    from fareflow.sources.fixtures import WEBHOOK_TEST_SECRET
+    from fareflow.streaming import payments, scratch_dir
+    fx = build_fixtures(spark, SMALL, "bookings", "confirm_commands", "payment_updates", "webhooks_raw",
+                        "payment_proofs", "cancel_requests")
+    gateway = payments.gateway_payments(payments.verify_payment_events(fx["webhooks_raw"], WEBHOOK_TEST_SECRET))
+    cmds = E4.booking_commands(fx["bookings"], fx["confirm_commands"], fx["payment_updates"], gateway,
+                               fx["payment_proofs"], fx["cancel_requests"]).cache()
+    bounds = list(cmds.selectExpr("percentile_approx(ts, array(0.25, 0.5, 0.75))").first()[0])
+    edges = [None, *bounds, None]
+    base = scratch_dir(spark, "e4-batches")
+    for lo, hi in zip(edges, edges[1:]):                 # four files, written oldest range first
+        part = cmds
+        if lo is not None:
+            part = part.filter(F.col("ts") >= F.lit(lo))
+        if hi is not None:
+            part = part.filter(F.col("ts") < F.lit(hi))
+        part.coalesce(1).write.mode("append").parquet(base + "/in")
+        _time.sleep(1.1)
+    stream = (spark.readStream.schema(cmds.schema).option("maxFilesPerTrigger", 1).parquet(base + "/in"))
+    E4.run_booking_state_stream(stream, fx["bookings"], base + "/out", base + "/ck")
+    got = E4.final_states(spark, base + "/out")
+    assert spark.read.parquet(base + "/out/states").select("batch_id").distinct().count() == 4
+    want = E4.booking_state(cmds, fx["bookings"])[1]
+    assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
