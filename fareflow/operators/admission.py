@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.rules import PAYMENT_METHODS
-from ..plans.lineage import cut_lineage
+from ..plans.lineage import cut_lineage, range_partitioned
 from .keyed import reasons
 from .listings import default_cancel_policy
 
@@ -72,7 +72,7 @@ def assign_sequence_ids(df: DataFrame, order_cols: list[str], start: Column, id_
     contents), take each row's position inside its partition from
     ``monotonically_increasing_id`` and add the row count of all earlier
     partitions (a table of one row per partition, broadcast)."""
-    ck = cut_lineage(df.repartitionByRange(*order_cols).sortWithinPartitions(*order_cols))
+    ck = range_partitioned(df, *order_cols)
     x = ck.withColumn("_mid", F.monotonically_increasing_id())
     x = x.withColumn("_pid", F.shiftright("_mid", 33))
     x = x.withColumn("_local", F.col("_mid") - F.shiftleft(F.col("_pid"), 33))

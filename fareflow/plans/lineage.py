@@ -23,3 +23,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     out = held.checkpoint(eager=True)
     held.unpersist()
     return out
+
+
+def range_partitioned(df: DataFrame, *cols: str) -> DataFrame:
+    """``df`` range-partitioned and sorted by ``cols``, checkpointed.  The
+    input is persisted while the range bounds are sampled, so the sampling
+    job and the shuffle share one computation of it."""
+    held = df.persist(StorageLevel.MEMORY_AND_DISK)
+    out = cut_lineage(held.repartitionByRange(*cols).sortWithinPartitions(*cols))
+    held.unpersist()
+    return out

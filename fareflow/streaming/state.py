@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..plans.lineage import cut_lineage
+from ..plans.lineage import cut_lineage, range_partitioned
 
 KIND_ORDER = {"confirm": 0, "pay": 1, "gateway": 2, "proof": 3, "cancel": 4}
 STATE_FIELDS = ("booking_status", "payment_status", "payment_method", "gateway_transaction_id",
@@ -237,8 +237,7 @@ def booking_state(commands: DataFrame, bookings: DataFrame) -> tuple[DataFrame,
     init = bookings.select("booking_id", *[F.col(f).alias("init_" + f) for f in STATE_FIELDS])
     rows = (commands.select(*COMMAND_COLS).join(init, "booking_id")
             .select(*[f.name for f in CMD_SCHEMA.fields]))
-    ck = cut_lineage(rows.repartitionByRange("booking_id", "ts", "seq")
-                     .sortWithinPartitions("booking_id", "ts", "seq"))
+    ck = range_partitioned(rows, "booking_id", "ts", "seq")
     pidded = ck.withColumn("pid", F.spark_partition_id())
     # one row per partition: its first and last booking
     bounds = pidded.groupBy("pid").agg(F.min("booking_id").alias("first_booking"),
