@@ -39,6 +39,13 @@ def filter_listing(df: DataFrame, status: str | None = None, ts_from=None, ts_to
     return out.orderBy(F.desc(ts_col)) if sort else out
 
 
+def with_count(listing: DataFrame, name: str = "count") -> DataFrame:
+    """The listing's row count beside its rows (the reference answers
+    ``count($rows)`` with the list).  The count is an uncorrelated scalar
+    subquery - one global aggregate - not a window over one partition."""
+    return listing.withColumn(name, listing.agg(F.count(F.lit(1))).scalar())
+
+
 def commission_summary(commissions: DataFrame, bookings: DataFrame, partners: DataFrame) -> DataFrame:
     """View ``v_commission_summary`` (*assumption*: its body is absent) =
     commissions joined to their booking and partner."""

@@ -143,7 +143,7 @@ def q_commission_by_booking(spark, sf):
 @query
 def q_refund_commission_report(spark, sf):
     fx = build_fixtures(spark, sf, "commissions", "refund_transactions")
-    return money.refund_commission_report(fx["commissions"], fx["refund_transactions"])
+    return money.with_count(money.refund_commission_report(fx["commissions"], fx["refund_transactions"]))
 
 
 def _details(spark, sf):
@@ -154,7 +154,8 @@ def _details(spark, sf):
 @query
 def q_refund_listing(spark, sf):
     _, details = _details(spark, sf)
-    return money.filter_listing(details, status="Pending", ts_to="1996-06-30", status_col="refund_status")
+    return money.with_count(money.filter_listing(details, status="Pending", ts_to="1996-06-30",
+                                                 status_col="refund_status"))
 
 
 @query

@@ -226,7 +226,7 @@ left join (select *, row_number() over (partition by booking_id order by commiss
 
 oracle("refund_commission_report", "commissions", "refund_transactions")("""
 select r.refund_id, r.booking_id, r.refund_status, r.created_at, c.commission_id, c.partner_id,
-       c.commission_amount, c.partner_revenue, c.status as commission_status
+       c.commission_amount, c.partner_revenue, c.status as commission_status, count(*) over () as count
 from refund_transactions r join commissions c on c.booking_id = r.booking_id
 order by r.created_at desc
 """)
@@ -239,7 +239,8 @@ v_refund_details as (
 """
 
 _with_extra(_DETAILS, "refund_transactions", "bookings", "users")("refund_listing", """
-select * from v_refund_details where refund_status = 'Pending' and created_at <= '1996-06-30'
+select *, count(*) over () as count from v_refund_details
+where refund_status = 'Pending' and created_at <= '1996-06-30'
 order by created_at desc
 """)
 
