@@ -19,11 +19,18 @@ from .keyed import arrival, reasons
 def resolve_identifiers(lookups: DataFrame, users: DataFrame) -> DataFrame:
     """Each lookup's ``identifier`` equals a user's email or phone; the
     lowest matching user id is kept (the reference's pick is unordered).
-    Empty identifiers are rejected, unknown ones come back unresolved."""
+    Empty identifiers are rejected, unknown ones come back unresolved.
+    The OR join is a union of the two keys aggregated per value, then one
+    equi-join."""
     ids = lookups.select("lookup_id", "identifier")
-    by_email = ids.join(users.select(F.col("email").alias("identifier"), "user_id"), "identifier")
-    by_phone = ids.join(users.select(F.col("phone_number").alias("identifier"), "user_id"), "identifier")
-    hit = (by_email.unionByName(by_phone).groupBy("lookup_id").agg(F.min("user_id").alias("user_id")))
+    # one row per e-mail and per phone value (lowest user id) before joining:
+    # a value shared by many users (an empty phone) never fans out or lands
+    # whole on one task, and the lowest id per lookup is unchanged
+    by_value = (users.select(F.col("email").alias("identifier"), "user_id")
+                .unionByName(users.select(F.col("phone_number").alias("identifier"), "user_id"))
+                .groupBy("identifier").agg(F.min("user_id").alias("user_id")))
+    hit = (ids.filter(~php_empty("identifier")).join(by_value, "identifier")
+           .groupBy("lookup_id").agg(F.min("user_id").alias("user_id")))
     return (ids.join(hit, "lookup_id", "left")
             .select("lookup_id", "identifier",
                     F.when(~php_empty("identifier"), F.col("user_id")).alias("user_id"),
@@ -66,8 +73,9 @@ def admit_accounts(registrations: DataFrame, users: DataFrame) -> DataFrame:
     missing = php_empty("full_name") | php_empty("email") | php_empty("phone_number") | F.col("_no_password")
     r = r.withColumn("_missing", missing)
     complete = r.filter(~F.col("_missing"))
-    used_e = complete.join(users.select(F.col("email")), "email", "left_semi").select("registration_id")
-    used_p = complete.join(users.select(F.col("phone_number")), "phone_number", "left_semi").select("registration_id")
+    # distinct key sets: a value shared by many users is one row per task
+    used_e = complete.join(users.select("email").distinct(), "email", "left_semi").select("registration_id")
+    used_p = complete.join(users.select("phone_number").distinct(), "phone_number", "left_semi").select("registration_id")
     taken = used_e.unionByName(used_p).distinct()
     fresh = complete.join(taken, "registration_id", "left_anti")
     items = fresh.select("registration_id", F.explode(F.array(

@@ -148,7 +148,7 @@ def booking_request_checks(requests: DataFrame, trips: DataFrame, policies: Data
     codes, per = resolved or resolve_seat_codes(requests, trips, seats)
     held = (bookings.select("booking_id", "trip_id")
             .join(passengers.select("booking_id", "seat_id").filter(F.col("seat_id").isNotNull()), "booking_id")
-            .select("trip_id", "seat_id"))
+            .select("trip_id", "seat_id").distinct())        # hot seats collapse map-side
     taken = codes.join(held, ["trip_id", "seat_id"], "left_semi").select("request_id").distinct() \
         .withColumn("_taken", F.lit(True))
     j = (req.join(pol, "trip_id", "left").join(per.withColumnRenamed("reject_reason", "_seat_reason"), "request_id", "left")
