@@ -538,3 +538,16 @@ def q_booking_state_stream(spark, sf):
     stream = spark.readStream.schema(spark.read.parquet(base + "/in").schema).parquet(base + "/in")
     E4.run_booking_state_stream(stream, fx["bookings"], base + "/out", base + "/ck")
     return E4.final_states(spark, base + "/out")
+
+
+@query
+def q_login_lookup(spark, sf):
+    """S3 + J6: login bodies -> identifier (``identifier ?? email ?? phone
+    ?? phone_number``) -> user.  Stand-in bodies: each lookup's identifier
+    under one of the four keys, chosen by the lookup id."""
+    fx = build_fixtures(spark, sf, "identifier_lookups", "users")
+    key = F.element_at(F.array(*[F.lit(k) for k in ("identifier", "email", "phone", "phone_number")]),
+                       (F.col("lookup_id") % 4 + 1).cast("int"))
+    bodies = fx["identifier_lookups"].select(
+        "lookup_id", F.to_json(F.create_map(key, F.col("identifier"))).alias("body"))
+    return accounts.resolve_identifiers(S.parse_identifier(bodies), fx["users"])

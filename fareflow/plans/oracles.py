@@ -1023,3 +1023,23 @@ oracle("booking_state_verdicts", "webhooks_raw", "bookings", "confirm_commands",
        "cancel_requests")("with recursive " + _E4_CTE.strip() + """
 select booking_id, ts, kind, accepted from walk where k > 0
 """)
+
+
+oracle("login_lookup", "identifier_lookups", "users")(f"""
+with b as (
+  select lookup_id, json_object(['identifier', 'email', 'phone', 'phone_number'][lookup_id % 4 + 1], identifier) as body
+  from identifier_lookups),
+l as (
+  select lookup_id, coalesce(json_extract_string(body, '$.identifier'), json_extract_string(body, '$.email'),
+                             json_extract_string(body, '$.phone'), json_extract_string(body, '$.phone_number'), '')
+         as identifier
+  from b)
+select l.lookup_id, l.identifier,
+       case when not {_empty('l.identifier')} then m.user_id end as user_id,
+       case when {_empty('l.identifier')} then 'identifier_required'
+            when m.user_id is null then 'user_not_found' end as reject_reason
+from l
+left join (select l2.lookup_id, min(u.user_id) as user_id from l l2
+           join users u on u.email = l2.identifier or u.phone_number = l2.identifier group by l2.lookup_id) m
+  on m.lookup_id = l.lookup_id
+""")
