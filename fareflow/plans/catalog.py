@@ -551,3 +551,18 @@ def q_login_lookup(spark, sf):
     bodies = fx["identifier_lookups"].select(
         "lookup_id", F.to_json(F.create_map(key, F.col("identifier"))).alias("body"))
     return accounts.resolve_identifiers(S.parse_identifier(bodies), fx["users"])
+
+
+@query
+def q_apply_cancellations_passengers(spark, sf):
+    return _cancellations(spark, sf)["passengers"]
+
+
+@query
+def q_admit_bookings_bookings(spark, sf):
+    return _admitted(spark, sf)["bookings"]
+
+
+@query
+def q_admit_bookings_seat_updates(spark, sf):
+    return _admitted(spark, sf)["seat_updates"]

@@ -1043,3 +1043,21 @@ left join (select l2.lookup_id, min(u.user_id) as user_id from l l2
            join users u on u.email = l2.identifier or u.phone_number = l2.identifier group by l2.lookup_id) m
   on m.lookup_id = l.lookup_id
 """)
+
+
+oracle("apply_cancellations_passengers", "cancel_requests", "bookings", "trips", "cancel_policy_rules",
+       "passengers")(_CONFIRM_CTE + """
+select p.passenger_id, p.booking_id, p.trip_id, p.seat_id, 'Cancelled' as passenger_status
+from passengers p where p.booking_id in (select booking_id from dec where reject_reason is null)
+""")
+
+oracle("admit_bookings_bookings", *_ADMIT_FX)(_ADMIT_CTE + """
+select w.booking_id, r.user_id, r.trip_id, r.total_price, 'Pending' as booking_status, r.payment_method,
+       'Unpaid' as payment_status, r.received_at as booking_date, c.cancel_policy_id
+from won w join req r on r.request_id = w.request_id join chk c on c.request_id = w.request_id
+""")
+
+oracle("admit_bookings_seat_updates", *_ADMIT_FX)(_ADMIT_CTE + """
+select distinct cd.seat_id, false as is_available
+from codes cd join won w on w.request_id = cd.request_id
+""")
