@@ -10,8 +10,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.hints import bounded
-
 
 def booking_history(users: DataFrame, bookings: DataFrame, trips: DataFrame, routes: DataFrame,
                     buses: DataFrame, bus_classes: DataFrame, partners: DataFrame,
@@ -26,7 +24,7 @@ def booking_history(users: DataFrame, bookings: DataFrame, trips: DataFrame, rou
                                "arrival_time", "base_price"), "trip_id")
             .join(routes.select("route_id", "origin_city", "destination_city"), "route_id")
             .join(buses.select("bus_id", "bus_class_id"), "bus_id")
-            .join(bounded(bus_classes.select("bus_class_id", F.col("class_name").alias("bus_class"))), "bus_class_id")
+            .join(bus_classes.select("bus_class_id", F.col("class_name").alias("bus_class")), "bus_class_id")
             .join(partners.select("partner_id", "company_name"), "partner_id"))
     counts = rows.groupBy("user_id").agg(F.count(F.lit(1)).alias("booking_count"))
     out = rows.join(counts, "user_id").select(

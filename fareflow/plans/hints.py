@@ -1,8 +1,9 @@
 """Join-strategy policy.
 
 Explicit ``broadcast()`` is used only for tables whose size is bounded by
-construction, not by the data volume (a 5-row class table, a template
-table of literals).  Every other join is left to Catalyst: a static
+construction, not by the data volume: the per-partition tables of the
+range-partitioned scans (one row per partition).  Dimension tables, however
+small they usually are, are left to Catalyst like every other join: a static
 broadcast happens only when the planner's size estimate is below
 ``spark.sql.autoBroadcastJoinThreshold``, and with AQE the decision is
 re-made on the real shuffle size (``spark.sql.adaptive.
@@ -16,7 +17,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def bounded(df: DataFrame) -> DataFrame:
-    """Broadcast a table whose row count is bounded by its definition (a
-    dimension of fixed domain such as bus classes, or a literal table)."""
+def per_partition(df: DataFrame) -> DataFrame:
+    """Broadcast a table of at most one row (or a fixed few) per partition
+    of a range-partitioned input - its size is bounded by the partition
+    count, never by the data volume."""
     return F.broadcast(df)

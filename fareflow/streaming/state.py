@@ -34,6 +34,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..plans.hints import per_partition
 from ..plans.lineage import cut_lineage, range_partitioned
 
 KIND_ORDER = {"confirm": 0, "pay": 1, "gateway": 2, "proof": 3, "cancel": 4}
@@ -242,7 +243,7 @@ def booking_state(commands: DataFrame, bookings: DataFrame) -> tuple[DataFrame,
     # one row per partition: its first and last booking
     bounds = pidded.groupBy("pid").agg(F.min("booking_id").alias("first_booking"),
                                        F.max("booking_id").alias("last_booking"))
-    last_rows = (pidded.join(F.broadcast(bounds.select("pid", F.col("last_booking").alias("booking_id"))),
+    last_rows = (pidded.join(per_partition(bounds.select("pid", F.col("last_booking").alias("booking_id"))),
                              ["pid", "booking_id"], "left_semi")
                  .sortWithinPartitions("booking_id", "ts", "seq"))
     transfers = last_rows.mapInPandas(_pass1, TRANSFER_SCHEMA)
@@ -255,7 +256,7 @@ def booking_state(commands: DataFrame, bookings: DataFrame) -> tuple[DataFrame,
     carry_in = cut_lineage(cont.join(multi, "booking_id", "left_semi")
                            .join(init, "booking_id")
                            .groupBy("booking_id").applyInPandas(_carry, CARRY_SCHEMA))
-    staged = (pidded.join(F.broadcast(carry_in), ["pid", "booking_id"], "left")
+    staged = (pidded.join(per_partition(carry_in), ["pid", "booking_id"], "left")
               .withColumn("has_carry", F.coalesce(F.col("carried"), F.lit(False)))
               .sortWithinPartitions("booking_id", "ts", "seq"))
     out = cut_lineage(staged.mapInPandas(_pass2, OUT_SCHEMA))
