@@ -252,6 +252,13 @@ def _closure(names) -> list[str]:
     return out
 
 
+def _base_tables(views) -> tuple[str, ...]:
+    """Base tables the given views read (only those are opened)."""
+    from .tables import BASE_TABLES
+    text = " ".join(render(v, "spark") for v in views)
+    return tuple(t for t in BASE_TABLES if re.search(rf"\b(from|join)\s+{t}\b", text))
+
+
 def render(name: str, dialect: str) -> str:
     text = FIXTURE_SQL[name]
     if dialect == "spark":
@@ -270,11 +277,12 @@ def duckdb_prefix(*names: str) -> str:
 def build_fixtures(spark: SparkSession, sf_dir: str, *names: str) -> dict[str, DataFrame]:
     """Register the base tables of ``sf_dir`` and the named fixture views as
     temp views and return the fixture DataFrames (lazy; nothing runs)."""
-    base = load_tables(spark, sf_dir)
+    needed = _closure(names)
+    base = load_tables(spark, sf_dir, _base_tables(needed))
     for n, df in base.items():
         df.createOrReplaceTempView(n)
     out: dict[str, DataFrame] = {}
-    for n in _closure(names):
+    for n in needed:
         df = spark.sql(render(n, "spark"))
         df.createOrReplaceTempView(n)
         out[n] = df
