@@ -480,7 +480,10 @@ def _as_stream_source(spark, df, name, ts_cols):
 def q_gateway_payment_stream(spark, sf):
     """E1 -> E2 -> dedup -> E3 run as a stream with ``foreachBatch``."""
     fx = build_fixtures(spark, sf, "webhooks_raw", "bookings")
-    base, stream = _as_stream_source(spark, fx["webhooks_raw"], "webhooks", ["received_at"])
+    base = scratch_dir(spark, "webhooks")
+    (fx["webhooks_raw"].withColumn("received_at", F.col("received_at").cast("timestamp"))
+     .select(*[f.name for f in payments.WEBHOOK_SCHEMA.fields]).write.parquet(base + "/in"))
+    stream = payments.read_payment_events(spark, base + "/in")          # S4
     payments.run_gateway_stream(spark, stream, fx["bookings"], WEBHOOK_TEST_SECRET, base + "/out", base + "/ck")
     return (spark.read.parquet(base + "/out/applied").drop("batch_id")
             .withColumn("payment_timestamp", F.col("payment_timestamp").cast("timestamp_ntz")))
