@@ -60,6 +60,18 @@ def notification_outbox(changes: DataFrame, tokens: DataFrame) -> DataFrame:
                     F.col("ch.recipient").alias("recipient"), "title", "body"))
 
 
+def booking_created_changes(new_bookings: DataFrame, users: DataFrame) -> DataFrame:
+    """The ``Unpaid`` change of each booking B1 created, for the outbox (the
+    reference's post-creation notification never ran - fixed here).  An
+    unknown user is not an error there: the name falls back to
+    ``Customer`` and the phone to ''."""
+    return (new_bookings.select("booking_id", "user_id", "total_price")
+            .join(users.select("user_id", "full_name", "phone_number"), "user_id", "left")
+            .select("booking_id", "user_id", F.lit("Unpaid").alias("status"), "total_price",
+                    F.coalesce("phone_number", F.lit("")).alias("phone_number"),
+                    F.coalesce("full_name", F.lit("Customer")).alias("full_name")))
+
+
 def merge_payload(system: Column, caller: Column) -> Column:
     """M5: PHP ``array_merge($system, $caller)`` on string maps - caller keys
     win.  Written with ``map_filter`` so it does not depend on the session's

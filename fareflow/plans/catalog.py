@@ -569,3 +569,11 @@ def q_admit_bookings_bookings(spark, sf):
 @query
 def q_admit_bookings_seat_updates(spark, sf):
     return _admitted(spark, sf)["seat_updates"]
+
+
+@query
+def q_admit_bookings_outbox(spark, sf):
+    """N2 for the bookings B1 creates (status Unpaid)."""
+    fx = build_fixtures(spark, sf, "users", "user_device_tokens")
+    created = notifications.booking_created_changes(_admitted(spark, sf)["bookings"], fx["users"])
+    return notifications.notification_outbox(created, fx["user_device_tokens"])

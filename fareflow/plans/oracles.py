@@ -1061,3 +1061,30 @@ oracle("admit_bookings_seat_updates", *_ADMIT_FX)(_ADMIT_CTE + """
 select distinct cd.seat_id, false as is_available
 from codes cd join won w on w.request_id = cd.request_id
 """)
+
+
+oracle("admit_bookings_outbox", *_ADMIT_FX, "users", "user_device_tokens")(_ADMIT_CTE + """,
+x as (
+  select w.booking_id, r.user_id, coalesce(u.full_name, 'Customer') as full_name,
+         coalesce(u.phone_number, '') as phone_number, r.total_price
+  from won w join req r on r.request_id = w.request_id left join users u on u.user_id = r.user_id),
+tok as (
+  select user_id, fcm_token from (
+    select *, row_number() over (partition by user_id order by created_at desc, fcm_token desc, device_type desc) as rn
+    from user_device_tokens) t where rn = 1 and fcm_token <> ''),
+msg as (
+  select booking_id, user_id, 'Unpaid' as status, phone_number, 'تم إنشاء الحجز بنجاح' as title,
+         'مرحبا ' || full_name || '، تم حجز رحلتك رقم ' || cast(booking_id as varchar)
+         || '. يرجى الدفع لإتمام التأكيد. المبلغ: ' || cast(total_price as varchar) as body
+  from x)
+select booking_id, user_id, status, 'db' as channel, cast(null as varchar) as recipient, title, body from msg
+union all
+select booking_id, user_id, status, 'whatsapp',
+       case when length(regexp_replace(phone_number, '[^0-9]', '', 'g')) = 9
+                 and starts_with(regexp_replace(phone_number, '[^0-9]', '', 'g'), '7')
+            then '967' || regexp_replace(phone_number, '[^0-9]', '', 'g')
+            else regexp_replace(phone_number, '[^0-9]', '', 'g') end, title, body
+from msg where phone_number not in ('', '0')
+union all
+select m.booking_id, m.user_id, m.status, 'push', t.fcm_token, m.title, m.body from msg m join tok t on t.user_id = m.user_id
+""")
