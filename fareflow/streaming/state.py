@@ -29,7 +29,10 @@ distribution, ordering and joins are Spark's.
 
 from __future__ import annotations
 
+import sys
+
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -37,6 +40,10 @@ from pyspark.sql import types as T
 from ..plans.hints import per_partition
 from ..plans.lineage import cut_lineage, range_partitioned
 
+# The pass functions below run in Python workers; ship them by value so the
+# workers need not have this package installed (no --py-files required).
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 KIND_ORDER = {"confirm": 0, "pay": 1, "gateway": 2, "proof": 3, "cancel": 4}
 STATE_FIELDS = ("booking_status", "payment_status", "payment_method", "gateway_transaction_id",
                 "payment_timestamp", "notes")
