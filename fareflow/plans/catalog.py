@@ -11,9 +11,16 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ..sources.fixtures import build_fixtures
-from ..operators import inventory
+from ..functions import quality
+from ..functions import rules as R
+from ..operators import accounts, admission, inventory, listings, money, notifications
+from ..operators import bookings as B
+from ..sources import requests as S
+from ..sources.fixtures import WEBHOOK_TEST_SECRET, build_fixtures
+from ..streaming import daily, payments, scratch_dir
+from ..streaming import state as E4
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -59,7 +66,6 @@ def q_double_booked_seats(spark, sf):
 # ---------------------------------------------------------------------------
 # Read side: listings, reports, lookups
 # ---------------------------------------------------------------------------
-from ..operators import listings, money  # noqa: E402
 
 # "Now" of the registered keyed updates (a parameter, never the wall clock).
 AS_OF = "1998-08-02 12:00:00"
@@ -197,10 +203,7 @@ def q_complete_refunds(spark, sf):
 # ---------------------------------------------------------------------------
 # Accounts, contact quality, tokens
 # ---------------------------------------------------------------------------
-from pyspark.sql import functions as F  # noqa: E402
 
-from ..functions import quality  # noqa: E402
-from ..operators import accounts  # noqa: E402
 
 TOKEN_BATCH_START = "2024-01-20 00:00:00"
 
@@ -259,9 +262,6 @@ def q_quality_summary(spark, sf):
 # ---------------------------------------------------------------------------
 # Rules, guarded updates, notifications, scalar functions
 # ---------------------------------------------------------------------------
-from ..functions import rules as R  # noqa: E402
-from ..operators import bookings as B  # noqa: E402
-from ..operators import notifications  # noqa: E402
 
 _CANCEL = ("cancel_requests", "bookings", "trips", "cancel_policy_rules")
 
@@ -384,8 +384,6 @@ def q_contact_checks(spark, sf):
 # ---------------------------------------------------------------------------
 # Admission: booking requests, tickets
 # ---------------------------------------------------------------------------
-from ..operators import admission  # noqa: E402
-from ..sources import requests as S  # noqa: E402
 
 _ADMIT = ("booking_requests_raw", "trips", "cancel_policies", "seats", "bookings", "passengers")
 
@@ -440,8 +438,6 @@ def q_admit_bookings_passengers(spark, sf):
 # ---------------------------------------------------------------------------
 # Streams: payment webhooks, daily commissions
 # ---------------------------------------------------------------------------
-from ..sources.fixtures import WEBHOOK_TEST_SECRET  # noqa: E402
-from ..streaming import daily, payments, scratch_dir  # noqa: E402
 
 
 def _verified(spark, sf):
@@ -506,7 +502,6 @@ def q_admit_tickets(spark, sf):
 # ---------------------------------------------------------------------------
 # Per-booking fold of the five command feeds
 # ---------------------------------------------------------------------------
-from ..streaming import state as E4  # noqa: E402
 
 
 def _booking_state(spark, sf):
