@@ -121,7 +121,7 @@ def upsert_device_tokens(tokens: DataFrame, new: DataFrame) -> DataFrame:
     (user, device) wins (ties: greatest token).  Returns the new table."""
     n = (new.select("user_id", F.trim(F.coalesce("fcm_token", F.lit(""))).alias("fcm_token"),
                     F.trim(F.coalesce("device_type", F.lit("android"))).alias("device_type"), "created_at")
-         .filter(F.col("fcm_token") != "")
+         .filter(~F.col("fcm_token").isin("", "0"))           # PHP empty()
          .withColumn("device_type", F.when(F.col("device_type").isin(*DEVICE_TYPES), F.col("device_type"))
                      .otherwise(F.lit("android"))))
     latest = (n.groupBy("user_id", "device_type")

@@ -54,15 +54,15 @@ def default_cancel_policy(trips: DataFrame, policies: DataFrame) -> DataFrame:
 
 
 def latest_device_token(tokens: DataFrame) -> DataFrame:
-    """The newest token per user; an empty newest token means the user
-    has none (the emptiness check runs after the pick, as in the
-    reference).  Ties on ``created_at`` take the greatest token."""
+    """The newest token per user; an empty newest token (PHP ``empty``:
+    '' or '0') means the user has none - the check runs after the pick, as
+    in the reference.  Ties on ``created_at`` take the greatest token."""
     newest = (tokens.groupBy("user_id")
               .agg(F.max(F.struct("created_at", "fcm_token", "device_type")).alias("t")))
     return (newest.select("user_id", F.col("t.fcm_token").alias("fcm_token"),
                           F.col("t.device_type").alias("device_type"),
                           F.col("t.created_at").alias("created_at"))
-            .filter(F.col("fcm_token").isNotNull() & (F.col("fcm_token") != "")))
+            .filter(~F.col("fcm_token").isNull() & ~F.col("fcm_token").isin("", "0")))
 
 
 def faq_list(faqs: DataFrame, sort: bool = True) -> DataFrame:

@@ -207,7 +207,8 @@ def mark_commissions_paid(commissions: DataFrame, commands: DataFrame, as_of) ->
 
 
 def recalculate_commissions(commissions: DataFrame, adjustments: DataFrame) -> DataFrame:
-    """K2: partial refund.  ``new_amount`` (PHP float cast) must be > 0.
+    """K2: partial refund.  ``booking_id`` and ``new_amount`` (PHP casts)
+    must both be > 0.
     The SQL function's body is absent; *assumption*: the commission rate is
     kept - ``commission = round(new * commission / booking_amount, 2)``
     (multiply first, decimal HALF_UP), ``revenue = new - commission``.
@@ -220,7 +221,7 @@ def recalculate_commissions(commissions: DataFrame, adjustments: DataFrame) -> D
     j = adj.join(cur, "booking_id", "left")
     rate_num = F.col("new_amount").cast("decimal(12,2)") * F.col("commission_amount")
     new_comm = F.round(F.try_divide(rate_num, F.col("booking_amount")), 2).cast("decimal(12,2)")
-    reject = reasons((F.col("new_amount") <= 0, "new_amount_required"),
+    reject = reasons(((F.col("booking_id") <= 0) | (F.col("new_amount") <= 0), "booking_id_and_new_amount_required"),
                      (F.col("commission_id").isNull(), "commission_not_found"),
                      (F.col("booking_amount") == 0, "zero_booking_amount"))
     ok = reject.isNull()

@@ -143,7 +143,7 @@ oracle("latest_device_token", "user_device_tokens")("""
 select user_id, fcm_token, device_type, created_at from (
   select *, row_number() over (partition by user_id order by created_at desc, fcm_token desc, device_type desc) as rn
   from user_device_tokens) x
-where rn = 1 and fcm_token is not null and fcm_token <> ''
+where rn = 1 and fcm_token is not null and fcm_token not in ('', '0')
 """)
 
 oracle("faq_list", "faqs")("""
@@ -283,7 +283,7 @@ select booking_id, commission_id, reject_reason,
        case when reject_reason is null then cast(new_amount - new_comm as decimal(12,2)) end as partner_revenue
 from (
   select a.booking_id, c.commission_id, cast(a.new_amount as decimal(12,2)) as new_amount,
-         case when a.new_amount <= 0 then 'new_amount_required'
+         case when a.booking_id <= 0 or a.new_amount <= 0 then 'booking_id_and_new_amount_required'
               when c.commission_id is null then 'commission_not_found'
               when c.booking_amount = 0 then 'zero_booking_amount' end as reject_reason,
          -- half-up rounding of new * commission / booking in integer cents
@@ -444,7 +444,7 @@ with new as (
 latest as (
   select user_id, device_type, fcm_token, created_at from (
     select *, row_number() over (partition by user_id, device_type order by created_at desc, fcm_token desc) as rn
-    from new where fcm_token <> '') x where rn = 1)
+    from new where fcm_token not in ('', '0')) x where rn = 1)
 select t.user_id, t.fcm_token, t.device_type, t.created_at
 from user_device_tokens t
 where t.created_at < timestamp '2024-01-20 00:00:00'
@@ -701,7 +701,7 @@ x as (
 tok as (
   select user_id, fcm_token from (
     select *, row_number() over (partition by user_id order by created_at desc, fcm_token desc, device_type desc) as rn
-    from user_device_tokens) t where rn = 1 and fcm_token <> ''),
+    from user_device_tokens) t where rn = 1 and fcm_token not in ('', '0')),
 msg as (
   select x.booking_id, x.user_id, x.status, x.phone_number,
          case x.status when 'Unpaid' then 'تم إنشاء الحجز بنجاح' when 'Paid' then 'تم الدفع بنجاح'
@@ -1070,7 +1070,7 @@ x as (
 tok as (
   select user_id, fcm_token from (
     select *, row_number() over (partition by user_id order by created_at desc, fcm_token desc, device_type desc) as rn
-    from user_device_tokens) t where rn = 1 and fcm_token <> ''),
+    from user_device_tokens) t where rn = 1 and fcm_token not in ('', '0')),
 msg as (
   select booking_id, user_id, 'Unpaid' as status, phone_number, 'تم إنشاء الحجز بنجاح' as title,
          'مرحبا ' || full_name || '، تم حجز رحلتك رقم ' || cast(booking_id as varchar)

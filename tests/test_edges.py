@@ -257,3 +257,13 @@ def test_confirm_notes_zero_falls_back(spark):
     outcomes, audit = bookings.confirm_bookings(b, u, c)
     assert [r.notes for r in audit.collect()] == ["Payment Status: "]
     assert sorted((r.reject_reason or "") for r in outcomes.collect()) == ["", "not_pending"]
+
+
+def test_zero_token_is_empty(spark):
+    from fareflow.operators import listings
+    tokens = spark.createDataFrame([(1, "tA", "ios", T(2024, 1, 1)), (1, "0", "web", T(2024, 1, 2)),
+                                    (2, "tB", "ios", T(2024, 1, 1))],
+                                   "user_id long, fcm_token string, device_type string, created_at timestamp_ntz")
+    assert [r.user_id for r in listings.latest_device_token(tokens).collect()] == [2]
+    kept = accounts.upsert_device_tokens(tokens.limit(0), tokens)
+    assert sorted(r.fcm_token for r in kept.collect()) == ["tA", "tB"]
