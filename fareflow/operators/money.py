@@ -193,10 +193,11 @@ def mark_commissions_paid(commissions: DataFrame, commands: DataFrame, as_of) ->
     hits = (items.join(commissions.select("commission_id", "status", F.col("notes").alias("old_notes")),
                        "commission_id")
             .filter(F.col("status") == "Pending"))
-    hits = first_per_key(hits, "commission_id", ["command_id"]).filter("is_first")
-    updated = hits.select("commission_id", "command_id", F.lit("Paid").alias("status"),
-                          ts_param(as_of).alias("payment_date"),
-                          coalesce_nullif("new_notes", "old_notes").alias("notes"))
+    # the lowest command id per commission wins: one partial-aggregate min
+    win = hits.groupBy("commission_id").agg(F.min(F.struct("command_id", "new_notes", "old_notes")).alias("w"))
+    updated = win.select("commission_id", F.col("w.command_id").alias("command_id"), F.lit("Paid").alias("status"),
+                         ts_param(as_of).alias("payment_date"),
+                         coalesce_nullif("w.new_notes", "w.old_notes").alias("notes"))
     counts = updated.groupBy("command_id").agg(F.count(F.lit(1)).alias("n"))
     per_cmd = (cmd.join(counts, "command_id", "left")
                .select("command_id",
