@@ -267,3 +267,26 @@ def test_zero_token_is_empty(spark):
     assert [r.user_id for r in listings.latest_device_token(tokens).collect()] == [2]
     kept = accounts.upsert_device_tokens(tokens.limit(0), tokens)
     assert sorted(r.fcm_token for r in kept.collect()) == ["tA", "tB"]
+
+
+def test_child_price_not_clamped_and_stops_in_order(spark):
+    req = spark.createDataFrame([(1, "A", "C", dt.date(2025, 1, 1), "VIP"), (2, "C", "A", dt.date(2025, 1, 1), "VIP"),
+                                 (3, "A", "C", dt.date(2025, 1, 1), "0")],
+                                "request_id long, from_stop string, to_city string, travel_date date, bus_class string")
+    trips = spark.createDataFrame([(7, 1, 70, 5, T(2025, 1, 1, 8), T(2025, 1, 2, 9, 5), Decimal("30.00"))],
+                                  "trip_id long, route_id int, bus_id long, partner_id long, departure_time timestamp_ntz, "
+                                  "arrival_time timestamp_ntz, base_price decimal(12,2)")
+    routes = spark.createDataFrame([(1, "A", "D")], "route_id int, origin_city string, destination_city string")
+    stops = spark.createDataFrame([(1, 0, "A"), (1, 1, "B"), (1, 2, "C")], "route_id int, stop_order int, stop_name string")
+    buses = spark.createDataFrame([(70, 3, "M")], "bus_id long, bus_class_id int, model string")
+    classes = spark.createDataFrame([(3, "VIP")], "bus_class_id int, class_name string")
+    partners = spark.createDataFrame([(5, "Co")], "partner_id long, company_name string")
+    seats = spark.createDataFrame([(700, 70, "S00", True), (701, 70, "S01", False)],
+                                  "seat_id long, bus_id long, seat_number string, is_available boolean")
+    rows = inventory.trip_search(req, trips, routes, stops, buses, classes, partners, seats).collect()
+    assert [r.request_id for r in rows] == [1]          # C before A is the wrong direction; '0' class is empty
+    r = rows[0]
+    assert (r.price_child, r.available_seats, r.duration) == (Decimal("-20.00"), 1, "1 hours, 5 minutes")
+    unmatched = {u.request_id: u.reject_reason for u in
+                 inventory.unmatched_searches(req, trips, routes, stops, buses, classes, partners, seats).collect()}
+    assert unmatched == {2: "no_trips", 3: "missing_fields"}
