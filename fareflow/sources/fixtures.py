@@ -20,10 +20,11 @@ from __future__ import annotations
 
 import hashlib
 import re
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .tables import load_tables
+from .tables import BASE_TABLES, load_tables
 
 # Test webhook secret fixed by FIXTURES.md.
 WEBHOOK_TEST_SECRET = "whsec_test"
@@ -254,7 +255,6 @@ def _closure(names) -> list[str]:
 
 def _base_tables(views) -> tuple[str, ...]:
     """Base tables the given views read (only those are opened)."""
-    from .tables import BASE_TABLES
     text = " ".join(render(v, "spark") for v in views)
     return tuple(t for t in BASE_TABLES if re.search(rf"\b(from|join)\s+{t}\b", text))
 
@@ -275,15 +275,25 @@ def duckdb_prefix(*names: str) -> str:
 
 
 def build_fixtures(spark: SparkSession, sf_dir: str, *names: str) -> dict[str, DataFrame]:
-    """Register the base tables of ``sf_dir`` and the named fixture views as
-    temp views and return the fixture DataFrames (lazy; nothing runs)."""
+    """Build the named fixture views over the base tables of ``sf_dir`` and
+    return them as DataFrames (lazy; nothing runs).  Views are registered
+    under names unique to this call, so the caller's own temp views are
+    never replaced and concurrent calls (other scales) cannot mix."""
     needed = _closure(names)
+    prefix = f"ff_{uuid.uuid4().hex[:10]}_"
+    known = set(FIXTURE_SQL) | set(BASE_TABLES)
+
+    def qualify(text: str) -> str:
+        return re.sub(r"\b(from|join)(\s+)(\w+)\b",
+                      lambda m: m.group(1) + m.group(2) + (prefix + m.group(3) if m.group(3) in known else m.group(3)),
+                      text)
+
     base = load_tables(spark, sf_dir, _base_tables(needed))
     for n, df in base.items():
-        df.createOrReplaceTempView(n)
+        df.createOrReplaceTempView(prefix + n)
     out: dict[str, DataFrame] = {}
     for n in needed:
-        df = spark.sql(render(n, "spark"))
-        df.createOrReplaceTempView(n)
+        df = spark.sql(qualify(render(n, "spark")))
+        df.createOrReplaceTempView(prefix + n)
         out[n] = df
     return out
