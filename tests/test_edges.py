@@ -290,3 +290,26 @@ def test_child_price_not_clamped_and_stops_in_order(spark):
     unmatched = {u.request_id: u.reject_reason for u in
                  inventory.unmatched_searches(req, trips, routes, stops, buses, classes, partners, seats).collect()}
     assert unmatched == {2: "no_trips", 3: "missing_fields"}
+
+
+def test_stream_same_session_twice_applied_once(spark):
+    import time as _time
+
+    from fareflow.streaming import scratch_dir
+    secret = "whsec_s"
+    t0 = dt.datetime(2024, 1, 1, 12, 0, 0)
+    epoch = int((t0 - T(1970, 1, 1)).total_seconds())
+    body = '{"type":"checkout.session.completed","data":{"object":{"id":"cs_1","metadata":{"booking_id":"5"}}}}'
+    sig = payments.hmac_sha256_hex(F.concat(F.lit(str(epoch)), F.lit("."), F.col("payload")), secret)
+    base = scratch_dir(spark, "dup-session")
+    for eid, delay in ((1, 0), (2, 30)):                      # the gateway retries the same session
+        (spark.createDataFrame([(eid, t0 + dt.timedelta(seconds=delay), body)],
+                               "event_id long, received_at timestamp, payload string")
+         .withColumn("sig_header", F.concat(F.lit(f"t={epoch},v1="), sig))
+         .write.mode("append").parquet(base + "/in"))
+        _time.sleep(1.1)
+    bookings = spark.createDataFrame([(5, "Unpaid")], "booking_id long, payment_status string")
+    stream = payments.read_payment_events(spark, base + "/in", max_files_per_trigger=1)
+    payments.run_gateway_stream(spark, stream, bookings, secret, base + "/out", base + "/ck")
+    applied = spark.read.parquet(base + "/out/applied").collect()
+    assert [(r.booking_id, r.event_id, r.gateway_transaction_id) for r in applied] == [(5, 1, "cs_1")]
