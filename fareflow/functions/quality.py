@@ -28,13 +28,15 @@ CONTACT_RULES: list[Rule] = [
 
 
 def quality_report(df: DataFrame, key: str, rule_set: list[Rule] = CONTACT_RULES) -> DataFrame:
-    """Per row: ``error_fields`` (failing fields in rule order),
-    ``first_error`` (message of the first failure) and ``has_errors``."""
+    """Per row: ``error_fields`` (failing fields in rule order), ``errors``
+    (the validator's field -> message map, as JSON text), ``first_error``
+    (message of the first failure) and ``has_errors``."""
     failures = F.array(*[F.when(~check(F.col(field)), F.struct(F.lit(field).alias("field"), F.lit(msg).alias("message")))
                          for field, check, msg in rule_set])
     failures = F.filter(failures, lambda x: x.isNotNull())
     return (df.select(key, failures.alias("_f"))
             .select(key, F.transform("_f", lambda x: x["field"]).alias("error_fields"),
+                    F.to_json(F.map_from_entries("_f")).alias("errors"),
                     F.try_element_at("_f", F.lit(1))["message"].alias("first_error"),
                     (F.size("_f") > 0).alias("has_errors")))
 

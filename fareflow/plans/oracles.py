@@ -467,6 +467,11 @@ with q as ({_Q_CHECKS})
 select user_id,
        list_filter([case when not ok_name then 'full_name' end, case when not ok_email then 'email' end,
                     case when not ok_phone then 'phone_number' end], lambda x: x is not null) as error_fields,
+       '{{' || array_to_string(list_filter([
+           case when not ok_name then '"full_name":"full_name is required"' end,
+           case when not ok_email then '"email":"email is missing or invalid"' end,
+           case when not ok_phone then '"phone_number":"phone_number is missing or invalid"' end],
+           lambda x: x is not null), ',') || '}}' as errors,
        case when not ok_name then 'full_name is required'
             when not ok_email then 'email is missing or invalid'
             when not ok_phone then 'phone_number is missing or invalid' end as first_error,
