@@ -28,11 +28,10 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 def range_partitioned(df: DataFrame, *cols: str) -> DataFrame:
     """``df`` range-partitioned and sorted by ``cols``, checkpointed.  The
     input is persisted while the range bounds are sampled, so the sampling
-    job and the shuffle share one computation of it.  The partition count is
-    ``spark.sql.shuffle.partitions`` given explicitly, which AQE does not
-    coalesce: the passes that follow run one task per partition."""
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    job and the shuffle share one computation of it.  AQE may merge
+    adjacent ranges into partitions of its advisory size (order and
+    contiguity are kept), so the passes that follow get data-sized tasks."""
     held = df.persist(StorageLevel.MEMORY_AND_DISK)
-    out = cut_lineage(held.repartitionByRange(n, *cols).sortWithinPartitions(*cols))
+    out = cut_lineage(held.repartitionByRange(*cols).sortWithinPartitions(*cols))
     held.unpersist()
     return out
