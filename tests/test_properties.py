@@ -142,14 +142,21 @@ def test_booking_state_hot_key_matches_sequential_fold(spark):
     cdf = spark.createDataFrame([tuple(c[k] for k in E4.COMMAND_COLS) for c in cmds],
                                 "booking_id long, ts timestamp_ntz, seq long, kind string, status string, "
                                 "method string, txn string, note string")
-    prev = spark.conf.get("spark.sql.shuffle.partitions")
-    spark.conf.set("spark.sql.shuffle.partitions", "17")       # the hot booking spans many partitions
+    conf = {"spark.sql.shuffle.partitions": "17",                    # the hot booking spans many partitions
+            "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    prev = {k: spark.conf.get(k) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
     try:
+        spread = (cdf.repartitionByRange("booking_id", "ts", "seq").filter(F.col("booking_id") == 3)
+                  .select(F.spark_partition_id().alias("p")).distinct().count())
+        assert spread >= 5
         verdicts, final = E4.booking_state(cdf, bdf)
         got_final = {r.booking_id: r.asDict() for r in final.collect()}
         got_verdicts = {(r.booking_id, r.seq): r.accepted for r in verdicts.collect()}
     finally:
-        spark.conf.set("spark.sql.shuffle.partitions", prev)
+        for k, v in prev.items():
+            spark.conf.set(k, v)
     want_states, want_verdicts = _brute(init, cmds)
     assert got_verdicts == want_verdicts
     for b, s in want_states.items():
