@@ -44,3 +44,23 @@ def test_projection_pruned_at_scan(spark):
     plan = physical_plan(entry.queries()["bus_free_seats"](spark, SMALL))
     scans = [line for line in plan.splitlines() if "ReadSchema" in line]
     assert scans and all("p_name" not in s and "p_brand" not in s for s in scans)
+
+
+def test_month_layout_prunes_partitions(spark):
+    from pyspark.sql import functions as F
+
+    from fareflow.operators import money
+    from fareflow.sources.fixtures import build_fixtures
+    from fareflow.sources.layout import write_with_layout
+    from fareflow.streaming import scratch_dir
+    c = build_fixtures(spark, SMALL, "commissions")["commissions"]
+    path = scratch_dir(spark, "layout") + "/commissions"
+    write_with_layout(c, path, "by_month")
+    stored = spark.read.parquet(path)
+    stats = money.partner_month_stats(stored.filter((F.col("created_year") == 1996) & (F.col("created_month") == 3)))
+    plan = physical_plan(stats)
+    import re
+    pf = re.search(r"PartitionFilters: \[([^\]]*)\]", plan)
+    assert pf and re.search(r"created_year#\d+ = 1996", pf.group(1)) and re.search(r"created_month#\d+ = 3", pf.group(1))
+    want = money.partner_month_stats(c).filter((F.col("year") == 1996) & (F.col("month") == 3))
+    assert stats.exceptAll(want).count() == 0 and want.exceptAll(stats).count() == 0
