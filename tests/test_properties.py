@@ -203,3 +203,20 @@ def test_booking_state_stream_over_batches_equals_batch(spark):
     assert spark.read.parquet(base + "/out/states").select("batch_id").distinct().count() == 4
     want = E4.booking_state(cmds, fx["bookings"])[1]
     assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+
+
+def test_hmac_matches_python_hmac(spark):
+    """E1's HMAC from two nested sha2 calls equals Python's hmac for random
+    secrets (short, and longer than the 64-byte block) and Unicode text."""
+    import hashlib
+    import hmac
+
+    from fareflow.streaming import payments
+    rnd = random.Random(11)
+    alphabet = "abcXYZ019 .,{}\":=é漢字🙂"
+    for secret in ["k", "whsec_" + "x" * 10, "s" * 64, "long-" * 30]:
+        msgs = ["".join(rnd.choice(alphabet) for _ in range(rnd.randint(0, 300))) for _ in range(20)]
+        df = spark.createDataFrame([(i, m) for i, m in enumerate(msgs)], "i int, m string")
+        got = {r.i: r.h for r in df.select("i", payments.hmac_sha256_hex(F.col("m"), secret).alias("h")).collect()}
+        want = {i: hmac.new(secret.encode(), m.encode(), hashlib.sha256).hexdigest() for i, m in enumerate(msgs)}
+        assert got == want, secret
