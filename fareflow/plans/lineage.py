@@ -1,16 +1,22 @@
 """Lineage cuts for iterative and multi-pass jobs.
 
-``cut_lineage`` checkpoints a DataFrame to the session's checkpoint folder
-(``spark.checkpoint.dir``: a shared folder on a cluster, so the result
-survives the loss of the executors that computed it).  The input is
-persisted first: a reliable checkpoint otherwise recomputes its input once
-for the action and once more for the checkpoint write.  The checkpoint keeps
-the partitioning and the order inside partitions, which the range-partitioned
-scans rely on.
+Both cuts write into the session's checkpoint folder (``spark.checkpoint.dir``:
+a shared folder on a cluster), so a result survives the loss of the
+executors that computed it and later stages never recompute its lineage.
+
+* ``cut_lineage`` writes a Parquet table and reads it back (explicit
+  schema): one computation, and AQE sizes the write like any other job.
+* ``range_partitioned`` keeps the partitioning and the order inside
+  partitions, which the range scans rely on, so it uses ``checkpoint()``.
+  Its input is persisted while the range bounds are sampled, so the
+  sampling job, the shuffle and the checkpoint's recomputation share one
+  computation of it.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 
@@ -18,20 +24,18 @@ from ..session import ensure_checkpoint_dir
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    ensure_checkpoint_dir(df.sparkSession)
-    held = df.persist(StorageLevel.MEMORY_AND_DISK)
-    out = held.checkpoint(eager=True)
-    held.unpersist()
-    return out
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/fareflow-cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def range_partitioned(df: DataFrame, *cols: str) -> DataFrame:
-    """``df`` range-partitioned and sorted by ``cols``, checkpointed.  The
-    input is persisted while the range bounds are sampled, so the sampling
-    job and the shuffle share one computation of it.  AQE may merge
-    adjacent ranges into partitions of its advisory size (order and
+    """``df`` range-partitioned and sorted by ``cols``, checkpointed.  AQE may
+    merge adjacent ranges into partitions of its advisory size (order and
     contiguity are kept), so the passes that follow get data-sized tasks."""
+    ensure_checkpoint_dir(df.sparkSession)
     held = df.persist(StorageLevel.MEMORY_AND_DISK)
-    out = cut_lineage(held.repartitionByRange(*cols).sortWithinPartitions(*cols))
+    out = held.repartitionByRange(*cols).sortWithinPartitions(*cols).checkpoint(eager=True)
     held.unpersist()
     return out
