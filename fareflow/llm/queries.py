@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_codec, packing, token_counts
+from . import bpe_codec, packing, spotsigs, token_counts
 from .common import table
 
 
@@ -32,10 +32,16 @@ def op8_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_codec.encode_digest(table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"))
 
 
+def op9_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document, its edited text and its neighbour."""
+    return spotsigs.fingerprints(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op6_token_counts": op6_token_counts,
     "op8_bpe_codec": op8_bpe_codec,
+    "op9_spotsigs": op9_spotsigs,
 }
 
 #: DuckDB SQL of the queries that SQL can express on whole tables.
