@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_codec, packing, spotsigs, token_counts
+from . import bpe_codec, packing, spotsigs, token_counts, toxicity
 from .common import table
 
 
@@ -37,11 +37,17 @@ def op9_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spotsigs.fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document, learned from the labels that are not held out."""
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op6_token_counts": op6_token_counts,
     "op8_bpe_codec": op8_bpe_codec,
     "op9_spotsigs": op9_spotsigs,
+    "op10_toxicity": op10_toxicity,
 }
 
 #: DuckDB SQL of the queries that SQL can express on whole tables.
