@@ -20,6 +20,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..plans.lineage import cut_lineage as scratch_table
 from ..session import ensure_checkpoint_dir
@@ -52,7 +53,7 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]],
-                schema: str) -> DataFrame:
+                schema: str | StructType) -> DataFrame:
     """``mapInArrow`` after shipping the package to the workers."""
     ship(df.sparkSession)
     return df.mapInArrow(fn, schema)

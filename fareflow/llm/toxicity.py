@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .common import map_batches, text_runs, whole_text
 from .words import Words
@@ -390,8 +391,6 @@ def score(docs: DataFrame, model: Model, *, text_col: str = "text", out_col: str
     Null and empty texts are scored as a window without words; an empty table
     gives an empty result; a column that is already named ``out_col`` is replaced.
     """
-    from pyspark.sql.types import DoubleType, StructType
-
     spark: SparkSession = docs.sparkSession
     held = spark.sparkContext.broadcast(model)            # fixed size
     rest = [c for c in docs.columns if c.lower() != out_col.lower()]
@@ -405,7 +404,7 @@ def score(docs: DataFrame, model: Model, *, text_col: str = "text", out_col: str
             yield pa.RecordBatch.from_arrays([*b.columns, s], [*b.schema.names, out_col])
 
     rows = docs.select(*rest)
-    return map_batches(rows, run, StructType(rows.schema.fields).add(out_col, DoubleType()))
+    return map_batches(rows, run, StructType([*rows.schema.fields, StructField(out_col, DoubleType())]))
 
 
 def classify(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
