@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_codec, jaccard_join, packing, spotsigs, token_counts, toxicity
+from . import bpe_codec, hnsw, jaccard_join, packing, spotsigs, token_counts, toxicity
 from .common import table
 
 
@@ -42,6 +42,11 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_hnsw_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten nearest neighbours of every hundredth vector."""
+    return hnsw.nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Class and number of links of every document (five-word shingles, Jaccard 0.8 or more)."""
     return jaccard_join.near_duplicates(table(spark, sf_dir, "documents")).drop("is_first")
@@ -49,6 +54,7 @@ def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
+    "op4_hnsw_search": op4_hnsw_search,
     "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
     "op6_token_counts": op6_token_counts,
     "op8_bpe_codec": op8_bpe_codec,
