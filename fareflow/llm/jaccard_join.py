@@ -236,7 +236,8 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     member = scratch_table(member.join(size, "comp"))
     text = whole_text(text_col)
     texts = docs.select(F.col(id_col).alias("id"), F.md5(text).alias("md5"), text.alias("text"))
-    found = texts.join(member, "md5").where(F.col("id").eqNullSafe(F.col("first_id")))
+    # one plan at every size: the texts are dealt by their hash, however few the members are
+    found = texts.join(member.hint("merge"), "md5").where(F.col("id").eqNullSafe(F.col("first_id")))
     mine = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     blocks = (found.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
               .select("comp", F.least("mine", "other").alias("bi"), F.greatest("mine", "other").alias("bj"),
