@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_codec, hnsw, jaccard_join, packing, spotsigs, token_counts, toxicity
+from . import bpe_codec, hnsw, html_extract, jaccard_join, language_id, packing, spotsigs, token_counts, toxicity
 from .common import table
 
 
@@ -42,6 +42,26 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, from its text, its declared language and its source (as host)."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    return language_id.identify(docs).drop("text")
+
+
+def language_id_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of the main text of every page, from its text, markup, address and host."""
+    pages = language_id.page_evidence(table(spark, sf_dir, "pages"))
+    marks = pages.select("page_id", "markup_lang", "suffix_lang", "host", "domain", "url", "html")
+    texts = html_extract.extract(marks, keep=("markup_lang", "suffix_lang", "host", "domain"))
+    found = language_id.identify(texts, declared_col="markup_lang", host_col="host", parent_col="domain", suffix_col="suffix_lang")
+    return found.drop("text", "n_chars")
+
+
 def op4_hnsw_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ten nearest neighbours of every hundredth vector."""
     return hnsw.nearest(table(spark, sf_dir, "embeddings"))
@@ -54,6 +74,9 @@ def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
+    "op2_html_extraction": op2_html_extraction,
+    "op3_language_id": op3_language_id,
+    "language_id_pages": language_id_pages,
     "op4_hnsw_search": op4_hnsw_search,
     "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
     "op6_token_counts": op6_token_counts,
