@@ -258,3 +258,20 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     return rows.select("id", "md5").join(named, "md5").select(
         F.col("id").alias(id_col), "class_id", "n_links", F.col("md5").alias("text_md5"),
         ((F.col("head.md5") == F.col("md5")) & F.col("head.first_id").eqNullSafe(F.col("id"))).alias("is_first"))
+
+
+def keep_first(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """One row of each class of near duplicates (see ``near_duplicates``), with all columns of ``docs``."""
+    found = scratch_table(near_duplicates(docs, id_col=id_col, text_col=text_col, **options))
+    key = found.select(F.col(id_col).alias("__id"), F.col("text_md5").alias("__md5"), "is_first")
+    others = key.where(~F.col("is_first")).distinct().drop("is_first")
+    repeated = key.where("is_first").groupBy("__id", "__md5").count().where("count > 1").drop("count")
+    marked = docs.withColumn("__text_md5", F.md5(whole_text(text_col)))
+
+    same = F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__text_md5") == F.col("__md5"))
+    left = marked.join(others.hint("merge"), same, "left_anti")           # one plan at every size
+    if repeated.isEmpty():
+        return left.select(*docs.columns)
+    once = left.join(repeated, same, "left_anti")
+    twice = left.join(repeated, same, "left_semi").dropDuplicates([id_col, "__text_md5"])
+    return once.unionByName(twice).select(*docs.columns)

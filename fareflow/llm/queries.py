@@ -1,4 +1,5 @@
-"""Queries of the operators of this subpackage, one thin query per operator."""
+"""Queries of the operators of this subpackage, one thin query per operator
+(and one more that shows operator 3 on web pages)."""
 
 from __future__ import annotations
 
@@ -6,11 +7,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_codec, hnsw, html_extract, jaccard_join, language_id, packing, spotsigs, token_counts, toxicity
+from . import bpe_codec, hnsw, html_extract, jaccard_join, language_id, packing, pii, spotsigs, token_counts, toxicity
 from .common import table
 
 
-def _vocabulary(name: str) -> str:
+def vocabulary(name: str) -> str:
     """Place of a public tokenizer file."""
     import public_tokenizers
 
@@ -19,17 +20,22 @@ def _vocabulary(name: str) -> str:
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Packs every document into sequences of at most 2048 tokens."""
-    return packing.pack(table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"))
+    return packing.pack(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts of every document under the 32k piece model."""
-    return token_counts.count_tokens(table(spark, sf_dir, "documents"), _vocabulary("piece_bpe_32k.model"))
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
+
+
+def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document."""
+    return pii.find(table(spark, sf_dir, "documents"))
 
 
 def op8_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encodes and decodes every document with the 49k word-end vocabulary."""
-    return bpe_codec.encode_digest(table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"))
+    return bpe_codec.encode_digest(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
 def op9_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,6 +86,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_hnsw_search": op4_hnsw_search,
     "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
     "op6_token_counts": op6_token_counts,
+    "op7_personal_data": op7_personal_data,
     "op8_bpe_codec": op8_bpe_codec,
     "op9_spotsigs": op9_spotsigs,
     "op10_toxicity": op10_toxicity,
