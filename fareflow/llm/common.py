@@ -25,11 +25,32 @@ from pyspark.sql.types import StructType
 from ..plans.lineage import cut_lineage as scratch_table
 from ..session import ensure_checkpoint_dir
 
-__all__ = ["ship", "map_batches", "scratch_table", "shared_folder", "text_runs", "table", "whole_text"]
+__all__ = ["Recent", "ship", "map_batches", "scratch_table", "shared_folder", "text_runs", "table", "whole_text"]
 
 _SHIPPED: set[str] = set()
 
 
+class Recent(dict):
+    """Values worked out by ``make`` on first use.  Holds the latest ``most``
+    to ``2 * most`` strings of up to 64 code points, so memory is bounded;
+    results don't depend on what it holds."""
+
+    def __init__(self, make: Callable, most: int):
+        super().__init__()
+        self.make, self.most, self.older = make, most, {}
+
+    def __missing__(self, key: str):
+        value = self.older.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(key) <= 64:
+            if len(self) >= self.most:
+                self.older = dict(self)
+                self.clear()
+            self[key] = value
+        return value
+
+
 def ship(spark: SparkSession) -> None:
     """Make this package importable in the Python workers (once per application)."""
     sc = spark.sparkContext

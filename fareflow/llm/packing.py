@@ -20,8 +20,8 @@ no task gathers the pieces of a length.
 
 from __future__ import annotations
 
-import os
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,12 +29,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import map_batches, scratch_table, whole_text
-from .word_bpe import chunks
+from .common import Recent, map_batches, scratch_table, whole_text
+from .word_bpe import words
 
 CAPACITY = 2048
-#: Distinct words kept per process; the cache starts anew beyond it (memory bound only).
-CACHE_WORDS = 400_000
+#: Distinct words kept per process.
+CACHE_WORDS = 300_000
 
 
 class OpenBins:
@@ -115,35 +115,30 @@ def plan_bins(counts: dict[int, int], capacity: int = CAPACITY) -> np.ndarray:
     return np.array(sorted(rows), np.int64).reshape(-1, 6)
 
 
-class _ChunkIds:
-    """Packed ids of chunks by the tokenizers library, one entry per distinct chunk."""
+class _WordIds:
+    """Packed ids of texts by the tokenizers library, one call per distinct word or chunk."""
 
     def __init__(self, path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.known: dict[str, bytes] = {}
+        self.ids_of = Recent(self._encode, CACHE_WORDS)
+
+    def _encode(self, piece: str) -> bytes:
+        return array("I", self.tokenizer.encode(piece, add_special_tokens=False).ids).tobytes()
 
     def encode(self, text: str) -> bytes:
-        parts = chunks(text)
-        if len(self.known) >= CACHE_WORDS:
-            self.known.clear()
-        new = [c for c in set(parts) if c not in self.known]
-        if new:
-            for c, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-                self.known[c] = np.array(e.ids, "<u4").tobytes()
-        return b"".join(map(self.known.__getitem__, parts))
+        return b"".join(map(self.ids_of.__getitem__, words(text)))
 
 
-_ENCODERS: dict[str, _ChunkIds] = {}
+_ENCODERS: dict[str, _WordIds] = {}
 
 
-def encoder(path: str) -> _ChunkIds:
+def encoder(path: str) -> _WordIds:
     if path not in _ENCODERS:
-        _ENCODERS[path] = _ChunkIds(path)
+        _ENCODERS[path] = _WordIds(path)
     return _ENCODERS[path]
 
 
