@@ -5,7 +5,8 @@ from the root to it.  Text length (without links) and punctuation are
 aggregated per path and divided by the path's blocks.  Both ratios are
 smoothed along the page among blocks of one parent, fused, and compared with a
 share of their deviation over the page: paths whose fused ratio stays below it
-are left out.  Elements that say what they are (menus, footers, adverts,
+are left out, unless they are headings or other prose inside the same element
+as content.  Elements that say what they are (menus, footers, adverts,
 forms, comments ...) take no part, and paths inside a declared article or main
 part are content.
 """
@@ -46,6 +47,7 @@ _HINTS = frozenset((
     "form paywall teaser teasers").split())
 _CONTENT_HINTS = frozenset("article post entry content story main body text".split())
 _DECLARED = frozenset(("article", "main"))
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*>?"
@@ -167,6 +169,17 @@ def _smooth(values: np.ndarray, groups: list[tuple[str, ...]]) -> np.ndarray:
     return out
 
 
+def _keep_company(keep: np.ndarray, paths: list[tuple[str, ...]], prose: np.ndarray) -> None:
+    """What stands in one element with content paths is content too, unless
+    it is mostly links: headings of the same parent, and all that the element
+    holds if it is not the page itself."""
+    homes = {p[:-1] for p, k in zip(paths, keep) if k}
+    within = tuple(h for h in homes if h and h[-1] not in ("html", "body"))
+    for i, p in enumerate(paths):
+        if prose[i] and not keep[i]:
+            keep[i] = p[:-1] in homes and p[-1:] and p[-1] in _HEADINGS or any(len(p) > len(h) and p[: len(h)] == h for h in within)
+
+
 def main_text(page: str) -> str:
     """Text blocks of the content paths, joined by line feeds."""
     found = blocks(page)
@@ -183,7 +196,12 @@ def main_text(page: str) -> str:
     of_path = np.bincount(path, fused) / count
     declared = np.zeros(len(count), bool)
     declared[path[[f[1] for f in found]]] = True
-    keep = declared if declared.any() else of_path >= THRESHOLD * fused.std()
+    if declared.any():
+        keep = declared
+    else:
+        keep = of_path >= THRESHOLD * fused.std()
+        whole = np.bincount(path, [len(t) for _, _, t, _ in found]) / count
+        _keep_company(keep, list(number), length >= 0.5 * whole)
     return "\n".join(f[2] for f, p in zip(found, path) if keep[p])
 
 
