@@ -1,8 +1,8 @@
 """Join-strategy policy.
 
-Explicit ``broadcast()`` is used only for tables whose size is bounded by
-construction, not by the data volume: the per-partition tables of the
-range-partitioned scans (one row per partition).  Dimension tables, however
+Explicit ``broadcast()`` is used only behind a count: for the per-partition
+tables of the range-partitioned scans (one row of numbers per partition, which
+grows with the partition count).  Dimension tables, however
 small they usually are, are left to Catalyst like every other join: a static
 broadcast happens only when the planner's size estimate is below
 ``spark.sql.autoBroadcastJoinThreshold``, and with AQE the decision is
@@ -17,8 +17,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+#: Rows of a per-partition table that may be broadcast (numbers only: a few MB).
+MOST_ROWS = 100_000
+
+
 def per_partition(df: DataFrame) -> DataFrame:
-    """Broadcast a table of at most one row (or a fixed few) per partition
-    of a range-partitioned input - its size is bounded by the partition
-    count, never by the data volume."""
-    return F.broadcast(df)
+    """A small table of numbers, one row per partition: broadcast if it has at
+    most ``MOST_ROWS`` rows (counted), else joined like any other table."""
+    return F.broadcast(df) if df.limit(MOST_ROWS + 1).count() <= MOST_ROWS else df

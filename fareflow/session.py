@@ -42,14 +42,17 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the session's checkpoint folder.  The cluster's
     ``spark.checkpoint.dir`` (a shared folder) is always used when set; a
-    scratch folder is created only when the session names none (local
-    tests)."""
+    scratch folder is created only for a local master without one (tests);
+    any other master without the setting is an error, for executors would
+    each write to a disk of their own."""
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         d = tempfile.mkdtemp(prefix="fareflow-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     sc.setCheckpointDir(d)
     return sc.getCheckpointDir()

@@ -8,8 +8,6 @@ source (one partitioned scan per table, split on a numeric key).
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 
 BASE_TABLES = ("region", "nation", "customer", "supplier", "part", "orders",
@@ -19,13 +17,8 @@ BASE_TABLES = ("region", "nation", "customer", "supplier", "part", "orders",
 
 def load_tables(spark: SparkSession, sf_dir: str,
                 names: tuple[str, ...] | None = None) -> dict[str, DataFrame]:
-    """Lazy Parquet scans of ``<sf_dir>/<name>.parquet`` for each table that exists."""
-    out = {}
-    for n in names or BASE_TABLES:
-        path = os.path.join(sf_dir, f"{n}.parquet")
-        if os.path.exists(path) or "://" in sf_dir:
-            out[n] = spark.read.parquet(path)
-    return out
+    """Lazy Parquet scans of ``<sf_dir>/<name>.parquet``; a table that is not there fails the read."""
+    return {n: spark.read.parquet(f"{sf_dir.rstrip('/')}/{n}.parquet") for n in names or BASE_TABLES}
 
 
 def read_jdbc(spark: SparkSession, url: str, table: str, *, partition_column: str,
