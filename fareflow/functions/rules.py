@@ -23,16 +23,19 @@ def _c(x: ColumnOrName) -> Column:
 PHONE_PATTERN = r"^(\+?967|0)?7[0-9]{8}$"          # Yemeni mobile, whitespace removed first
 PAYMENT_STATUSES = ("Unpaid", "Paid", "Refunded")
 PAYMENT_METHODS = ("Electronic", "Cash", "Kareemi", "Transfer")
-BOOKING_STATUSES = ("Pending", "Confirmed", "Cancelled")
 REFUND_METHODS = ("Bank Transfer", "Kareemi", "Cash", "Same as Original")
 DEVICE_TYPES = ("android", "ios", "web")
 CHILD_DISCOUNT = 50                                 # price_child = base_price - 50
+PROOF_NOTE = "Submitted by customer"                # note of a payment proof without one
+CANCEL_REASON = "Customer request"                  # reason of a cancellation without one
+CONFIRM_NOTE = "Payment Status: "                   # audit note of a confirmation, before the status
+UNKNOWN_CUSTOMER = "Customer"                       # name in a notice to an unknown user
 
 # A documented subset of PHP's FILTER_VALIDATE_EMAIL: dot-atom local part
 # (at most 64 chars), a dotted host name of labels without edge hyphens.
 _ATEXT = r"[A-Za-z0-9!#$%&'*+/=?^_`{|}~-]"
 _LABEL = r"[A-Za-z0-9]([A-Za-z0-9-]{0,61}[A-Za-z0-9])?"
-EMAIL_PATTERN = rf"^{_ATEXT}+(\.{_ATEXT}+)*@({_LABEL}\.)+{_LABEL}$"
+EMAIL_PATTERN = rf"^{_ATEXT}+(\.{_ATEXT}+)*@({_LABEL}\.)+{_LABEL}\z"
 NUMERIC_PATTERN = r"^\s*[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?\s*$"
 
 
@@ -105,19 +108,29 @@ def php_empty(x: ColumnOrName) -> Column:
 # ---------------------------------------------------------------------------
 # Q: lenient casts and validation
 # ---------------------------------------------------------------------------
+_LEADING_NUMBER = r"^\s*([+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?)"
+_LONG_MAX, _LONG_MIN = (1 << 63) - 1, -(1 << 63)
+
+
 def lenient_int(s: ColumnOrName) -> Column:
-    """Q1: PHP ``(int)$s``: leading integer digits after optional blanks and
-    sign, else 0 (``'12abc'`` -> 12, ``'abc'`` -> 0, ``'7.9'`` -> 7)."""
-    digits = F.regexp_extract(_c(s).cast("string"), r"^\s*([+-]?[0-9]+)", 1)
-    return F.coalesce(digits.try_cast("bigint"), F.lit(0).cast("bigint"))
+    """Q1: PHP ``(int)$s``: the leading number after optional blanks, cut to
+    its integer part, else 0 (``'12abc'`` -> 12, ``'abc'`` -> 0, ``'7.9'`` -> 7,
+    ``'1e3'`` -> 1000); beyond 64 bits the nearest bound."""
+    num = F.regexp_extract(_c(s).cast("string"), _LEADING_NUMBER, 1)
+    wide = num.try_cast("double")
+    cut = (F.when(wide >= F.lit(float(_LONG_MAX)), F.lit(_LONG_MAX)).when(wide <= F.lit(float(_LONG_MIN)), F.lit(_LONG_MIN))
+           .otherwise(wide.try_cast("bigint")))
+    return F.coalesce(F.when(num.rlike(r"^[+-]?[0-9]{1,18}$"), num.try_cast("bigint")).otherwise(cut), F.lit(0).cast("bigint"))
 
 
 def lenient_float(s: ColumnOrName, dtype: str = "decimal(12,2)") -> Column:
     """Q2: PHP ``(float)$s``: leading decimal number, else 0.  The number's
     text is cast straight to ``dtype`` (a decimal column rounds the text
-    half-up, as the database does with the value PHP sends)."""
-    num = F.regexp_extract(_c(s).cast("string"), r"^\s*([+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?)", 1)
-    return F.coalesce(num.try_cast(dtype), F.lit(0).cast(dtype))
+    half-up, as the database does with the value PHP sends).  A number that
+    ``dtype`` can't hold is null: the database refuses it, so it must be
+    rejected and never read as 0."""
+    num = F.regexp_extract(_c(s).cast("string"), _LEADING_NUMBER, 1)
+    return F.when(F.coalesce(num, F.lit("")) == "", F.lit(0).cast(dtype)).otherwise(num.try_cast(dtype))
 
 
 def valid_email(s: ColumnOrName) -> Column:
@@ -143,26 +156,12 @@ def normalize_phone(s: ColumnOrName) -> Column:
     return F.when((F.length(d) == 9) & d.startswith("7"), F.concat(F.lit("967"), d)).otherwise(d)
 
 
-def allowed_values(x: ColumnOrName, values, allow_blank: bool = False) -> Column:
-    """Q6: enum membership (``allow_blank`` also accepts null and ``''``)."""
-    x = _c(x)
-    ok = x.isin(*values)
-    if allow_blank:
-        ok = ok | x.isNull() | (x == "")
-    return F.coalesce(ok, F.lit(False))
-
-
 def required(x: ColumnOrName) -> Column:
     """Q7: fails for null, ``''`` and an empty array; ``'0'`` and 0 pass."""
     x = _c(x)
     return F.coalesce(~(x.isNull() | (x.cast("string") == "")), F.lit(False))
 
 
-def required_array(x: ColumnOrName) -> Column:
-    x = _c(x)
-    return F.coalesce(x.isNotNull() & (F.size(x) > 0), F.lit(False))
-
-
 def positive_int(x: ColumnOrName) -> Column:
     """Q8: numeric (PHP ``is_numeric``) and integer part > 0:
     ``'1.5'`` passes, ``'0.5'`` fails, ``'1d'`` fails."""

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.rules import normalize_phone
+from ..functions.rules import UNKNOWN_CUSTOMER, normalize_phone
 from .listings import latest_device_token
 
 # Fixed notification texts of the reference, per status: (title, body with
@@ -69,7 +69,7 @@ def booking_created_changes(new_bookings: DataFrame, users: DataFrame) -> DataFr
             .join(users.select("user_id", "full_name", "phone_number"), "user_id", "left")
             .select("booking_id", "user_id", F.lit("Unpaid").alias("status"), "total_price",
                     F.coalesce("phone_number", F.lit("")).alias("phone_number"),
-                    F.coalesce("full_name", F.lit("Customer")).alias("full_name")))
+                    F.coalesce("full_name", F.lit(UNKNOWN_CUSTOMER)).alias("full_name")))
 
 
 def merge_payload(system: Column, caller: Column) -> Column:
