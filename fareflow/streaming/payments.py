@@ -9,18 +9,22 @@ check stays JVM-side (no Python UDF).
 
 from __future__ import annotations
 
-import os
+import hashlib
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.rules import lenient_int, php_empty
-from ..sources.fixtures import hmac_pads
+from ..plans.lineage import cut_lineage
+from ..sources.sinks import write_batch
+from .store import KeyedStore
 
 FRESHNESS_SECONDS = 300                          # reference tolerance, abs(now - t)
 CHECKOUT_COMPLETED = "checkout.session.completed"
 
+EVENT_SCHEMA = "type string, data struct<object: struct<id: string, metadata: struct<booking_id: string>>>"
+
 WEBHOOK_SCHEMA = T.StructType([
     T.StructField("event_id", T.LongType()),
     T.StructField("received_at", T.TimestampType()),
@@ -40,11 +44,24 @@ def read_payment_events(spark: SparkSession, folder: str, schema: T.StructType =
     return r.parquet(folder)
 
 
+def hmac_pads(secret: str) -> tuple[str, str]:
+    """Hex of the HMAC inner and outer pads (RFC 2104, SHA-256 block 64)."""
+    key = secret.encode("utf-8")
+    if len(key) > 64:
+        key = hashlib.sha256(key).digest()
+    key = key.ljust(64, b"\0")
+    return bytes(b ^ 0x36 for b in key).hex(), bytes(b ^ 0x5C for b in key).hex()
+
+
 def hmac_sha256_hex(message: Column, secret: str) -> Column:
-    """HMAC-SHA256(secret, message) as lowercase hex, from built-ins."""
-    ipad, opad = hmac_pads(secret)
-    inner = F.unhex(F.sha2(F.concat(F.unhex(F.lit(ipad)), F.encode(message, "UTF-8")), 256))
-    return F.sha2(F.concat(F.unhex(F.lit(opad)), inner), 256)
+    """HMAC-SHA256(secret, message) as lowercase hex, from built-ins.  The
+    pads come from a one-row table by scalar subquery, so no plan, log or
+    ``explain`` shows key material."""
+    spark = SparkSession.getActiveSession()
+    pads = spark.createDataFrame([hmac_pads(secret)], "ipad string, opad string")
+    ipad, opad = (F.unhex(pads.select(c).scalar()) for c in ("ipad", "opad"))
+    inner = F.unhex(F.sha2(F.concat(ipad, F.encode(message, "UTF-8")), 256))
+    return F.sha2(F.concat(opad, inner), 256)
 
 
 def epoch_seconds(ts: Column, dtype: str = "timestamp_ntz") -> Column:
@@ -87,13 +104,11 @@ def gateway_payments(events: DataFrame) -> DataFrame:
     (event_id, received_at, session_id, booking_id).  The booking id comes
     from ``data.object.metadata.booking_id``; a missing/falsy one drops the
     event (the reference returns early)."""
-    p = F.col("payload")
-    bid = F.get_json_object(p, "$.data.object.metadata.booking_id")
     ev = events.filter(F.col("verified")) if "verified" in events.columns else events
-    return (ev.filter(F.get_json_object(p, "$.type") == CHECKOUT_COMPLETED)
-            .filter(~php_empty(bid))
-            .select("event_id", "received_at",
-                    F.coalesce(F.get_json_object(p, "$.data.object.id"), F.lit("")).alias("session_id"),
+    body = ev.select("event_id", "received_at", F.from_json("payload", EVENT_SCHEMA).alias("e"))
+    bid = F.col("e.data.object.metadata.booking_id")
+    return (body.filter((F.col("e.type") == CHECKOUT_COMPLETED) & ~php_empty(bid))
+            .select("event_id", "received_at", F.coalesce("e.data.object.id", F.lit("")).alias("session_id"),
                     lenient_int(bid).alias("booking_id")))
 
 
@@ -115,44 +130,36 @@ def apply_gateway_payments(bookings: DataFrame, payments: DataFrame) -> DataFram
 # ---------------------------------------------------------------------------
 # Streaming form of E1 -> E2 -> E3
 # ---------------------------------------------------------------------------
-def gateway_payment_stream(stream: DataFrame, secret: str, watermark: str = "1 hour") -> DataFrame:
-    """Verified, de-duplicated payment stream: E1, E2, then
-    ``dropDuplicatesWithinWatermark`` on the session id, so a gateway retry
-    of one session inside the watermark is applied once."""
-    verified = verify_payment_events(stream, secret)
-    pays = gateway_payments(verified)
-    return pays.withWatermark("received_at", watermark).dropDuplicatesWithinWatermark(["session_id"])
-
-
 def run_gateway_stream(spark: SparkSession, stream: DataFrame, bookings: DataFrame, secret: str,
                        out_dir: str, checkpoint_dir: str) -> None:
-    """Drive the stream to completion (``availableNow``) and apply each
-    micro-batch with E3 against ``bookings``.  ``foreachBatch`` writes
-    batch N to ``out_dir/batch_id=N`` with overwrite, so a replayed batch
-    after a failure rewrites the same files (idempotent), and E3's
-    first-wins guard makes re-applying an event a no-op."""
-    seen_dir = os.path.join(out_dir, "applied")
+    """Drive the webhook stream to completion (``availableNow``).
+
+    Each micro-batch is verified (E1, E6) and its payments (E2) are applied
+    with E3 to the bookings they name, as far as no earlier batch paid them.
+    No event is dropped on the way: there is no watermark and no
+    de-duplication by session - E3's guard applies one payment per booking -
+    and every event that verification rejects, late ones included, gets a row
+    in ``out_dir/rejects``.  Applied payments go to ``out_dir/applied``; both
+    are written per batch with overwrite (``KeyedStore``), so a replayed batch
+    rewrites its own rows."""
+    store = KeyedStore(spark, f"{out_dir}/applied", "booking_id")
 
     def apply(batch: DataFrame, batch_id: int) -> None:
-        state = bookings
-        if _has_parquet(spark, seen_dir):
-            # bookings paid by earlier batches (never this one: a replay must
-            # recompute the same output, not see its own previous attempt)
-            done = spark.read.parquet(seen_dir).filter(F.col("batch_id") < batch_id).select("booking_id")
-            state = state.join(done, "booking_id", "left_anti").unionByName(
-                bookings.join(done, "booking_id", "left_semi").withColumn("payment_status", F.lit("Paid")),
-                allowMissingColumns=True)
-        changed = apply_gateway_payments(state, batch)
-        changed.write.mode("overwrite").parquet(os.path.join(seen_dir, f"batch_id={batch_id}"))
-
-    q = (gateway_payment_stream(stream, secret).writeStream.foreachBatch(apply)
-         .option("checkpointLocation", checkpoint_dir).trigger(availableNow=True).start())
-    q.awaitTermination()
-
-
-def _has_parquet(spark: SparkSession, path: str) -> bool:
-    try:
-        spark.read.parquet(path).limit(0).collect()
-        return True
-    except Exception:  # noqa: BLE001 - no files yet
-        return False
+        checked = cut_lineage(verify_payment_events(batch, secret))
+        write_batch(checked.filter(~F.col("verified")).select("event_id", "received_at", "reject_reason"),
+                    f"{out_dir}/rejects", batch_id)
+        pays = gateway_payments(checked)
+        ids = pays.select("booking_id").distinct()
+        done = store.rows_before(batch_id, ids)
+        if done is not None:
+            pays = pays.join(done.select("booking_id"), "booking_id", "left_anti")
+        named = bookings.select("booking_id", "payment_status").join(ids, "booking_id", "left_semi")
+        store.write(apply_gateway_payments(named, pays), batch_id)
+
+    (stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint_dir)
+     .trigger(availableNow=True).start().awaitTermination())
+
+
+def applied_payments(spark: SparkSession, out_dir: str) -> DataFrame:
+    """Payments applied by all batches of ``run_gateway_stream``."""
+    return KeyedStore(spark, f"{out_dir}/applied", "booking_id").all_rows()

@@ -1,285 +1,139 @@
-"""E4 ``booking_state``: the per-booking fold of status commands.
+"""E4 ``booking_state``: the per-booking fold of status commands, in Spark expressions.
 
 Commands (confirm, pay, gateway, proof, cancel) change a booking under the
-guards of section 2.9, so the result depends on their order: a sequential
-fold per booking.  A ``collect_list`` per booking (or a window) would put a
-hot booking - a third of all commands - into one task, so the fold is
-distributed like a parallel prefix scan:
-
-1. commands carry their booking's initial state and are range-partitioned
-   and sorted by (booking_id, ts, seq), then checkpointed.  Range
-   partitioning splits a hot booking over many partitions.
-2. pass 1 (``mapInPandas``): each partition summarises only its *last*
-   booking segment as a transfer function: for each of the 9 guard classes
-   of the entry state (booking status Pending / Cancelled / other x payment
-   status NULL / Paid / other) the exit state and the fields written.
-3. carry-in: per booking that continues into the next partition, its
-   transfers are applied in partition order from the initial state
-   (``applyInPandas`` per booking over at most one row per partition, 9
-   classes each), giving the entry state of each continuation.  The carry
-   table has at most one row per partition and is broadcast.
-4. pass 2 (``mapInPandas``): each partition folds its rows in order from the
-   carried-in (or initial) state, emitting each command's verdict and each
-   segment's exit state; the booking's final state is the exit state of
-   its last partition (``max_by`` on the partition id, map-side combined).
-
-The per-row fold is a small Python state machine inside Arrow batches; all
-distribution, ordering and joins are Spark's.
+guards of section 2.9, so the result depends on their order (``ts``, then
+``seq``).  No sequential fold is needed, for the guards read two fields only:
+
+* Booking status: only the first cancel and the first confirm of a booking can
+  pass.  Both are ``min`` aggregates.
+* Payment status before a command: the value of the last command that set it
+  (a payment, or the accepted confirm with a status), then Paid if a gateway
+  event came after that, then Refunded if the accepted cancel found it Paid,
+  then Paid again if a gateway event followed.  Last settings and last gateway
+  events are running maxima.  A NULL status stays NULL until it is set.
+* Every other field is the value of the last accepted command that writes it.
+
+Running maxima are taken in two steps, so that a booking with a third of all
+commands is no task of its own: commands are cut into ranges of (booking, ts,
+seq), each range is scanned by a window of its own, and what came before a range
+is a maximum over its booking's earlier ranges (one row per booking and range).
 """
 
 from __future__ import annotations
 
-import sys
-
-import pandas as pd
-from pyspark import cloudpickle
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from ..plans.hints import per_partition
-from ..plans.lineage import cut_lineage, range_partitioned
-
-# The pass functions below run in Python workers; ship them by value so the
-# workers need not have this package installed (no --py-files required).
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
+from ..functions.rules import PAYMENT_METHODS, PAYMENT_STATUSES, PROOF_NOTE, falsy_default
+from ..operators.keyed import arrival
+from ..plans.lineage import cut_lineage
+from ..sources.sinks import write_batch
+from .store import KeyedStore
 
 KIND_ORDER = {"confirm": 0, "pay": 1, "gateway": 2, "proof": 3, "cancel": 4}
 STATE_FIELDS = ("booking_status", "payment_status", "payment_method", "gateway_transaction_id",
                 "payment_timestamp", "notes")
-BS_OTHER = "\u0000other-booking-status"     # placeholders of pass 1: "any value the guards
-PS_OTHER = "\u0000other-payment-status"     # do not single out" (identity on exit)
-# guard classes of the entry state: label -> representative value
-BS_CLASSES = {"Pending": "Pending", "Cancelled": "Cancelled", "OTHER": BS_OTHER}
-PS_CLASSES = {"NULL": None, "Paid": "Paid", "OTHER": PS_OTHER}
-
 COMMAND_COLS = ["booking_id", "ts", "seq", "kind", "status", "method", "txn", "note"]
-INIT_COLS = ["init_" + f for f in STATE_FIELDS]
-
-_TS = T.TimestampNTZType()
-CMD_SCHEMA = T.StructType(
-    [T.StructField("booking_id", T.LongType()), T.StructField("ts", _TS), T.StructField("seq", T.LongType())]
-    + [T.StructField(c, T.StringType()) for c in ("kind", "status", "method", "txn", "note")]
-    + [T.StructField(c, _TS if c.endswith("payment_timestamp") else T.StringType()) for c in INIT_COLS])
-TRANSFER_SCHEMA = T.StructType([
-    T.StructField("pid", T.IntegerType()), T.StructField("booking_id", T.LongType()),
-    T.StructField("bs_class", T.StringType()), T.StructField("ps_class", T.StringType()),
-    T.StructField("exit_bs", T.StringType()), T.StructField("exit_ps", T.StringType()),
-    T.StructField("w_method", T.StringType()), T.StructField("w_txn", T.StringType()),
-    T.StructField("w_paid_at", _TS), T.StructField("w_notes", T.StringType()),
-    T.StructField("wrote", T.StringType())])            # fields written: letters m, t, p, n
-CARRY_SCHEMA = T.StructType([T.StructField("pid", T.IntegerType()), T.StructField("booking_id", T.LongType()),
-                             T.StructField("carried", T.BooleanType())]
-                            + [T.StructField("carry_" + f, _TS if f == "payment_timestamp" else T.StringType())
-                               for f in STATE_FIELDS])
-OUT_SCHEMA = T.StructType([
-    T.StructField("row_type", T.StringType()), T.StructField("pid", T.IntegerType()),
-    T.StructField("booking_id", T.LongType()), T.StructField("ts", _TS), T.StructField("seq", T.LongType()),
-    T.StructField("kind", T.StringType()), T.StructField("accepted", T.BooleanType())]
-    + [T.StructField(f, _TS if f == "payment_timestamp" else T.StringType()) for f in STATE_FIELDS])
-
-
-def _falsy(x) -> bool:
-    return x is None or (isinstance(x, float) and pd.isna(x)) or x in ("", "0")
-
-
-def _val(x):
-    return None if x is None or (isinstance(x, float) and pd.isna(x)) or x is pd.NaT else x
-
-
-def step(state: dict, kind: str, ts, status, method, txn, note) -> bool:
-    """Apply one command to ``state`` in place; True when its guard passes.
-    Guards and effects of the reference's five write paths."""
-    bs, ps = state["booking_status"], state["payment_status"]
-    if kind == "confirm":                 # Pending only; optional forced payment status
-        if bs != "Pending":
-            return False
-        state["booking_status"] = "Confirmed"
-        if not _falsy(status):
-            state["payment_status"] = status
-        return True
-    if kind == "pay":                     # no guard; M1 patches; time only when Paid
-        state["payment_status"] = status
-        if method not in (None, ""):
-            state["payment_method"] = method
-        if status == "Paid":
-            state["payment_timestamp"] = ts
-        if txn not in (None, ""):
-            state["gateway_transaction_id"] = txn
-        return True
-    if kind == "gateway":                 # WHERE payment_status != 'Paid' (NULL: no)
-        if ps is None or ps == "Paid":
-            return False
-        state.update(payment_status="Paid", payment_method="Electronic", gateway_transaction_id=txn,
-                     payment_timestamp=ts)
-        return True
-    if kind == "proof":                   # not already Paid; status unchanged
-        if ps == "Paid":
-            return False
-        state["gateway_transaction_id"] = txn
-        if method not in (None, ""):
-            state["payment_method"] = method
-        state["notes"] = "Submitted by customer" if _falsy(note) else note
-        return True
-    if kind == "cancel":                  # not already Cancelled; Paid -> Refunded
-        if bs == "Cancelled":
-            return False
-        state["booking_status"] = "Cancelled"
-        if ps == "Paid":
-            state["payment_status"] = "Refunded"
-        return True
-    raise ValueError(kind)
 
 
-def _rows(pdf: pd.DataFrame):
-    return zip(pdf["booking_id"], pdf["ts"], pdf["seq"], pdf["kind"], pdf["status"], pdf["method"],
-               pdf["txn"], pdf["note"], *[pdf[c] for c in INIT_COLS])
+def _blank(c: str) -> Column:
+    return F.coalesce(F.col(c), F.lit("")).isin("", "0")
 
 
-def _pass1(batches):
-    """Transfer table of one partition's last booking segment (the input
-    holds only that segment's rows): the 9 guard classes are folded side by
-    side, row by row, so nothing is buffered."""
-    sims, pid, booking = None, None, None
-    for pdf in batches:
-        if sims is None and len(pdf):
-            pid, booking = int(pdf["pid"].iat[0]), int(pdf["booking_id"].iat[0])
-            sims = {(bl, pl): {"booking_status": bv, "payment_status": pv}
-                    for bl, bv in BS_CLASSES.items() for pl, pv in PS_CLASSES.items()}
-        for r in _rows(pdf):
-            args = (r[3], _val(r[1]), _val(r[4]), _val(r[5]), _val(r[6]), _val(r[7]))
-            for st in sims.values():
-                step(st, *args)
-    if sims is None:
-        return
-    out = []
-    for (bl, pl), st in sims.items():
-        wrote = "".join(k for k, f in (("m", "payment_method"), ("t", "gateway_transaction_id"),
-                                       ("p", "payment_timestamp"), ("n", "notes")) if f in st)
-        out.append({"pid": pid, "booking_id": booking, "bs_class": bl, "ps_class": pl,
-                    "exit_bs": st["booking_status"], "exit_ps": st["payment_status"],
-                    "w_method": st.get("payment_method"), "w_txn": st.get("gateway_transaction_id"),
-                    "w_paid_at": st.get("payment_timestamp"), "w_notes": st.get("notes"), "wrote": wrote})
-    yield pd.DataFrame(out, columns=[f.name for f in TRANSFER_SCHEMA.fields])
+def _payment_status(initial: Column, last_set: Column, gate: Column, cancel: Column, now: Column | None) -> Column:
+    """Payment status after the settings, gateway events and accepted cancel before ``now`` (None: all).
 
+    ``last_set`` is struct(ts, seq, value), ``gate`` and ``cancel`` are struct(ts, seq)."""
+    base = F.when(last_set.isNull(), initial).otherwise(last_set["value"])
+    set_at = F.when(last_set.isNotNull(), F.struct(last_set["ts"].alias("ts"), last_set["seq"].alias("seq")))
+    after_set = lambda at: at.isNotNull() & (set_at.isNull() | (at > set_at))
+    gated = after_set(gate)
+    cancelled = after_set(cancel) if now is None else after_set(cancel) & (cancel < now)
+    return (F.when(base.isNull(), base)
+            .when(cancelled & gated & (gate > cancel), F.lit("Paid"))
+            .when(cancelled & (gated | (base == "Paid")), F.lit("Refunded"))
+            .when(~cancelled & gated, F.lit("Paid"))
+            .otherwise(base))
 
-def _class_bs(v):
-    return v if v in ("Pending", "Cancelled") else "OTHER"
 
-
-def _class_ps(v):
-    return "NULL" if v is None else ("Paid" if v == "Paid" else "OTHER")
-
-
-def _carry(pdf: pd.DataFrame) -> pd.DataFrame:
-    """One booking: apply its partition transfers in partition order from
-    the initial state; after partition p the state is the entry of the next
-    non-empty partition when the booking is that partition's first one."""
-    pdf = pdf.sort_values("pid")
-    first = pdf.iloc[0]
-    state = {f: _val(first["init_" + f]) for f in STATE_FIELDS}
-    out = []
-    for _, g in pdf.groupby("pid", sort=True):
-        cls = g[(g["bs_class"] == _class_bs(state["booking_status"]))
-                & (g["ps_class"] == _class_ps(state["payment_status"]))].iloc[0]
-        if _val(cls["exit_bs"]) != BS_OTHER:
-            state["booking_status"] = _val(cls["exit_bs"])
-        if _val(cls["exit_ps"]) != PS_OTHER:
-            state["payment_status"] = _val(cls["exit_ps"])
-        wrote = _val(cls["wrote"]) or ""
-        for k, f, col in (("m", "payment_method", "w_method"), ("t", "gateway_transaction_id", "w_txn"),
-                          ("p", "payment_timestamp", "w_paid_at"), ("n", "notes", "w_notes")):
-            if k in wrote:
-                state[f] = _val(cls[col])
-        nxt = _val(cls["starts_next"])
-        if nxt is not None:
-            out.append({"pid": int(nxt), "booking_id": int(first["booking_id"]), "carried": True,
-                        **{"carry_" + f: state[f] for f in STATE_FIELDS}})
-    return pd.DataFrame(out, columns=[f.name for f in CARRY_SCHEMA.fields])
-
-
-def _pass2(batches):
-    cols = [f.name for f in OUT_SCHEMA.fields]
-    cur, state, pid = None, None, None
-
-    def emit(out, row_type, booking, ts, seq, kind, accepted, st):
-        out["row_type"].append(row_type)
-        out["pid"].append(pid)
-        out["booking_id"].append(booking)
-        out["ts"].append(ts)
-        out["seq"].append(seq)
-        out["kind"].append(kind)
-        out["accepted"].append(accepted)
-        for f in STATE_FIELDS:
-            out[f].append(st.get(f) if st is not None else None)
-
-    for pdf in batches:
-        out = {c: [] for c in cols}
-        if len(pdf):
-            pid = int(pdf["pid"].iat[0])
-        carried = pdf["has_carry"].to_numpy()
-        for i, r in enumerate(_rows(pdf)):
-            b = int(r[0])
-            if b != cur:
-                if cur is not None:
-                    emit(out, "state", cur, None, None, None, None, state)
-                cur = b
-                src = "carry_" if carried[i] else "init_"
-                state = {f: _val(pdf[src + f].iat[i]) for f in STATE_FIELDS}
-            ok = step(state, r[3], _val(r[1]), _val(r[4]), _val(r[5]), _val(r[6]), _val(r[7]))
-            emit(out, "cmd", b, r[1], int(r[2]), r[3], bool(ok), None)
-        if out["row_type"]:
-            yield pd.DataFrame(out, columns=cols)
-    if cur is not None:
-        out = {c: [] for c in cols}
-        emit(out, "state", cur, None, None, None, None, state)
-        yield pd.DataFrame(out, columns=cols)
+def _judged(commands: DataFrame, bookings: DataFrame) -> DataFrame:
+    """Every command with its verdict, its booking's state before the batch
+    (``init_*``) and the booking's accepted cancel and confirm."""
+    init = bookings.select("booking_id", *[F.col(f).alias("init_" + f) for f in STATE_FIELDS])
+    rows = commands.select(*COMMAND_COLS)
+    at = F.struct("ts", "seq")
+    first = rows.filter(F.col("kind").isin("confirm", "cancel")).groupBy("booking_id").agg(
+        F.min(F.when(F.col("kind") == "confirm", at)).alias("confirm_at"),
+        F.min(F.when(F.col("kind") == "cancel", at)).alias("cancel_at"))
+    rows = rows.join(init, "booking_id").join(first, "booking_id", "left")
+    rows = rows.withColumn("cancel_at", F.when(~F.col("init_booking_status").eqNullSafe("Cancelled"), F.col("cancel_at")))
+    rows = rows.withColumn("confirm_at", F.when((F.col("init_booking_status") == "Pending")
+                                                & (F.col("cancel_at").isNull() | (F.col("confirm_at") < F.col("cancel_at"))),
+                                                F.col("confirm_at")))
+    sets = (F.col("kind") == "pay") | ((F.col("kind") == "confirm") & F.coalesce(at == F.col("confirm_at"), F.lit(False)) & ~_blank("status"))
+    rows = rows.withColumn("set", F.when(sets, F.struct("ts", "seq", F.col("status").alias("value"))))
+    rows = rows.withColumn("gate", F.when(F.col("kind") == "gateway", at))
+    ranged = cut_lineage(rows.repartitionByRange("booking_id", "ts", "seq").withColumn("range", F.spark_partition_id()))
+    inside = Window.partitionBy("booking_id", "range").orderBy("ts", "seq").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy("booking_id").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    before = (ranged.groupBy("booking_id", "range").agg(F.max("set").alias("set"), F.max("gate").alias("gate"))
+              .select("booking_id", "range", F.max("set").over(earlier).alias("set_before"), F.max("gate").over(earlier).alias("gate_before"))
+              .filter("set_before is not null or gate_before is not null"))
+    rows = (ranged.withColumn("last_set", F.max("set").over(inside)).withColumn("last_gate", F.max("gate").over(inside))
+            .join(before, ["booking_id", "range"], "left")
+            .withColumn("last_set", F.coalesce("last_set", "set_before")).withColumn("last_gate", F.coalesce("last_gate", "gate_before")))
+    status = _payment_status(F.col("init_payment_status"), F.col("last_set"), F.col("last_gate"), F.col("cancel_at"), at)
+    accepted = (F.when(F.col("kind") == "confirm", at == F.col("confirm_at"))
+                .when(F.col("kind") == "cancel", at == F.col("cancel_at"))
+                .when(F.col("kind") == "pay", F.lit(True))
+                .when(F.col("kind") == "gateway", status != "Paid")
+                .when(F.col("kind") == "proof", ~status.eqNullSafe("Paid")))
+    return rows.withColumn("accepted", F.coalesce(accepted, F.lit(False)))
 
 
 def booking_state(commands: DataFrame, bookings: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Fold ``commands`` (booking_id, ts, seq, kind, status, method,
     txn, note) over each booking's current state in (ts, seq) order.
-    ``seq`` breaks ties and must make the order total per booking.  Returns
-    ``(verdicts, final)``: verdicts = (booking_id, ts, seq, kind, accepted);
-    final = the state after the last command of each commanded booking."""
-    init = bookings.select("booking_id", *[F.col(f).alias("init_" + f) for f in STATE_FIELDS])
-    rows = (commands.select(*COMMAND_COLS).join(init, "booking_id")
-            .select(*[f.name for f in CMD_SCHEMA.fields]))
-    ck = range_partitioned(rows, "booking_id", "ts", "seq")
-    pidded = ck.withColumn("pid", F.spark_partition_id())
-    # one row per partition: its first and last booking
-    bounds = pidded.groupBy("pid").agg(F.min("booking_id").alias("first_booking"),
-                                       F.max("booking_id").alias("last_booking"))
-    last_rows = (pidded.join(per_partition(bounds.select("pid", F.col("last_booking").alias("booking_id"))),
-                             ["pid", "booking_id"], "left_semi")
-                 .sortWithinPartitions("booking_id", "ts", "seq"))
-    transfers = last_rows.mapInPandas(_pass1, TRANSFER_SCHEMA)
-    nxt = Window.orderBy("pid")
-    firsts = bounds.select("pid", F.lead("pid").over(nxt).alias("next_pid"),
-                           F.lead("first_booking").over(nxt).alias("next_first"))
-    cont = (transfers.join(firsts, "pid", "left")
-            .withColumn("starts_next", F.when(F.col("next_first") == F.col("booking_id"), F.col("next_pid"))))
-    multi = cont.filter(F.col("starts_next").isNotNull()).select("booking_id").distinct()
-    carry_in = cut_lineage(cont.join(multi, "booking_id", "left_semi")
-                           .join(init, "booking_id")
-                           .groupBy("booking_id").applyInPandas(_carry, CARRY_SCHEMA))
-    staged = (pidded.join(per_partition(carry_in), ["pid", "booking_id"], "left")
-              .withColumn("has_carry", F.coalesce(F.col("carried"), F.lit(False)))
-              .sortWithinPartitions("booking_id", "ts", "seq"))
-    out = cut_lineage(staged.mapInPandas(_pass2, OUT_SCHEMA))
-    verdicts = out.filter(F.col("row_type") == "cmd").select("booking_id", "ts", "seq", "kind", "accepted")
-    final = (out.filter(F.col("row_type") == "state").groupBy("booking_id")
-             .agg(F.max_by(F.struct(*STATE_FIELDS), "pid").alias("s"))
-             .select("booking_id", *[F.col("s." + f).alias(f) for f in STATE_FIELDS]))
-    return verdicts, final
+    ``seq`` breaks ties and must make the order total per booking.  Commands of
+    unknown bookings are dropped.  Returns ``(verdicts, final)``: verdicts =
+    (booking_id, ts, seq, kind, accepted); final = the state after the last
+    command of each commanded booking."""
+    rows = _judged(commands, bookings)
+    verdicts = rows.select("booking_id", "ts", "seq", "kind", "accepted")
+    kind, ok = F.col("kind"), F.col("accepted")
+
+    def last(when: Column, value: Column) -> Column:
+        return F.max(F.when(ok & when, F.struct("ts", "seq", value.alias("value"))))
+
+    final = rows.groupBy("booking_id").agg(
+        *[F.first("init_" + f).alias("init_" + f) for f in STATE_FIELDS],
+        F.first("cancel_at").alias("cancel_at"), F.first("confirm_at").alias("confirm_at"),
+        F.max("set").alias("set"), F.max("gate").alias("gate"),
+        last(kind.isin("pay", "proof") & (F.coalesce("method", F.lit("")) != "") | (kind == "gateway"),
+             F.when(kind == "gateway", F.lit("Electronic")).otherwise(F.col("method"))).alias("method"),
+        last((kind == "pay") & (F.coalesce("txn", F.lit("")) != "") | kind.isin("gateway", "proof"), F.col("txn")).alias("txn"),
+        last((kind == "pay") & (F.col("status") == "Paid") | (kind == "gateway"), F.col("ts")).alias("paid"),
+        last(kind == "proof", falsy_default("note", PROOF_NOTE)).alias("note"))
+    booking = (F.when(F.col("cancel_at").isNotNull(), F.lit("Cancelled")).when(F.col("confirm_at").isNotNull(), F.lit("Confirmed"))
+               .otherwise(F.col("init_booking_status")))
+
+    def latest(name: str, field: str) -> Column:
+        return F.when(F.col(name).isNotNull(), F.col(f"{name}.value")).otherwise(F.col("init_" + field)).alias(field)
+
+    return verdicts, final.select(
+        "booking_id", booking.alias("booking_status"),
+        _payment_status(F.col("init_payment_status"), F.col("set"), F.col("gate"), F.col("cancel_at"), None).alias("payment_status"),
+        latest("method", "payment_method"), latest("txn", "gateway_transaction_id"),
+        latest("paid", "payment_timestamp"), latest("note", "notes"))
 
 
 # ---------------------------------------------------------------------------
 # Command table of the five write paths
 # ---------------------------------------------------------------------------
-def _seq(kind: str, *cols) -> "F.Column":
-    """Tie-break inside one timestamp: kind order, then a content hash."""
-    return (F.lit(KIND_ORDER[kind]) * F.lit(1 << 40) + F.xxhash64(*cols).bitwiseAND(F.lit((1 << 40) - 1))).cast("bigint")
+def _seq(commands: DataFrame, kind: str, col: str = "command_id") -> Column:
+    """Order inside one instant: the kind, then the unique arrival id."""
+    arrival(commands, col=col)                            # fails without ids
+    return (F.lit(KIND_ORDER[kind]) * F.lit(1 << 56) + F.col(col)).cast("bigint").alias("seq")
 
 
 def booking_commands(bookings: DataFrame, confirms: DataFrame | None = None, payments: DataFrame | None = None,
@@ -287,55 +141,47 @@ def booking_commands(bookings: DataFrame, confirms: DataFrame | None = None, pay
                      cancels: DataFrame | None = None) -> DataFrame:
     """Unify the five command feeds into E4's command table, dropping the
     commands the reference rejects before touching the booking (bad enum
-    values, missing fields, a proof by neither the owner nor staff):
+    values, missing fields, a proof by neither the owner nor staff).  Every
+    feed carries its arrival id (``command_id``; ``event_id`` of a webhook):
     confirms (booking_id, employee_id, payment_status, notes, ts);
     payments (B2 updates: booking_id, payment_status, payment_method,
     transaction_id, ts); gateway (E2 output: booking_id, session_id,
     received_at); proofs (B4: booking_id, actor_user_id, actor_user_type,
     transaction_id, payment_method, note, ts); cancels (booking_id,
     requested_at)."""
-    from ..functions.rules import PAYMENT_METHODS, PAYMENT_STATUSES
-
     def trim(c):
         return F.trim(F.coalesce(F.col(c), F.lit("")))
 
     parts = []
     null = F.lit(None).cast("string")
     if confirms is not None:
-        c = confirms.select("booking_id", "ts", trim("payment_status").alias("status"), trim("notes").alias("note"))
+        c = confirms.select("booking_id", "ts", _seq(confirms, "confirm"), trim("payment_status").alias("status"), trim("notes").alias("note"))
         c = c.filter((F.col("booking_id") > 0) & ((F.col("status") == "") | F.col("status").isin(*PAYMENT_STATUSES)))
-        parts.append(c.select("booking_id", "ts", _seq("confirm", "booking_id", "ts", "status", "note").alias("seq"),
-                              F.lit("confirm").alias("kind"), "status", null.alias("method"), null.alias("txn"),
-                              "note"))
+        parts.append(c.select("booking_id", "ts", "seq", F.lit("confirm").alias("kind"), "status", null.alias("method"),
+                              null.alias("txn"), "note"))
     if payments is not None:
-        p = payments.select("booking_id", "ts", trim("payment_status").alias("status"),
+        p = payments.select("booking_id", "ts", _seq(payments, "pay"), trim("payment_status").alias("status"),
                             trim("payment_method").alias("method"), trim("transaction_id").alias("txn"))
         p = p.filter((F.col("booking_id") > 0) & F.col("status").isin(*PAYMENT_STATUSES)
                      & ((F.col("method") == "") | F.col("method").isin(*PAYMENT_METHODS)))
-        parts.append(p.select("booking_id", "ts", _seq("pay", "booking_id", "ts", "status", "method", "txn").alias("seq"),
-                              F.lit("pay").alias("kind"), "status", "method", "txn", null.alias("note")))
+        parts.append(p.select("booking_id", "ts", "seq", F.lit("pay").alias("kind"), "status", "method", "txn", null.alias("note")))
     if gateway is not None:
-        g = gateway.select("booking_id", F.col("received_at").alias("ts"), F.col("session_id").alias("txn"))
-        parts.append(g.select("booking_id", "ts", _seq("gateway", "booking_id", "ts", "txn").alias("seq"),
-                              F.lit("gateway").alias("kind"), null.alias("status"), null.alias("method"), "txn",
-                              null.alias("note")))
+        g = gateway.select("booking_id", F.col("received_at").alias("ts"), _seq(gateway, "gateway", "event_id"), F.col("session_id").alias("txn"))
+        parts.append(g.select("booking_id", "ts", "seq", F.lit("gateway").alias("kind"), null.alias("status"), null.alias("method"),
+                              "txn", null.alias("note")))
     if proofs is not None:
         owners = bookings.select("booking_id", F.col("user_id").alias("_owner"))
-        q = (proofs.select("booking_id", "ts", "actor_user_id", "actor_user_type", trim("transaction_id").alias("txn"),
-                           trim("payment_method").alias("method"), trim("note").alias("note"))
+        q = (proofs.select("booking_id", "ts", _seq(proofs, "proof"), "actor_user_id", "actor_user_type",
+                           trim("transaction_id").alias("txn"), trim("payment_method").alias("method"), trim("note").alias("note"))
              .join(owners, "booking_id"))
         q = q.filter((F.col("booking_id") > 0) & ~F.col("txn").isin("", "0")
                      & (F.coalesce(F.col("_owner") == F.col("actor_user_id"), F.lit(False))
                         | F.coalesce(F.col("actor_user_type").isin("Employee", "Admin"), F.lit(False)))
                      & ((F.col("method") == "") | F.col("method").isin(*PAYMENT_METHODS)))
-        parts.append(q.select("booking_id", "ts",
-                              _seq("proof", "booking_id", "ts", "txn", "method", "note", "actor_user_id").alias("seq"),
-                              F.lit("proof").alias("kind"), null.alias("status"), "method", "txn", "note"))
+        parts.append(q.select("booking_id", "ts", "seq", F.lit("proof").alias("kind"), null.alias("status"), "method", "txn", "note"))
     if cancels is not None:
-        k = cancels.select("booking_id", F.col("requested_at").alias("ts"))
-        parts.append(k.select("booking_id", "ts", _seq("cancel", "booking_id", "ts").alias("seq"),
-                              F.lit("cancel").alias("kind"), null.alias("status"), null.alias("method"),
-                              null.alias("txn"), null.alias("note")))
+        parts.append(cancels.select("booking_id", F.col("requested_at").alias("ts"), _seq(cancels, "cancel"), F.lit("cancel").alias("kind"),
+                                    null.alias("status"), null.alias("method"), null.alias("txn"), null.alias("note")))
     out = parts[0]
     for x in parts[1:]:
         out = out.unionByName(x)
@@ -345,43 +191,31 @@ def booking_commands(bookings: DataFrame, confirms: DataFrame | None = None, pay
 # ---------------------------------------------------------------------------
 # Streaming form: each micro-batch folded with the batch operator
 # ---------------------------------------------------------------------------
-def _latest_states(spark, states_dir: str, before_batch: int) -> DataFrame | None:
-    try:
-        prev = spark.read.parquet(states_dir)
-    except Exception:  # noqa: BLE001 - no batch written yet
-        return None
-    prev = prev.filter(F.col("batch_id") < before_batch)
-    return (prev.groupBy("booking_id").agg(F.max_by(F.struct(*STATE_FIELDS), "batch_id").alias("s"))
-            .select("booking_id", *[F.col("s." + f).alias(f) for f in STATE_FIELDS]))
-
-
-def run_booking_state_stream(stream: DataFrame, bookings: DataFrame, out_dir: str, checkpoint_dir: str,
-                             max_files_per_trigger: int | None = None) -> None:
+def run_booking_state_stream(stream: DataFrame, bookings: DataFrame, out_dir: str, checkpoint_dir: str) -> None:
     """E4 on a stream of commands (``foreachBatch``).  Each micro-batch is
-    folded with ``booking_state`` - the skew-safe range-partitioned scan -
-    starting from the bookings' current state: the initial table overridden
-    by the latest state any earlier batch wrote.  Batch N writes
-    ``states/batch_id=N`` and ``verdicts/batch_id=N`` with overwrite, and
-    reads only batches < N, so a replay after a failure recomputes and
-    rewrites the same rows.  Commands apply in arrival order across batches
-    (as the reference applies requests as they come); a history that
-    arrives in order gives exactly ``booking_state``."""
+    folded with ``booking_state`` over the bookings it names only, from their
+    newest state of earlier batches (``KeyedStore``), else the initial table.
+    Batch N rewrites its own states and verdicts on a replay.  Commands apply
+    in arrival order across batches (as the reference applies requests as
+    they come); a history that arrives in order gives exactly
+    ``booking_state``."""
     spark = stream.sparkSession
-    states_dir, verdicts_dir = f"{out_dir}/states", f"{out_dir}/verdicts"
+    store = KeyedStore(spark, f"{out_dir}/states", "booking_id")
 
     def apply(batch: DataFrame, batch_id: int) -> None:
-        current = bookings.select("booking_id", *STATE_FIELDS)
-        prev = _latest_states(spark, states_dir, batch_id)
+        ids = batch.select("booking_id").distinct()
+        current = bookings.select("booking_id", *STATE_FIELDS).join(ids, "booking_id", "left_semi")
+        prev = store.rows_before(batch_id, ids)
         if prev is not None:
             current = current.join(prev.select("booking_id"), "booking_id", "left_anti").unionByName(prev)
         verdicts, final = booking_state(batch, current)
-        final.write.mode("overwrite").parquet(f"{states_dir}/batch_id={batch_id}")
-        verdicts.write.mode("overwrite").parquet(f"{verdicts_dir}/batch_id={batch_id}")
+        store.write(final, batch_id)
+        write_batch(verdicts, f"{out_dir}/verdicts", batch_id)
 
-    w = stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint_dir)
-    w.trigger(availableNow=True).start().awaitTermination()
+    (stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint_dir)
+     .trigger(availableNow=True).start().awaitTermination())
 
 
-def final_states(spark, out_dir: str) -> DataFrame:
+def final_states(spark: SparkSession, out_dir: str) -> DataFrame:
     """Latest state per booking written by ``run_booking_state_stream``."""
-    return _latest_states(spark, f"{out_dir}/states", 1 << 62)
+    return KeyedStore(spark, f"{out_dir}/states", "booking_id").all_rows()

@@ -100,13 +100,50 @@ def test_sequence_ids_dense_in_order(spark):
 # ---------------------------------------------------------------------------
 # A hot booking spread over many range partitions == plain fold
 # ---------------------------------------------------------------------------
+def _step(state, kind, ts, status, method, txn, note):
+    """One command, as the reference's write paths apply it; whether its guard passes."""
+    bs, ps = state["booking_status"], state["payment_status"]
+    if kind == "confirm":
+        if bs != "Pending":
+            return False
+        state["booking_status"] = "Confirmed"
+        if status not in (None, "", "0"):
+            state["payment_status"] = status
+    elif kind == "pay":
+        state["payment_status"] = status
+        if method:
+            state["payment_method"] = method
+        if status == "Paid":
+            state["payment_timestamp"] = ts
+        if txn:
+            state["gateway_transaction_id"] = txn
+    elif kind == "gateway":
+        if ps is None or ps == "Paid":
+            return False
+        state.update(payment_status="Paid", payment_method="Electronic", gateway_transaction_id=txn, payment_timestamp=ts)
+    elif kind == "proof":
+        if ps == "Paid":
+            return False
+        state["gateway_transaction_id"] = txn
+        if method:
+            state["payment_method"] = method
+        state["notes"] = "Submitted by customer" if note in (None, "", "0") else note
+    else:
+        if bs == "Cancelled":
+            return False
+        state["booking_status"] = "Cancelled"
+        if ps == "Paid":
+            state["payment_status"] = "Refunded"
+    return True
+
+
 def _brute(init, cmds):
     states = {b: dict(s) for b, s in init.items()}
     verdicts = {}
     for c in sorted(cmds, key=lambda c: (c["booking_id"], c["ts"], c["seq"])):
         if c["booking_id"] not in states:
             continue
-        ok = E4.step(states[c["booking_id"]], c["kind"], c["ts"], c["status"], c["method"], c["txn"], c["note"])
+        ok = _step(states[c["booking_id"]], c["kind"], c["ts"], c["status"], c["method"], c["txn"], c["note"])
         verdicts[(c["booking_id"], c["seq"])] = ok
     return states, verdicts
 
@@ -168,6 +205,44 @@ def test_booking_state_hot_key_matches_sequential_fold(spark):
     assert set(got_final) == {c["booking_id"] for c in cmds if c["booking_id"] in init}
 
 
+def test_booking_state_equals_sequential_fold(spark):
+    """Many small bookings with every mix of commands, several at one instant."""
+    for seed in range(3):
+        rnd = random.Random(seed)
+        init = {b: {"booking_status": rnd.choice(["Pending", "Confirmed", "Cancelled", None]), "payment_status": rnd.choice(["Unpaid", "Paid", "Refunded", None]),
+                    "payment_method": "Cash", "gateway_transaction_id": None, "payment_timestamp": None, "notes": None} for b in range(1, 400)}
+        cmds = []
+        for i in range(4000):
+            k = rnd.choices(["confirm", "pay", "gateway", "proof", "cancel"], weights=[2, 2, 3, 2, 1])[0]
+            cmds.append({"booking_id": rnd.randint(1, 410), "ts": dt.datetime(2024, 1, 1) + dt.timedelta(hours=rnd.randrange(6)), "seq": i, "kind": k,
+                         "status": rnd.choice(["Unpaid", "Paid", "Refunded"] + [""] * (k == "confirm")) if k in ("pay", "confirm") else None,
+                         "method": rnd.choice(["", "Kareemi"]) if k in ("pay", "proof") else None,
+                         "txn": rnd.choice(["", f"x{i}"]) if k == "pay" else f"x{i}" if k in ("gateway", "proof") else None,
+                         "note": rnd.choice(["", "0", f"n{i}"]) if k == "proof" else None})
+        bdf = spark.createDataFrame([(b, *[s[f] for f in E4.STATE_FIELDS]) for b, s in init.items()],
+                                    "booking_id long, booking_status string, payment_status string, payment_method string, "
+                                    "gateway_transaction_id string, payment_timestamp timestamp_ntz, notes string")
+        cdf = spark.createDataFrame([tuple(c[k] for k in E4.COMMAND_COLS) for c in cmds],
+                                    "booking_id long, ts timestamp_ntz, seq long, kind string, status string, method string, txn string, note string")
+        verdicts, final = E4.booking_state(cdf, bdf)
+        states, want = _brute(init, cmds)
+        assert {(r.booking_id, r.seq): r.accepted for r in verdicts.collect()} == want
+        named = {c["booking_id"] for c in cmds} & set(init)
+        assert {r.booking_id: tuple(r[f] for f in E4.STATE_FIELDS) for r in final.collect()} == {b: tuple(states[b][f] for f in E4.STATE_FIELDS) for b in named}
+
+
+def test_eight_bookings_two_payments_at_one_instant(spark):
+    """E4 and B2 agree on ties: the later arrival wins."""
+    b = spark.createDataFrame([(i, 1, "Pending", "Unpaid", "Cash", None, None, None) for i in range(1, 9)],
+                              "booking_id long, user_id long, booking_status string, payment_status string, payment_method string, "
+                              "gateway_transaction_id string, payment_timestamp timestamp_ntz, notes string")
+    p = spark.createDataFrame([(10 * i + k, i, s, "", "", dt.datetime(2024, 1, 1)) for i in range(1, 9) for k, s in ((1, "Paid"), (2, "Unpaid"))],
+                              "command_id long, booking_id long, payment_status string, payment_method string, transaction_id string, ts timestamp_ntz")
+    b2 = {r.booking_id: r.payment_status for r in bookings.apply_payment_updates(b, p)[1].collect()}
+    e4 = {r.booking_id: r.payment_status for r in E4.booking_state(E4.booking_commands(b, payments=p), b)[1].collect()}
+    assert b2 == e4 == {i: "Unpaid" for i in range(1, 9)}
+
+
 def test_booking_state_sf001_runs(spark):
     import __spark_entry__ as entry
     df = entry.queries()["booking_state"](spark, MEDIUM)
@@ -200,7 +275,7 @@ def test_booking_state_stream_over_batches_equals_batch(spark):
     stream = (spark.readStream.schema(cmds.schema).option("maxFilesPerTrigger", 1).parquet(base + "/in"))
     E4.run_booking_state_stream(stream, fx["bookings"], base + "/out", base + "/ck")
     got = E4.final_states(spark, base + "/out")
-    assert spark.read.parquet(base + "/out/states").select("batch_id").distinct().count() == 4
+    assert spark.read.parquet(base + "/out/states/deltas").select("batch_id").distinct().count() == 4
     want = E4.booking_state(cmds, fx["bookings"])[1]
     assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
 
