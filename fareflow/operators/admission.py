@@ -13,57 +13,62 @@ graph.  ``first_come_admission`` computes it exactly in parallel rounds:
 * an undecided request sharing a resource with a request accepted this
   round is rejected.
 
-Each round is a partial-aggregate ``min`` per resource plus equi-joins, so a
-hot resource (one seat wanted by a third of all requests) is combined
-map-side and never collected into one row.  In every connected group the
-earliest undecided request is accepted each round, so for seats the number
-of rounds is bounded by the seats of one bus, not by the data volume.  Each
-round is checkpointed to the session's checkpoint folder, which cuts the
-lineage and survives executor loss.
+Each round is one status pass: a partial-aggregate ``min`` per resource, two
+equi-joins and one aggregate per request, so a hot resource (one seat wanted by
+a third of all requests) is combined map-side and never collected into one row.
+In every connected group the earliest undecided request is accepted each round,
+so every round decides something and the rounds end by themselves; they are not
+capped.  A chain of n requests that each share a resource with the next needs
+about n/2 rounds: for seats of a trip that is at most the seats of one bus, for
+e-mails and phone numbers it is as long as the data's chains are.  A round is
+one write to the session's checkpoint folder, which cuts the lineage and
+survives executor loss; decided requests are read once, at the end.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.rules import PAYMENT_METHODS
 from ..plans.hints import per_partition
-from ..plans.lineage import cut_lineage, range_partitioned
+from ..plans.lineage import cut_lineage, path_exists, range_partitioned, scratch_folder
 from .keyed import reasons
 from .listings import default_cancel_policy
 
 
-def first_come_admission(items: DataFrame, rid: str, order: str, res: str,
-                         max_rounds: int = 10_000) -> DataFrame:
+def first_come_admission(items: DataFrame, rid: str, order: str, res: str) -> DataFrame:
     """``items``: one row per (request ``rid``, arrival ``order``, resource
     ``res``); ``order`` must be equal for all rows of a request and, with
     ``rid``, totally ordered.  Returns ``(rid, accepted)`` for every request."""
-    pending = cut_lineage(items.select(rid, order, res).dropDuplicates([rid, res]))
-    decided: list[DataFrame] = []
-    for _ in range(max_rounds):
-        if pending.isEmpty():
-            break
+    spark = items.sparkSession
+    folder = scratch_folder(spark, "admission")
+    open_ = items.select(rid, order, res).dropDuplicates([rid, res])
+    n = 0
+    while True:
         key = F.struct(F.col(order), F.col(rid))
-        first = pending.groupBy(res).agg(F.min(key).alias("_first"))
-        status = (pending.join(first, res)
-                  .groupBy(rid).agg(F.bool_and(key == F.col("_first")).alias("accepted")))
-        winners = status.filter("accepted").select(rid)
-        held = pending.join(winners, rid, "left_semi").select(res)
-        losers = (pending.join(winners, rid, "left_anti").join(held, res, "left_semi")
-                  .select(rid).distinct())
-        now = cut_lineage(winners.withColumn("accepted", F.lit(True))
-                          .unionByName(losers.withColumn("accepted", F.lit(False))))
-        decided.append(now)
-        pending = cut_lineage(pending.join(now, rid, "left_anti"))
-    else:
-        raise RuntimeError("first_come_admission did not converge")
-    if not decided:
+        first = open_.groupBy(res).agg(F.min(key).alias("_first"))
+        claims = open_.join(first, res).withColumn("_mine", key == F.col("_first"))
+        wins = claims.groupBy(rid).agg(F.bool_and("_mine").alias("_wins"))
+        lead = wins.select(F.col(rid).alias("_lead"), F.col("_wins").alias("_lead_wins"))
+        # a request loses if the first claimant of one of its resources is accepted and is another
+        status = (claims.withColumn("_lead", F.col(f"_first.{rid}")).join(lead, "_lead")
+                  .groupBy(rid).agg(F.bool_and("_mine").alias("accepted"), F.bool_or(~F.col("_mine") & F.col("_lead_wins")).alias("_lost")))
+        state = F.when(F.col("accepted"), "accepted").when(F.col("_lost"), "rejected").otherwise("open")
+        path = f"{folder}/round={n}"
+        (open_.join(status.select(rid, state.alias("state")), rid)
+         .write.partitionBy("state").parquet(path))
+        n += 1
+        schema = open_.schema
+        if not path_exists(spark, f"{path}/state=open"):
+            break
+        open_ = spark.read.schema(schema).parquet(f"{path}/state=open")
+    if not any(path_exists(spark, f"{folder}/round={i}/state={x}") for i in range(n) for x in ("accepted", "rejected")):
         return items.select(rid).limit(0).withColumn("accepted", F.lit(True))
-    out = decided[0]
-    for d in decided[1:]:
-        out = out.unionByName(d)
-    return out
+    every = spark.read.schema(T.StructType([*schema.fields, T.StructField("state", T.StringType()),
+                                             T.StructField("round", T.IntegerType())])).parquet(folder)
+    return (every.filter(F.col("state") != "open").select(rid, (F.col("state") == "accepted").alias("accepted")).distinct())
 
 
 def assign_sequence_ids(df: DataFrame, order_cols: list[str], start: Column, id_col: str) -> DataFrame:
@@ -110,10 +115,11 @@ def expand_passengers(requests: DataFrame) -> DataFrame:
 def resolve_seat_codes(requests: DataFrame, trips: DataFrame, seats: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(trip, seat code) -> seat id through trips -> buses -> seats.
     Codes are the trimmed seat codes with PHP-falsy ones ('' and '0')
-    dropped.  A request fails when it has no code (``no_seat_codes``) or
-    when the seats found differ in number from the codes given
-    (``unknown_seats``) - so a duplicated code also fails, as the
-    reference's ``count($rows) !== count($codes)``.  Returns
+    dropped; they are counted before the join.  A request fails when it has
+    no code (``no_seat_codes``) or when the seats found differ in number from
+    the codes given (``unknown_seats``), as the reference's ``count($rows) !==
+    count($codes)``: a code given twice finds one seat for two codes, a bus
+    with two seats of one number finds two for one.  Returns
     ``(codes, per_request)``: codes = (request_id, trip_id, seat_code,
     seat_id); per_request = (request_id, n_codes, n_found, reject_reason)."""
     codes = (expand_passengers(requests)
@@ -123,9 +129,9 @@ def resolve_seat_codes(requests: DataFrame, trips: DataFrame, seats: DataFrame)
     bus_seats = (trips.select("trip_id", "bus_id")
                  .join(seats.select("bus_id", F.col("seat_number").alias("seat_code"), "seat_id"), "bus_id"))
     found = codes.join(bus_seats, ["trip_id", "seat_code"], "left")
-    per = found.groupBy("request_id").agg(F.count(F.lit(1)).alias("n_codes"),
-                                          F.count_distinct("seat_id").alias("n_found"))
-    per = (requests.select("request_id").join(per, "request_id", "left")
+    given = codes.groupBy("request_id").agg(F.count(F.lit(1)).alias("n_codes"))
+    seen = found.groupBy("request_id").agg(F.count_distinct("seat_id").alias("n_found"))
+    per = (requests.select("request_id").join(given, "request_id", "left").join(seen, "request_id", "left")
            .select("request_id", F.coalesce("n_codes", F.lit(0).cast("bigint")).alias("n_codes"),
                    F.coalesce("n_found", F.lit(0).cast("bigint")).alias("n_found"))
            .withColumn("reject_reason", F.when(F.col("n_codes") == 0, "no_seat_codes")
@@ -140,11 +146,13 @@ def booking_request_checks(requests: DataFrame, trips: DataFrame, policies: Data
     reference's order: ``missing_fields`` (user, trip or passengers),
     ``trip_not_found``, ``no_default_policy``, ``no_seat_codes``,
     ``unknown_seats``, ``already_booked`` (a seat held by an existing
-    passenger of the trip, cancelled ones included), then
-    ``invalid_payment_method``.  Returns one row per request with
+    passenger of the trip, cancelled ones included),
+    ``invalid_payment_method``, then ``price_out_of_range`` (a price that the
+    database's column can't hold; its insert fails).  Returns one row per request with
     ``cancel_policy_id`` and ``reject_reason`` (null = goes to contention)."""
     req = requests.select("request_id", "user_id", "trip_id", "payment_method",
-                          (F.size("passengers") == 0).alias("_no_pax"))
+                          (F.size("passengers") == 0).alias("_no_pax"),
+                          F.col("total_price").isNull().alias("_no_price"))
     pol = default_cancel_policy(trips, policies).select("trip_id", "cancel_policy_id", F.lit(True).alias("_trip"))
     codes, per = resolved or resolve_seat_codes(requests, trips, seats)
     held = (bookings.select("booking_id", "trip_id")
@@ -161,7 +169,8 @@ def booking_request_checks(requests: DataFrame, trips: DataFrame, policies: Data
         (F.col("_seat_reason") == "no_seat_codes", "no_seat_codes"),
         (F.col("_seat_reason") == "unknown_seats", "unknown_seats"),
         (F.col("_taken").isNotNull(), "already_booked"),
-        (~F.col("payment_method").isin(*PAYMENT_METHODS), "invalid_payment_method"))
+        (~F.col("payment_method").isin(*PAYMENT_METHODS), "invalid_payment_method"),
+        (F.col("_no_price"), "price_out_of_range"))
     return j.select("request_id", "trip_id", "cancel_policy_id", reason.alias("reject_reason"))
 
 

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.rules import (PAYMENT_METHODS, PAYMENT_STATUSES, falsy_default,
+from ..functions.rules import (CANCEL_REASON, CONFIRM_NOTE, PAYMENT_METHODS, PAYMENT_STATUSES, PROOF_NOTE, falsy_default,
                                hours_before_departure, refund_amount)
 from .keyed import arrival, first_per_key, reasons
 
@@ -59,7 +59,8 @@ def cancel_rule_matches(requests: DataFrame, bookings: DataFrame, trips: DataFra
 def _cancel_core(requests: DataFrame, bookings: DataFrame, trips: DataFrame, rules: DataFrame,
                  mode: str) -> DataFrame:
     """Shared core of C1 (``mode='preview'``) and C2 (``mode='confirm'``)."""
-    req = requests.select("booking_id", "requested_at",
+    ids = ["command_id"] if "command_id" in requests.columns else []
+    req = requests.select("booking_id", "requested_at", *ids,
                           (F.col("reason") if "reason" in requests.columns else F.lit(None).cast("string")).alias("reason"))
     req = req.withColumn("_rk", F.struct("booking_id", "requested_at"))
     b = (bookings.select("booking_id", "total_price", "booking_status", "payment_status", "cancel_policy_id", "trip_id")
@@ -114,16 +115,17 @@ def apply_cancellations(requests: DataFrame, bookings: DataFrame, trips: DataFra
     """C2 (confirm): like C1 but the fee defaults to the full price even
     when Unpaid, and a NULL payment status does look a rule up.  Paid
     becomes Refunded (even for a refund of 0).  Several requests for one
-    booking: the earliest wins, later ones find it cancelled.  Returns
+    booking: the earliest (by time, then ``command_id``) wins, later ones - exact
+    retries too - find it cancelled.  Returns
     ``outcomes``, ``bookings`` (changed rows), ``passengers`` (set
     Cancelled), ``freed_seats`` and ``ledger`` (booking_cancellations)."""
     c = _cancel_core(requests, bookings, trips, rules, "confirm")
-    c = first_per_key(c, "booking_id", ["requested_at", "reason"])
+    c = first_per_key(c, "booking_id", [arrival(requests, "requested_at")])
     reason = reasons((F.col("_found").isNull() | (F.col("booking_status") == "Cancelled") | ~F.col("is_first"),
                       "invalid_or_already_cancelled"))
     c = c.withColumn("reject_reason", reason)
     ok = c.filter(F.col("reject_reason").isNull())
-    reason_text = F.coalesce(F.col("reason"), F.lit("Customer request"))
+    reason_text = F.coalesce(F.col("reason"), F.lit(CANCEL_REASON))
     outcomes = c.select("booking_id", "requested_at", "reject_reason",
                         F.when(F.col("reject_reason").isNull(), F.col("refund_amount")).alias("refund_amount"))
     new_bookings = ok.select(
@@ -223,7 +225,7 @@ def confirm_bookings(bookings: DataFrame, users: DataFrame, commands: DataFrame)
     audit = j.filter(ok).select(
         "booking_id", "employee_id", F.lit("CONFIRM_BOOKING").alias("action_type"),
         F.col("booking_status").alias("old_status"), F.lit("Confirmed").alias("new_status"),
-        falsy_default("notes", F.concat(F.lit("Payment Status: "), F.coalesce(new_pay, F.lit("")))).alias("notes"))
+        falsy_default("notes", F.concat(F.lit(CONFIRM_NOTE), F.coalesce(new_pay, F.lit("")))).alias("notes"))
     return outcomes, audit
 
 
@@ -256,7 +258,7 @@ def submit_payment_proof(bookings: DataFrame, proofs: DataFrame) -> tuple[DataFr
         F.max_by("txn", "_arrival").alias("_txn"),
         F.max_by(F.when(F.col("method") != "", F.col("method")),
                  F.when(F.col("method") != "", F.col("_arrival"))).alias("_method"),
-        F.max_by(falsy_default("note", "Submitted by customer"), "_arrival").alias("_note"))
+        F.max_by(falsy_default("note", PROOF_NOTE), "_arrival").alias("_note"))
     new = (bookings.join(last, "booking_id")
            .select("booking_id", "payment_status", F.col("_txn").alias("gateway_transaction_id"),
                    F.coalesce("_method", "payment_method").alias("payment_method"), F.col("_note").alias("notes")))

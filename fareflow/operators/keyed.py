@@ -25,16 +25,15 @@ def ts_param(x) -> Column:
     return F.to_timestamp_ntz(F.lit(str(x)))
 
 
-def arrival(commands: DataFrame, col: str = "command_id") -> Column:
-    """Arrival order of a command batch: ``command_id`` when present, else
-    ``ts`` then the rest of the row, else the whole row (a deterministic
-    order; identical commands tie)."""
-    if col in commands.columns:
-        return F.col(col).alias("_arrival")
-    cols = list(commands.columns)
-    if "ts" in cols:
-        cols = ["ts"] + [c for c in cols if c != "ts"]
-    return F.struct(*cols).alias("_arrival")
+def arrival(commands: DataFrame, ts: str = "ts", col: str = "command_id") -> Column:
+    """Arrival order of a command batch: its time (when the batch has one),
+    then ``command_id``.  The id must be unique, so no two commands ever tie -
+    a retried command that equals the first in everything else still comes
+    second.  A batch without ids gets them from ``admission.assign_sequence_ids``
+    over its file order."""
+    if col not in commands.columns:
+        raise ValueError(f"commands need a unique arrival id in column {col!r}")
+    return F.struct(*[c for c in (ts, col) if c in commands.columns]).alias("_arrival")
 
 
 def first_per_key(df: DataFrame, key: list[str] | str, order: list, flag: str = "is_first") -> DataFrame:

@@ -16,18 +16,21 @@ def booking_history(users: DataFrame, bookings: DataFrame, trips: DataFrame, rou
                     sort: bool = True) -> DataFrame:
     """Every user's bookings with trip, route, class and company (the
     reference's 12 columns) plus ``booking_count`` per user, newest booking
-    first within a user.  The per-user count is an aggregate joined back on
-    ``user_id`` (AQE splits a hot user), not a window."""
-    rows = (users.select("user_id", "full_name")
+    first within a user.  Trips meet their four dimensions first; the
+    count runs over the two key columns of the bookings of such trips, before
+    any display column is attached, and is joined on ``user_id`` (AQE splits a
+    hot user), not a window."""
+    known = (trips.select("trip_id", "route_id", "bus_id", "partner_id", "departure_time", "arrival_time", "base_price")
+             .join(routes.select("route_id", "origin_city", "destination_city"), "route_id")
+             .join(buses.select("bus_id", "bus_class_id"), "bus_id")
+             .join(bus_classes.select("bus_class_id", F.col("class_name").alias("bus_class")), "bus_class_id")
+             .join(partners.select("partner_id", "company_name"), "partner_id"))
+    counts = (bookings.select("user_id", "trip_id").join(known.select("trip_id"), "trip_id", "left_semi")
+              .groupBy("user_id").agg(F.count(F.lit(1)).alias("booking_count")))
+    rows = (users.select("user_id", "full_name").join(counts, "user_id")
             .join(bookings.select("booking_id", "user_id", "trip_id", "booking_status"), "user_id")
-            .join(trips.select("trip_id", "route_id", "bus_id", "partner_id", "departure_time",
-                               "arrival_time", "base_price"), "trip_id")
-            .join(routes.select("route_id", "origin_city", "destination_city"), "route_id")
-            .join(buses.select("bus_id", "bus_class_id"), "bus_id")
-            .join(bus_classes.select("bus_class_id", F.col("class_name").alias("bus_class")), "bus_class_id")
-            .join(partners.select("partner_id", "company_name"), "partner_id"))
-    counts = rows.groupBy("user_id").agg(F.count(F.lit(1)).alias("booking_count"))
-    out = rows.join(counts, "user_id").select(
+            .join(known, "trip_id"))
+    out = rows.select(
         "user_id", "full_name", "booking_id", "booking_status", "trip_id", "departure_time",
         "arrival_time", "origin_city", "destination_city", "bus_class", "company_name", "base_price",
         "booking_count")

@@ -39,11 +39,25 @@ def filter_listing(df: DataFrame, status: str | None = None, ts_from=None, ts_to
     return out.orderBy(F.desc(ts_col)) if sort else out
 
 
-def with_count(listing: DataFrame, name: str = "count") -> DataFrame:
+def with_count(listing: DataFrame, name: str = "count", counted: DataFrame | None = None) -> DataFrame:
     """The listing's row count beside its rows (the reference answers
     ``count($rows)`` with the list).  The count is an uncorrelated scalar
-    subquery - one global aggregate - not a window over one partition."""
-    return listing.withColumn(name, listing.agg(F.count(F.lit(1))).scalar())
+    subquery - one global aggregate - not a window over one partition.
+    ``counted`` is a cheaper table with as many rows (the join of the keys
+    alone, without display columns and sort)."""
+    return listing.withColumn(name, (listing if counted is None else counted).agg(F.count(F.lit(1))).scalar())
+
+
+def refund_commission_keys(commissions: DataFrame, refunds: DataFrame) -> DataFrame:
+    """One narrow row per row of K3: the join on the booking alone."""
+    return refunds.select("booking_id").join(commissions.select("booking_id"), "booking_id")
+
+
+def refund_detail_keys(refunds: DataFrame, bookings: DataFrame, users: DataFrame) -> DataFrame:
+    """Narrow rows of the view behind R4: its keys and the columns it is filtered by."""
+    return (refunds.select("booking_id", "refund_status", "created_at")
+            .join(bookings.select("booking_id", "user_id"), "booking_id")
+            .join(users.select("user_id"), "user_id", "left_semi"))
 
 
 def commission_summary(commissions: DataFrame, bookings: DataFrame, partners: DataFrame) -> DataFrame:
@@ -55,6 +69,22 @@ def commission_summary(commissions: DataFrame, bookings: DataFrame, partners: Da
             .join(partners.select("partner_id", "company_name"), "partner_id"))
 
 
+def partner_listing(requests: DataFrame, summary: DataFrame) -> DataFrame:
+    """M2 as the partner asks it: per request (request_id, partner_id[,
+    status, ts_from, ts_to]) the partner's rows of the summary, each filter
+    only where the request gives one, beside the request's ``count``,
+    ``total_commission`` and ``total_partner_revenue`` (0 rows: no row)."""
+    q = requests.select("request_id", "partner_id", F.trim("status").alias("_status"), "ts_from", "ts_to")
+    hit = (q.join(summary, "partner_id")
+           .filter((F.coalesce("_status", F.lit("")) == "") | (F.col("status") == F.col("_status")))
+           .filter(F.col("ts_from").isNull() | (F.col("created_at") >= F.col("ts_from")))
+           .filter(F.col("ts_to").isNull() | (F.col("created_at") <= F.col("ts_to"))))
+    totals = hit.groupBy("request_id").agg(F.count(F.lit(1)).alias("count"), F.sum("commission_amount").cast(MONEY).alias("total_commission"),
+                                           F.sum("partner_revenue").cast(MONEY).alias("total_partner_revenue"))
+    return (hit.select("request_id", "partner_id", "commission_id", "booking_id", "commission_amount", "partner_revenue", "status", "created_at")
+            .join(totals, "request_id"))
+
+
 def refund_details(refunds: DataFrame, bookings: DataFrame, users: DataFrame) -> DataFrame:
     """View ``v_refund_details`` (*assumption*) = refund transactions joined
     to their booking and the booking's user."""

@@ -2,7 +2,8 @@
 
 Each entry takes ``(spark, sf_dir)``, builds the fixture views it needs over
 the whole base tables of ``sf_dir`` and returns the operator's DataFrame
-(lazy).  The DuckDB oracle of each entry lives in ``oracles.py`` and is
+(lazy, but for admission rounds, generated ids and streams, which run while
+they are built).  The DuckDB oracle of each entry lives in ``oracles.py`` and is
 written independently in SQL.
 """
 
@@ -149,7 +150,8 @@ def q_commission_by_booking(spark, sf):
 @query
 def q_refund_commission_report(spark, sf):
     fx = build_fixtures(spark, sf, "commissions", "refund_transactions")
-    return money.with_count(money.refund_commission_report(fx["commissions"], fx["refund_transactions"]))
+    return money.with_count(money.refund_commission_report(fx["commissions"], fx["refund_transactions"]),
+                            counted=money.refund_commission_keys(fx["commissions"], fx["refund_transactions"]))
 
 
 def _details(spark, sf):
@@ -159,9 +161,10 @@ def _details(spark, sf):
 
 @query
 def q_refund_listing(spark, sf):
-    _, details = _details(spark, sf)
-    return money.with_count(money.filter_listing(details, status="Pending", ts_to="1996-06-30",
-                                                 status_col="refund_status"))
+    fx, details = _details(spark, sf)
+    chosen = {"status": "Pending", "ts_to": "1996-06-30", "status_col": "refund_status"}
+    keys = money.refund_detail_keys(fx["refund_transactions"], fx["bookings"], fx["users"])
+    return money.with_count(money.filter_listing(details, **chosen), counted=money.filter_listing(keys, **chosen, sort=False))
 
 
 @query
@@ -227,7 +230,7 @@ def q_admit_accounts(spark, sf):
 
 def _phone_updates(fx):
     # stand-in command table: each registration row read as (user_id, new phone)
-    return fx["registrations"].select(F.col("registration_id").alias("user_id"), "phone_number")
+    return fx["registrations"].select(F.col("registration_id").alias("user_id"), "phone_number", F.col("registration_id").alias("command_id"))
 
 
 @query
@@ -461,37 +464,52 @@ def q_apply_gateway_payments(spark, sf):
     return payments.apply_gateway_payments(fx["bookings"], payments.gateway_payments(v))
 
 
-def _as_stream_source(spark, df, name, ts_cols):
-    """Write rows once to a fresh folder (timestamps as ``timestamp``, which
-    watermarks require) and open that folder as a file stream."""
+STREAM_FILES = 4                 # files, and so micro-batches, of a registered stream
+
+
+def _as_files(spark, df, name, *by):
+    """Write rows to a fresh folder as ``STREAM_FILES`` files, dealt by the
+    hash of ``by``: every file spans the whole time range, so the stream that
+    reads them one by one sees its events out of order."""
     base = scratch_dir(spark, name)
-    for c in ts_cols:
-        df = df.withColumn(c, F.col(c).cast("timestamp"))
-    df.write.parquet(base + "/in")
-    schema = spark.read.parquet(base + "/in").schema
-    return base, spark.readStream.schema(schema).parquet(base + "/in")
+    df.repartition(STREAM_FILES, *by).write.parquet(base + "/in")
+    return base
 
 
 @query
 def q_gateway_payment_stream(spark, sf):
-    """E1 -> E2 -> dedup -> E3 run as a stream with ``foreachBatch``."""
+    """E1 -> E2 -> E3 as a stream of several micro-batches whose files are out of
+    order.  Which payment of a booking comes first depends on the batches, so
+    the result is the paid bookings."""
+    fx = build_fixtures(spark, sf, "webhooks_raw", "bookings")
+    rows = (fx["webhooks_raw"].withColumn("received_at", F.col("received_at").cast("timestamp"))
+            .select(*[f.name for f in payments.WEBHOOK_SCHEMA.fields]))
+    base = _as_files(spark, rows, "webhooks", "event_id")
+    stream = payments.read_payment_events(spark, base + "/in", max_files_per_trigger=1)          # S4
+    payments.run_gateway_stream(spark, stream, fx["bookings"], WEBHOOK_TEST_SECRET, base + "/out", base + "/ck")
+    return payments.applied_payments(spark, base + "/out").select("booking_id", "payment_status", "payment_method")
+
+
+@query
+def q_gateway_rejects_stream(spark, sf):
+    """E6 in the same stream: every event that verification rejects has its row."""
     fx = build_fixtures(spark, sf, "webhooks_raw", "bookings")
-    base = scratch_dir(spark, "webhooks")
-    (fx["webhooks_raw"].withColumn("received_at", F.col("received_at").cast("timestamp"))
-     .select(*[f.name for f in payments.WEBHOOK_SCHEMA.fields]).write.parquet(base + "/in"))
-    stream = payments.read_payment_events(spark, base + "/in")          # S4
+    rows = (fx["webhooks_raw"].withColumn("received_at", F.col("received_at").cast("timestamp"))
+            .select(*[f.name for f in payments.WEBHOOK_SCHEMA.fields]))
+    base = _as_files(spark, rows, "webhooks", "event_id")
+    stream = payments.read_payment_events(spark, base + "/in", max_files_per_trigger=1)
     payments.run_gateway_stream(spark, stream, fx["bookings"], WEBHOOK_TEST_SECRET, base + "/out", base + "/ck")
-    return (spark.read.parquet(base + "/out/applied").drop("batch_id")
-            .withColumn("payment_timestamp", F.col("payment_timestamp").cast("timestamp_ntz")))
+    return spark.read.parquet(base + "/out/rejects").select("event_id", "reject_reason")
 
 
 @query
 def q_stream_daily_commissions(spark, sf):
-    """E5: G4 as a watermarked streaming aggregate; closed days only."""
+    """E5: G4 as a stream of several micro-batches that all reach over the whole time range; closed days only."""
     c = build_fixtures(spark, sf, "commissions")["commissions"]
-    base, stream = _as_stream_source(spark, c, "commissions", ["created_at"])
+    base = _as_files(spark, c, "commissions", "commission_id")
+    stream = spark.readStream.schema(c.schema).option("maxFilesPerTrigger", 1).parquet(base + "/in")
     daily.run_daily_commission_stream(stream, base + "/out", base + "/ck")
-    return spark.read.parquet(base + "/out")
+    return daily.closed_days(spark, base + "/out")
 
 
 @query
@@ -525,15 +543,15 @@ def q_booking_state_verdicts(spark, sf):
 
 @query
 def q_booking_state_stream(spark, sf):
-    """E4 run as a stream (``foreachBatch`` over the batch fold); final states."""
+    """E4 run as a stream of several micro-batches (``foreachBatch`` over the
+    batch fold), each booking's commands in one of them; final states."""
     fx = build_fixtures(spark, sf, "bookings", "confirm_commands", "payment_updates", "webhooks_raw",
                         "payment_proofs", "cancel_requests")
     gateway = payments.gateway_payments(payments.verify_payment_events(fx["webhooks_raw"], WEBHOOK_TEST_SECRET))
     cmds = E4.booking_commands(fx["bookings"], fx["confirm_commands"], fx["payment_updates"], gateway,
                                fx["payment_proofs"], fx["cancel_requests"])
-    base = scratch_dir(spark, "commands")
-    cmds.write.parquet(base + "/in")
-    stream = spark.readStream.schema(spark.read.parquet(base + "/in").schema).parquet(base + "/in")
+    base = _as_files(spark, cmds, "commands", "booking_id")
+    stream = spark.readStream.schema(cmds.schema).option("maxFilesPerTrigger", 1).parquet(base + "/in")
     E4.run_booking_state_stream(stream, fx["bookings"], base + "/out", base + "/ck")
     return E4.final_states(spark, base + "/out")
 

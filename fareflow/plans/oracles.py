@@ -8,7 +8,8 @@ where it has one.  They are not generated from the Spark code.
 from __future__ import annotations
 
 from ..functions.rules import EMAIL_PATTERN, PHONE_PATTERN
-from ..sources.fixtures import WEBHOOK_TEST_SECRET, duckdb_prefix, hmac_pads
+from ..sources.fixtures import WEBHOOK_TEST_SECRET, duckdb_prefix
+from ..streaming.payments import hmac_pads
 
 ORACLES: dict[str, str] = {}
 
@@ -299,14 +300,13 @@ _PROCESSING_NOTE = "'جاري معالجة طلب الاسترداد. سيتم 
 
 oracle("process_refunds", "refund_transactions", "refund_commands")(f"""
 with cmd as (
-  select refund_id, trim(coalesce(refund_method, '')) as refund_method, employee_id,
+  select command_id, refund_id, trim(coalesce(refund_method, '')) as refund_method, employee_id,
          case when refund_id <= 0 or trim(coalesce(refund_method, '')) = '' then 'refund_id_and_method_required'
               when trim(coalesce(refund_method, '')) not in {_REFUND_METHODS} then 'invalid_refund_method' end as invalid
   from refund_commands),
 ranked as (
   select c.*, r.refund_status as old_status,
-         row_number() over (partition by c.refund_id order by (c.invalid is not null), c.refund_id, c.refund_method,
-                            c.employee_id) as rn
+         row_number() over (partition by c.refund_id order by (c.invalid is not null), c.command_id) as rn
   from cmd c left join refund_transactions r on r.refund_id = c.refund_id),
 decided as (
   select *, coalesce(invalid, case when old_status is null or old_status <> 'Pending' or rn > 1
@@ -329,8 +329,7 @@ oracle("complete_refunds", "refund_transactions", "refund_commands")(f"""
 with ranked as (
   select c.refund_id, trim(coalesce(c.refund_reference, '')) as refund_reference, c.employee_id,
          case when c.refund_id <= 0 then 'refund_id_required' end as invalid, r.refund_status as old_status,
-         row_number() over (partition by c.refund_id order by (c.refund_id <= 0), c.refund_id, c.refund_method,
-                            c.refund_reference, c.employee_id) as rn
+         row_number() over (partition by c.refund_id order by c.command_id) as rn
   from refund_commands c left join refund_transactions r on r.refund_id = c.refund_id),
 decided as (
   select *, coalesce(invalid, case when old_status is null or old_status <> 'Processing' or rn > 1
@@ -383,12 +382,13 @@ from users where phone_number is not null and trim(phone_number) <> '' group by
 oracle("admit_accounts", "registrations", "users")(f"""
 with recursive cand as (
   select registration_id, trim(coalesce(full_name, '')) as full_name, trim(coalesce(email, '')) as email,
-         trim(coalesce(phone_number, '')) as phone_number,
+         trim(coalesce(phone_number, '')) as phone_number, password,
          row_number() over (order by registration_id) as k
   from registrations),
 pre as (
   select c.*,
-         case when {_empty('c.full_name')} or {_empty('c.email')} or {_empty('c.phone_number')} then 'missing_fields'
+         case when {_empty('c.full_name')} or {_empty('c.email')} or {_empty('c.phone_number')}
+                   or {_empty('c.password')} then 'missing_fields'
               when exists (select 1 from users u where u.email = c.email or u.phone_number = c.phone_number)
               then 'already_in_use' end as pre_reason
   from cand c),
@@ -516,7 +516,7 @@ from q left join m on m.booking_id = q.booking_id and m.requested_at = q.request
 def _cancel_cte(looks_up: str) -> str:
     return f"""
 with q as (
-  select c.booking_id, c.requested_at, coalesce(c.reason, 'Customer request') as reason, bt.booking_id is not null as found,
+  select c.booking_id, c.command_id, c.requested_at, coalesce(c.reason, 'Customer request') as reason, bt.booking_id is not null as found,
          bt.total_price, bt.booking_status, bt.payment_status, bt.cancel_policy_id, {_HOURS} as hours,
          {looks_up} as looks_up
   from cancel_requests c left join {_BT} bt on bt.booking_id = c.booking_id),
@@ -557,7 +557,7 @@ dec as (
          cast(case when looks_up and rule_id is not null then pct else 0 end as decimal(5,2)) as pct2,
          cast(case when looks_up and rule_id is not null then rule_id else 0 end as bigint) as rid,
          case when not found or booking_status = 'Cancelled'
-                   or row_number() over (partition by booking_id order by requested_at, reason) > 1
+                   or row_number() over (partition by booking_id order by requested_at, command_id) > 1
               then 'invalid_or_already_cancelled' end as reject_reason
   from qm)"""
 
@@ -587,7 +587,7 @@ where d.reject_reason is null and p.seat_id is not null
 
 oracle("refund_fee_quote", "refund_transactions", "bookings", "trips", "cancel_policy_rules")(
     (_QUOTE_CTE + _QUOTE_SELECT).replace("from cancel_requests c",
-                                         "from (select booking_id, created_at as requested_at, cast(null as varchar) as reason "
+                                         "from (select refund_id as command_id, booking_id, created_at as requested_at, cast(null as varchar) as reason "
                                          "from refund_transactions) c")
     .replace("\nselect booking_id, requested_at, reason_code as reject_reason,",
              ",\nquote as (select booking_id, requested_at, reason_code as reject_reason,", 1)
@@ -617,10 +617,10 @@ select booking_id, ts, status, method, txn, reject_reason from d
 
 oracle("apply_payment_updates_state", "bookings", "payment_updates")(_PAY_CTE + """,
 last as (
-  select booking_id, arg_max(status, command_id) as status,
-         arg_max(method, command_id) filter (where method <> '') as method,
-         arg_max(txn, command_id) filter (where txn <> '') as txn,
-         arg_max(ts, command_id) filter (where status = 'Paid') as paid_at
+  select booking_id, arg_max(status, (ts, command_id)) as status,
+         arg_max(method, (ts, command_id)) filter (where method <> '') as method,
+         arg_max(txn, (ts, command_id)) filter (where txn <> '') as txn,
+         arg_max(ts, (ts, command_id)) filter (where status = 'Paid') as paid_at
   from d where reject_reason is null group by booking_id)
 select b.booking_id, l.status as payment_status, coalesce(l.method, b.payment_method) as payment_method,
        coalesce(l.paid_at, b.payment_timestamp) as payment_timestamp,
@@ -630,7 +630,7 @@ from bookings b join last l on l.booking_id = b.booking_id
 
 _CONF_CTE = """
 with c as (
-  select booking_id, employee_id, ts, payment_status as raw_status, notes as raw_notes,
+  select command_id, booking_id, employee_id, ts,
          trim(coalesce(payment_status, '')) as force, trim(coalesce(notes, '')) as notes2,
          case when booking_id <= 0 then 'invalid_booking_id'
               when trim(coalesce(payment_status, '')) <> ''
@@ -639,7 +639,7 @@ with c as (
   from confirm_commands),
 r as (
   select c.*, row_number() over (partition by c.booking_id
-                                 order by (c.invalid is not null), c.ts, c.employee_id, c.raw_status, c.raw_notes) as rn,
+                                 order by (c.invalid is not null), c.ts, c.command_id) as rn,
          bu.booking_id is not null as found, bu.booking_status, bu.payment_status
   from c left join (select b.* from bookings b join users u on u.user_id = b.user_id) bu on bu.booking_id = c.booking_id),
 d as (
@@ -665,7 +665,7 @@ from d where reject_reason is null
 
 _PROOF_CTE = """
 with p as (
-  select command_id, booking_id, actor_user_id, actor_user_type, trim(coalesce(transaction_id, '')) as txn,
+  select command_id, ts, booking_id, actor_user_id, actor_user_type, trim(coalesce(transaction_id, '')) as txn,
          trim(coalesce(payment_method, '')) as method, trim(coalesce(note, '')) as note
   from payment_proofs),
 d as (
@@ -684,9 +684,9 @@ select booking_id, actor_user_id, txn, reject_reason from d
 
 oracle("submit_payment_proof_state", "bookings", "payment_proofs")(_PROOF_CTE + """,
 last as (
-  select booking_id, arg_max(txn, command_id) as txn,
-         arg_max(method, command_id) filter (where method <> '') as method,
-         arg_max(case when note in ('', '0') then 'Submitted by customer' else note end, command_id) as note
+  select booking_id, arg_max(txn, (ts, command_id)) as txn,
+         arg_max(method, (ts, command_id)) filter (where method <> '') as method,
+         arg_max(case when note in ('', '0') then 'Submitted by customer' else note end, (ts, command_id)) as note
   from d where reject_reason is null group by booking_id)
 select b.booking_id, b.payment_status, l.txn as gateway_transaction_id,
        coalesce(l.method, b.payment_method) as payment_method, l.note as notes
@@ -759,8 +759,10 @@ from q
 # Admission: booking requests
 # ---------------------------------------------------------------------------
 _INT = r"coalesce(try_cast(regexp_extract(json_extract_string(body, '$.{f}'), '^\s*([+-]?[0-9]+)', 1) as bigint), 0)"
-_DEC = (r"coalesce(try_cast(regexp_extract(json_extract_string(body, '$.{f}'), "
-        r"'^\s*([+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?)', 1) as decimal(12,2)), 0)")
+_DEC = (r"(case when regexp_extract(json_extract_string(body, '$.{f}'), "
+        r"'^\s*([+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?)', 1) is distinct from '' then "
+        r"try_cast(regexp_extract(json_extract_string(body, '$.{f}'), "
+        r"'^\s*([+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?)', 1) as decimal(12,2)) else 0 end)")
 _REQ_CTE = f"""
 with req as (
   select request_id, received_at, {_INT.format(f='user_id')} as user_id, {_INT.format(f='trip_id')} as trip_id,
@@ -800,6 +802,7 @@ chk as (
                            join bookings bk on bk.booking_id = ps.booking_id and bk.trip_id = c.trip_id
                            where c.request_id = r.request_id) then 'already_booked'
               when r.payment_method not in ('Electronic', 'Cash', 'Kareemi', 'Transfer') then 'invalid_payment_method'
+              when r.total_price is null then 'price_out_of_range'
          end as reject_reason
   from req r join per p on p.request_id = r.request_id
   left join (select t.trip_id, min(cp.cancel_policy_id) as cancel_policy_id from trips t
@@ -924,7 +927,14 @@ where f.rn = 1 and b.payment_status <> 'Paid'
 """
 
 oracle("apply_gateway_payments", "webhooks_raw", "bookings")(_APPLY_GATEWAY)
-oracle("gateway_payment_stream", "webhooks_raw", "bookings")(_APPLY_GATEWAY)
+oracle("gateway_payment_stream", "webhooks_raw", "bookings")(_GATEWAY_CTE + """
+select b.booking_id, 'Paid' as payment_status, 'Electronic' as payment_method
+from bookings b where b.payment_status <> 'Paid'
+  and exists (select 1 from pay where pay.booking_id = b.booking_id and raw_bid is not null and raw_bid not in ('', '0'))
+""")
+oracle("gateway_rejects_stream", "webhooks_raw")(_VERIFY_CTE + """
+select event_id, reject_reason from chk where reject_reason is not null
+""")
 
 oracle("stream_daily_commissions", "commissions")("""
 select cast(created_at as date) as commission_date, count(*) as total_bookings,
@@ -954,32 +964,32 @@ from t
 # Sequential fold per booking, one command per recursion step
 # ---------------------------------------------------------------------------
 _E4_CTE = _GATEWAY_CTE.replace("with parts as", "parts as", 1) + """,
-gw as (select booking_id, received_at as ts, session_id as txn from pay
+gw as (select event_id, booking_id, received_at as ts, session_id as txn from pay
        where raw_bid is not null and raw_bid not in ('', '0')),
 cmds as (
-  select booking_id, ts, 0 as ko, 'confirm' as kind, trim(coalesce(payment_status, '')) as status,
+  select booking_id, ts, 0 as ko, command_id as id, 'confirm' as kind, trim(coalesce(payment_status, '')) as status,
          null::varchar as method, null::varchar as txn, trim(coalesce(notes, '')) as note
   from confirm_commands
   where booking_id > 0 and trim(coalesce(payment_status, '')) in ('', 'Unpaid', 'Paid', 'Refunded')
   union all
-  select booking_id, ts, 1, 'pay', trim(coalesce(payment_status, '')), trim(coalesce(payment_method, '')),
+  select booking_id, ts, 1, command_id, 'pay', trim(coalesce(payment_status, '')), trim(coalesce(payment_method, '')),
          trim(coalesce(transaction_id, '')), null
   from payment_updates
   where booking_id > 0 and trim(coalesce(payment_status, '')) in ('Unpaid', 'Paid', 'Refunded')
     and trim(coalesce(payment_method, '')) in ('', 'Electronic', 'Cash', 'Kareemi', 'Transfer')
   union all
-  select booking_id, ts, 2, 'gateway', null, null, txn, null from gw
+  select booking_id, ts, 2, event_id, 'gateway', null, null, txn, null from gw
   union all
-  select p.booking_id, p.ts, 3, 'proof', null, trim(coalesce(p.payment_method, '')), trim(coalesce(p.transaction_id, '')),
+  select p.booking_id, p.ts, 3, p.command_id, 'proof', null, trim(coalesce(p.payment_method, '')), trim(coalesce(p.transaction_id, '')),
          trim(coalesce(p.note, ''))
   from payment_proofs p join bookings b on b.booking_id = p.booking_id
   where p.booking_id > 0 and trim(coalesce(p.transaction_id, '')) not in ('', '0')
     and (coalesce(b.user_id = p.actor_user_id, false) or coalesce(p.actor_user_type in ('Employee', 'Admin'), false))
     and trim(coalesce(p.payment_method, '')) in ('', 'Electronic', 'Cash', 'Kareemi', 'Transfer')
   union all
-  select booking_id, requested_at, 4, 'cancel', null, null, null, null from cancel_requests),
+  select booking_id, requested_at, 4, command_id, 'cancel', null, null, null, null from cancel_requests),
 seqd as (
-  select c.*, row_number() over (partition by c.booking_id order by c.ts, c.ko, c.status, c.method, c.txn, c.note) as k
+  select c.*, row_number() over (partition by c.booking_id order by c.ts, c.ko, c.id) as k
   from cmds c where exists (select 1 from bookings b where b.booking_id = c.booking_id)),
 walk(booking_id, k, kind, ts, bs, ps, method, txn, paid_at, notes, accepted) as (
   select b.booking_id, 0::bigint, null::varchar, null::timestamp, b.booking_status, b.payment_status, b.payment_method,

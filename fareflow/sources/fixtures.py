@@ -8,37 +8,27 @@ base tables.  One portable SQL text per view is rendered for two dialects:
 * ``duckdb`` - emitted as a ``WITH`` prefix for the oracle queries.
 
 These builders only shape stand-in input rows; none of them does an
-operator's work.  On the Spark side the four views that multiply a table by
-a handful of nation keys (``cross join nation k where k < N``) are written
-with a bounded generator (``explode(sequence(0, N-1))``) so that no Spark
-plan contains a cartesian product; the DuckDB text keeps the literal cross
-join, which makes the oracle an independent check of that rewrite (the
-driver's nation keys are 0..24, FIXTURES.md "facts relied on").
+operator's work.  On the Spark side the views that multiply a table by a
+handful of nation keys (``cross join nation k where k < N``) explode the array
+of those keys, read from ``nation``, so that no Spark plan contains a cartesian
+product; the DuckDB text keeps the literal cross join, which makes the oracle
+an independent check of that rewrite.
 """
 
 from __future__ import annotations
 
-import hashlib
 import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..streaming.payments import hmac_pads
 from .tables import BASE_TABLES, load_tables
 
 # Test webhook secret fixed by FIXTURES.md.
 WEBHOOK_TEST_SECRET = "whsec_test"
 
 
-def hmac_pads(secret: str) -> tuple[str, str]:
-    """Hex of the HMAC inner and outer pads (RFC 2104, SHA-256 block 64)."""
-    key = secret.encode("utf-8")
-    if len(key) > 64:
-        key = hashlib.sha256(key).digest()
-    key = key.ljust(64, b"\0")
-    return bytes(b ^ 0x36 for b in key).hex(), bytes(b ^ 0x5C for b in key).hex()
-
-
 def _tokens(dialect: str) -> dict[str, str]:
     ipad, opad = hmac_pads(WEBHOOK_TEST_SECRET)
     if dialect == "spark":
@@ -47,6 +37,8 @@ def _tokens(dialect: str) -> dict[str, str]:
             "{EPOCH}": "timestamp_ntz '1970-01-01'",
             "{DIFF}": "timestampdiff(second,",
             "{ARR}": "array",
+            "{CAT}": "concat",
+            "{LIST}": "collect_list",
             "{TS}": "timestamp_ntz",
             "{SIG}": f"sha2(concat(X'{opad}', unhex(sha2(concat(X'{ipad}', encode(",
             "{/SIG}": ", 'UTF-8')), 256))), 256)",
@@ -57,6 +49,8 @@ def _tokens(dialect: str) -> dict[str, str]:
             "{EPOCH}": "timestamp '1970-01-01'",
             "{DIFF}": "date_sub('second',",
             "{ARR}": "list_value",
+            "{CAT}": "list_concat",
+            "{LIST}": "list",
             "{TS}": "timestamp",
             "{SIG}": f"sha256(unhex('{opad}') || unhex(sha256(unhex('{ipad}') || encode(",
             "{/SIG}": "))))",
@@ -72,9 +66,9 @@ FIXTURE_SQL: dict[str, str] = {
     "users": (
         "select c_custkey as user_id, c_name as full_name, "
         "concat('u', cast(c_custkey - case when c_custkey % 97 = 96 then 1 else 0 end as string), '@example.org') as email, "
-        "case c_custkey % 4 when 0 then concat('7', lpad(cast(c_custkey as string),8,'0')) "
-        "when 1 then concat('+967 7', lpad(cast(c_custkey as string),8,'0')) "
-        "when 2 then concat('967-7', lpad(cast(c_custkey as string),8,'0')) else '' end as phone_number, "
+        "case c_custkey % 4 when 0 then concat('7', lpad(cast(c_custkey as string), cast(greatest(8, length(cast(c_custkey as string))) as int), '0')) "
+        "when 1 then concat('+967 7', lpad(cast(c_custkey as string), cast(greatest(8, length(cast(c_custkey as string))) as int), '0')) "
+        "when 2 then concat('967-7', lpad(cast(c_custkey as string), cast(greatest(8, length(cast(c_custkey as string))) as int), '0')) else '' end as phone_number, "
         "case when c_custkey % 50 = 0 then 'Admin' when c_custkey % 10 = 0 then 'Employee' else 'Customer' end as user_type "
         "from customer"),
     "bus_classes": "select r_regionkey as bus_class_id, r_name as class_name from region",
@@ -137,8 +131,9 @@ FIXTURE_SQL: dict[str, str] = {
         "case event_type when 'click' then 'ios' when 'view' then 'web' when 'error' then 'blackberry' else 'android' end as device_type, "
         "ts as created_at from events"),
     "faqs": (
-        "select doc_id as faq_id, concat(lang, '/', source) as category, substring(text,1,40) as question, "
-        "substring(text,41,80) as answer, n_chars > 500 as is_active from documents"),
+        "select doc_id as faq_id, concat(lang, '/', source) as category, "
+        "concat('What does document ', cast(doc_id as string), ' say?') as question, "
+        "text as answer, n_chars > 500 as is_active from documents"),
     # request, command and event tables
     "search_requests": (
         "select o_orderkey as request_id, a.n_name as from_stop, b.n_name as to_city, "
@@ -147,24 +142,32 @@ FIXTURE_SQL: dict[str, str] = {
         "join nation b on b.n_nationkey = (o_orderkey + 3 + 3*(o_custkey % 3)) % 25 "
         "join region on r_regionkey = o_custkey % 5"),
     "cancel_requests": (
-        "select b.booking_id, t.departure_time - interval '1' hour * ((b.booking_id*7) % 121 - 12) as requested_at, "
-        "'Customer request' as reason from bookings b join trips t on t.trip_id=b.trip_id where b.booking_id % 5 = 0"),
+        # every booking once, every seventh once more at the same instant and every eleventh three hours later
+        "select b.booking_id*4+k.n_nationkey as command_id, b.booking_id, "
+        "t.departure_time - interval '1' hour * ((b.booking_id*7) % 121 - 12 - case when k.n_nationkey = 2 then 3 else 0 end) as requested_at, "
+        "'Customer request' as reason from bookings b join trips t on t.trip_id=b.trip_id cross join nation k "
+        "where k.n_nationkey = 0 or (k.n_nationkey = 1 and b.booking_id % 7 = 0) or (k.n_nationkey = 2 and b.booking_id % 11 = 0)"),
     "booking_requests_raw": (
         "select o_orderkey as request_id, o_orderdate as received_at, concat('{\"user_id\":', cast(o_custkey as string), "
         "',\"trip_id\":\"', cast(o_orderkey % ((select count(*) from part) + 5) as string), "
         "'\",\"total_price\":', cast(o_totalprice as string), ',\"passengers\":', "
         "case when o_orderkey % 40 = 2 then '[]' else concat('[{\"full_name\":\"P1\",\"seat_code\":\" S', "
         "lpad(cast((o_orderkey*3) % 27 as string),2,'0'), '\"},{\"full_name\":\"P2\",\"gender\":\"F\",\"seat_code\":\"S', "
-        "lpad(cast((o_orderkey*11) % 27 as string),2,'0'), '\"}]') end, '}') as body from orders where o_orderkey % 4 = 2"),
+        "lpad(cast((o_orderkey*11) % 27 as string),2,'0'), '\"}]') end, '}') as body from orders"),
     "confirm_commands": (
-        "select o_orderkey as booking_id, o_custkey as employee_id, "
-        "case when o_orderkey % 2 = 0 then 'Paid' else '' end as payment_status, "
-        "case when o_orderkey % 5 = 0 then '0' else '' end as notes, o_orderdate as ts from orders where o_orderkey % 3 = 1"),
+        # every booking once; every fourth again at the same instant with another status
+        "select o_orderkey*2+k.n_nationkey as command_id, o_orderkey as booking_id, o_custkey as employee_id, "
+        "case when (o_orderkey + k.n_nationkey) % 2 = 0 then 'Paid' else '' end as payment_status, "
+        "case when o_orderkey % 5 = 0 then '0' else '' end as notes, o_orderdate as ts from orders cross join nation k "
+        "where k.n_nationkey = 0 or (k.n_nationkey = 1 and o_orderkey % 4 = 0)"),
     "payment_updates": (
-        "select event_id as command_id, event_id % (select count(*) from orders) + 3 as booking_id, "
-        "case event_type when 'purchase' then 'Paid' when 'error' then 'Refunded' when 'view' then 'Lost' else 'Unpaid' end as payment_status, "
-        "case when event_id % 3 = 0 then '' else 'Kareemi' end as payment_method, "
-        "case when event_id % 2 = 0 then '' else concat('tx', cast(event_id as string)) end as transaction_id, ts from events"),
+        # every event once; every third again at the same instant with another status
+        "select event_id*2+k.n_nationkey as command_id, event_id % (select count(*) from orders) + 3 as booking_id, "
+        "case when k.n_nationkey = 1 then 'Unpaid' else case event_type when 'purchase' then 'Paid' when 'error' then 'Refunded' "
+        "when 'view' then 'Lost' else 'Unpaid' end end as payment_status, "
+        "case when (event_id + k.n_nationkey) % 3 = 0 then '' else 'Kareemi' end as payment_method, "
+        "case when event_id % 2 = 0 then '' else concat('tx', cast(event_id*2+k.n_nationkey as string)) end as transaction_id, ts "
+        "from events cross join nation k where k.n_nationkey = 0 or (k.n_nationkey = 1 and event_id % 3 = 0)"),
     "payment_proofs": (
         "select event_id as command_id, event_id % (select count(*) from orders) as booking_id, "
         "case when event_id % 3 = 0 then b.user_id else e.user_id end as actor_user_id, "
@@ -173,29 +176,33 @@ FIXTURE_SQL: dict[str, str] = {
         "case when event_id % 2 = 0 then '' else 'Transfer' end as payment_method, '' as note, ts "
         "from events e left join bookings b on b.booking_id = event_id % (select count(*) from orders)"),
     "refund_commands": (
-        "select booking_id as refund_id, case booking_id % 5 when 0 then 'Cheque' when 1 then 'Cash' else 'Kareemi' end as refund_method, "
+        # every booking once; every third again, equal but for the command id
+        "select booking_id*2+k.n_nationkey as command_id, booking_id as refund_id, "
+        "case booking_id % 5 when 0 then 'Cheque' when 1 then 'Cash' else 'Kareemi' end as refund_method, "
         "case when booking_id % 2 = 0 then '' else concat('R', cast(booking_id as string)) end as refund_reference, "
-        "7 as employee_id from bookings where booking_id % 6 < 4"),
+        "7 as employee_id from bookings cross join nation k where k.n_nationkey = 0 or (k.n_nationkey = 1 and booking_id % 3 = 0)"),
     "commission_commands": (
-        "select o_custkey as command_id, {ARR}(min(o_orderkey), max(o_orderkey), min(o_orderkey)) as commission_ids, "
+        "select o_custkey as command_id, {CAT}({LIST}(o_orderkey), {ARR}(min(o_orderkey))) as commission_ids, "
         "case when o_custkey % 2 = 0 then '' else 'batch' end as notes from orders group by o_custkey"),
     "commission_adjustments": (
         "select commission_id, booking_id, cast(round(booking_amount*0.5,2) as decimal(12,2)) as new_amount "
-        "from commissions where booking_id % 10 = 1"),
+        "from commissions"),
     "identifier_lookups": (
         "select c_custkey as lookup_id, case when c_custkey % 3 = 0 then concat('u', cast(c_custkey as string), '@example.org') "
-        "when c_custkey % 3 = 1 then concat('7', lpad(cast(c_custkey as string),8,'0')) else 'nobody' end as identifier from customer"),
+        "when c_custkey % 3 = 1 then concat('7', lpad(cast(c_custkey as string), cast(greatest(8, length(cast(c_custkey as string))) as int), '0')) else 'nobody' end as identifier from customer"),
     "registrations": (
         "select c_custkey as registration_id, c_name as full_name, "
         "case when c_custkey % 2 = 0 then concat('u', cast(c_custkey as string), '@example.org') "
         "else concat('new', cast(c_custkey - c_custkey % 9 as string), '@example.org') end as email, "
-        "case when c_custkey % 12 = 3 then '' else concat('79', lpad(cast(c_custkey as string),7,'0')) end as phone_number "
-        "from customer where c_custkey % 3 = 0"),
+        "case when c_custkey % 12 = 3 then '' else concat('79', lpad(cast(c_custkey as string), cast(greatest(7, length(cast(c_custkey as string))) as int), '0')) end as phone_number, "
+        "case when c_custkey % 17 = 5 then '' else 'secret' end as password from customer"),
     "tickets_raw": (
-        "select conv_id as ticket_key, conv_id % 100 as user_id, case when conv_id % 9 = 0 then null else 'general' end as issue_type, "
-        "substring(text,1,30) as title, text as description from conversations where turn = 0"),
+        "select conv_id*1000000+turn as ticket_key, conv_id % 100 as user_id, "
+        "case when conv_id % 9 = 0 then null else 'general' end as issue_type, "
+        "case when conv_id % 13 = 4 then '' else concat(role, ' ', cast(conv_id as string)) end as title, "
+        "text as description from conversations"),
     "payment_events": (
-        "select event_id, concat('cs_', cast(event_id - event_id % 3 as string)) as session_id, "
+        "select event_id, case when event_id % 13 = 5 then '' else concat('cs_', cast(event_id - event_id % 3 as string)) end as session_id, "
         "case when event_type='purchase' then 'checkout.session.completed' else event_type end as type, "
         "(event_id - event_id % 3) % (select count(*) from orders) as booking_id, ts from events"),
     "webhooks_raw": (
@@ -206,30 +213,39 @@ FIXTURE_SQL: dict[str, str] = {
         "cast(booking_id as string), '\"}}}}') as payload from payment_events) x"),
 }
 
-# Spark texts for the four views that multiply by nation keys: a bounded
-# generator replaces the cartesian product (same rows for keys 0..24).
+# Spark texts of the views that multiply a table by nation keys: the keys are
+# one array, read from ``nation`` by a scalar subquery and exploded per row.
+def _with_keys(table: str, where: str = "", cols: str = "*") -> str:
+    """``table`` with a column ``k``: each nation key (that meets ``where``) per row."""
+    keys = f"select sort_array(collect_list(n_nationkey)) from nation{' where ' + where if where else ''}"
+    return f"(select z.*, explode(z.ks) as k from (select {cols}, ({keys}) as ks from {table}) z)"
+
+
+def _exploded(name: str, table: str, where: str) -> str:
+    """The portable text with ``table cross join nation k`` as a derived table with column k."""
+    out = FIXTURE_SQL[name].replace(f"{table} cross join nation k", f"{_with_keys(table, where)} x")
+    return re.sub(r"\bk\.n_nationkey\b", "k", out)
+
+
 SPARK_OVERRIDES: dict[str, str] = {
-    "seats": (
-        "select p_partkey*25+k as seat_id, p_partkey as bus_id, concat('S', lpad(cast(k as string),2,'0')) as seat_number, "
-        "(p_partkey*25+k) % 7 <> 0 as is_available "
-        "from (select p_partkey, explode(sequence(0, 24)) as k from part)"),
+    "seats": re.sub(r"\bn_nationkey\b(?=\s*(as|%|,|\)))", "k", FIXTURE_SQL["seats"]).replace(
+        "from part cross join nation", f"from {_with_keys('part', cols='p_partkey')}"),
     "route_stops": (
         "select x.route_id, x.k as stop_order, s.n_name as stop_name "
-        "from (select n_nationkey as route_id, explode(sequence(0, 3)) as k from nation) x "
+        f"from {_with_keys('nation', 'n_nationkey < 4', 'n_nationkey as route_id')} x "
         "join nation s on s.n_nationkey = (x.route_id + 3*x.k) % 25"),
-    "cancel_policies": (
-        "select s_suppkey*2+k as cancel_policy_id, s_suppkey as partner_id, k = 0 as is_default, "
-        "not (k = 0 and s_suppkey % 10 = 9) as is_active "
-        "from (select s_suppkey, explode(sequence(0, 1)) as k from supplier)"),
-    "cancel_policy_rules": (
-        "select s_suppkey*8+k as cancel_policy_rule_id, s_suppkey*2+cast(floor(k/4) as int) as cancel_policy_id, "
-        "cast(case k % 4 when 0 then 72 when 1 then 24 when 2 then 6 else 2 end as double) as min_hours_before_departure, "
-        "cast(case k % 4 when 0 then null when 1 then 72 when 2 then 24 else 8 end as double) as max_hours_before_departure, "
-        "cast(case k % 4 when 0 then 100 when 1 then 75 when 2 then 50 else 10 end as decimal(5,2)) as refund_percentage, "
-        "cast((k % 4)*500 as decimal(12,2)) as cancellation_fee, s_suppkey % 7 <> 6 as is_active "
-        "from (select s_suppkey, explode(sequence(0, 7)) as k from supplier)"),
+    "cancel_policies": _exploded("cancel_policies", "supplier", "n_nationkey < 2"),
+    "cancel_policy_rules": _exploded("cancel_policy_rules", "supplier", "n_nationkey < 8"),
+    "payment_updates": _exploded("payment_updates", "events", "n_nationkey < 2"),
+    "confirm_commands": _exploded("confirm_commands", "orders", "n_nationkey < 2"),
+    "refund_commands": _exploded("refund_commands", "bookings", "n_nationkey < 2"),
+    "cancel_requests": (
+        FIXTURE_SQL["cancel_requests"].replace("from bookings b join trips t on t.trip_id=b.trip_id cross join nation k",
+                                               f"from {_with_keys('bookings', 'n_nationkey < 3')} b "
+                                               "join trips t on t.trip_id=b.trip_id").replace("k.n_nationkey", "b.k")),
 }
 
+
 def _deps(name: str) -> list[str]:
     """Fixture views referenced by ``name``'s text (word match on the name)."""
     text = FIXTURE_SQL[name]

@@ -34,6 +34,9 @@ def test_minor_units_truncates_through_float(spark):
 def test_lenient_casts(spark):
     df = spark.createDataFrame([("12abc",), ("abc",), (" 7.9",), (None,), ("-3",)], "s string")
     assert [r[0] for r in df.select(R.lenient_int("s")).collect()] == [12, 0, 7, 0, -3]
+    big = spark.createDataFrame([("1e3",), ("1e3x",), ("12345678901234567890",), ("-99999999999999999999",), ("123456789012345678",)], "s string")
+    assert [r[0] for r in big.select(R.lenient_int("s")).collect()] == [1000, 1000, 2**63 - 1, -2**63, 123456789012345678]
+    assert [r[0] for r in spark.createDataFrame([("12345678901.5",)], "s string").select(R.lenient_float("s")).collect()] == [None]
     got = [r[0] for r in df.select(R.lenient_float("s")).collect()]
     assert got == [Decimal("12.00"), Decimal("0.00"), Decimal("7.90"), Decimal("0.00"), Decimal("-3.00")]
 
@@ -57,8 +60,8 @@ def test_phone_rules(spark):
 
 
 def test_email_rule(spark):
-    df = spark.createDataFrame([("a.b@example.org",), ("a@localhost",), ("a..b@x.org",), ("",), ("x@y-.org",)], "e string")
-    assert [r[0] for r in df.select(R.valid_email("e")).collect()] == [True, False, False, False, False]
+    df = spark.createDataFrame([("a.b@example.org",), ("a@localhost",), ("a..b@x.org",), ("",), ("x@y-.org",), ("a@b.org\n",)], "e string")
+    assert [r[0] for r in df.select(R.valid_email("e")).collect()] == [True, False, False, False, False, False]
 
 
 def test_refund_amount_rounding_and_clamp(spark):
@@ -142,8 +145,8 @@ def _cancel_inputs(spark, status):
     b = spark.createDataFrame([(1, 1, 5, Decimal("1000.00"), "Pending", status)],
                               "booking_id long, trip_id long, cancel_policy_id long, total_price decimal(12,2), "
                               "booking_status string, payment_status string")
-    req = spark.createDataFrame([(1, T(2025, 1, 8), "r"), (1, T(2025, 1, 8, 1), "again")],
-                                "booking_id long, requested_at timestamp_ntz, reason string")
+    req = spark.createDataFrame([(1, 1, T(2025, 1, 8), "r"), (2, 1, T(2025, 1, 8, 1), "again")],
+                                "command_id long, booking_id long, requested_at timestamp_ntz, reason string")
     return req, b, trips
 
 
@@ -252,8 +255,8 @@ def test_device_token_fallback_and_empty_rejected(spark):
 def test_confirm_notes_zero_falls_back(spark):
     b = spark.createDataFrame([(1, 1, "Pending", None)], "booking_id long, user_id long, booking_status string, payment_status string")
     u = spark.createDataFrame([(1,)], "user_id long")
-    c = spark.createDataFrame([(1, 9, "", "0", T(2024, 1, 1)), (1, 9, "Paid", "", T(2024, 1, 2))],
-                              "booking_id long, employee_id long, payment_status string, notes string, ts timestamp_ntz")
+    c = spark.createDataFrame([(1, 1, 9, "", "0", T(2024, 1, 1)), (2, 1, 9, "Paid", "", T(2024, 1, 2))],
+                              "command_id long, booking_id long, employee_id long, payment_status string, notes string, ts timestamp_ntz")
     outcomes, audit = bookings.confirm_bookings(b, u, c)
     assert [r.notes for r in audit.collect()] == ["Payment Status: "]
     assert sorted((r.reject_reason or "") for r in outcomes.collect()) == ["", "not_pending"]
@@ -311,7 +314,7 @@ def test_stream_same_session_twice_applied_once(spark):
     bookings = spark.createDataFrame([(5, "Unpaid")], "booking_id long, payment_status string")
     stream = payments.read_payment_events(spark, base + "/in", max_files_per_trigger=1)
     payments.run_gateway_stream(spark, stream, bookings, secret, base + "/out", base + "/ck")
-    applied = spark.read.parquet(base + "/out/applied").collect()
+    applied = payments.applied_payments(spark, base + "/out").collect()
     assert [(r.booking_id, r.event_id, r.gateway_transaction_id) for r in applied] == [(5, 1, "cs_1")]
 
 
@@ -331,3 +334,201 @@ def test_sinks_append_batch_and_json(spark):
     texts = "".join(open(p, encoding="utf-8").read() for p in
                     __import__("glob").glob(base.replace("file:", "") + "/j/rows/*.json"))
     assert "مرحبا" in texts                                  # unescaped Unicode
+
+
+# ---------------------------------------------------------------------------
+# Retries, late rows and carried state
+# ---------------------------------------------------------------------------
+WEBHOOK_SECRET = "whsec_s"
+
+
+def _webhook_files(spark, name, files):
+    """One file per list of (event_id, booking_id, session_id, received_at[, signed_at]); files are read in order."""
+    import time as _time
+
+    from fareflow.streaming import scratch_dir
+    base = scratch_dir(spark, name)
+    for events in files:
+        rows = []
+        for eid, booking, session, at, *signed in events:
+            t = int(((signed or [at])[0] - T(1970, 1, 1)).total_seconds())
+            body = ('{"type":"checkout.session.completed","data":{"object":{"id":"%s","metadata":{"booking_id":"%s"}}}}' % (session, booking))
+            rows.append((eid, at, body, str(t)))
+        sig = payments.hmac_sha256_hex(F.concat("t", F.lit("."), "payload"), WEBHOOK_SECRET)
+        (spark.createDataFrame(rows, "event_id long, received_at timestamp, payload string, t string")
+         .withColumn("sig_header", F.concat(F.lit("t="), "t", F.lit(",v1="), sig)).drop("t")
+         .coalesce(1).write.mode("append").parquet(base + "/in"))
+        _time.sleep(1.1)
+    return base
+
+
+def _run_gateway(spark, base, n):
+    bookings_ = spark.createDataFrame([(b, "Unpaid") for b in range(1, n + 1)], "booking_id long, payment_status string")
+    stream = payments.read_payment_events(spark, base + "/in", max_files_per_trigger=1)
+    payments.run_gateway_stream(spark, stream, bookings_, WEBHOOK_SECRET, base + "/out", base + "/ck")
+    return {r.booking_id: r.event_id for r in payments.applied_payments(spark, base + "/out").collect()}
+
+
+def test_stream_loses_no_payment(spark):
+    """Events without a session, out-of-order files, an event hours older than the newest: all are applied."""
+    h = lambda n: T(2024, 1, 1, n)
+    base = _webhook_files(spark, "no-loss", [[(1, 1, "", h(5)), (2, 2, "", h(5)), (3, 3, "", h(5))], [(4, 4, "cs_4", h(0))], [(5, 5, "cs_5", h(3)), (6, 4, "cs_4", h(4))]])
+    assert _run_gateway(spark, base, 5) == {1: 1, 2: 2, 3: 3, 4: 4, 5: 5}
+
+
+def test_stream_keeps_the_first_event_of_a_batch(spark):
+    h = lambda n: T(2024, 1, 1, n)
+    base = _webhook_files(spark, "first", [[(9, 1, "cs", h(2)), (7, 1, "cs", h(1)), (8, 1, "cs", h(1))]])
+    assert _run_gateway(spark, base, 1) == {1: 7}
+
+
+def test_stream_rejects_have_rows(spark):
+    h = lambda n: T(2024, 1, 1, n)
+    base = _webhook_files(spark, "late", [[(1, 1, "cs", h(5), h(4))], [(2, 2, "cs", h(5))]])
+    assert _run_gateway(spark, base, 2) == {2: 2}
+    rejected = spark.read.parquet(base + "/out/rejects").collect()
+    assert [(r.event_id, r.reject_reason) for r in rejected] == [(1, "rejected_late")]
+
+
+def test_late_days_are_counted(spark):
+    import time as _time
+
+    from fareflow.streaming import daily, scratch_dir
+    base = scratch_dir(spark, "late-days")
+    schema = "commission_id long, booking_amount decimal(12,2), commission_amount decimal(12,2), created_at timestamp_ntz"
+    for i, day in enumerate((5, 6, 2, 9, 10)):
+        spark.createDataFrame([(i, Decimal("10"), Decimal("1"), T(2024, 1, day, 12))], schema).coalesce(1).write.mode("append").parquet(base + "/in")
+        _time.sleep(1.1)
+    stream = spark.readStream.schema(spark.read.parquet(base + "/in").schema).option("maxFilesPerTrigger", 1).parquet(base + "/in")
+    daily.run_daily_commission_stream(stream, base + "/out", base + "/ck")
+    assert sorted(r.commission_date.day for r in daily.closed_days(spark, base + "/out").collect()) == [2, 5, 6, 9]
+
+
+def test_duplicate_commands_have_one_winner(spark):
+    """Commands that are equal but for their arrival id: the first is applied, the retry rejected."""
+    b = spark.createDataFrame([(1, 1, "Pending", "Paid", Decimal("100.00"), 5, 1)],
+                              "booking_id long, user_id long, booking_status string, payment_status string, total_price decimal(12,2), "
+                              "cancel_policy_id long, trip_id long")
+    u = spark.createDataFrame([(1,)], "user_id long")
+    c = spark.createDataFrame([(i, 1, 9, "", "", T(2024, 1, 1)) for i in (2, 1)],
+                              "command_id long, booking_id long, employee_id long, payment_status string, notes string, ts timestamp_ntz")
+    outcomes, audit = bookings.confirm_bookings(b, u, c)
+    assert audit.count() == 1 and sorted(str(r.reject_reason) for r in outcomes.collect()) == ["None", "not_pending"]
+    trips = spark.createDataFrame([(1, T(2025, 1, 10))], "trip_id long, departure_time timestamp_ntz")
+    req = spark.createDataFrame([(i, 1, T(2025, 1, 7), "r") for i in (1, 2)], "command_id long, booking_id long, requested_at timestamp_ntz, reason string")
+    out = bookings.apply_cancellations(req, b, trips, _rules(spark), spark.createDataFrame([(1, 9)], "booking_id long, seat_id long"))
+    assert out["ledger"].count() == 1
+    refunds = spark.createDataFrame([(1, "Pending"), (2, "Processing")], "refund_id long, refund_status string")
+    cmds = spark.createDataFrame([(i, r, "Cash", 7) for r in (1, 2) for i in (2 * r, 2 * r + 1)], "command_id long, refund_id long, refund_method string, employee_id long")
+    assert money.process_refunds(refunds, cmds, "2024-01-01").filter("refund_status = 'Processing'").count() == 1
+    assert money.complete_refunds(refunds, cmds, "2024-01-01").filter("refund_status = 'Completed'").count() == 1
+
+
+def test_commands_without_ids_are_refused(spark):
+    import pytest
+    c = spark.createDataFrame([(1, 9, "", "", T(2024, 1, 1))], "booking_id long, employee_id long, payment_status string, notes string, ts timestamp_ntz")
+    with pytest.raises(ValueError):
+        bookings.confirm_bookings(c, c, c)
+
+
+def test_bus_with_two_seats_of_one_number(spark):
+    from fareflow.operators import admission
+    raw = spark.createDataFrame([(1, T(2024, 1, 1), '{"user_id":5,"trip_id":1,"passengers":[{"full_name":"a","seat_code":"S1"},{"full_name":"b","seat_code":"S2"}]}'),
+                                 (2, T(2024, 1, 1), '{"user_id":5,"trip_id":1,"passengers":[{"full_name":"a","seat_code":"S1"}]}'),
+                                 (3, T(2024, 1, 1), '{"user_id":5,"trip_id":1,"passengers":[{"full_name":"a","seat_code":"S2"}]}')],
+                                "request_id long, received_at timestamp_ntz, body string")
+    trips = spark.createDataFrame([(1, 1, 7)], "trip_id long, bus_id long, partner_id long")
+    seats = spark.createDataFrame([(1, 1, "S1"), (2, 1, "S1"), (3, 1, "S2")], "seat_id long, bus_id long, seat_number string")
+    per = admission.resolve_seat_codes(parse_booking_requests(raw), trips, seats)[1]
+    assert {r.request_id: (r.n_codes, r.n_found, r.reject_reason) for r in per.collect()} == {
+        1: (2, 3, "unknown_seats"), 2: (1, 2, "unknown_seats"), 3: (1, 1, None)}
+
+
+def test_json_booleans_and_prices(spark):
+    raw = spark.createDataFrame([(1, T(2024, 1, 1), '{"user_id": true, "trip_id": "true", "total_price": "12345678901.5"}')],
+                                "request_id long, received_at timestamp_ntz, body string")
+    r = parse_booking_requests(raw).first()
+    assert (r.user_id, r.trip_id, r.total_price) == (1, 0, None)
+
+
+def test_admission_chain_is_not_capped(spark):
+    from fareflow.operators import admission
+    items = spark.createDataFrame([(i, i, r) for i in range(24) for r in (i, i + 1)], "rid long, ord long, res long")
+    got = {r.rid: r.accepted for r in admission.first_come_admission(items, "rid", "ord", "res").collect()}
+    assert got == {i: i % 2 == 0 for i in range(24)}
+
+
+def test_store_snapshots_and_replays(spark):
+    from fareflow.streaming import scratch_dir
+    from fareflow.streaming.store import KeyedStore
+    store = KeyedStore(spark, scratch_dir(spark, "store"), "k", snapshot_every=2)
+    row = lambda **kv: spark.createDataFrame([tuple(x) for x in kv.items()], "k string, v long")
+    assert store.rows_before(0) is None
+    for n in range(6):
+        store.write(row(a=n, **{f"b{n}": n}), n)
+    read = lambda n: {r.k: r.v for r in store.rows_before(n).collect()}
+    assert read(3) == {"a": 2, "b0": 0, "b1": 1, "b2": 2} and read(6)["a"] == 5 and len(read(6)) == 7
+    import re
+
+    from fareflow.plans.checks import physical_plan
+    plan = physical_plan(store.rows_before(6))            # the snapshot stands for old batches: their folders are pruned
+    assert re.search(r"PartitionFilters: \[[^\]]*batch_id#\d+ > 4", plan) and "upto=4" in plan
+    store.write(row(a=50), 5)
+    assert read(6) == {"a": 50, **{f"b{n}": n for n in range(5)}}
+
+
+def test_unreadable_state_is_an_error(spark):
+    import pytest
+
+    from fareflow.streaming import scratch_dir
+    from fareflow.streaming.store import KeyedStore
+    folder = scratch_dir(spark, "broken")
+    store = KeyedStore(spark, folder, "k")
+    store.write(spark.createDataFrame([("a", 1)], "k string, v long"), 0)
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder + "/deltas/batch_id=1/part-0.parquet")
+    out = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(path)
+    out.write(b"not parquet at all")
+    out.close()
+    with pytest.raises(Exception, match="(?i)parquet"):
+        store.rows_before(5).collect()
+
+
+def test_missing_table_and_missing_checkpoint_folder_fail(spark):
+    import pytest
+
+    from fareflow import session
+    from fareflow.sources.tables import load_tables
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        load_tables(spark, "/tmp/no-such-folder", ("nation",))
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Context()
+
+        class conf:
+            get = staticmethod(lambda key, default=None: default)
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        session.ensure_checkpoint_dir(Session())
+
+
+def test_no_key_material_in_the_plan(spark):
+    from fareflow.plans.checks import physical_plan
+    secret = "whsec_plan_probe"
+    df = spark.createDataFrame([(1, T(2024, 1, 1), "p", "t=1,v1=0")], "event_id long, received_at timestamp_ntz, payload string, sig_header string")
+    out = payments.verify_payment_events(df, secret)
+    out.collect()
+    text = physical_plan(out) + out._jdf.queryExecution().toString()
+    assert not any(pad in text.lower() or pad[:32] in text.lower() for pad in payments.hmac_pads(secret))
+
+
+def test_cuts_can_be_removed(spark):
+    from fareflow.plans import lineage
+    kept = lineage.cut_lineage(spark.range(3))
+    path = kept.inputFiles()[0].rsplit("/", 1)[0]
+    assert lineage.path_exists(spark, path) and lineage.remove_cuts(spark) >= 1 and not lineage.path_exists(spark, path)

@@ -1,13 +1,13 @@
 """Listing orders (T1).  The oracle comparison is order-insensitive, so the
 orders the reference returns are checked here."""
 
-import __spark_entry__ as entry
+from fareflow.plans.catalog import QUERIES
 
 from .conftest import SMALL
 
 
 def _rows(spark, name, *cols):
-    return [tuple(r[c] for c in cols) for r in entry.queries()[name](spark, SMALL).select(*cols).collect()]
+    return [tuple(r[c] for c in cols) for r in QUERIES[name](spark, SMALL).select(*cols).collect()]
 
 
 def test_booking_history_user_then_newest_booking(spark):

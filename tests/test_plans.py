@@ -4,7 +4,7 @@ reaching the Parquet scan."""
 
 import pytest
 
-import __spark_entry__ as entry
+from fareflow.plans.catalog import QUERIES
 from fareflow.plans.checks import physical_plan
 
 from .conftest import SMALL
@@ -14,34 +14,32 @@ JOIN_QUERIES = ["trip_search", "unmatched_searches", "booking_history", "availab
                 "resolve_seat_codes", "booking_request_checks", "apply_payment_updates", "confirm_bookings",
                 "cancellation_quote", "notification_outbox", "refund_listing", "partner_commission_totals"]
 
-# Queries that legitimately run Python (pandas) code inside tasks.
-PYTHON_QUERIES = {"booking_state", "booking_state_verdicts", "booking_state_stream"}
+# Run while they are built (rounds, streams): their result is a table scan.
+EAGER_QUERIES = {"admit_accounts", "admit_tickets", "gateway_payment_stream", "stream_daily_commissions", "booking_state_stream"}
 
 
 @pytest.mark.parametrize("name", JOIN_QUERIES)
 def test_no_cartesian_or_nested_loop(spark, name):
-    plan = physical_plan(entry.queries()[name](spark, SMALL))
+    plan = physical_plan(QUERIES[name](spark, SMALL))
     assert "CartesianProduct" not in plan
     assert "BroadcastNestedLoopJoin" not in plan
 
 
-@pytest.mark.parametrize("name", sorted(set(entry.queries()) - PYTHON_QUERIES
-                                        - {"admit_accounts", "admit_bookings", "admit_bookings_passengers",
-                                           "admit_tickets", "gateway_payment_stream", "stream_daily_commissions"}))
+@pytest.mark.parametrize("name", sorted(n for n in set(QUERIES) - EAGER_QUERIES if not n.startswith("admit_bookings")))
 def test_no_python_in_jvm_operators(spark, name):
-    plan = physical_plan(entry.queries()[name](spark, SMALL))
+    plan = physical_plan(QUERIES[name](spark, SMALL))
     for node in ("BatchEvalPython", "ArrowEvalPython", "MapInPandas", "FlatMapGroupsInPandas", "PythonUDF"):
         assert node not in plan, (name, node)
 
 
 def test_listing_filter_reaches_parquet(spark):
-    plan = physical_plan(entry.queries()["filter_listing"](spark, SMALL))
+    plan = physical_plan(QUERIES["filter_listing"](spark, SMALL))
     assert "PushedFilters: [IsNotNull(o_orderdate), GreaterThanOrEqual(o_orderdate" in plan
     assert "LessThanOrEqual(o_orderdate" in plan
 
 
 def test_projection_pruned_at_scan(spark):
-    plan = physical_plan(entry.queries()["bus_free_seats"](spark, SMALL))
+    plan = physical_plan(QUERIES["bus_free_seats"](spark, SMALL))
     scans = [line for line in plan.splitlines() if "ReadSchema" in line]
     assert scans and all("p_name" not in s and "p_brand" not in s for s in scans)
 
