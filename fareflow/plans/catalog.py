@@ -19,6 +19,7 @@ from ..functions import rules as R
 from ..operators import accounts, admission, inventory, listings, money, notifications
 from ..operators import bookings as B
 from ..sources import requests as S
+from ..sources import sinks
 from ..sources.fixtures import WEBHOOK_TEST_SECRET, build_fixtures
 from ..streaming import daily, payments, scratch_dir
 from ..streaming import state as E4
@@ -590,3 +591,86 @@ def q_admit_bookings_outbox(spark, sf):
     fx = build_fixtures(spark, sf, "users", "user_device_tokens")
     created = notifications.booking_created_changes(_admitted(spark, sf)["bookings"], fx["users"])
     return notifications.notification_outbox(created, fx["user_device_tokens"])
+
+
+# ---------------------------------------------------------------------------
+# Request forms, sinks, casts, payload merge, seat modes
+# ---------------------------------------------------------------------------
+@query
+def q_partner_listing(spark, sf):
+    """M2 by the partner's key and its own filters."""
+    fx, summary = _summary(spark, sf)
+    return money.partner_listing(build_fixtures(spark, sf, "listing_requests")["listing_requests"], summary)
+
+
+@query
+def q_partner_stats_for(spark, sf):
+    """G2 for requested (partner, year, month) triples, matched or not."""
+    fx = build_fixtures(spark, sf, "stats_requests", "commissions")
+    return money.partner_stats_for(fx["stats_requests"], fx["commissions"])
+
+
+@query
+def q_sink_batches(spark, sf):
+    """Three keyed batches, one of them written twice (a replay), read back."""
+    refunds = build_fixtures(spark, sf, "refund_transactions")["refund_transactions"]
+    path = scratch_dir(spark, "batches")
+    for batch in (0, 1, 2, 1):
+        sinks.write_batch(refunds.filter(F.col("refund_id") % 3 == batch), path, batch)
+    return spark.read.parquet(path).select("refund_id", "booking_id", "refund_status", "created_at", "batch_id")
+
+
+@query
+def q_sink_appends(spark, sf):
+    """A table appended to twice, partitioned by status, read back."""
+    refunds = build_fixtures(spark, sf, "refund_transactions")["refund_transactions"]
+    path = scratch_dir(spark, "appends")
+    for part in (0, 1):
+        sinks.append_rows(refunds.filter(F.col("refund_id") % 2 == part), path, partition_by=["refund_status"])
+    return spark.read.parquet(path).select("refund_id", "booking_id", "refund_status", "created_at")
+
+
+@query
+def q_sink_json(spark, sf):
+    """Rows and their count written as JSON, read back."""
+    users = build_fixtures(spark, sf, "users")["users"]
+    path = scratch_dir(spark, "json")
+    sinks.write_json(users, path)
+    return money.with_count(spark.read.schema(users.schema).json(path + "/rows")).join(
+        spark.read.schema("count long").json(path + "/_envelope"), "count")
+
+
+@query
+def q_lenient_casts(spark, sf):
+    """Q1, Q2 and Q8 over strings as clients send them."""
+    n = build_fixtures(spark, sf, "awkward_numbers")["awkward_numbers"]
+    return n.select("row_id", R.lenient_int("s").alias("as_int"), R.lenient_float("s").alias("as_price"), R.positive_int("s").alias("positive"))
+
+
+@query
+def q_merge_payload(spark, sf):
+    """M5: the system's payload of a payment update under the caller's fields; the caller wins."""
+    u = build_fixtures(spark, sf, "payment_updates")["payment_updates"]
+    system = F.create_map(F.lit("booking_id"), F.col("booking_id").cast("string"), F.lit("status"), F.col("payment_status"),
+                          F.lit("channel"), F.lit("push"))
+    caller = F.map_filter(F.create_map(F.lit("channel"), F.col("payment_method"), F.lit("tx"), F.col("transaction_id")), lambda k, v: v != "")
+    m = u.select("command_id", notifications.merge_payload(system, caller).alias("m"))
+    return m.select("command_id", *[F.try_element_at("m", F.lit(k)).alias(k) for k in ("booking_id", "status", "channel", "tx")],
+                    F.size("m").alias("n_keys"))
+
+
+def _seats(spark, sf, **mode):
+    fx = build_fixtures(spark, sf, "trips", "buses", "seats", "bookings", "passengers")
+    return inventory.available_seats(fx["trips"], fx["buses"], fx["seats"], fx["bookings"], fx["passengers"], **mode)
+
+
+@query
+def q_available_seats_not_exists(spark, sf):
+    """J4 where a passenger without a seat does not empty the trip."""
+    return _seats(spark, sf, null_aware=False)
+
+
+@query
+def q_available_seats_active(spark, sf):
+    """J4 where cancelled passengers hold no seat."""
+    return _seats(spark, sf, null_aware=False, ignore_cancelled=True)

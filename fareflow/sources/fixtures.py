@@ -115,7 +115,8 @@ FIXTURE_SQL: dict[str, str] = {
         "select l_orderkey*8+l_linenumber as passenger_id, l_orderkey as booking_id, "
         "l_orderkey % (select count(*) from part) as trip_id, "
         "case when min(l_partkey) % 400 = 3 then null else (l_orderkey % (select count(*) from part))*25 + min(l_partkey) % 25 end as seat_id, "
-        "'Active' as passenger_status from lineitem group by l_orderkey, l_linenumber"),
+        "case when (l_orderkey*8+l_linenumber) % 9 = 4 then 'Cancelled' else 'Active' end as passenger_status "
+        "from lineitem group by l_orderkey, l_linenumber"),
     "commissions": (
         "select b.booking_id as commission_id, b.booking_id, t.partner_id, b.total_price as booking_amount, "
         "cast(round(b.total_price*0.10,2) as decimal(12,2)) as commission_amount, "
@@ -187,6 +188,20 @@ FIXTURE_SQL: dict[str, str] = {
     "commission_adjustments": (
         "select commission_id, booking_id, cast(round(booking_amount*0.5,2) as decimal(12,2)) as new_amount "
         "from commissions"),
+    # strings as clients send them: numbers, numbers with something around them, none
+    "awkward_numbers": (
+        "select o_orderkey as row_id, case o_orderkey % 16 when 0 then cast(o_orderkey as string) when 1 then concat('  ', cast(o_orderkey as string), 'abc') "
+        "when 2 then concat(cast(o_orderkey % 9 as string), 'e3') when 3 then '12345678901234567890' when 4 then '-99999999999999999999.5' "
+        "when 5 then concat('-', cast(o_totalprice as string)) when 6 then 'abc' when 7 then '' when 8 then null when 9 then '.5' "
+        "when 10 then concat('+', cast(o_custkey as string), '.') when 11 then '12345678901.5' when 12 then concat(cast(o_custkey as string), ' ') "
+        "when 13 then '1.5e-1' when 14 then '0' else concat(cast(o_totalprice as string), ' USD') end as s from orders"),
+    "listing_requests": (
+        "select s_suppkey*2 as request_id, s_suppkey as partner_id, case s_suppkey % 3 when 0 then '' when 1 then ' Paid ' else 'Pending' end as status, "
+        "case when s_suppkey % 2 = 0 then {TS} '1994-01-01 00:00:00' end as ts_from, "
+        "case when s_suppkey % 5 < 3 then {TS} '1997-06-30 00:00:00' end as ts_to from supplier"),
+    "stats_requests": (
+        "select s_suppkey as partner_id, cast(1992 + s_suppkey % 8 as int) as year, cast(s_suppkey % 12 + 1 as int) as month from supplier "
+        "union all select s_suppkey, cast(2030 as int), cast(1 as int) from supplier"),
     "identifier_lookups": (
         "select c_custkey as lookup_id, case when c_custkey % 3 = 0 then concat('u', cast(c_custkey as string), '@example.org') "
         "when c_custkey % 3 = 1 then concat('7', lpad(cast(c_custkey as string), cast(greatest(8, length(cast(c_custkey as string))) as int), '0')) else 'nobody' end as identifier from customer"),

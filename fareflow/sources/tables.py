@@ -2,8 +2,7 @@
 
 Each table is a lazy Parquet scan; Catalyst prunes columns and pushes
 filters into the reader, so loading every table costs nothing until a
-query touches it.  ``read_jdbc`` is the production path for a relational
-source (one partitioned scan per table, split on a numeric key).
+query touches it.
 """
 
 from __future__ import annotations
@@ -19,13 +18,3 @@ def load_tables(spark: SparkSession, sf_dir: str,
                 names: tuple[str, ...] | None = None) -> dict[str, DataFrame]:
     """Lazy Parquet scans of ``<sf_dir>/<name>.parquet``; a table that is not there fails the read."""
     return {n: spark.read.parquet(f"{sf_dir.rstrip('/')}/{n}.parquet") for n in names or BASE_TABLES}
-
-
-def read_jdbc(spark: SparkSession, url: str, table: str, *, partition_column: str,
-              lower: int, upper: int, num_partitions: int,
-              properties: dict[str, str] | None = None) -> DataFrame:
-    """Parallel JDBC scan of one table, split into ``num_partitions`` ranges
-    of ``partition_column`` (never a single-connection read)."""
-    return spark.read.jdbc(url, table, column=partition_column, lowerBound=lower,
-                           upperBound=upper, numPartitions=num_partitions,
-                           properties=properties or {})
