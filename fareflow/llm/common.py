@@ -28,6 +28,10 @@ from ..session import ensure_checkpoint_dir
 __all__ = ["Recent", "ship", "map_batches", "scratch_table", "shared_folder", "text_runs", "table", "whole_text"]
 
 _SHIPPED: set[str] = set()
+#: Rows of an Arrow batch sent to Python, unless the session sets its own:
+#: whole texts are large, and both sides hold a batch.
+BATCH_ROWS = 1000
+_BATCH_CONF = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 class Recent(dict):
@@ -75,8 +79,14 @@ def shared_folder(spark: SparkSession) -> str:
 
 def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]],
                 schema: str | StructType) -> DataFrame:
-    """``mapInArrow`` after shipping the package to the workers."""
+    """``mapInArrow`` after shipping the package to the workers.
+
+    Spark takes the batch size from the session when the job runs, so a
+    session that still has the default of 10,000 rows gets ``BATCH_ROWS``.
+    """
     ship(df.sparkSession)
+    if df.sparkSession.conf.get(_BATCH_CONF) == "10000":
+        df.sparkSession.conf.set(_BATCH_CONF, str(BATCH_ROWS))
     return df.mapInArrow(fn, schema)
 
 

@@ -34,7 +34,7 @@ from .word_bpe import words
 
 CAPACITY = 2048
 #: Distinct words kept per process.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 150_000
 
 
 class OpenBins:
