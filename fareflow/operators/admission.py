@@ -188,8 +188,9 @@ def admit_bookings(requests: DataFrame, trips: DataFrame, policies: DataFrame, s
     the trip partner's default policy; their passengers are Active; their
     seats are flagged unavailable.  Returns ``outcomes``, ``bookings``,
     ``passengers`` and ``seat_updates``."""
+    requests = cut_lineage(requests)            # parsed once, read by every branch below
     codes, per = resolve_seat_codes(requests, trips, seats)
-    codes = cut_lineage(codes)                  # parsed once, reused by every branch below
+    codes = cut_lineage(codes)
     checks = cut_lineage(booking_request_checks(requests, trips, policies, seats, bookings, passengers,
                                                 resolved=(codes, per)))
     arrival = requests.select("request_id", F.struct("received_at", "request_id").alias("_order"))
