@@ -238,7 +238,6 @@ def search(index: DataFrame, queries: DataFrame, *, id_col: str = "vec_id", vect
     """The ``k`` nearest rows of the index per query, without the query's own id:
     query_id, rank (from 1), ``id_col``, score (Euclidean distance in double
     precision), nearest first, ties to the smaller id."""
-    spark = index.sparkSession
     shards = index.select("shard").distinct().count()
     q = queries.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<float>").alias("vector"))
     q = q.where(usable("vector") & F.col("id").isNotNull()).distinct()

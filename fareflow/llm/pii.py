@@ -89,6 +89,7 @@ _TOKEN = re.compile(r"\S+")
 #: What makes a token worth labelling, with the tokens around it.
 _TRIGGER = re.compile(r"[0-9@]|[\[({<]\s*(?:at|dot)\s*[\])}>]", re.I)
 AROUND = 4                                    # tokens of context on either side of a run
+MOST_TOKENS = 12                              # tokens of the longest value
 FEATURES = 1 << 12
 _RUNS = re.compile(r"[0-9]+|[a-z]+|[A-Z]+|[^\x00-\x7f]+|.", re.S)
 # Words that often stand beside personal data.
@@ -321,6 +322,24 @@ def token_runs(text: str) -> list[list[tuple[int, int]]]:
     return [tokens[max(0, a - AROUND): b + AROUND + 1] for a, b in zip(first.tolist(), last.tolist())]
 
 
+def _valid_parts(kind: str, text: str, tokens: list[tuple[int, int]], base: list[Span]) -> list[Span]:
+    """Valid values among tokens of one label: from the left, the longest
+    stretch each time (two numbers may stand side by side), clear of the base spans."""
+    out, at = [], 0
+    while at < len(tokens):
+        for end in range(min(len(tokens), at + MOST_TOKENS), at, -1):
+            a, b = tokens[at][0], tokens[end - 1][1]
+            while a < b and text[a] in "\"',;:!?<":
+                a += 1
+            while b > a and text[b - 1] in "\"',;:!?.>#$%&*|":
+                b -= 1
+            if _valid(kind, text[a:b]) and all(b <= s or a >= e for _, s, e in base):
+                out.append((kind, a, b))
+                break
+        at = end if out and out[-1][1] >= tokens[at][0] else at + 1
+    return out
+
+
 def added_spans(field: Field, texts: list[str], base: list[list[Span]]) -> list[list[Span]]:
     """Spans of the field that are valid and touch no base span."""
     out: list[list[Span]] = [[] for _ in texts]
@@ -335,13 +354,7 @@ def added_spans(field: Field, texts: list[str], base: list[list[Span]]) -> list[
                 while end < len(run) and labels[end] == labels[at]:
                     end += 1
                 if labels[at]:
-                    kind, a, b = LABELS[labels[at]], run[at][0], run[end - 1][1]
-                    while a < b and texts[i][a] in "\"',;:!?<":
-                        a += 1
-                    while b > a and texts[i][b - 1] in "\"',;:!?.>#$%&*|":
-                        b -= 1
-                    if _valid(kind, texts[i][a:b]) and all(b <= s or a >= e for _, s, e in base[i]):
-                        out[i].append((kind, a, b))
+                    out[i] += _valid_parts(LABELS[labels[at]], texts[i], run[at:end], base[i])
                 at = end
     return out
 

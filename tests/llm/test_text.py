@@ -178,6 +178,7 @@ def test_viterbi_equals_all_paths(field):
 
 @pytest.mark.parametrize("text,added", [
     ("call (974) 555-3436 now", ["(974) 555-3436"]), ("visa 3782 822463 10005 ok", ["3782 822463 10005"]),
+    ("seen 4417744280351547 4417744280351547 there", ["4417744280351547", "4417744280351547"]),
     ("contact anna [at] posteo [dot] org or call", ["anna [at] posteo [dot] org"]), ("write to a@b.example.com", []),
     ("version 2.0 of 2024-01-05 and 10:30, order 1234567", []), ("no data at all in the dot", [])])
 def test_added_spans(field, text, added):
