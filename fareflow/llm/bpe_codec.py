@@ -13,6 +13,7 @@ over the word.
 from __future__ import annotations
 
 import hashlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,11 +22,11 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, whole_text
-from .word_bpe import chunks, load_json
+from .common import Recent, map_batches, whole_text
+from .word_bpe import load_json, words
 
-#: Distinct words kept per process; the cache starts anew beyond it (memory bound only).
-CACHE_WORDS = 250_000
+#: Distinct words kept per process.
+CACHE_WORDS = 150_000
 #: Word-final symbols are their own alphabet: the code point moved up by this.
 FINAL = 0x10000
 _NEVER = 1 << 60
@@ -68,8 +69,7 @@ class WordBpe:
         self.shown = {i: t for t, i in vocab.items()} | {i: t for t, i in self.special.items()}
         self.beside: dict[tuple[int, int], bool] = {}
         self.whole: dict[int, bool] = {}
-        self.words: dict[str, tuple[int, ...]] = {}
-        self.ids_of = _Chunks(self)
+        self.ids_of = Recent(lambda piece: array("I", self.encode_piece(piece)).tobytes(), CACHE_WORDS)
 
     def _symbols(self, token: str) -> str:
         """A token as a string over symbols; the word-final symbol carries the end."""
@@ -160,22 +160,15 @@ class WordBpe:
             else:
                 y, ends_y = self.left[y], ry
 
-    def encode_chunk(self, chunk: str) -> list[int]:
-        """Ids of what stands between white space; special strings are matched first."""
+    def encode_piece(self, piece: str) -> list[int]:
+        """Ids of a part of a text without white space; special strings are matched first."""
         ids: list[int] = []
-        for part in self.special_at.split(chunk):
+        for part in self.special_at.split(piece):
             if part in self.special:
                 ids.append(self.special[part])
             elif part:
                 for word, _ in self.split_words(self.normalize(part)):
-                    known = self.words.get(word)
-                    if known is None:
-                        known = self.encode_word(word)
-                        if len(word) <= 64:
-                            if len(self.words) >= CACHE_WORDS:
-                                self.words.clear()
-                            self.words[word] = known
-                    ids.extend(known)
+                    ids += self.encode_word(word)
         return ids
 
     def decode_ids(self, ids) -> str:
@@ -184,23 +177,7 @@ class WordBpe:
 
     def encode(self, text: str) -> bytes:
         """Ids of a whole text as little-endian unsigned 32-bit integers."""
-        return b"".join(map(self.ids_of.__getitem__, chunks(text)))
-
-
-class _Chunks(dict):
-    """Packed ids of chunks, worked out on first use."""
-
-    def __init__(self, bpe: WordBpe):
-        super().__init__()
-        self.bpe = bpe
-
-    def __missing__(self, chunk: str) -> bytes:
-        ids = np.array(self.bpe.encode_chunk(chunk), "<u4").tobytes()
-        if len(chunk) <= 64:
-            if len(self) >= CACHE_WORDS:
-                self.clear()
-            self[chunk] = ids
-        return ids
+        return b"".join(map(self.ids_of.__getitem__, words(text)))
 
 
 _CODECS: dict[str, WordBpe] = {}

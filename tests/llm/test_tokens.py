@@ -60,7 +60,7 @@ def test_caches_are_bounded_and_harmless(library, monkeypatch):
     for t in strange(200, 3):
         ids = library.encode(t, add_special_tokens=False).ids
         assert np.frombuffer(enc.encode(t), "<u4").tolist() == ids == np.frombuffer(codec.encode(t), "<u4").tolist()
-    assert len(enc.ids_of) <= 5
+    assert len(enc.ids_of) <= 5 and len(codec.ids_of) <= 5
 
 
 def test_count_query_rows(spark, pieces):
