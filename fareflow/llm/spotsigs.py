@@ -32,6 +32,8 @@ COMMON_WORDS = (
 )
 #: Content words in a chain.
 CHAIN = 2
+#: Ranges of ids that are ordered apart from each other.
+MOST_RANGES = 16_384
 
 
 def words(text: Column) -> Column:
@@ -80,23 +82,35 @@ def pruned_jaccard(a: Column, b: Column, threshold: float = 0.0) -> Column:
     return F.when(near, value).otherwise(0.0)
 
 
+def not_above(cuts: list, x: Column) -> Column:
+    """How many of the sorted ``cuts`` are at most ``x``: first among blocks of
+    cuts, then inside the one block, so a row costs the root of their number."""
+    if not cuts:
+        return F.lit(0)
+    size = max(1, math.isqrt(len(cuts)))
+    blocks = [cuts[i: i + size] for i in range(0, len(cuts), size)]
+    full = F.size(F.filter(F.lit([b[0] for b in blocks]), lambda c: c <= x)) - 1
+    inside = F.size(F.filter(F.get(F.array(*map(F.lit, blocks)), F.greatest(full, F.lit(0))), lambda c: c <= x))
+    return F.when(full < 0, 0).otherwise(full * size + inside)
+
+
 def with_next(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Columns id, ``text``, ``sigs``, ``next_text``, ``next_sigs``: the next
     document by descending id (nulls last; equal ids by text); after the last
     comes the first.
 
     Ids are cut into equal ranges by approximate quantiles, one range per
-    shuffle partition, and each range also gets the first row of the range
-    after it.  The texts are shuffled once, and no task orders more than its
+    shuffle partition (``MOST_RANGES`` at most: more data make longer ranges,
+    which sort with spilling), and each range also gets the first row of the
+    range after it.  The texts are shuffled once, and no task orders more than its
     range.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("id"), whole_text(text_col).alias("text"))
-    n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    cuts = rows.agg(F.percentile_approx("id", [i / n for i in range(1, n)] or [0.5], 10_000)).first()[0] or []
+    n = max(1, min(MOST_RANGES, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    cuts = rows.agg(F.percentile_approx("id", [i / n for i in range(1, n)] or [0.5], max(10_000, 4 * n))).first()[0] or []
     cuts = sorted(set(cuts))
-    bucket = (F.when(F.col("id").isNull(), len(cuts) + 1)
-              .otherwise(F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c > F.col("id"))) if cuts else F.lit(0)))
+    bucket = F.when(F.col("id").isNull(), len(cuts) + 1).otherwise(len(cuts) - not_above(cuts, F.col("id")))
     rows = rows.withColumn("bucket", bucket.cast("int")).withColumn("last", F.lit(False))
     # one row per range: its first id and the range before it
     around = Window.orderBy("bucket")

@@ -161,6 +161,13 @@ def test_fingerprint_edges(spark, edge, empty):
     assert one.near_next == 1.0
 
 
+@pytest.mark.parametrize("cuts", [[], [5], [1, 2, 3], list(range(0, 100, 7))])
+def test_ranges_of_ids(spark, cuts):
+    from pyspark.sql import functions as F
+    got = {r.id: r.n for r in spark.range(-3, 110).select("id", spotsigs.not_above(cuts, F.col("id")).alias("n")).collect()}
+    assert got == {x: sum(c <= x for c in cuts) for x in range(-3, 110)}
+
+
 def test_pruned_jaccard(spark):
     df = spark.createDataFrame([([1, 2, 3, 4], [1, 2, 3, 4, 5]), ([1], [1, 2, 3, 4, 5, 6])], "a array<int>, b array<int>")
     from pyspark.sql import functions as F
