@@ -117,8 +117,11 @@ def fit(rows: DataFrame, *, text_col: str, declared_col: str, per_language: int
     ``languages`` most frequently declared languages, picked by their hash."""
     text, declared = whole_text(text_col), language_code(F.col(declared_col))
     short = rows.select(declared.alias("language"), F.xxhash64(text).alias("h")).where("language is not null")
-    names = [r.language for r in short.groupBy("language").count().orderBy(F.desc("count"), "language").limit(languages).collect()]
-    picked = (short.where(F.col("language").isin(names)).distinct()
+    top = short.groupBy("language").count().orderBy(F.desc("count"), "language").limit(languages).collect()
+    # hashes below a share that leaves four times the sample; only those are ranked
+    share = F.create_map(*[F.lit(x) for r in top for x in (r.language, min(1.0, 4.0 * per_language / r["count"]))]) if top else F.lit(None)
+    low = (F.col("h").bitwiseAND((1 << 62) - 1) / float(1 << 62)) < F.try_element_at(share, F.col("language")) if top else F.lit(False)
+    picked = (short.where(low).distinct()
               .withColumn("nth", F.row_number().over(Window.partitionBy("language").orderBy("h"))).where(F.col("nth") <= per_language))
     sample = (rows.select(declared.alias("language"), F.xxhash64(text).alias("h"), text.alias("text"))
               .join(F.broadcast(picked.drop("nth")), ["language", "h"]).dropDuplicates(["language", "h"])
