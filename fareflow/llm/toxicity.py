@@ -10,7 +10,8 @@ function, fitted on the training texts, of its highest window, its three
 highest windows, all its overlapping windows, and how many there are.
 
 Training runs in numpy on the driver over a documented, bounded sample of
-labelled rows (``MAX_TOXIC`` + ``MAX_CLEAN`` texts): first every window bears
+labelled rows (``MAX_TOXIC`` + ``MAX_CLEAN`` whole texts of ``MAX_CHARS`` code
+points a class): first every window bears
 the label of its text, then only the highest windows of toxic texts do.  The
 model's size is fixed; scoring runs in tasks, over every text.
 """
@@ -22,7 +23,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
@@ -30,8 +31,8 @@ from .common import map_batches, text_runs, whole_text
 from .words import Words
 
 WINDOW, STRIDE = 32, 16
-#: Bounds of the training sample (labelled texts of each class).
-MAX_TOXIC, MAX_CLEAN = 1200, 2000
+#: Bounds of the training sample: labelled texts of each class, and code points of each class.
+MAX_TOXIC, MAX_CLEAN, MAX_CHARS = 800, 1200, 2_500_000
 HIDDEN, WORD_DIM, CHAR_DIM, STEM_DIM, ATTENTION = 12, 12, 6, 12, 8
 LONGEST = 9                                   # bytes of a word's longest beginning
 PLACES = 8                                    # places of a byte in its word: 0..6, later
@@ -239,18 +240,28 @@ def _scan_back(d_out: np.ndarray, kept: list, mask: np.ndarray, u: np.ndarray) -
     return dx, du
 
 
-def _gradients(m: Model, words: Words, at: np.ndarray, mask: np.ndarray, target: np.ndarray, weight: np.ndarray) -> dict:
-    """Gradients of the weighted log loss over windows; ``at``: (steps, n) word numbers."""
-    p, steps, n = m.p, *at.shape
+def _sums(rows: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct places, sums of the rows of each)."""
+    order = np.argsort(place, kind="stable")
+    place = place[order]
+    cut = np.concatenate([[0], np.flatnonzero(np.diff(place)) + 1])
+    return place[cut], np.add.reduceat(rows[order], cut, 0)
+
+
+def _gradients(m: Model, words: Words, first_of: np.ndarray, kind: np.ndarray, mask: np.ndarray, target: np.ndarray) -> dict:
+    """Gradients of the log loss over windows; ``kind``: (steps, n) numbers of
+    distinct words, ``first_of``: a place in ``words`` of each."""
+    p, steps, n = m.p, *kind.shape
     mf = mask.astype(np.float32)
-    which = at.ravel()
+    distinct, back = np.unique(kind.ravel(), return_inverse=True)
+    which = first_of[distinct]
     rows = m.rows_of(m.vocabulary, words.hashes[which])
     cells, begins = m.char_cells(words, which)
     sizes = words.sizes[which]
     stems, n_stems = m.stem_cells(words, which)
-    x = np.concatenate([p["word"][rows], np.add.reduceat(p["char"][cells], begins, 0) / sizes[:, None].astype(np.float32),
-                        np.add.reduceat(p["stem"][stems], np.cumsum(n_stems) - n_stems, 0) / n_stems[:, None].astype(np.float32)],
-                       1) * mf.reshape(-1, 1)
+    each = np.concatenate([p["word"][rows], np.add.reduceat(p["char"][cells], begins, 0) / sizes[:, None].astype(np.float32),
+                           np.add.reduceat(p["stem"][stems], np.cumsum(n_stems) - n_stems, 0) / n_stems[:, None].astype(np.float32)], 1)
+    x = each[back] * mf.reshape(-1, 1)
     xs = x.reshape(steps, n, -1)
     kf, kb = [], []
     f = m._scan(xs @ p["wf"] + p["bf"], mask, p["uf"], kf)
@@ -258,7 +269,7 @@ def _gradients(m: Model, words: Words, at: np.ndarray, mask: np.ndarray, target:
     states = np.concatenate([f, b], 2)
     w, a, pooled = m.pool(states, mask)
     y = _sigmoid(pooled @ p["ow"] + p["ob"])
-    d = ((y - target) * weight / n).astype(np.float32)
+    d = ((y - target) / n).astype(np.float32)
     g = {"ow": pooled.T @ d, "ob": d.sum(keepdims=True)}
     dp = d[:, None] * p["ow"]
     dstates = w[:, :, None] * dp
@@ -276,38 +287,42 @@ def _gradients(m: Model, words: Words, at: np.ndarray, mask: np.ndarray, target:
     ff, fb = dxf.reshape(steps * n, -1), dxb.reshape(steps * n, -1)
     g["wf"], g["wb"], g["bf"], g["bb"] = flat.T @ ff, flat.T @ fb, ff.sum(0), fb.sum(0)
     dx = (ff @ p["wf"].T + fb @ p["wb"].T) * mf.reshape(-1, 1)
+    dx = _sums(dx, back)[1]                               # by distinct word
     c = WORD_DIM + CHAR_DIM
-    for name, index, part in (("word", rows, dx[:, :WORD_DIM]),
-                              ("char", cells, np.repeat(dx[:, WORD_DIM:c] / sizes[:, None], sizes, 0)),
-                              ("stem", stems, np.repeat(dx[:, c:] / n_stems[:, None], n_stems, 0))):
-        touched, back = np.unique(index, return_inverse=True)
-        total = np.zeros((len(touched), part.shape[1]), np.float32)
-        order = np.argsort(back, kind="stable")
-        cut = np.concatenate([[0], np.flatnonzero(np.diff(back[order])) + 1])
-        total[:] = np.add.reduceat(part[order], cut, 0)
-        g[name] = (touched, total)
+    g["word"] = _sums(dx[:, :WORD_DIM], rows)
+    g["char"] = _sums(np.repeat(dx[:, WORD_DIM:c] / sizes[:, None], sizes, 0), cells)
+    g["stem"] = _sums(np.repeat(dx[:, c:] / n_stems[:, None], n_stems, 0), stems)
     return g
 
 
-def _frequent(hashes: np.ndarray, owner: np.ndarray, most: int) -> np.ndarray:
-    """Hashes found in at least ``MIN_TEXTS`` training texts (the most frequent ones), sorted."""
+def _texts_with(hashes: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct hashes, number of texts each is in)."""
     order = np.lexsort((owner, hashes))
     h, o = hashes[order], owner[order]
     new = np.ones(len(h), bool)
     new[1:] = (h[1:] != h[:-1]) | (o[1:] != o[:-1])
-    seen, n = np.unique(h[new], return_counts=True)
+    return np.unique(h[new], return_counts=True)
+
+
+def _frequent(parts: list[tuple[np.ndarray, np.ndarray]], most: int) -> np.ndarray:
+    """Hashes found in at least ``MIN_TEXTS`` training texts (the most frequent ones), sorted."""
+    seen, back = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+    n = np.bincount(back, np.concatenate([p[1] for p in parts]), len(seen))
     best = np.lexsort((seen, -n))[:most]
     return np.sort(seen[best][n[best] >= MIN_TEXTS])
 
 
 def _vocabularies(words: Words) -> tuple[np.ndarray, np.ndarray]:
-    """Words and beginnings of words with own rows."""
-    owner = np.repeat(np.arange(len(words.bounds) - 1), words.counts())
-    distinct, where, back = np.unique(words.hashes, return_index=True, return_inverse=True)
-    pairs = np.unique(back * np.int64(len(words.bounds)) + owner)
-    word, owner = pairs // len(words.bounds), pairs % len(words.bounds)
-    stems, n = words.beginnings(where[word], LONGEST)
-    return _frequent(distinct[word], owner, MAX_WORDS), _frequent(stems, np.repeat(owner, n), MAX_STEMS)
+    """Words and beginnings of words with own rows, counted a block of texts at a time."""
+    counts, own, stems = words.counts(), [], []
+    for lo in range(0, len(counts), 100):
+        hi = min(lo + 100, len(counts))
+        a, b = words.bounds[lo], words.bounds[hi]
+        owner = np.repeat(np.arange(lo, hi), counts[lo:hi])
+        own.append(_texts_with(words.hashes[a:b], owner))
+        hashes, n = words.beginnings(np.arange(a, b), LONGEST)
+        stems.append(_texts_with(hashes, np.repeat(owner, n)))
+    return _frequent(own, MAX_WORDS), _frequent(stems, MAX_STEMS)
 
 
 def train(texts: list[str], labels: np.ndarray, *, steps: int = 250, batch: int = 256, seed: int = 7) -> Model:
@@ -328,6 +343,7 @@ def train(texts: list[str], labels: np.ndarray, *, steps: int = 250, batch: int
     adam = _Adam(m.p, 0.02)
     step = np.arange(WINDOW)[:, None]
     mine, clean_now = np.flatnonzero(is_toxic), clean
+    _, first_of, kinds = np.unique(words.hashes, return_index=True, return_inverse=True)
     for k in range(steps):
         if k and k % (steps // 5) == 0:                   # the highest windows of clean texts, and in the end of toxic ones
             logit = m.window_logits(words)[1][filled]
@@ -342,7 +358,7 @@ def train(texts: list[str], labels: np.ndarray, *, steps: int = 250, batch: int
         mask = (step < size[pick])[:, :, None]
         at = np.minimum(start[pick] + step, len(words.hashes) - 1)
         target = np.where(is_toxic[pick], 0.97, 0.01).astype(np.float32)
-        adam.step(m.p, _gradients(m, words, at, mask, target, np.ones(len(pick), np.float32)))
+        adam.step(m.p, _gradients(m, words, first_of, kinds[at], mask, target))
     _calibrate(m, words, labels)
     return m
 
@@ -372,16 +388,19 @@ def held_out(id_col: str):
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
-        max_toxic: int = MAX_TOXIC, max_clean: int = MAX_CLEAN) -> Model:
+        max_toxic: int = MAX_TOXIC, max_clean: int = MAX_CLEAN, max_chars: int = MAX_CHARS) -> Model:
     """Trains on at most ``max_toxic`` + ``max_clean`` labelled texts outside
-    the held-out rows, picked by the hash of their ids."""
+    the held-out rows, picked by the hash of their ids, as far as those of a
+    class hold ``max_chars`` code points."""
     own = (labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label"))
            .where(F.col("id").isNotNull() & F.col("label").isin(0, 1) & ~held_out("id")))
     by = [F.xxhash64("id"), "id"]
     sample = (own.where("label = 1").orderBy(*by).limit(max_toxic)
               .union(own.where("label = 0").orderBy(*by).limit(max_clean)))
     rows = (docs.select(F.col(id_col).alias("id"), whole_text(text_col).alias("text"))
-            .join(F.broadcast(sample), "id").dropDuplicates(["id"]).orderBy(*by).toPandas())
+            .join(F.broadcast(sample), "id").dropDuplicates(["id"]))
+    before = Window.partitionBy("label").orderBy(*by).rowsBetween(Window.unboundedPreceding, 0)   # over the sample only
+    rows = rows.withColumn("chars", F.sum(F.length("text")).over(before)).where(F.col("chars") <= max_chars).orderBy(*by).toPandas()
     return train(rows["text"].tolist(), rows["label"].to_numpy(np.float32))
 
 

@@ -49,9 +49,9 @@ class Words:
         self.starts = np.flatnonzero(edge == 1)
         stops = np.flatnonzero(edge == -1)                # the closing line feed ends the last word
         self.sizes = stops - self.starts
-        at = np.flatnonzero(inside)
+        at = np.flatnonzero(inside).astype(np.int32 if len(raw) < 1 << 31 else np.int64)
         self.first = np.cumsum(self.sizes) - self.sizes   # of each word among the word bytes
-        self.position = np.arange(len(at)) - np.repeat(self.first, self.sizes)
+        self.position = np.arange(len(at), dtype=at.dtype) - np.repeat(self.first.astype(at.dtype), self.sizes)
         self.letters = raw[at]
         if len(at):
             terms = (self.letters.astype(np.uint64) + np.uint64(1)) * _powers(int(self.position.max()) + 1)[self.position]
