@@ -212,7 +212,7 @@ def build_index(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str =
     ``place`` in its shard, ``ids`` (the ``keep_ids`` smallest), ``vector``,
     ``entry`` (of the shard) and ``links`` (flat neighbour places, layer by
     layer, with -1 for none).  Shards hold about ``shard`` rows."""
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<float>").alias("vector"))
+    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("vector"))
     rows = rows.where(usable("vector") & F.col("id").isNotNull())
     first = Window.partitionBy("vector").orderBy("id")
     distinct = scratch_table(rows.withColumn("nth", F.dense_rank().over(first)).where(F.col("nth") <= keep_ids)
@@ -230,7 +230,7 @@ def build_index(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str =
 
     ship(vectors.sparkSession)
     return dealt.groupBy("dim", "shard").applyInPandas(
-        build, "vector array<float>, ids array<long>, dim int, shard int, place int, entry int, links array<int>")
+        build, "vector array<double>, ids array<long>, dim int, shard int, place int, entry int, links array<int>")
 
 
 def search(index: DataFrame, queries: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 10,
@@ -239,7 +239,7 @@ def search(index: DataFrame, queries: DataFrame, *, id_col: str = "vec_id", vect
     query_id, rank (from 1), ``id_col``, score (Euclidean distance in double
     precision), nearest first, ties to the smaller id."""
     shards = index.select("shard").distinct().count()
-    q = queries.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<float>").alias("vector"))
+    q = queries.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("vector"))
     q = q.where(usable("vector") & F.col("id").isNotNull()).distinct()
     sent = q.select(F.size("vector").alias("dim"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"),
                     F.lit(True).alias("query"), F.lit(0).alias("place"), F.array("id").alias("ids"), "vector",
