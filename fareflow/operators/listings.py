@@ -10,21 +10,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.lineage import cut_lineage
+
 
 def booking_history(users: DataFrame, bookings: DataFrame, trips: DataFrame, routes: DataFrame,
                     buses: DataFrame, bus_classes: DataFrame, partners: DataFrame,
                     sort: bool = True) -> DataFrame:
     """Every user's bookings with trip, route, class and company (the
     reference's 12 columns) plus ``booking_count`` per user, newest booking
-    first within a user.  Trips meet their four dimensions first; the
+    first within a user.  Trips meet their four dimensions once, and are kept
+    as a table that both the count and the listing read; the
     count runs over the two key columns of the bookings of such trips, before
     any display column is attached, and is joined on ``user_id`` (AQE splits a
     hot user), not a window."""
-    known = (trips.select("trip_id", "route_id", "bus_id", "partner_id", "departure_time", "arrival_time", "base_price")
-             .join(routes.select("route_id", "origin_city", "destination_city"), "route_id")
-             .join(buses.select("bus_id", "bus_class_id"), "bus_id")
-             .join(bus_classes.select("bus_class_id", F.col("class_name").alias("bus_class")), "bus_class_id")
-             .join(partners.select("partner_id", "company_name"), "partner_id"))
+    known = cut_lineage(
+        trips.select("trip_id", "route_id", "bus_id", "partner_id", "departure_time", "arrival_time", "base_price")
+        .join(routes.select("route_id", "origin_city", "destination_city"), "route_id")
+        .join(buses.select("bus_id", "bus_class_id"), "bus_id")
+        .join(bus_classes.select("bus_class_id", F.col("class_name").alias("bus_class")), "bus_class_id")
+        .join(partners.select("partner_id", "company_name"), "partner_id"))
     counts = (bookings.select("user_id", "trip_id").join(known.select("trip_id"), "trip_id", "left_semi")
               .groupBy("user_id").agg(F.count(F.lit(1)).alias("booking_count")))
     rows = (users.select("user_id", "full_name").join(counts, "user_id")

@@ -2,8 +2,8 @@
 
 Each entry takes ``(spark, sf_dir)``, builds the fixture views it needs over
 the whole base tables of ``sf_dir`` and returns the operator's DataFrame
-(lazy, but for admission rounds, generated ids and streams, which run while
-they are built).  The DuckDB oracle of each entry lives in ``oracles.py`` and is
+(lazy, but for admission rounds, generated ids, streams and tables that are
+kept for two uses, which run while they are built).  The DuckDB oracle of each entry lives in ``oracles.py`` and is
 written independently in SQL.
 """
 

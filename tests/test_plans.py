@@ -62,3 +62,20 @@ def test_month_layout_prunes_partitions(spark):
     assert pf and re.search(r"created_year#\d+ = 1996", pf.group(1)) and re.search(r"created_month#\d+ = 3", pf.group(1))
     want = money.partner_month_stats(c).filter((F.col("year") == 1996) & (F.col("month") == 3))
     assert stats.exceptAll(want).count() == 0 and want.exceptAll(stats).count() == 0
+
+
+@pytest.mark.parametrize("name,exchanges", [("booking_history", 10), ("refund_commission_report", 12), ("refund_listing", 10)])
+def test_listings_count_on_keys(spark, name, exchanges):
+    """With broadcasts off: the count beside a listing joins keys only, and
+    J2's trips meet their dimensions once (30 exchanges before)."""
+    import re
+    old = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = QUERIES[name](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    print(name, len(re.findall(r"[-+] Exchange ", plan)), plan.count("SortMergeJoin"))
+    assert len(re.findall(r"[-+] Exchange ", plan)) <= exchanges
