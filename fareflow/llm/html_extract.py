@@ -55,6 +55,7 @@ _TOKEN = re.compile(
     r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>"
     r"|<(?P<end2>/?)(?P<tag2>[a-zA-Z][^\s/>]*)(?P<attrs2>[^>]*)>"
     r"|(?P<text>[^<]+|<)", re.S | re.I)
+_BEGUN = re.compile(r"<[a-zA-Z/!?]")
 _ATTR = re.compile(r"""([a-zA-Z-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))|\b(hidden)\b""")
 _WORD = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
 _PUNCTUATION = re.compile(r"[.,;:!?…。，、；：！？¿¡\"“”«»()]")
@@ -108,7 +109,10 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], bool, str, int]]:
             declared -= said
             links -= tag == "a"
 
-    for m in _TOKEN.finditer(page):
+    # past the last ">" no markup is complete: what begins there is cut off, and the text before it stays
+    last = page.rfind(">") + 1
+    cut = _BEGUN.search(page, last)
+    for m in _TOKEN.finditer(page[: cut.start() if cut else len(page)]):
         text = m["text"] or m["cdata"]
         if text is not None:
             if not left_out:

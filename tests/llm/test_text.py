@@ -38,7 +38,7 @@ LONG, MORE = "Long text, with commas. " * 10, "More text; with other marks. " *
 
 @pytest.mark.parametrize("page,text", [
     ("", ""), ("plain &lt;text&gt;", "plain <text>"), ("<script>if (a<b) '</p>'", ""), ("<p>a &nbsp; b<br>c\n d</p>", "a b c d"),
-    ("<div hidden>x</div><p>y</p>", "y"), ("<p>cut off <b>here", "cut off here"), ("<p>one<p>two", "one\ntwo"),
+    ("<div hidden>x</div><p>y</p>", "y"), ("<p>cut off <b>here", "cut off here"), ("<p>cut off <b cla", "cut off"), ("<p>a < b", "a < b"), ("no end <!-- of it", "no end"), ("<p>one<p>two", "one\ntwo"),
     ('<nav><a href="x>y">menu</a></nav><main><h1>T</h1><p>p</p><aside>no</aside><form>no</form></main><footer>no</footer>', "T\np"),
     (f'<div id="topMenu"><ul><li>Home</ul></div><div class=content><h2>Head</h2><p>{LONG}</p><p>{MORE}</p></div>'
      '<div class="user-comments"><p>Nice post, thank you. I like it.</p></div>', f"Head\n{LONG.strip()}\n{MORE.strip()}"),
@@ -53,7 +53,7 @@ def test_extraction_of_pages(page, text):
 def test_extraction_edges(spark):
     schema = "page_id long, url string, html string, text string, n_chars string"
     rows = [(1, None, None, "t", "n"), (2, "u", "", "t", "n"), (2, "u", "", "t", "n"), (None, "v", "<p>" * 3000 + "x" * 100_000, "t", "n"),
-            (4, "w", "<" * 5000, "t", "n"), (5, "w", "<a b='" * 2000, "t", "n")]
+            (4, "w", "<" * 5000, "t", "n"), (5, "w", "<a b='" * 200_000, "t", "n")]
     out = html_extract.extract(spark.createDataFrame(rows, schema)).collect()
     assert sorted((r.page_id or 0, r.n_chars) for r in out)[:4] == [(0, 100_000), (1, 0), (2, 0), (2, 0)]
     assert html_extract.extract(spark.createDataFrame([], schema)).count() == 0
