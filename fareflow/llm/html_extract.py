@@ -44,7 +44,8 @@ _HINTS = frozenset((
     "advertisement advertising adsbygoogle sponsor sponsored sponsors promo promos promotion cookie cookies consent gdpr notice notices "
     "alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations "
     "comment comments commentlist disqus respond reply replies widget widgets pagination pager toolbar copyright legal disclaimer search "
-    "form paywall teaser teasers").split())
+    "form paywall teaser teasers adslot adbox adunit adsense cookiebar cookiebanner sidemenu submenu topnav sitenav mainnav "
+    "leaderboard outbrain taboola sitemap").split())
 _CONTENT_HINTS = frozenset("article post entry content story main body text".split())
 _DECLARED = frozenset(("article", "main"))
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
