@@ -32,6 +32,8 @@ COMMON_WORDS = (
 )
 #: Content words in a chain.
 CHAIN = 2
+#: Likeness that the length partitions are made for.
+NEAR = 0.8
 #: Ranges of ids that are ordered apart from each other.
 MOST_RANGES = 16_384
 
@@ -129,7 +131,9 @@ def with_next(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
 
 def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, ``n_chars``, ``edited_sha256``,
-    ``fingerprint``, ``edited_fingerprint``, ``near_edited``, ``near_next``.
+    ``fingerprint``, ``edited_fingerprint``, ``near_edited``, ``near_next``
+    (exact: nothing is pruned here), and ``length_partition``: fingerprints
+    that reach a likeness of ``NEAR`` lie in the same or a neighbouring one.
 
     The edited text is the text whose last half (rounded down) is replaced by
     as many code points from the start of the next document.  Null texts count
@@ -145,4 +149,5 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     return rows.select(id_col, "n_chars", F.sha2(F.col("edited"), 256).alias("edited_sha256"),
                        fingerprint("sigs").alias("fingerprint"), fingerprint("edited_sigs").alias("edited_fingerprint"),
                        pruned_jaccard(F.col("sigs"), F.col("edited_sigs")).alias("near_edited"),
-                       pruned_jaccard(F.col("sigs"), F.col("next_sigs")).alias("near_next"))
+                       pruned_jaccard(F.col("sigs"), F.col("next_sigs")).alias("near_next"),
+                       length_partition(F.col("sigs"), NEAR).cast("int").alias("length_partition"))
