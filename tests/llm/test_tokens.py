@@ -125,7 +125,7 @@ def test_plan_equals_best_fit_decreasing(seed):
     runs = packing.plan_bins(Counter(lengths), capacity)
     fill = Counter()
     placed = Counter()
-    for size, first, n, bin0, each, offset in runs.tolist():
+    for size, first, n, bin0, each, offset in sorted(runs.tolist(), key=lambda r: (-r[0], r[1])):   # as they were placed
         placed[size] += n
         for i in range(n):
             assert fill[bin0 + i // each] == offset + i % each * size
