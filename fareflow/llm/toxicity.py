@@ -11,7 +11,8 @@ highest windows, all its overlapping windows, and how many there are.
 
 Training runs in numpy on the driver over a documented, bounded sample of
 labelled rows (``MAX_TOXIC`` + ``MAX_CLEAN`` whole texts of ``MAX_CHARS`` code
-points a class): first every window bears
+points a class; texts of over ``MAX_TEXT`` code points only where shorter ones
+don't fill it): first every window bears
 the label of its text, then only the highest windows of toxic texts do.  The
 model's size is fixed; scoring runs in tasks, over every text.
 """
@@ -27,12 +28,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import map_batches, text_runs, whole_text
+from .common import map_batches, scratch_table, text_runs, whole_text
 from .words import Words
 
 WINDOW, STRIDE = 32, 16
 #: Bounds of the training sample: labelled texts of each class, and code points of each class.
 MAX_TOXIC, MAX_CLEAN, MAX_CHARS = 800, 1200, 2_500_000
+#: Code points up to which texts are picked by hash; longer ones come after them, the shortest first.
+MAX_TEXT = 25_000
 HIDDEN, WORD_DIM, CHAR_DIM, STEM_DIM, ATTENTION = 12, 12, 6, 12, 8
 LONGEST = 9                                   # bytes of a word's longest beginning
 PLACES = 8                                    # places of a byte in its word: 0..6, later
@@ -388,19 +391,30 @@ def held_out(id_col: str):
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
-        max_toxic: int = MAX_TOXIC, max_clean: int = MAX_CLEAN, max_chars: int = MAX_CHARS) -> Model:
+        max_toxic: int = MAX_TOXIC, max_clean: int = MAX_CLEAN, max_chars: int = MAX_CHARS, max_text: int = MAX_TEXT) -> Model:
     """Trains on at most ``max_toxic`` + ``max_clean`` labelled texts outside
-    the held-out rows, picked by the hash of their ids, as far as those of a
-    class hold ``max_chars`` code points."""
+    the held-out rows, as far as those of a class hold ``max_chars`` code
+    points (one text at least).
+
+    Texts of up to ``max_text`` code points come first, in the order of the
+    hash of their ids, then longer ones, the shortest first: a long text
+    neither ends nor empties a class.  An id with several labels is toxic if
+    one of them says so; of several texts the shortest counts.
+    """
     own = (labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label"))
-           .where(F.col("id").isNotNull() & F.col("label").isin(0, 1) & ~held_out("id")))
-    by = [F.xxhash64("id"), "id"]
-    sample = (own.where("label = 1").orderBy(*by).limit(max_toxic)
-              .union(own.where("label = 0").orderBy(*by).limit(max_clean)))
-    rows = (docs.select(F.col(id_col).alias("id"), whole_text(text_col).alias("text"))
-            .join(F.broadcast(sample), "id").dropDuplicates(["id"]))
-    before = Window.partitionBy("label").orderBy(*by).rowsBetween(Window.unboundedPreceding, 0)   # over the sample only
-    rows = rows.withColumn("chars", F.sum(F.length("text")).over(before)).where(F.col("chars") <= max_chars).orderBy(*by).toPandas()
+           .where(F.col("id").isNotNull() & F.col("label").isin(0, 1) & ~held_out("id")).groupBy("id").agg(F.max("label").alias("label")))
+    texts = docs.select(F.col(id_col).alias("id"), whole_text(text_col).alias("text"))
+    sizes = scratch_table(texts.select("id", F.length("text").alias("length")).join(own, "id")
+                          .groupBy("id", "label").agg(F.min("length").alias("length")))
+    by = [F.greatest("length", F.lit(max_text)), F.xxhash64("id"), "id"]
+    sample = (sizes.where("label = 1").orderBy(*by).limit(max_toxic)
+              .union(sizes.where("label = 0").orderBy(*by).limit(max_clean)))
+    before = Window.partitionBy("label").orderBy(*by)        # over the sample only
+    sample = (sample.withColumns({"nth": F.row_number().over(before),
+                                  "chars": F.sum("length").over(before.rowsBetween(Window.unboundedPreceding, 0))})
+              .where((F.col("chars") <= max_chars) | (F.col("nth") == 1)).select("id", "label"))
+    rows = (texts.join(F.broadcast(sample), "id").groupBy("id", "label").agg(F.min(F.struct(F.length("text").alias("length"), "text")).alias("t"))
+            .orderBy(F.xxhash64("id"), "id").select("label", "t.text").toPandas())
     return train(rows["text"].tolist(), rows["label"].to_numpy(np.float32))
 
 

@@ -257,6 +257,18 @@ def test_toxicity_query(spark):
     assert np.mean(pairs) > 0.85
 
 
+def test_a_long_text_neither_ends_nor_empties_a_class(spark, monkeypatch):
+    """The hash-first text of one class is longer than the class's bound; another class has long texts only."""
+    monkeypatch.setattr(toxicity, "train", lambda texts, labels: sorted(zip(labels.tolist(), map(len, texts))))
+    labels = spark.range(60).selectExpr("id doc_id", "int(id % 2) toxic")
+    first = labels.where("toxic = 1 and crc32(string(doc_id)) % 5 != 0").selectExpr("min_by(doc_id, xxhash64(doc_id)) d").first().d
+    docs = labels.selectExpr("doc_id", f"repeat('x', int(case when doc_id = {first} then 1001 when toxic = 1 then 10 else 2000 + doc_id end)) text")
+    got = toxicity.fit(docs, labels, max_chars=1000, max_text=100)
+    kept = [r.doc_id for r in labels.where("crc32(string(doc_id)) % 5 != 0").collect()]
+    clean = min(k for k in kept if k % 2 == 0)
+    assert got == [(0, 2000 + clean)] + [(1, 10)] * (sum(k % 2 for k in kept) - 1)
+
+
 def test_toxicity_edges(spark, edge, empty):
     labels = spark.createDataFrame([(1, 0), (4, 1), (None, 1), (5, None), (77, 1)], "doc_id long, toxic int")
     out = toxicity.classify(edge, labels)
