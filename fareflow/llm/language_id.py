@@ -114,17 +114,17 @@ def train(texts: list[str], languages: list[str]) -> LanguageModel:
 def fit(rows: DataFrame, *, text_col: str, declared_col: str, per_language: int = PER_LANGUAGE,
         languages: int = LANGUAGES) -> LanguageModel:
     """Fits the model to at most ``per_language`` texts of each of the
-    ``languages`` most frequently declared languages, picked by their hash."""
+    ``languages`` languages of most different texts, those of the lowest hashes."""
     text, declared = whole_text(text_col), language_code(F.col(declared_col))
-    short = rows.select(declared.alias("language"), F.xxhash64(text).alias("h")).where("language is not null")
-    top = short.groupBy("language").count().orderBy(F.desc("count"), "language").limit(languages).collect()
+    low = F.col("h").bitwiseAND((1 << 62) - 1)
+    different = scratch_table(rows.select(declared.alias("language"), F.xxhash64(text).alias("h")).where("language is not null").distinct())
+    top = different.groupBy("language").count().orderBy(F.desc("count"), "language").limit(languages)
     # hashes below a share that leaves four times the sample; only those are ranked
-    share = F.create_map(*[F.lit(x) for r in top for x in (r.language, min(1.0, 4.0 * per_language / r["count"]))]) if top else F.lit(None)
-    low = (F.col("h").bitwiseAND((1 << 62) - 1) / float(1 << 62)) < F.try_element_at(share, F.col("language")) if top else F.lit(False)
-    picked = (short.where(low).distinct()
-              .withColumn("nth", F.row_number().over(Window.partitionBy("language").orderBy("h"))).where(F.col("nth") <= per_language))
+    share = float(max(4 * per_language, 100)) / F.col("count")
+    picked = (different.join(F.broadcast(top), "language").where(low / float(1 << 62) < share)
+              .withColumn("nth", F.row_number().over(Window.partitionBy("language").orderBy(low, "h"))).where(F.col("nth") <= per_language))
     sample = (rows.select(declared.alias("language"), F.xxhash64(text).alias("h"), text.alias("text"))
-              .join(F.broadcast(picked.drop("nth")), ["language", "h"]).dropDuplicates(["language", "h"])
+              .join(F.broadcast(picked.select("language", "h")), ["language", "h"]).dropDuplicates(["language", "h"])
               .orderBy("language", "h").toPandas())
     return train(sample["text"].tolist(), sample["language"].tolist())
 

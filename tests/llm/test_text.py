@@ -115,6 +115,15 @@ def test_language_edges(spark, edge, empty):
     assert all(r.language == "und" and r.rejected for r in none)
 
 
+def test_copies_do_not_shrink_the_sample_of_a_language(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "train", lambda texts, names: sorted(zip(names, texts)))
+    docs = spark.range(20_000).selectExpr("case when id < 12 then concat('text ', id) else 'the copy' end text", "'en' lang")
+    assert len(language_id.fit(docs, text_col="text", declared_col="lang")) == 13
+    many = spark.range(5000).selectExpr("concat('text ', id) text", "'en' lang")
+    once = language_id.fit(many, text_col="text", declared_col="lang")
+    assert len(once) == 250 and once == language_id.fit(many.union(many).union(docs.where("false")), text_col="text", declared_col="lang")
+
+
 # -- operator 7 -------------------------------------------------------------------
 BASE = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
         "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
