@@ -4,7 +4,8 @@ The posterior of each language joins four kinds of evidence:
 
 * the text: log-likelihoods of its letter trigrams under a model per language,
   fitted on a bounded, documented sample of rows with a declared language
-  (``PER_LANGUAGE`` texts each) and mixed with a background model of single
+  (``PER_LANGUAGE`` different texts each, fewer each if there are so many
+  languages that they'd be over ``TEXTS``; every language has one) and mixed with a background model of single
   letters; that background and any letters at all, half and half, stand for
   "no known language" (``und``);
 * the language its markup or metadata declares, trusted as far as ``TRUST``;
@@ -30,7 +31,8 @@ from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField,
 
 from .common import map_batches, scratch_table, text_runs, whole_text
 
-PER_LANGUAGE, LANGUAGES = 250, 24             # bounds of the training sample: texts a language, languages
+PER_LANGUAGE, TEXTS = 250, 6000               # bounds of the training sample: texts a language, texts of all
+BLOCK = 24                                    # languages whose cells are looked up at a time
 MOST_TRIGRAMS, TRUST, SUFFIX_TRUST = 60, 0.9, 0.7
 HOST_WEIGHT, UNKNOWN = 20.0, 0.01             # rows that a parent counts for; prior of no known language
 BITS, BACKGROUND = 15, 0.3                    # trigram cells; share of the background in each language's model
@@ -71,58 +73,84 @@ def trigrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 @dataclass
 class LanguageModel:
-    """Languages, probabilities of trigram cells under each, and log-probabilities of single letters."""
+    """Languages, probabilities of trigram cells under each (those of its texts, and of any other), and log-probabilities of single letters."""
 
     languages: list[str]
-    table: np.ndarray                         # (cells + 1, languages) float32; the last row is for no trigram
+    cells: list[np.ndarray]                   # cells found in the texts of each language
+    chances: list[np.ndarray]                 # float32, of these cells
+    rest: np.ndarray                          # float32, of any other cell, by language
     letters: np.ndarray
+    held: np.ndarray | None = None            # the table of models of one block
+
+    def table(self, lo: int, hi: int) -> np.ndarray:
+        """(cells + 1, languages) float32 of the languages ``lo`` to ``hi``; the last row is for no trigram."""
+        if self.held is not None:
+            return self.held
+        out = np.repeat(self.rest[None, lo:hi], (1 << BITS) + 1, 0)
+        out[-1] = 0
+        for i in range(lo, hi):
+            out[self.cells[i], i - lo] = self.chances[i]
+        if len(self.languages) <= BLOCK:
+            self.held = out
+        return out
 
     def evidence(self, texts: list[str]) -> np.ndarray:
         """(texts, languages + 1) log-likelihoods, as of ``MOST_TRIGRAMS`` trigrams at most."""
-        out = np.zeros((len(texts), len(self.languages) + 1))
+        k = len(self.languages)
+        out = np.zeros((len(texts), k + 1))
         for lo, hi in text_runs(texts):
             cells, letters, bounds = trigrams(texts[lo:hi])
             real = cells >= 0
             single = self.letters[letters]
             single[:-2] += single[1:-1] + single[2:]      # a background trigram is three independent letters
             plain = np.exp(single)[:, None]
-            mixed = (1 - BACKGROUND) * self.table[cells] + np.float32(BACKGROUND) * plain
-            log = np.log(np.concatenate([mixed, 0.5 * plain + np.float32(0.5 / (1 << BITS))], 1))  # und: half of it any letters
-            log[~real] = 0
             n = np.maximum(1, np.add.reduceat(real, bounds[:-1], dtype=np.int64))
-            total = np.add.reduceat(log, bounds[:-1], 0, dtype=np.float64)
-            out[lo:hi] = total * (np.minimum(n, MOST_TRIGRAMS) / n)[:, None]
+            for first in range(0, k + 1, BLOCK):
+                last = min(first + BLOCK, k)
+                mixed = (1 - BACKGROUND) * self.table(first, last)[cells] + np.float32(BACKGROUND) * plain if first < k else plain[:, :0]
+                if first + BLOCK > k:                     # und: half of it any letters
+                    mixed = np.concatenate([mixed, 0.5 * plain + np.float32(0.5 / (1 << BITS))], 1)
+                log = np.log(mixed)
+                log[~real] = 0
+                total = np.add.reduceat(log, bounds[:-1], 0, dtype=np.float64)
+                out[lo:hi, first: first + log.shape[1]] = total * (np.minimum(n, MOST_TRIGRAMS) / n)[:, None]
         return out
 
 
 def train(texts: list[str], languages: list[str]) -> LanguageModel:
     """Trigram models of the languages of labelled texts, and the letter background of all."""
     names = sorted(set(languages))
-    table = np.zeros(((1 << BITS) + 1, len(names)), np.float32)
+    texts_of: dict[str, list[str]] = {name: [] for name in names}
+    for t, name in zip(texts, languages):
+        texts_of[name].append(t)
+    found, chances, rest = [], [], np.zeros(len(names), np.float32)
     letters = np.full(256, 0.5)
     for i, name in enumerate(names):
-        counts = np.full(1 << BITS, 1e-3)
-        mine = [t for t, k in zip(texts, languages) if k == name]
+        counts, mine = np.full(1 << BITS, 1e-3), texts_of[name]
         for lo, hi in text_runs(mine):
             cells, single, _ = trigrams(mine[lo:hi])
             counts += np.bincount(cells[cells >= 0], minlength=1 << BITS)
             letters += np.bincount(single, minlength=256)
-        table[:-1, i] = counts / counts.sum()
-    return LanguageModel(names, table, np.log(letters / letters.sum()).astype(np.float32))
+        seen = np.flatnonzero(counts >= 1)
+        found.append(seen.astype(np.uint16))
+        chances.append((counts[seen] / counts.sum()).astype(np.float32))
+        rest[i] = 1e-3 / counts.sum()
+    return LanguageModel(names, found, chances, rest, np.log(letters / letters.sum()).astype(np.float32))
 
 
-def fit(rows: DataFrame, *, text_col: str, declared_col: str, per_language: int = PER_LANGUAGE,
-        languages: int = LANGUAGES) -> LanguageModel:
-    """Fits the model to at most ``per_language`` texts of each of the
-    ``languages`` languages of most different texts, those of the lowest hashes."""
+def fit(rows: DataFrame, *, text_col: str, declared_col: str, per_language: int = PER_LANGUAGE, most: int = TEXTS) -> LanguageModel:
+    """Fits the model to at most ``per_language`` different texts of every
+    declared language, those of the lowest hashes; to fewer of each if there
+    are so many languages that they'd be over ``most``, but to one at least."""
     text, declared = whole_text(text_col), language_code(F.col(declared_col))
     low = F.col("h").bitwiseAND((1 << 62) - 1)
     different = scratch_table(rows.select(declared.alias("language"), F.xxhash64(text).alias("h")).where("language is not null").distinct())
-    top = different.groupBy("language").count().orderBy(F.desc("count"), "language").limit(languages)
-    # hashes below a share that leaves four times the sample; only those are ranked
-    share = float(max(4 * per_language, 100)) / F.col("count")
-    picked = (different.join(F.broadcast(top), "language").where(low / float(1 << 62) < share)
-              .withColumn("nth", F.row_number().over(Window.partitionBy("language").orderBy(low, "h"))).where(F.col("nth") <= per_language))
+    sizes = different.groupBy("language").count()
+    each = max(1, min(per_language, most // max(1, sizes.count())))
+    # hashes below a share that leaves four times the sample (of few texts far more); only those are ranked
+    share = float(max(4 * each, 100)) / F.col("count")
+    picked = (different.join(F.broadcast(sizes), "language").where(low / float(1 << 62) < share)
+              .withColumn("nth", F.row_number().over(Window.partitionBy("language").orderBy(low, "h"))).where(F.col("nth") <= each))
     sample = (rows.select(declared.alias("language"), F.xxhash64(text).alias("h"), text.alias("text"))
               .join(F.broadcast(picked.select("language", "h")), ["language", "h"]).dropDuplicates(["language", "h"])
               .orderBy("language", "h").toPandas())
@@ -139,20 +167,29 @@ def host_priors(rows: DataFrame, languages: list[str], *, host: str, parent: str
                 weight: float = HOST_WEIGHT) -> tuple[DataFrame, np.ndarray]:
     """A table (``prior_host``, ``prior``) of smoothed shares of ``languages``
     per host - host towards parent, parent towards all rows - and the shares of all rows."""
-    sums = [F.sum((F.col(declared) == name).cast("double")).alias(f"n{i}") for i, name in enumerate(languages)]
-    add = [F.sum(f"n{i}").alias(f"n{i}") for i in range(len(languages))]
-    each = scratch_table(rows.where(F.col(host).isNotNull()).groupBy(host, parent).agg(*sums).na.fill(0.0))
-    rest = rows.where(F.col(host).isNull()).agg(*sums).na.fill(0.0).first()
-    all_ = each.agg(*add).na.fill(0.0).first()
-    total = np.array([float(all_[i] or 0) + float(rest[i] or 0) for i in range(len(languages))]) + 1.0
+    names = F.split(F.lit("\x1f".join(languages)), "\x1f")
+    known = F.when(F.array_contains(names, F.col(declared)), F.col(declared))   # one row per host and language, however many there are
+    counts = scratch_table(rows.groupBy(host, parent, declared).agg(F.count(F.lit(1)).cast("double").alias("n")).withColumn("known", known))
+    sums = {r.known: r.n for r in counts.where("known is not null").groupBy("known").agg(F.sum("n").alias("n")).collect()}
+    total = np.array([sums.get(name, 0.0) for name in languages]) + 1.0
     share = total / total.sum()
-    above = each.groupBy(parent).agg(*[F.sum(f"n{i}").alias(f"p{i}") for i in range(len(languages))])
-    n = sum((F.col(f"n{i}") for i in range(len(languages))), F.lit(0.0))
-    p = sum((F.col(f"p{i}") for i in range(len(languages))), F.lit(0.0))
-    prior = F.array(*[(F.col(f"n{i}") + weight * (F.col(f"p{i}") + weight * F.lit(float(share[i]))) / (p + weight)) / (n + weight)
-                      for i in range(len(languages))])
+    shares = F.split(F.lit("\x1f".join(repr(float(x)) for x in share)), "\x1f").cast("array<double>")
+
+    def by(rows: DataFrame, keys: list[str], name: str) -> DataFrame:
+        of = F.col("known").isNotNull()
+        return rows.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.when(of, F.struct("known", "n")))).alias(name),
+                                       F.coalesce(F.sum(F.when(of, F.col("n"))), F.lit(0.0)).alias(f"{name}_all"))
+
+    named = counts.where(F.col(host).isNotNull())
+    each = by(named, [host, parent], "own")
+    above = by(named.groupBy(parent, "known").agg(F.sum("n").alias("n")), [parent], "up")
+
+    def smoothed(name, part):
+        own, up = (F.coalesce(F.try_element_at(F.col(m), name), F.lit(0.0)) for m in ("own", "up"))
+        return (own + weight * (up + weight * part) / (F.col("up_all") + weight)) / (F.col("own_all") + weight)
+
     joined = each.join(above, each[parent].eqNullSafe(above[parent])).drop(above[parent])
-    return scratch_table(joined.select(F.col(host).alias("prior_host"), prior.alias("prior"))), share
+    return scratch_table(joined.select(F.col(host).alias("prior_host"), F.zip_with(names, shares, smoothed).alias("prior"))), share
 
 
 def fuse(model: LanguageModel, likelihood: np.ndarray, declared: list, suffix: list, prior: np.ndarray) -> np.ndarray:

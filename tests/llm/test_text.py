@@ -124,6 +124,19 @@ def test_copies_do_not_shrink_the_sample_of_a_language(spark, monkeypatch):
     assert len(once) == 250 and once == language_id.fit(many.union(many).union(docs.where("false")), text_col="text", declared_col="lang")
 
 
+def test_every_declared_language_has_a_model(spark):
+    import random
+    rng, rows, names = random.Random(3), [], [f"{a}{b}" for a in "abcdef" for b in "vwxyz"]
+    for name in names:                                    # 30 languages, each with words of its own
+        words = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(30)]
+        rows += [(name, i, " ".join(rng.choice(words) for _ in range(30)), f"h{rng.randrange(5)}.com") for i in range(6)]
+    df = spark.createDataFrame([(n, t, None if i == 0 else n, h) for n, i, t, h in rows], "real string, text string, lang string, source string")
+    out = language_id.identify(df).collect()
+    assert len(out) == 180 and all(r.language == r.real and not r.rejected for r in out)
+    model = language_id.fit(df, text_col="text", declared_col="lang", most=30)   # fewer texts each, no language less
+    assert model.languages == names
+
+
 # -- operator 7 -------------------------------------------------------------------
 BASE = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
         "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
