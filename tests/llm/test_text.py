@@ -50,6 +50,17 @@ def test_extraction_of_pages(page, text):
     assert html_extract.main_text(page) == text
 
 
+@pytest.mark.parametrize("page,text", [
+    (f"<body><section><p>{LONG}</p><p>{MORE}</p><p>{LONG}</p></section><div>" + '<article><h3><a href="/t">Teaser</a></h3><p>Short teaser</p></article>' * 4
+     + "</div></body>", f"{LONG.strip()}\n{MORE.strip()}\n{LONG.strip()}"),
+    (f"<body><main><p>Welcome</p></main><div><p>{LONG}</p><p>{MORE}</p></div></body>", f"{LONG.strip()}\n{MORE.strip()}"),
+    (f'<body><article><h1>T</h1><p>{LONG}</p><ul><li><a href="/a">More on this</a><li><a href="/b">And this</a></ul><ol><li>A step.</ol></article></body>',
+     f"T\n{LONG.strip()}\nA step."),
+])
+def test_ratios_decide_inside_and_outside_of_articles(page, text):
+    assert html_extract.main_text(page) == text
+
+
 def test_extraction_edges(spark):
     schema = "page_id long, url string, html string, text string, n_chars string"
     rows = [(1, None, None, "t", "n"), (2, "u", "", "t", "n"), (2, "u", "", "t", "n"), (None, "v", "<p>" * 3000 + "x" * 100_000, "t", "n"),
