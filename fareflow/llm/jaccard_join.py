@@ -130,12 +130,14 @@ def _shared(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def verify(nodes: np.ndarray, copies: np.ndarray, texts: list[str], side: np.ndarray, *, shingle: int,
+def verify(nodes: np.ndarray, copies: np.ndarray, texts: list[str], side: np.ndarray, *, one: bool, shingle: int,
            threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Compares all texts of a block (``side`` all 0), or all of side 0 with
-    all of side 1.  Gives (node, label, links): the smallest node it is linked
+    """Compares all texts of a block (``one``; ``side`` all 0), or all of side 0
+    with all of side 1, either of which may be empty.  Gives (node, label, links): the smallest node it is linked
     with here, directly or through others, and how many documents have a
     text that is linked to its own."""
+    if not one and (side == side[0]).all():                                 # a partner that the hash left empty
+        return nodes[:0], nodes[:0], np.zeros(0, np.int64)
     order = np.lexsort((nodes, side))
     keep = np.concatenate([[True], np.diff(nodes[order]) != 0])            # rows that repeat a document
     order = order[keep]
@@ -146,7 +148,6 @@ def verify(nodes: np.ndarray, copies: np.ndarray, texts: list[str], side: np.nda
         sets += [np.unique(s[bounds[i]: bounds[i + 1]]) for i in range(hi - lo)]
     size = np.array([len(s) for s in sets], np.float32)
     cut = int(np.searchsorted(side, 1))
-    one = cut == len(nodes)
     left, right = np.arange(cut), np.arange(cut) if one else np.arange(cut, len(nodes))
     a = sets[:cut]
     shared = _shared(a, a if one else sets[cut:])
@@ -173,7 +174,7 @@ def _verify_blocks(rows: DataFrame, *, shingle: int, threshold: float) -> DataFr
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from fareflow.llm.jaccard_join import verify
 
-        def whole_blocks():
+        def whole_blocks():                               # (comp, bi, bj), batches
             held, key = [], None
             for b in batches:
                 if not b.num_rows:
@@ -182,18 +183,18 @@ def _verify_blocks(rows: DataFrame, *, shingle: int, threshold: float) -> DataFr
                 cuts = np.concatenate([[0], np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1, [len(keys)]])
                 for lo, hi in zip(cuts[:-1], cuts[1:]):
                     if key is not None and (keys[lo] != key).any():
-                        yield held
+                        yield key, held
                         held = []
                     key = keys[lo]
                     held.append(b.slice(lo, hi - lo))
             if held:
-                yield held
+                yield key, held
 
         out: list[tuple] = []
-        for parts in whole_blocks():
+        for (_, bi, bj), parts in whole_blocks():
             side, node, copies = (np.concatenate([p.column(k).to_numpy(zero_copy_only=False) for p in parts]) for k in (3, 4, 5))
             texts = [t for p in parts for t in p.column(6).to_pylist()]
-            out.append(verify(node, copies, texts, side, shingle=shingle, threshold=threshold))
+            out.append(verify(node, copies, texts, side, one=bi == bj, shingle=shingle, threshold=threshold))
             if len(out) >= 1000 or len(node) > 1000:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in zip(*out)], ["node", "label", "links"])
                 out = []

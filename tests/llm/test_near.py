@@ -82,6 +82,16 @@ def test_families(spark, families, block):
     assert sorted(r.doc_id for r in kept.collect()) == sorted({c for _, c, _ in brute_classes(families)})
 
 
+def test_blocks_that_the_hash_leaves_empty(spark):
+    """Families of two long texts in two blocks each: in some, both texts are in one block."""
+    rng, docs = random.Random(6), []
+    for k in range(40):
+        words = ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(200)]
+        docs += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(words + ["more"]))]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    assert rows_of(jaccard_join.near_duplicates(df, block_chars=2000)) == sorted([(i, i - i % 2, 1) for i, _ in docs], key=str)
+
+
 def test_prefixes_are_shortened_until_the_recall_is_reached():
     depth = jaccard_join.prefix_length(0.8, 24, 8, 0.999)
     assert 1 - (1 - 0.8 ** depth) ** 24 >= 0.999 > 1 - (1 - 0.8 ** (depth + 1)) ** 24
