@@ -1,13 +1,12 @@
-"""Operator 5: Jaccard join of documents on word shingles by a MinHash LSH forest.
-
-1. Texts become sets of five-word shingles and signatures of ``TREES`` sorted
-   prefix tries; equal texts share one node (a copy count stands for them).
-2. In a forest, documents match in a trie as far as their prefixes agree.
-   Prefixes are shortened from ``LONGEST`` values until pairs at the
-   threshold meet in some trie with the target recall.  Only nodes that share
-   such a prefix with another are linked, each to the smallest node of its
-   subtree, so no subtree is expanded into pairs; the links' components hold
-   all candidates.
+"""Operator 5: Jaccard join of documents on word shingles by MinHash prefixes.
+
+1. Texts become sets of five-word shingles and one prefix key in each of
+   ``TREES`` tables; equal texts share one node (a copy count stands for them).
+2. All prefixes have one length, fixed before any data are read: the longest
+   of up to ``LONGEST`` values by which pairs at the threshold meet in some
+   table with the target recall.  Only nodes that share such a prefix with
+   another are linked, each to the smallest node of its prefix, so no prefix
+   is expanded into pairs; the links' components hold all candidates.
 3. Exact verification: every pair of texts of a component is compared by its
    shingle sets, in blocks of bounded size, so a component of any size is
    spread over many tasks.  Blocks give back link counts and component
