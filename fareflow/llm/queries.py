@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_codec, hnsw, html_extract, jaccard_join, language_id, packing, pii, spotsigs, token_counts, toxicity, word_runs
+from . import bpe_codec, hnsw, html_extract, jaccard_join, language_id, packing, pii, spotsigs, tier_packing, token_counts, toxicity, word_runs
 from .common import table
 
 
@@ -105,6 +105,11 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("listed", 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
 
 
+def op13_tier_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Packs every document into sequences of up to 1024 tokens, all full up to a power of two."""
+    return tier_packing.pack_tiers(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_html_extraction": op2_html_extraction,
@@ -118,6 +123,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_spotsigs": op9_spotsigs,
     "op10_toxicity": op10_toxicity,
     "op11_periodic_runs": op11_periodic_runs,
+    "op13_tier_packing": op13_tier_packing,
 }
 
 #: DuckDB SQL of the queries that SQL can express on whole tables.
