@@ -9,8 +9,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_codec, hnsw, html_extract, jaccard_join, language_id, packing, pii, spotsigs, tier_packing, token_counts, toxicity, word_runs
-from .common import table
+from . import bpe_codec, conversation_trie, hnsw, html_extract, jaccard_join, language_id, packing, pii, spotsigs, tier_packing, token_counts, toxicity, word_runs
+from .common import scratch_table, table
 
 
 def vocabulary(name: str) -> str:
@@ -105,6 +105,16 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("listed", 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
 
 
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prefix trie of all conversations, each rebuilt on the first turns of the first of its hundred."""
+    own = scratch_table(conversation_trie.sequences(table(spark, sf_dir, "conversations")))
+    heads = own.where("conv_id % 100 = 0").select(F.col("conv_id").alias("base"), F.slice("codes", 1, 5).alias("head"))
+    given = own.select("*", F.expr("conv_id - conv_id % 100").alias("base"), F.expr("int(crc32(string(conv_id)) % 6)").alias("h"))
+    rebuilt = given.join(heads, "base", "left").select(
+        "conv_id", F.expr("concat(slice(coalesce(head, array()), 1, h), slice(codes, h + 1, size(codes)))").alias("codes"))
+    return conversation_trie.trie(rebuilt)
+
+
 def op13_tier_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Packs every document into sequences of up to 1024 tokens, all full up to a power of two."""
     return tier_packing.pack_tiers(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
@@ -123,6 +133,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_spotsigs": op9_spotsigs,
     "op10_toxicity": op10_toxicity,
     "op11_periodic_runs": op11_periodic_runs,
+    "op12_conversation_trie": op12_conversation_trie,
     "op13_tier_packing": op13_tier_packing,
 }
 
