@@ -15,7 +15,9 @@ from __future__ import annotations
 import hashlib
 import re
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -53,6 +55,12 @@ def _digits(text: str) -> str:
     return "".join(c for c in text if "0" <= c <= "9")
 
 
+def _to_255(digits: str) -> bool:
+    """Whether digits, however many, are a number up to 255."""
+    value = digits.lstrip("0")
+    return len(value) <= 3 and int(value or "0") <= 255
+
+
 def _emails(text: str) -> list[Span]:
     """Leftmost matches: the longest local part before each at sign, from the end of the last match."""
     out, done, at = [], 0, text.find("@")
@@ -74,7 +82,7 @@ def base_spans(text: str) -> list[Span]:
     """Spans of the patterns, by kind, then place."""
     out = _emails(text)
     if "." in text:
-        out += [("ip", *m.span()) for m in _IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split("."))]
+        out += [("ip", *m.span()) for m in _IP.finditer(text) if all(_to_255(p) for p in m[0].split("."))]
     for m in _CARD.finditer(text):
         d = _digits(m[0])
         if 16 <= len(d) <= 19 and luhn(d):
@@ -89,7 +97,13 @@ _TOKEN = re.compile(r"\S+")
 #: What makes a token worth labelling, with the tokens around it.
 _TRIGGER = re.compile(r"[0-9@]|[\[({<]\s*(?:at|dot)\s*[\])}>]", re.I)
 AROUND = 4                                    # tokens of context on either side of a run
-MOST_TOKENS = 12                              # tokens of the longest value
+#: Digits and code points that the valid values of a kind have, at most: the longest numbers with up to four
+#: separators between their digits, the longest address that mail allows.
+LEAST_DIGITS = {"ip": 4, "card": 13, "phone": 9}
+MOST_DIGITS = {"ip": 12, "card": 19, "phone": 15}
+MOST_CHARS = {"email": 320, **{k: 5 * n for k, n in MOST_DIGITS.items()}}
+#: Steps (runs times the longest of them) that are decoded together.
+STEPS = 1 << 15
 FEATURES = 1 << 12
 _RUNS = re.compile(r"[0-9]+|[a-z]+|[A-Z]+|[^\x00-\x7f]+|.", re.S)
 # Words that often stand beside personal data.
@@ -101,7 +115,7 @@ _SIZES = (1, 2, 3, 4, 5, 8, 13, 20)
 def shape(token: str) -> str:
     """Word shape: digits with their number (in classes), letters by case, the rest as it is."""
     out = []
-    for m in _RUNS.findall(token[:48]):
+    for m in _RUNS.findall(token):
         c = m[0]
         if c.isdigit() and c.isascii():
             out.append("d" + str(max(s for s in _SIZES if s <= len(m))))
@@ -151,15 +165,25 @@ class Field:
         return p[:, 1:-1, 1] + p[:, :-2, 0] + p[:, 2:, 2], size
 
     def decode(self, runs: list[list[str]]) -> list[np.ndarray]:
-        """Best labels of each run (Viterbi over all runs at once)."""
-        s, size = self.scores(runs)
-        n, steps, k = s.shape
-        best = s[:, 0]
+        """Best labels of each run (Viterbi over all runs at once, in pieces
+        of ``STEPS`` steps: scores are held for one piece, the best labels
+        before it are carried on; one byte a step and label is kept)."""
+        size = np.array([len(r) for r in runs])
+        n, steps, k = len(runs), int(size.max()), len(LABELS)
+        piece = max(2, STEPS // n)
         back = np.zeros((steps, n, k), np.int8)
-        for i in range(1, steps):
-            step = best[:, :, None] + self.t
-            back[i] = step.argmax(1)
-            best = np.where((i < size)[:, None], step.max(1) + s[:, i], best)
+        best = np.zeros((n, k))
+        for lo in range(0, steps, piece):
+            # one token more on either side, whose scores there are not used
+            s = self.scores([r[max(0, lo - 1): lo + piece + 1] or [""] for r in runs])[0][:, lo > 0:]
+            for i in range(lo, min(steps, lo + piece)):
+                if i == 0:
+                    best = s[:, 0]
+                    continue
+                step = best[:, :, None] + self.t
+                back[i] = step.argmax(1)
+                if i - lo < s.shape[1]:
+                    best = np.where((i < size)[:, None], step.max(1) + s[:, i - lo], best)
         out = np.zeros((n, steps), np.int8)
         at = best.argmax(1)
         rows = np.arange(n)
@@ -235,6 +259,7 @@ _SENTENCES = (
     ("the price is {price} only", ""), ("on {date} we met", ""), ("at {time} the bus left", ""), ("order {id} was sent", ""),
     ("token = {hex} in the file", ""), ("section {version} of the law", ""), ("about {small} of {year} cases", ""),
     ("the sum of {price} and {price} is due", ""), ("item {id} costs {price}", ""), ("the words (at) all (dot) marks are plain", ""),
+    ("the words ( at ) all [ dot ] marks are plain", ""), ("rows {small} {small} {small} {small} {small} and {small} of {small}", ""),
     ("room {small}-{small} on floor {small}", ""), ("isbn {isbn} is a book", ""), ("the ratio {small}:{small} holds", ""),
 )
 
@@ -251,19 +276,20 @@ def _value(kind: str, rng: np.random.Generator) -> str:
     def name() -> str:
         return "".join(rng.choice(list("abcdeilmnorstu"), int(rng.integers(3, 9))))
 
-    pick = int(rng.integers(0, 6))
+    pick = int(rng.integers(0, 8))
     if kind == "phone":
         a, b, c = num(3), num(3), num(4)
         return (f"+{rng.integers(1, 99)} ({a}) {b}-{c}", f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"+{num(2)} {a} {num(7)}",
-                f"00{num(2)} {a} {b} {c}")[pick]
+                f"00{num(2)} {a} {b} {c}", " ".join(f"+{num(2)}({a}){b}-{c}"), " ".join(f"{a}-{b}{c}"))[pick]
     if kind == "email":
         u, d = f"{name()}.{num(2)}", name()
         return (f"{u}@{d}.com", f"{name()}@{d}{num(1)}.example.org", f"{name()} (at) {d} (dot) com", f"{name()} [at] {d} [dot] org",
-                f"{name()}_{name()}@{d}.de", f"{name()} [at] {d}.net")[pick]
+                f"{name()}_{name()}@{d}.de", f"{name()} [at] {d}.net", f"{name()} [ at ] {d} [ dot ] com",
+                f"{name()} ( at ) {d} ( dot ) {name()} ( dot ) org")[pick]
     if kind == "card":
         d = _with_luhn(rng, 15 if pick == 5 else 16)
         return (d, " ".join(d[i: i + 4] for i in range(0, 16, 4)), "-".join(d[i: i + 4] for i in range(0, 16, 4)),
-                ".".join(d[i: i + 4] for i in range(0, 16, 4)), d, f"{d[:4]} {d[4:10]} {d[10:]}")[pick]
+                ".".join(d[i: i + 4] for i in range(0, 16, 4)), d, f"{d[:4]} {d[4:10]} {d[10:]}", " ".join(d), " ".join(d))[pick]
     if kind == "ip":
         return (".".join(map(str, rng.integers(0, 256, 4))) if pick else "-".join(map(str, rng.integers(100, 256, 4))))
     return {"version": f"{rng.integers(0, 9)}.{rng.integers(0, 9)}", "small": str(rng.integers(1, 300)), "year": str(rng.integers(1800, 2030)),
@@ -298,16 +324,18 @@ def train() -> Field:
 
 
 # -- spans ------------------------------------------------------------------------
+_SPELT = re.compile(r"[\w.+-]+\s*[\[({<]\s*at\s*[\])}>]\s*[\w-]+(?:\s*(?:\.|[\[({<]\s*dot\s*[\])}>])\s*[\w-]+)+", re.I)
+
+
 def _valid(kind: str, text: str) -> bool:
+    """Whether text is a valid number of its kind."""
     d = _digits(text)
     if kind == "card":
         return 13 <= len(d) <= 19 and luhn(d) and re.fullmatch(r"[0-9 .-]+", text) is not None
     if kind == "phone":
         return 9 <= len(d) <= 15 and re.fullmatch(r"\+?[0-9 ().-]+", text) is not None and bool(re.search(r"[ ().-]", text))
-    if kind == "ip":
-        parts = re.split(r"[.-]", text)
-        return len(parts) == 4 and all(p.isascii() and p.isdigit() and len(p) <= 3 and int(p) <= 255 for p in parts)
-    return re.fullmatch(r"[\w.+-]+\s*[\[({<]\s*at\s*[\])}>]\s*[\w-]+(?:\s*(?:\.|[\[({<]\s*dot\s*[\])}>])\s*[\w-]+)+", text, re.I) is not None
+    parts = re.split(r"[.-]", text)
+    return len(parts) == 4 and all(p.isascii() and p.isdigit() and len(p) <= 3 and int(p) <= 255 for p in parts)
 
 
 def token_runs(text: str) -> list[list[tuple[int, int]]]:
@@ -322,31 +350,86 @@ def token_runs(text: str) -> list[list[tuple[int, int]]]:
     return [tokens[max(0, a - AROUND): b + AROUND + 1] for a, b in zip(first.tolist(), last.tolist())]
 
 
-def _valid_parts(kind: str, text: str, tokens: list[tuple[int, int]], base: list[Span]) -> list[Span]:
+def _taken(base: list[Span]) -> tuple[list[int], list[int]]:
+    """Starts and ends of the stretches that base spans cover, in order."""
+    starts, ends = [], []
+    for _, a, b in sorted(base, key=lambda s: s[1]):
+        if ends and a <= ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            starts.append(a)
+            ends.append(b)
+    return starts, ends
+
+
+_BEFORE, _AFTER = "\"',;:!?<", "\"',;:!?.>#$%&*|"
+
+
+def _trimmed(text: str, a: int, b: int) -> tuple[int, int]:
+    """A stretch without the punctuation around it."""
+    while a < b and text[a] in _BEFORE:
+        a += 1
+    while b > a and text[b - 1] in _AFTER:
+        b -= 1
+    return a, b
+
+
+def _valid_parts(kind: str, text: str, tokens: list[tuple[int, int]], taken: tuple[list[int], list[int]]) -> list[Span]:
     """Valid values among tokens of one label: from the left, the longest
-    stretch each time (two numbers may stand side by side), clear of the base spans."""
+    stretch each time (two numbers may stand side by side), clear of the base
+    spans.  A value may be written in any number of tokens."""
     out, at = [], 0
+    starts, ends = taken
+
+    def clear(a: int, b: int) -> bool:
+        i = bisect_right(ends, a)
+        return i == len(starts) or b <= starts[i]
+
+    if kind == "email":
+        place = {_trimmed(text, a, b)[1]: i for i, (a, b) in enumerate(tokens)}
+        while at < len(tokens):
+            a = _trimmed(text, *tokens[at])[0]
+            m = _SPELT.match(text, a, min(tokens[-1][1], a + MOST_CHARS[kind]))
+            at += 1
+            if m and m.end() in place and clear(*m.span()):
+                out.append((kind, *m.span()))
+                at = place[m.end()] + 1
+        return out
+    digits = [0, *accumulate(sum("0" <= c <= "9" for c in text[a:b]) for a, b in tokens)]
     while at < len(tokens):
-        for end in range(min(len(tokens), at + MOST_TOKENS), at, -1):
-            a, b = tokens[at][0], tokens[end - 1][1]
-            while a < b and text[a] in "\"',;:!?<":
-                a += 1
-            while b > a and text[b - 1] in "\"',;:!?.>#$%&*|":
-                b -= 1
-            if _valid(kind, text[a:b]) and all(b <= s or a >= e for _, s, e in base):
+        last = at + 1
+        while (last < len(tokens) and tokens[last][0] - tokens[at][0] < MOST_CHARS[kind]
+               and digits[last + 1] - digits[at] <= MOST_DIGITS[kind]):
+            last += 1
+        step = 1
+        for end in range(last, at, -1):
+            if digits[end] - digits[at] < LEAST_DIGITS[kind]:
+                break                                     # too few from here on
+            a, b = _trimmed(text, tokens[at][0], tokens[end - 1][1])
+            if clear(a, b) and _valid(kind, text[a:b]):
                 out.append((kind, a, b))
+                step = end - at
                 break
-        at = end if out and out[-1][1] >= tokens[at][0] else at + 1
+        at += step
     return out
 
 
+def _batches(runs: list[tuple[int, list]]) -> Iterator[list[tuple[int, list]]]:
+    """Runs, sorted by length, in batches of up to 512 that hold about ``STEPS`` steps when padded."""
+    lo = 0
+    for hi in range(1, len(runs) + 1):
+        if hi == len(runs) or hi - lo == 512 or (hi - lo + 1) * len(runs[hi][1]) > STEPS:
+            yield runs[lo:hi]
+            lo = hi
+
+
 def added_spans(field: Field, texts: list[str], base: list[list[Span]]) -> list[list[Span]]:
     """Spans of the field that are valid and touch no base span."""
     out: list[list[Span]] = [[] for _ in texts]
     runs = [(i, r) for i, t in enumerate(texts) for r in token_runs(t)]
     runs.sort(key=lambda x: len(x[1]))                    # runs of like length share a batch
-    for lo in range(0, len(runs), 512):
-        batch = runs[lo: lo + 512]
+    taken = {i: _taken(base[i]) for i, _ in runs}
+    for batch in _batches(runs):
         for (i, run), labels in zip(batch, field.decode([[texts[i][a:b] for a, b in r] for i, r in batch])):
             at = 0
             while at < len(run):
@@ -354,7 +437,9 @@ def added_spans(field: Field, texts: list[str], base: list[list[Span]]) -> list[
                 while end < len(run) and labels[end] == labels[at]:
                     end += 1
                 if labels[at]:
-                    out[i] += _valid_parts(LABELS[labels[at]], texts[i], run[at:end], base[i])
+                    # an address whose name was not labelled begins a token earlier
+                    alone = LABELS[labels[at]] == "email" and at > 0 and not labels[at - 1] and texts[i][run[at][0]] in "[({<"
+                    out[i] += _valid_parts(LABELS[labels[at]], texts[i], run[at - alone:end], taken[i])
                 at = end
     return out
 
