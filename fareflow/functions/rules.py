@@ -115,12 +115,14 @@ _LONG_MAX, _LONG_MIN = (1 << 63) - 1, -(1 << 63)
 def lenient_int(s: ColumnOrName) -> Column:
     """Q1: PHP ``(int)$s``: the leading number after optional blanks, cut to
     its integer part, else 0 (``'12abc'`` -> 12, ``'abc'`` -> 0, ``'7.9'`` -> 7,
-    ``'1e3'`` -> 1000); beyond 64 bits the nearest bound."""
+    ``'1e3'`` -> 1000); beyond 64 bits the nearest bound.  A number without a
+    point or an exponent is exact, others go through a double."""
     num = F.regexp_extract(_c(s).cast("string"), _LEADING_NUMBER, 1)
+    whole = F.coalesce(num.try_cast("bigint"), F.when(num.startswith("-"), F.lit(_LONG_MIN)).otherwise(F.lit(_LONG_MAX)))
     wide = num.try_cast("double")
     cut = (F.when(wide >= F.lit(float(_LONG_MAX)), F.lit(_LONG_MAX)).when(wide <= F.lit(float(_LONG_MIN)), F.lit(_LONG_MIN))
            .otherwise(wide.try_cast("bigint")))
-    return F.coalesce(F.when(num.rlike(r"^[+-]?[0-9]{1,18}$"), num.try_cast("bigint")).otherwise(cut), F.lit(0).cast("bigint"))
+    return F.coalesce(F.when(num.rlike(r"^[+-]?[0-9]+$"), whole).otherwise(cut), F.lit(0).cast("bigint"))
 
 
 def lenient_float(s: ColumnOrName, dtype: str = "decimal(12,2)") -> Column:

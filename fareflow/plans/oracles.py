@@ -236,7 +236,10 @@ oracle("sink_json", "users")("select *, (select count(*) from users) as count fr
 _LEAD = r"regexp_extract(s, '^\s*([+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?)', 1)"
 oracle("lenient_casts", "awkward_numbers")(rf"""
 select row_id,
-       case when s is null or {_LEAD} = '' then 0 when cast({_LEAD} as double) >= 9.223372036854775807e18 then 9223372036854775807
+       case when s is null or {_LEAD} = '' then 0
+            when regexp_full_match({_LEAD}, '[+-]?[0-9]+')
+            then cast(least(greatest(try_cast(ltrim({_LEAD}, '+') as hugeint), -9223372036854775808::hugeint), 9223372036854775807::hugeint) as bigint)
+            when cast({_LEAD} as double) >= 9.223372036854775807e18 then 9223372036854775807
             when cast({_LEAD} as double) <= -9.223372036854775807e18 then -9223372036854775808
             else cast(trunc(cast({_LEAD} as double)) as bigint) end as as_int,
        case when s is null or {_LEAD} = '' then cast(0 as decimal(12,2)) else try_cast({_LEAD} as decimal(12,2)) end as as_price,

@@ -190,11 +190,12 @@ FIXTURE_SQL: dict[str, str] = {
         "from commissions"),
     # strings as clients send them: numbers, numbers with something around them, none
     "awkward_numbers": (
-        "select o_orderkey as row_id, case o_orderkey % 16 when 0 then cast(o_orderkey as string) when 1 then concat('  ', cast(o_orderkey as string), 'abc') "
+        "select o_orderkey as row_id, case o_orderkey % 21 when 0 then cast(o_orderkey as string) when 1 then concat('  ', cast(o_orderkey as string), 'abc') "
         "when 2 then concat(cast(o_orderkey % 9 as string), 'e3') when 3 then '12345678901234567890' when 4 then '-99999999999999999999.5' "
         "when 5 then concat('-', cast(o_totalprice as string)) when 6 then 'abc' when 7 then '' when 8 then null when 9 then '.5' "
         "when 10 then concat('+', cast(o_custkey as string), '.') when 11 then '12345678901.5' when 12 then concat(cast(o_custkey as string), ' ') "
-        "when 13 then '1.5e-1' when 14 then '0' else concat(cast(o_totalprice as string), ' USD') end as s from orders"),
+        "when 13 then '1.5e-1' when 14 then '0' when 15 then '1234567890123456789' when 16 then '-1000000000000000001x' when 17 then '9223372036854775807' "
+        "when 18 then ' +009223372036854775808' when 19 then '1234567890123456789.5' else concat(cast(o_totalprice as string), ' USD') end as s from orders"),
     "listing_requests": (
         "select s_suppkey*2 as request_id, s_suppkey as partner_id, case s_suppkey % 3 when 0 then '' when 1 then ' Paid ' else 'Pending' end as status, "
         "case when s_suppkey % 2 = 0 then {TS} '1994-01-01 00:00:00' end as ts_from, "

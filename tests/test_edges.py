@@ -59,6 +59,14 @@ def test_phone_rules(spark):
         "0712345678", "967712345678", "967712345678", "812345678", ""]
 
 
+def test_whole_numbers_are_exact(spark):
+    cases = [("1234567890123456789", 1234567890123456789), ("1000000000000000001x", 1000000000000000001), ("9223372036854775808", 2**63 - 1),
+             ("-9223372036854775808", -2**63), ("-9223372036854775809", -2**63), ("0" * 50 + "7", 7), ("1" * 60, 2**63 - 1), ("-" + "1" * 60, -2**63),
+             ("+5", 5), ("5.", 5), ("1.e2", 100)]
+    df = spark.createDataFrame([c[:1] for c in cases], "s string")
+    assert [r[0] for r in df.select(R.lenient_int("s")).collect()] == [w for _, w in cases]
+
+
 def test_email_rule(spark):
     df = spark.createDataFrame([("a.b@example.org",), ("a@localhost",), ("a..b@x.org",), ("",), ("x@y-.org",), ("a@b.org\n",)], "e string")
     assert [r[0] for r in df.select(R.valid_email("e")).collect()] == [True, False, False, False, False, False]
