@@ -5,24 +5,23 @@ none of its resources (a seat of a trip, an e-mail, a phone number) is held,
 and an accepted request then holds them.  Over a batch that is the greedy
 fold "in arrival order, accept if no earlier *accepted* request shares a
 resource" - the lexicographically first independent set of the conflict
-graph.  ``first_come_admission`` computes it exactly in parallel rounds:
-
-* a request that is the earliest undecided claimant of every one of its
-  resources is accepted (every earlier neighbour is already rejected, so
-  the sequential fold accepts it too);
-* an undecided request sharing a resource with a request accepted this
-  round is rejected.
-
-Each round is one status pass: a partial-aggregate ``min`` per resource, two
-equi-joins and one aggregate per request, so a hot resource (one seat wanted by
-a third of all requests) is combined map-side and never collected into one row.
-In every connected group the earliest undecided request is accepted each round,
-so every round decides something and the rounds end by themselves; they are not
-capped.  A chain of n requests that each share a resource with the next needs
-about n/2 rounds: for seats of a trip that is at most the seats of one bus, for
-e-mails and phone numbers it is as long as the data's chains are.  A round is
-one write to the session's checkpoint folder, which cuts the lineage and
-survives executor loss; decided requests are read once, at the end.
+graph.  ``first_come_admission`` computes it exactly:
+
+* Rounds decide almost all requests.  A request that is the earliest undecided
+  claimant of every one of its resources is accepted (every earlier neighbour
+  is already rejected); one that shares a resource with a request accepted this
+  round is rejected.  A round is a partial-aggregate ``min`` per resource, two
+  equi-joins and one aggregate per request, so a hot resource (one seat wanted
+  by a third of all requests) is combined map-side and never collected.
+* What two rounds leave open are chains of requests that each share a
+  resource with the next.  Their connected components are labelled (labels are
+  propagated and looked up twice an iteration, so a chain of n needs about
+  log4 n of them), and every component of at most ``SMALL`` requests is folded in
+  arrival order in one row.  Only larger components go on with rounds.
+
+Rounds and iterations are tables in the session's checkpoint folder, which
+cuts the lineage and survives executor loss; whether something is open or
+changed is the presence of a folder, not a job.
 """
 
 from __future__ import annotations
@@ -37,38 +36,96 @@ from ..plans.lineage import cut_lineage, path_exists, range_partitioned, scratch
 from .keyed import reasons
 from .listings import default_cancel_policy
 
+#: Requests of the largest component that is folded in one row.
+SMALL = 2_000
+ROUNDS = 2
+
+
+def _round(open_: DataFrame, rid: str, order: str, res: str, path: str) -> None:
+    """One round: ``open_`` with the state of its requests, written by state."""
+    key = F.struct(F.col(order), F.col(rid))
+    first = open_.groupBy(res).agg(F.min(key).alias("_first"))
+    claims = open_.join(first, res).withColumn("_mine", key == F.col("_first"))
+    wins = claims.groupBy(rid).agg(F.bool_and("_mine").alias("_wins"))
+    lead = wins.select(F.col(rid).alias("_lead"), F.col("_wins").alias("_lead_wins"))
+    # a request loses if the first claimant of one of its resources is accepted and is another
+    status = (claims.withColumn("_lead", F.col(f"_first.{rid}")).join(lead, "_lead")
+              .groupBy(rid).agg(F.bool_and("_mine").alias("accepted"), F.bool_or(~F.col("_mine") & F.col("_lead_wins")).alias("_lost")))
+    state = F.when(F.col("accepted"), "accepted").when(F.col("_lost"), "rejected").otherwise("open")
+    open_.join(status.select(rid, state.alias("state")), rid).write.partitionBy("state").parquet(path)
+
+
+def components(claims: DataFrame, rid: str, res: str, folder: str) -> DataFrame:
+    """(rid, label): requests connected by shared resources have one label,
+    the smallest request id of their component.  Iterations end when no label changes."""
+    spark = claims.sparkSession
+    labels = claims.select(rid, F.col(rid).alias("label")).distinct()
+    n = 0
+    while True:
+        low = claims.join(labels, rid).groupBy(res).agg(F.min("label").alias("low"))
+        near = claims.join(low, res).groupBy(rid).agg(F.min("low").alias("label"))
+        for _ in range(2):                                # labels are requests, which have labels of their own
+            at = near.select(F.col(rid).alias("label"), F.col("label").alias("_next"))
+            near = near.join(at, "label").select(rid, F.col("_next").alias("label"))
+        path = f"{folder}/labels={n}"
+        (near.join(labels.withColumnRenamed("label", "_old"), rid).select(rid, "label", (F.col("label") != F.col("_old")).alias("changed"))
+         .write.partitionBy("changed").parquet(path))
+        schema = T.StructType([*labels.schema.fields, T.StructField("changed", T.BooleanType())])
+        labels = spark.read.schema(schema).parquet(path).select(rid, "label")
+        n += 1
+        if not path_exists(spark, f"{path}/changed=true"):
+            return labels
+
+
+def _fold(open_: DataFrame, rid: str, order: str, res: str) -> DataFrame:
+    """(rid, accepted) of components of bounded size (column ``label``): the
+    fold in arrival order, one row a component."""
+    each = open_.groupBy("label", rid).agg(F.min(order).alias("_order"), F.collect_set(res).alias("_res"))
+    rows = each.groupBy("label").agg(F.sort_array(F.collect_list(F.struct("_order", F.col(rid).alias("_rid"), "_res"))).alias("_all"))
+    kinds = dict(open_.dtypes)
+    start = F.struct(F.array().cast(f"array<{kinds[res]}>").alias("held"), F.array().cast(f"array<{kinds[rid]}>").alias("won"))
+    end = F.aggregate("_all", start, lambda s, x: F.when(F.arrays_overlap(s["held"], x["_res"]), s).otherwise(
+        F.struct(F.concat(s["held"], x["_res"]).alias("held"), F.concat(s["won"], F.array(x["_rid"])).alias("won"))))
+    return (rows.select("_all", end["won"].alias("_won"))
+            .select(F.explode(F.transform("_all", lambda x: F.struct(x["_rid"].alias(rid), F.array_contains("_won", x["_rid"]).alias("accepted")))).alias("v"))
+            .select(f"v.{rid}", "v.accepted"))
 
-def first_come_admission(items: DataFrame, rid: str, order: str, res: str) -> DataFrame:
+
+def first_come_admission(items: DataFrame, rid: str, order: str, res: str, small: int = SMALL) -> DataFrame:
     """``items``: one row per (request ``rid``, arrival ``order``, resource
     ``res``); ``order`` must be equal for all rows of a request and, with
     ``rid``, totally ordered.  Returns ``(rid, accepted)`` for every request."""
     spark = items.sparkSession
     folder = scratch_folder(spark, "admission")
     open_ = items.select(rid, order, res).dropDuplicates([rid, res])
-    n = 0
+    schema = open_.schema
+    verdict_schema = T.StructType([schema[rid], T.StructField("accepted", T.BooleanType())])
+    n, folded = 0, []
     while True:
-        key = F.struct(F.col(order), F.col(rid))
-        first = open_.groupBy(res).agg(F.min(key).alias("_first"))
-        claims = open_.join(first, res).withColumn("_mine", key == F.col("_first"))
-        wins = claims.groupBy(rid).agg(F.bool_and("_mine").alias("_wins"))
-        lead = wins.select(F.col(rid).alias("_lead"), F.col("_wins").alias("_lead_wins"))
-        # a request loses if the first claimant of one of its resources is accepted and is another
-        status = (claims.withColumn("_lead", F.col(f"_first.{rid}")).join(lead, "_lead")
-                  .groupBy(rid).agg(F.bool_and("_mine").alias("accepted"), F.bool_or(~F.col("_mine") & F.col("_lead_wins")).alias("_lost")))
-        state = F.when(F.col("accepted"), "accepted").when(F.col("_lost"), "rejected").otherwise("open")
-        path = f"{folder}/round={n}"
-        (open_.join(status.select(rid, state.alias("state")), rid)
-         .write.partitionBy("state").parquet(path))
+        _round(open_, rid, order, res, f"{folder}/rounds/round={n}")
         n += 1
-        schema = open_.schema
-        if not path_exists(spark, f"{path}/state=open"):
+        if not path_exists(spark, f"{folder}/rounds/round={n - 1}/state=open"):
             break
-        open_ = spark.read.schema(schema).parquet(f"{path}/state=open")
-    if not any(path_exists(spark, f"{folder}/round={i}/state={x}") for i in range(n) for x in ("accepted", "rejected")):
-        return items.select(rid).limit(0).withColumn("accepted", F.lit(True))
-    every = spark.read.schema(T.StructType([*schema.fields, T.StructField("state", T.StringType()),
-                                             T.StructField("round", T.IntegerType())])).parquet(folder)
-    return (every.filter(F.col("state") != "open").select(rid, (F.col("state") == "accepted").alias("accepted")).distinct())
+        open_ = spark.read.schema(schema).parquet(f"{folder}/rounds/round={n - 1}/state=open")
+        if n % ROUNDS == 0:
+            labels = components(open_, rid, res, f"{folder}/labels/after={n}")
+            size = labels.groupBy("label").agg((F.count(F.lit(1)) <= small).alias("few"))
+            labelled = open_.join(labels.join(size, "label"), rid)
+            path = f"{folder}/folded/after={n}"
+            _fold(labelled.where("few"), rid, order, res).write.parquet(path)
+            folded.append(path)
+            labelled.where("not few").select(rid, order, res, F.lit(True).alias("large")).write.partitionBy("large").parquet(f"{folder}/large/after={n}")
+            if not path_exists(spark, f"{folder}/large/after={n}/large=true"):
+                break
+            open_ = spark.read.schema(schema).parquet(f"{folder}/large/after={n}/large=true")
+    out = spark.createDataFrame([], verdict_schema)
+    if any(path_exists(spark, f"{folder}/rounds/round={i}/state={x}") for i in range(n) for x in ("accepted", "rejected")):
+        every = spark.read.schema(T.StructType([*schema.fields, T.StructField("state", T.StringType()),
+                                                 T.StructField("round", T.IntegerType())])).parquet(f"{folder}/rounds")
+        out = every.filter(F.col("state") != "open").select(rid, (F.col("state") == "accepted").alias("accepted")).distinct()
+    for path in folded:
+        out = out.unionByName(spark.read.schema(verdict_schema).parquet(path))
+    return out
 
 
 def assign_sequence_ids(df: DataFrame, order_cols: list[str], start: Column, id_col: str) -> DataFrame:
@@ -112,6 +169,30 @@ def expand_passengers(requests: DataFrame) -> DataFrame:
                     F.col("p.phone_number").alias("phone_number"), F.col("p.id_image").alias("id_image"))
 
 
+def seat_lookups(requests: DataFrame, trips: DataFrame, seats: DataFrame) -> DataFrame:
+    """Each seat code of each request with the seats it names: (request_id,
+    trip_id, seat_code, nth, seat_id), ``nth`` from 0 among the seats of one
+    code (0 and a null seat where there is none).  A code meets its trip's bus
+    first and the bus's seats of that number then, so nothing is as large as
+    trips x seats."""
+    codes = expand_passengers(requests).filter(~F.col("seat_code").isin("", "0")).select("request_id", "seat_code")
+    codes = codes.join(requests.select("request_id", "trip_id"), "request_id").join(trips.select("trip_id", "bus_id"), "trip_id", "left")
+    named = seats.groupBy("bus_id", F.col("seat_number").alias("seat_code")).agg(F.collect_set("seat_id").alias("_seats"))
+    return (codes.join(named, ["bus_id", "seat_code"], "left")
+            .select("request_id", "trip_id", "seat_code", F.posexplode_outer("_seats").alias("nth", "seat_id"))
+            .withColumn("nth", F.coalesce("nth", F.lit(0))))
+
+
+def _given_and_found(lookups: DataFrame, *more: Column) -> DataFrame:
+    """Codes given, seats found (and ``more`` aggregates) per request."""
+    return lookups.groupBy("request_id").agg(F.count_if(F.col("nth") == 0).alias("n_codes"),
+                                             F.size(F.collect_set("seat_id")).cast("bigint").alias("n_found"), *more)
+
+
+def _seat_reason() -> Column:
+    return F.when(F.col("n_codes") == 0, "no_seat_codes").when(F.col("n_codes") != F.col("n_found"), "unknown_seats")
+
+
 def resolve_seat_codes(requests: DataFrame, trips: DataFrame, seats: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(trip, seat code) -> seat id through trips -> buses -> seats.
     Codes are the trimmed seat codes with PHP-falsy ones ('' and '0')
@@ -122,77 +203,81 @@ def resolve_seat_codes(requests: DataFrame, trips: DataFrame, seats: DataFrame)
     with two seats of one number finds two for one.  Returns
     ``(codes, per_request)``: codes = (request_id, trip_id, seat_code,
     seat_id); per_request = (request_id, n_codes, n_found, reject_reason)."""
-    codes = (expand_passengers(requests)
-             .filter(~F.col("seat_code").isin("", "0"))
-             .join(requests.select("request_id", "trip_id"), "request_id")
-             .select("request_id", "trip_id", "seat_code"))
-    bus_seats = (trips.select("trip_id", "bus_id")
-                 .join(seats.select("bus_id", F.col("seat_number").alias("seat_code"), "seat_id"), "bus_id"))
-    found = codes.join(bus_seats, ["trip_id", "seat_code"], "left")
-    given = codes.groupBy("request_id").agg(F.count(F.lit(1)).alias("n_codes"))
-    seen = found.groupBy("request_id").agg(F.count_distinct("seat_id").alias("n_found"))
-    per = (requests.select("request_id").join(given, "request_id", "left").join(seen, "request_id", "left")
-           .select("request_id", F.coalesce("n_codes", F.lit(0).cast("bigint")).alias("n_codes"),
-                   F.coalesce("n_found", F.lit(0).cast("bigint")).alias("n_found"))
-           .withColumn("reject_reason", F.when(F.col("n_codes") == 0, "no_seat_codes")
-                       .when(F.col("n_codes") != F.col("n_found"), "unknown_seats")))
-    return found.select("request_id", "trip_id", "seat_code", "seat_id"), per
+    lookups = seat_lookups(requests, trips, seats)
+    zero = F.lit(0).cast("bigint")
+    per = (requests.select("request_id").join(_given_and_found(lookups), "request_id", "left")
+           .select("request_id", F.coalesce("n_codes", zero).alias("n_codes"), F.coalesce("n_found", zero).alias("n_found"))
+           .withColumn("reject_reason", _seat_reason()))
+    return lookups.select("request_id", "trip_id", "seat_code", "seat_id"), per
 
 
-def booking_request_checks(requests: DataFrame, trips: DataFrame, policies: DataFrame, seats: DataFrame,
-                           bookings: DataFrame, passengers: DataFrame,
-                           resolved: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
-    """The reject stages of B1 that do not depend on other requests, in the
-    reference's order: ``missing_fields`` (user, trip or passengers),
-    ``trip_not_found``, ``no_default_policy``, ``no_seat_codes``,
-    ``unknown_seats``, ``already_booked`` (a seat held by an existing
-    passenger of the trip, cancelled ones included),
-    ``invalid_payment_method``, then ``price_out_of_range`` (a price that the
-    database's column can't hold; its insert fails).  Returns one row per request with
-    ``cancel_policy_id`` and ``reject_reason`` (null = goes to contention)."""
+def held_seats(bookings: DataFrame, passengers: DataFrame) -> DataFrame:
+    """(trip_id, seat_id) held by any passenger of any booking, cancelled ones included."""
+    return (bookings.select("booking_id", "trip_id")
+            .join(passengers.select("booking_id", "seat_id").filter(F.col("seat_id").isNotNull()), "booking_id")
+            .select("trip_id", "seat_id").distinct())        # hot seats collapse map-side
+
+
+def _checked(requests: DataFrame, trips: DataFrame, policies: DataFrame, lookups: DataFrame, held: DataFrame) -> DataFrame:
     req = requests.select("request_id", "user_id", "trip_id", "payment_method",
                           (F.size("passengers") == 0).alias("_no_pax"),
                           F.col("total_price").isNull().alias("_no_price"))
     pol = default_cancel_policy(trips, policies).select("trip_id", "cancel_policy_id", F.lit(True).alias("_trip"))
-    codes, per = resolved or resolve_seat_codes(requests, trips, seats)
-    held = (bookings.select("booking_id", "trip_id")
-            .join(passengers.select("booking_id", "seat_id").filter(F.col("seat_id").isNotNull()), "booking_id")
-            .select("trip_id", "seat_id").distinct())        # hot seats collapse map-side
-    taken = codes.join(held, ["trip_id", "seat_id"], "left_semi").select("request_id").distinct() \
-        .withColumn("_taken", F.lit(True))
-    j = (req.join(pol, "trip_id", "left").join(per.withColumnRenamed("reject_reason", "_seat_reason"), "request_id", "left")
-         .join(taken, "request_id", "left"))
+    flagged = lookups.join(held.select("trip_id", "seat_id", F.lit(True).alias("_held")), ["trip_id", "seat_id"], "left")
+    per = _given_and_found(flagged, F.bool_or(F.coalesce("_held", F.lit(False))).alias("_taken"))
+    j = (req.join(pol, "trip_id", "left").join(per, "request_id", "left")
+         .withColumn("n_codes", F.coalesce("n_codes", F.lit(0).cast("bigint"))))
     reason = reasons(
         ((F.col("user_id") <= 0) | (F.col("trip_id") <= 0) | F.col("_no_pax"), "missing_fields"),
         (F.col("_trip").isNull(), "trip_not_found"),
         (F.col("cancel_policy_id").isNull(), "no_default_policy"),
-        (F.col("_seat_reason") == "no_seat_codes", "no_seat_codes"),
-        (F.col("_seat_reason") == "unknown_seats", "unknown_seats"),
-        (F.col("_taken").isNotNull(), "already_booked"),
+        (_seat_reason() == "no_seat_codes", "no_seat_codes"),
+        (_seat_reason() == "unknown_seats", "unknown_seats"),
+        (F.col("_taken"), "already_booked"),
         (~F.col("payment_method").isin(*PAYMENT_METHODS), "invalid_payment_method"),
         (F.col("_no_price"), "price_out_of_range"))
     return j.select("request_id", "trip_id", "cancel_policy_id", reason.alias("reject_reason"))
 
 
+def booking_request_checks(requests: DataFrame, trips: DataFrame, policies: DataFrame, seats: DataFrame,
+                           bookings: DataFrame, passengers: DataFrame) -> DataFrame:
+    """The reject stages of B1 that do not depend on other requests, in the
+    reference's order: ``missing_fields`` (user, trip or passengers),
+    ``trip_not_found``, ``no_default_policy``, ``no_seat_codes``,
+    ``unknown_seats``, ``already_booked`` (a seat held by an existing
+    passenger of the trip, cancelled ones included),
+    ``invalid_payment_method``, then ``price_out_of_range`` (a price that the
+    database's column can't hold; its insert fails).  Returns one row per request with
+    ``cancel_policy_id`` and ``reject_reason`` (null = goes to contention).
+    The requests are kept once: their codes are read twice."""
+    requests = cut_lineage(requests)
+    return _checked(requests, trips, policies, seat_lookups(requests, trips, seats), held_seats(bookings, passengers))
+
+
 def admit_bookings(requests: DataFrame, trips: DataFrame, policies: DataFrame, seats: DataFrame,
-                   bookings: DataFrame, passengers: DataFrame) -> dict[str, DataFrame]:
+                   bookings: DataFrame | None, passengers: DataFrame | None, held: DataFrame | None = None,
+                   last_id: Column | None = None) -> dict[str, DataFrame]:
     """B1: admit parsed booking requests (S2 output plus ``request_id`` and
     ``received_at``) in arrival order (received_at, request_id).
 
-    Stage rejects come from ``booking_request_checks``; the survivors then
+    Stage rejects come first (``booking_request_checks``); the survivors then
     compete for seats: a request is accepted only if none of its seats was
     taken by an earlier accepted request of the same trip (all-or-nothing
     per request, ``first_come_admission`` over (trip, seat)), else
     ``already_booked``.  The price is the client's.  Accepted requests get
     a ``booking_id`` = max existing + arrival rank, status Pending/Unpaid,
     the trip partner's default policy; their passengers are Active; their
-    seats are flagged unavailable.  Returns ``outcomes``, ``bookings``,
-    ``passengers`` and ``seat_updates``."""
+    seats are flagged unavailable.  ``held`` (trip_id, seat_id) and ``last_id``
+    replace what is otherwise read from all bookings and passengers.
+    Returns ``outcomes``, ``bookings``, ``passengers``, ``seat_updates`` and
+    ``held`` (the seats that this batch took)."""
+    if held is None:
+        held = held_seats(bookings, passengers)
+    if last_id is None:
+        last_id = max_id(bookings, "booking_id")
     requests = cut_lineage(requests)            # parsed once, read by every branch below
-    codes, per = resolve_seat_codes(requests, trips, seats)
-    codes = cut_lineage(codes)
-    checks = cut_lineage(booking_request_checks(requests, trips, policies, seats, bookings, passengers,
-                                                resolved=(codes, per)))
+    codes = cut_lineage(seat_lookups(requests, trips, seats))
+    checks = cut_lineage(_checked(requests, trips, policies, codes, held))
     arrival = requests.select("request_id", F.struct("received_at", "request_id").alias("_order"))
     ok = checks.filter(F.col("reject_reason").isNull()).select("request_id")
     items = (codes.join(ok, "request_id", "left_semi").join(arrival, "request_id")
@@ -200,7 +285,7 @@ def admit_bookings(requests: DataFrame, trips: DataFrame, policies: DataFrame, s
     verdict = first_come_admission(items, "request_id", "_order", "_seat")
     won = verdict.filter("accepted").select("request_id")
     ids = assign_sequence_ids(won.join(arrival, "request_id").select("request_id", "_order"), ["_order"],
-                              max_id(bookings, "booking_id"), "booking_id").select("request_id", "booking_id")
+                              last_id, "booking_id").select("request_id", "booking_id")
     out = (checks.join(ids, "request_id", "left")
            .withColumn("reject_reason", F.coalesce("reject_reason",
                                                    F.when(F.col("booking_id").isNull(), F.lit("already_booked")))))
@@ -210,14 +295,13 @@ def admit_bookings(requests: DataFrame, trips: DataFrame, policies: DataFrame, s
                             F.lit("Pending").alias("booking_status"), "payment_method",
                             F.lit("Unpaid").alias("payment_status"), F.col("received_at").alias("booking_date"),
                             "cancel_policy_id"))
-    seat_of = codes.select("request_id", "seat_code", "seat_id")
-    new_pax = (expand_passengers(requests.join(ids, "request_id", "left_semi"))
-               .join(ids, "request_id")
-               .join(requests.select("request_id", "trip_id"), "request_id")
-               .join(seat_of.dropDuplicates(["request_id", "seat_code"]), ["request_id", "seat_code"], "left")
+    seat_of = codes.groupBy("request_id", "seat_code").agg(F.min("seat_id").alias("seat_id"))
+    new_pax = (expand_passengers(acc).join(acc.select("request_id", "booking_id", "trip_id"), "request_id")
+               .join(seat_of, ["request_id", "seat_code"], "left")
                .select("booking_id", "passenger_no", "full_name", "id_number", "seat_id", "trip_id", "gender",
                        "birth_date", "phone_number", "id_image", F.lit("Active").alias("passenger_status")))
-    seat_updates = (codes.join(ids, "request_id", "left_semi").select("seat_id").distinct()
-                    .withColumn("is_available", F.lit(False)))
+    taken = codes.join(ids, "request_id", "left_semi")
     return {"outcomes": out.select("request_id", "trip_id", "booking_id", "reject_reason"),
-            "bookings": new_bookings, "passengers": new_pax, "seat_updates": seat_updates}
+            "bookings": new_bookings, "passengers": new_pax,
+            "seat_updates": taken.select("seat_id").distinct().withColumn("is_available", F.lit(False)),
+            "held": taken.select("trip_id", "seat_id").distinct()}

@@ -16,13 +16,16 @@ from pyspark.sql import functions as F
 
 from ..functions import quality
 from ..functions import rules as R
-from ..operators import accounts, admission, inventory, listings, money, notifications
+from ..operators import accounts, admission, inventory, listings, money, notifications, stored
 from ..operators import bookings as B
 from ..sources import requests as S
 from ..sources import sinks
 from ..sources.fixtures import WEBHOOK_TEST_SECRET, build_fixtures
+from ..sources.upsert import KeyedTable
 from ..streaming import daily, payments, scratch_dir
 from ..streaming import state as E4
+from ..streaming.admission import AdmissionStream
+from .lineage import cut_lineage
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -434,6 +437,28 @@ def q_admit_bookings(spark, sf):
     return _admitted(spark, sf)["outcomes"]
 
 
+def _admitted_as_stream(spark, sf):
+    """The same requests in order of arrival over several micro-batches."""
+    fx = build_fixtures(spark, sf, *_ADMIT)
+    base = _in_order(spark, fx["booking_requests_raw"], "requests", "received_at", "request_id")
+    raw = spark.read.parquet(base + "/in")
+    tables = [cut_lineage(fx[n]) for n in ("trips", "cancel_policies", "seats")]        # read by every batch
+    out = AdmissionStream(spark, *tables, fx["bookings"], fx["passengers"], base + "/out")
+    out.run(spark.readStream.schema(raw.schema).option("maxFilesPerTrigger", 1).parquet(base + "/in"), base + "/ck")
+    return out
+
+
+@query
+def q_admit_bookings_stream(spark, sf):
+    """B1 over micro-batches: held seats and the last id are carried from batch to batch; outcomes."""
+    return _admitted_as_stream(spark, sf).read("outcomes")
+
+
+@query
+def q_admit_bookings_stream_passengers(spark, sf):
+    return _admitted_as_stream(spark, sf).read("passengers")
+
+
 @query
 def q_admit_bookings_passengers(spark, sf):
     return _admitted(spark, sf)["passengers"]
@@ -477,30 +502,49 @@ def _as_files(spark, df, name, *by):
     return base
 
 
-@query
-def q_gateway_payment_stream(spark, sf):
-    """E1 -> E2 -> E3 as a stream of several micro-batches whose files are out of
-    order.  Which payment of a booking comes first depends on the batches, so
-    the result is the paid bookings."""
+def _in_order(spark, df, name, *by):
+    """Write rows to a fresh folder as ``STREAM_FILES`` files, ranges of
+    ``by`` written one after the other: a key's events are spread over the
+    files, and the stream that reads them one by one sees them in order."""
+    base = scratch_dir(spark, name)
+    ranged = cut_lineage(df.repartitionByRange(STREAM_FILES, *by).withColumn("file", F.spark_partition_id()))
+    for n in range(STREAM_FILES):
+        ranged.where(F.col("file") == n).drop("file").coalesce(1).write.mode("append").parquet(base + "/in")
+    return base
+
+
+def _gateway(spark, sf, deal, *by):
+    """Webhooks dealt to files, run through E1, E6, E2 and E3 as a stream; its output folder."""
     fx = build_fixtures(spark, sf, "webhooks_raw", "bookings")
     rows = (fx["webhooks_raw"].withColumn("received_at", F.col("received_at").cast("timestamp"))
             .select(*[f.name for f in payments.WEBHOOK_SCHEMA.fields]))
-    base = _as_files(spark, rows, "webhooks", "event_id")
+    base = deal(spark, rows, "webhooks", *by)
     stream = payments.read_payment_events(spark, base + "/in", max_files_per_trigger=1)          # S4
     payments.run_gateway_stream(spark, stream, fx["bookings"], WEBHOOK_TEST_SECRET, base + "/out", base + "/ck")
-    return payments.applied_payments(spark, base + "/out").select("booking_id", "payment_status", "payment_method")
+    return base + "/out"
+
+
+@query
+def q_gateway_payment_stream(spark, sf):
+    """E1 -> E2 -> E3 as a stream of several micro-batches in order of time: a
+    booking's events meet its state of earlier batches, and the same event wins
+    as in the batch operator."""
+    out = payments.applied_payments(spark, _gateway(spark, sf, _in_order, "received_at", "event_id"))
+    return out.withColumn("payment_timestamp", F.col("payment_timestamp").cast("timestamp_ntz"))
+
+
+@query
+def q_gateway_payment_stream_unordered(spark, sf):
+    """The same with files out of order.  Which payment of a booking comes first
+    depends on the batches, so the result is the paid bookings."""
+    out = payments.applied_payments(spark, _gateway(spark, sf, _as_files, "event_id"))
+    return out.select("booking_id", "payment_status", "payment_method")
 
 
 @query
 def q_gateway_rejects_stream(spark, sf):
     """E6 in the same stream: every event that verification rejects has its row."""
-    fx = build_fixtures(spark, sf, "webhooks_raw", "bookings")
-    rows = (fx["webhooks_raw"].withColumn("received_at", F.col("received_at").cast("timestamp"))
-            .select(*[f.name for f in payments.WEBHOOK_SCHEMA.fields]))
-    base = _as_files(spark, rows, "webhooks", "event_id")
-    stream = payments.read_payment_events(spark, base + "/in", max_files_per_trigger=1)
-    payments.run_gateway_stream(spark, stream, fx["bookings"], WEBHOOK_TEST_SECRET, base + "/out", base + "/ck")
-    return spark.read.parquet(base + "/out/rejects").select("event_id", "reject_reason")
+    return payments.rejected_events(spark, _gateway(spark, sf, _as_files, "event_id")).select("event_id", "reject_reason")
 
 
 @query
@@ -523,13 +567,17 @@ def q_admit_tickets(spark, sf):
 # ---------------------------------------------------------------------------
 
 
-def _booking_state(spark, sf):
+def _commands(spark, sf):
     fx = build_fixtures(spark, sf, "bookings", "confirm_commands", "payment_updates", "webhooks_raw",
                         "payment_proofs", "cancel_requests")
     gateway = payments.gateway_payments(payments.verify_payment_events(fx["webhooks_raw"], WEBHOOK_TEST_SECRET))
-    cmds = E4.booking_commands(fx["bookings"], fx["confirm_commands"], fx["payment_updates"], gateway,
-                               fx["payment_proofs"], fx["cancel_requests"])
-    return E4.booking_state(cmds, fx["bookings"])
+    return fx["bookings"], E4.booking_commands(fx["bookings"], fx["confirm_commands"], fx["payment_updates"], gateway,
+                                               fx["payment_proofs"], fx["cancel_requests"])
+
+
+def _booking_state(spark, sf):
+    bookings, cmds = _commands(spark, sf)
+    return E4.booking_state(cmds, bookings)
 
 
 @query
@@ -542,19 +590,26 @@ def q_booking_state_verdicts(spark, sf):
     return _booking_state(spark, sf)[0].drop("seq")
 
 
+def _state_stream(spark, sf):
+    """All commands in order of time over several micro-batches, so a booking's
+    commands meet its state of earlier batches; the stream's output folder."""
+    bookings, cmds = _commands(spark, sf)
+    base = _in_order(spark, cmds, "commands", "ts", "seq")
+    stream = spark.readStream.schema(cmds.schema).option("maxFilesPerTrigger", 1).parquet(base + "/in")
+    E4.run_booking_state_stream(stream, bookings, base + "/out", base + "/ck")
+    return base + "/out"
+
+
 @query
 def q_booking_state_stream(spark, sf):
-    """E4 run as a stream of several micro-batches (``foreachBatch`` over the
-    batch fold), each booking's commands in one of them; final states."""
-    fx = build_fixtures(spark, sf, "bookings", "confirm_commands", "payment_updates", "webhooks_raw",
-                        "payment_proofs", "cancel_requests")
-    gateway = payments.gateway_payments(payments.verify_payment_events(fx["webhooks_raw"], WEBHOOK_TEST_SECRET))
-    cmds = E4.booking_commands(fx["bookings"], fx["confirm_commands"], fx["payment_updates"], gateway,
-                               fx["payment_proofs"], fx["cancel_requests"])
-    base = _as_files(spark, cmds, "commands", "booking_id")
-    stream = spark.readStream.schema(cmds.schema).option("maxFilesPerTrigger", 1).parquet(base + "/in")
-    E4.run_booking_state_stream(stream, fx["bookings"], base + "/out", base + "/ck")
-    return E4.final_states(spark, base + "/out")
+    """E4 with its state in the engine; final states."""
+    return E4.final_states(spark, _state_stream(spark, sf))
+
+
+@query
+def q_booking_state_stream_verdicts(spark, sf):
+    """E4 with its state in the engine; the verdict on every command."""
+    return E4.stream_verdicts(spark, _state_stream(spark, sf)).drop("seq")
 
 
 @query
@@ -640,6 +695,86 @@ def q_sink_json(spark, sf):
         spark.read.schema("count long").json(path + "/_envelope"), "count")
 
 
+# ---------------------------------------------------------------------------
+# Keyed updates applied to stored tables, each batch twice (a retry)
+# ---------------------------------------------------------------------------
+def _stored(spark, name, rows, key, by=None):
+    return KeyedTable(spark, scratch_dir(spark, name), key, buckets=16, by=by).create(rows)
+
+
+@query
+def q_store_payment_updates(spark, sf):
+    """B2 applied to the bookings table, read back."""
+    fx = build_fixtures(spark, sf, "bookings", "payment_updates")
+    table = _stored(spark, "bookings", fx["bookings"], "booking_id")
+    for _ in range(2):
+        stored.store_payment_updates(table, fx["payment_updates"], 0)
+    return table.read()
+
+
+@query
+def q_store_confirmations(spark, sf):
+    """B3 applied to the bookings table, read back."""
+    fx = build_fixtures(spark, sf, "bookings", "users", "confirm_commands")
+    table = _stored(spark, "bookings", fx["bookings"], "booking_id")
+    for _ in range(2):
+        stored.store_confirmations(table, fx["users"], fx["confirm_commands"], 0)
+    return table.read()
+
+
+def _store_cancelled(spark, sf):
+    fx = build_fixtures(spark, sf, *_CANCEL, "passengers", "seats")
+    table = _stored(spark, "bookings", stored.with_columns(fx["bookings"], stored.CANCEL_COLUMNS), "booking_id")
+    passengers = _stored(spark, "passengers", fx["passengers"], ["passenger_id", "booking_id"], by=["booking_id"])
+    seats = _stored(spark, "seats", fx["seats"], "seat_id")
+    for _ in range(2):
+        stored.store_cancellations(table, fx["cancel_requests"], fx["trips"], fx["cancel_policy_rules"], passengers, seats, 0)
+    return {"bookings": table, "passengers": passengers, "seats": seats}
+
+
+@query
+def q_store_cancellations(spark, sf):
+    """C2 applied to the bookings table, read back."""
+    return _store_cancelled(spark, sf)["bookings"].read()
+
+
+@query
+def q_store_cancellations_seats(spark, sf):
+    """C2 applied to the seats table, read back."""
+    return _store_cancelled(spark, sf)["seats"].read()
+
+
+@query
+def q_store_refunds(spark, sf):
+    """R1, then R2, as two batches on the refunds table, read back."""
+    fx = build_fixtures(spark, sf, "refund_transactions", "refund_commands")
+    table = _stored(spark, "refunds", stored.with_columns(fx["refund_transactions"], stored.REFUND_COLUMNS), "refund_id")
+    stored.store_processed_refunds(table, fx["refund_commands"], AS_OF, 0)
+    stored.store_completed_refunds(table, fx["refund_commands"], AS_OF, 1)
+    stored.store_processed_refunds(table, fx["refund_commands"], AS_OF, 0)
+    return table.read().drop("bank_name", "bank_account", "account_holder_name", "kareemi_number")
+
+
+@query
+def q_store_paid_commissions(spark, sf):
+    """K1 applied to the commissions table, read back."""
+    fx = build_fixtures(spark, sf, "commissions", "commission_commands")
+    table = _stored(spark, "commissions", stored.with_columns(fx["commissions"], stored.COMMISSION_COLUMNS), "commission_id")
+    for _ in range(2):
+        stored.store_paid_commissions(table, fx["commission_commands"], AS_OF, 0)
+    return table.read()
+
+
+@query
+def q_store_phone_updates(spark, sf):
+    """A4 applied to the users table, read back."""
+    fx = build_fixtures(spark, sf, "registrations", "users")
+    table = _stored(spark, "users", fx["users"], "user_id")
+    for _ in range(2):
+        stored.store_phone_updates(table, _phone_updates(fx), 0)
+    return table.read()
+
+
 @query
 def q_lenient_casts(spark, sf):
     """Q1, Q2 and Q8 over strings as clients send them."""

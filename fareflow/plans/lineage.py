@@ -33,6 +33,17 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return bool(fs.exists(p))
 
 
+def make_marker(spark: SparkSession, path: str) -> None:
+    """An empty file at ``path`` (again, if it is there)."""
+    p, fs = _fs(spark, path)
+    fs.create(p, True).close()
+
+
+def remove_path(spark: SparkSession, path: str) -> None:
+    p, fs = _fs(spark, path)
+    fs.delete(p, True)
+
+
 def folders_in(spark: SparkSession, path: str) -> list[str]:
     """Names of what ``path`` holds; none if it does not exist."""
     p, fs = _fs(spark, path)

@@ -982,7 +982,8 @@ where f.rn = 1 and b.payment_status <> 'Paid'
 """
 
 oracle("apply_gateway_payments", "webhooks_raw", "bookings")(_APPLY_GATEWAY)
-oracle("gateway_payment_stream", "webhooks_raw", "bookings")(_GATEWAY_CTE + """
+oracle("gateway_payment_stream", "webhooks_raw", "bookings")(_APPLY_GATEWAY)
+oracle("gateway_payment_stream_unordered", "webhooks_raw", "bookings")(_GATEWAY_CTE + """
 select b.booking_id, 'Paid' as payment_status, 'Electronic' as payment_method
 from bookings b where b.payment_status <> 'Paid'
   and exists (select 1 from pay where pay.booking_id = b.booking_id and raw_bid is not null and raw_bid not in ('', '0'))
@@ -1092,6 +1093,7 @@ oracle("booking_state_verdicts", "webhooks_raw", "bookings", "confirm_commands",
        "cancel_requests")("with recursive " + _E4_CTE.strip() + """
 select booking_id, ts, kind, accepted from walk where k > 0
 """)
+ORACLES["booking_state_stream_verdicts"] = ORACLES["booking_state_verdicts"]
 
 
 oracle("login_lookup", "identifier_lookups", "users")(f"""
@@ -1132,6 +1134,9 @@ from codes cd join won w on w.request_id = cd.request_id
 """)
 
 
+ORACLES["admit_bookings_stream"] = ORACLES["admit_bookings"]
+ORACLES["admit_bookings_stream_passengers"] = ORACLES["admit_bookings_passengers"]
+
 oracle("admit_bookings_outbox", *_ADMIT_FX, "users", "user_device_tokens")(_ADMIT_CTE + """,
 x as (
   select w.booking_id, r.user_id, coalesce(u.full_name, 'Customer') as full_name,
@@ -1157,3 +1162,53 @@ from msg where phone_number not in ('', '0')
 union all
 select m.booking_id, m.user_id, m.status, 'push', t.fcm_token, m.title, m.body from msg m join tok t on t.user_id = m.user_id
 """)
+
+
+# ---------------------------------------------------------------------------
+# Updates applied to stored tables: the table with the changed rows' values
+# ---------------------------------------------------------------------------
+def _patched(name: str, changes: str, table: str, key: str, columns: list[str], where: str = "true"):
+    """``table`` with ``columns`` taken from the rows of the oracle ``changes`` that have the key."""
+    values = ", ".join(f"case when u.{key} is null then b.{c} else u.{c} end as {c}" for c in columns)
+    ORACLES[name] = _join(duckdb_prefix(table), f"""
+select b.* replace ({values}) from {table} b left join (from ({ORACLES[changes]}) where {where}) u on u.{key} = b.{key}
+""")
+
+
+_patched("store_payment_updates", "apply_payment_updates_state", "bookings", "booking_id",
+         ["payment_status", "payment_method", "payment_timestamp", "gateway_transaction_id"])
+_patched("store_confirmations", "confirm_bookings", "bookings", "booking_id", ["booking_status", "payment_status"], "reject_reason is null")
+_patched("store_cancellations_seats", "apply_cancellations_freed_seats", "seats", "seat_id", ["is_available"])
+
+ORACLES["store_cancellations"] = _join(duckdb_prefix("bookings"), f"""
+select b.* replace (coalesce(u.booking_status, b.booking_status) as booking_status,
+                    case when u.booking_id is null then b.payment_status else u.payment_status end as payment_status),
+       u.cancel_reason, u.cancel_timestamp
+from bookings b left join ({ORACLES["apply_cancellations_bookings"]}) u on u.booking_id = b.booking_id
+""")
+
+ORACLES["store_paid_commissions"] = _join(duckdb_prefix("commissions"), f"""
+select c.* replace (coalesce(u.status, c.status) as status, coalesce(u.notes, c.notes) as notes), u.payment_date
+from commissions c left join ({ORACLES["mark_commissions_paid_rows"]}) u on u.commission_id = c.commission_id
+""")
+
+ORACLES["store_phone_updates"] = ORACLES["apply_phone_updates_state"]
+
+ORACLES["store_refunds"] = _join(duckdb_prefix("refund_transactions", "refund_commands"), f"""
+with processed as (from ({ORACLES["process_refunds"]}) where reject_reason is null),
+now_ as (
+  select r.*, p.refund_id is not null as was_pending, coalesce(p.refund_status, r.refund_status) as status_,
+         p.refund_method, p.processed_by, p.processing_started_at, p.internal_notes, p.customer_notes
+  from refund_transactions r left join processed p on p.refund_id = r.refund_id),
+first_ as (
+  select refund_id, arg_min(trim(coalesce(refund_reference, '')), command_id) as ref, cast(arg_min(employee_id, command_id) as bigint) as who
+  from refund_commands where refund_id > 0 group by refund_id),
+done as (select n.*, f.ref, f.who, n.status_ = 'Processing' and f.refund_id is not null as closes from now_ n left join first_ f using (refund_id))
+select refund_id, booking_id, created_at, case when closes then 'Completed' else status_ end as refund_status, refund_method, processed_by,
+       processing_started_at, case when closes then '' else internal_notes end as internal_notes,
+       case when closes then 'تم إرجاع المبلغ بنجاح.' || case when ref <> '' then ' رقم المعاملة: ' || ref else '' end
+            else customer_notes end as customer_notes,
+       case when closes then ref end as refund_reference, case when closes then who end as completed_by,
+       case when closes then {AS_OF} end as completed_at
+from done
+""")

@@ -10,15 +10,15 @@ check stays JVM-side (no Python UDF).
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming import StatefulProcessor
 
 from ..functions.rules import lenient_int, php_empty
-from ..plans.lineage import cut_lineage
-from ..sources.sinks import write_batch
-from .store import KeyedStore
+from .keyed import start_to_files, with_state
 
 FRESHNESS_SECONDS = 300                          # reference tolerance, abs(now - t)
 CHECKOUT_COMPLETED = "checkout.session.completed"
@@ -130,36 +130,60 @@ def apply_gateway_payments(bookings: DataFrame, payments: DataFrame) -> DataFram
 # ---------------------------------------------------------------------------
 # Streaming form of E1 -> E2 -> E3
 # ---------------------------------------------------------------------------
+class FirstPayment(StatefulProcessor):
+    """State of a booking that can still be paid: that it is open."""
+
+    def init(self, handle) -> None:
+        self.open = handle.getValueState("open", "yes boolean")
+
+    def handleInitialState(self, key, initialState, timerValues) -> None:
+        self.open.update((True,))
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        if not self.open.exists():
+            return
+        r = min(rows, key=lambda r: (r.received_at, r.event_id, r.session_id))
+        self.open.clear()
+        yield Row(booking_id=key[0], payment_status="Paid", payment_method="Electronic", gateway_transaction_id=r.session_id,
+                  payment_timestamp=r.received_at, event_id=r.event_id)
+
+    def close(self) -> None:
+        pass
+
+
 def run_gateway_stream(spark: SparkSession, stream: DataFrame, bookings: DataFrame, secret: str,
                        out_dir: str, checkpoint_dir: str) -> None:
     """Drive the webhook stream to completion (``availableNow``).
 
-    Each micro-batch is verified (E1, E6) and its payments (E2) are applied
-    with E3 to the bookings they name, as far as no earlier batch paid them.
-    No event is dropped on the way: there is no watermark and no
-    de-duplication by session - E3's guard applies one payment per booking -
-    and every event that verification rejects, late ones included, gets a row
-    in ``out_dir/rejects``.  Applied payments go to ``out_dir/applied``; both
-    are written per batch with overwrite (``KeyedStore``), so a replayed batch
-    rewrites its own rows."""
-    store = KeyedStore(spark, f"{out_dir}/applied", "booking_id")
-
-    def apply(batch: DataFrame, batch_id: int) -> None:
-        checked = cut_lineage(verify_payment_events(batch, secret))
-        write_batch(checked.filter(~F.col("verified")).select("event_id", "received_at", "reject_reason"),
-                    f"{out_dir}/rejects", batch_id)
-        pays = gateway_payments(checked)
-        ids = pays.select("booking_id").distinct()
-        done = store.rows_before(batch_id, ids)
-        if done is not None:
-            pays = pays.join(done.select("booking_id"), "booking_id", "left_anti")
-        named = bookings.select("booking_id", "payment_status").join(ids, "booking_id", "left_semi")
-        store.write(apply_gateway_payments(named, pays), batch_id)
-
-    (stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint_dir)
-     .trigger(availableNow=True).start().awaitTermination())
+    Every micro-batch is verified (E1, E6); its payments (E2) are applied with
+    E3: the first event of a booking that can be paid (its status is neither
+    Paid nor NULL) pays it, in the order of the batches, by time and event id
+    within one.  Which bookings are open is state in the store, loaded from
+    ``bookings`` by the first batch and cleared by the payment, so a batch
+    looks up the bookings it names and nothing else.  No event is dropped on
+    the way: there is no watermark and no de-duplication by session, and every
+    event that verification rejects, late ones included, gets a row in
+    ``out_dir/rejects`` (a query of its own over the same feed).  Applied
+    payments go to ``out_dir/applied``; both sinks hold a batch's rows once."""
+    checked = verify_payment_events(stream, secret)
+    pays = gateway_payments(checked).where(F.col("booking_id").isNotNull())
+    kinds = dict(pays.dtypes)
+    unpaid = bookings.where(F.col("payment_status") != "Paid").select(F.col("booking_id").cast(kinds["booking_id"]).alias("booking_id"))
+    applied = with_state(pays, "booking_id", FirstPayment(),
+                         f"booking_id {kinds['booking_id']}, payment_status string, payment_method string, gateway_transaction_id string, "
+                         f"payment_timestamp {kinds['received_at']}, event_id {kinds['event_id']}", unpaid)
+    rejects = checked.where(~F.col("verified")).select("event_id", "received_at", "reject_reason")
+    running = [start_to_files(applied, f"{out_dir}/applied", f"{checkpoint_dir}/applied"),
+               start_to_files(rejects, f"{out_dir}/rejects", f"{checkpoint_dir}/rejects")]
+    for query in running:
+        query.awaitTermination()
 
 
 def applied_payments(spark: SparkSession, out_dir: str) -> DataFrame:
-    """Payments applied by all batches of ``run_gateway_stream``."""
-    return KeyedStore(spark, f"{out_dir}/applied", "booking_id").all_rows()
+    """Payments applied by ``run_gateway_stream``."""
+    return spark.read.parquet(f"{out_dir}/applied")
+
+
+def rejected_events(spark: SparkSession, out_dir: str) -> DataFrame:
+    """Events that verification rejected in ``run_gateway_stream``, with the reason."""
+    return spark.read.parquet(f"{out_dir}/rejects")

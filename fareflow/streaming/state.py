@@ -21,14 +21,16 @@ is a maximum over its booking's earlier ranges (one row per booking and range).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from collections.abc import Iterator
+
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor
 
 from ..functions.rules import PAYMENT_METHODS, PAYMENT_STATUSES, PROOF_NOTE, falsy_default
 from ..operators.keyed import arrival
 from ..plans.lineage import cut_lineage
-from ..sources.sinks import write_batch
-from .store import KeyedStore
+from .keyed import start_to_files, with_state
 
 KIND_ORDER = {"confirm": 0, "pay": 1, "gateway": 2, "proof": 3, "cancel": 4}
 STATE_FIELDS = ("booking_status", "payment_status", "payment_method", "gateway_transaction_id",
@@ -189,33 +191,106 @@ def booking_commands(bookings: DataFrame, confirms: DataFrame | None = None, pay
 
 
 # ---------------------------------------------------------------------------
-# Streaming form: each micro-batch folded with the batch operator
+# Streaming form: one state per booking in the state store
 # ---------------------------------------------------------------------------
+STATE_SCHEMA = ("n long, booking_status string, payment_status string, payment_method string, gateway_transaction_id string, "
+                "payment_timestamp {ts}, notes string")
+
+
+def apply_command(state: dict, kind: str, ts, status: str | None, method: str | None, txn: str | None, note: str | None) -> bool:
+    """Apply one command to a booking's fields in place; whether it was accepted."""
+    if kind == "confirm":
+        if state["booking_status"] != "Pending":
+            return False
+        state["booking_status"] = "Confirmed"
+        if status not in (None, "", "0"):
+            state["payment_status"] = status
+    elif kind == "cancel":
+        if state["booking_status"] == "Cancelled":
+            return False
+        state["booking_status"] = "Cancelled"
+        if state["payment_status"] == "Paid":
+            state["payment_status"] = "Refunded"
+    elif kind == "pay":
+        state["payment_status"] = status
+        if method:
+            state["payment_method"] = method
+        if txn:
+            state["gateway_transaction_id"] = txn
+        if status == "Paid":
+            state["payment_timestamp"] = ts
+    elif kind == "gateway":
+        if state["payment_status"] in (None, "Paid"):
+            return False
+        state.update(payment_status="Paid", payment_method="Electronic", gateway_transaction_id=txn, payment_timestamp=ts)
+    else:
+        if state["payment_status"] == "Paid":
+            return False
+        state["gateway_transaction_id"] = txn
+        if method:
+            state["payment_method"] = method
+        state["notes"] = PROOF_NOTE if note in (None, "", "0") else note
+    return True
+
+
+class BookingFold(StatefulProcessor):
+    """State of a booking: its commands so far and its fields."""
+
+    def __init__(self, ts_type: str):
+        self.schema = STATE_SCHEMA.format(ts=ts_type)
+
+    def init(self, handle) -> None:
+        self.held = handle.getValueState("booking", self.schema)
+
+    def handleInitialState(self, key, initialState, timerValues) -> None:
+        for r in [initialState] if isinstance(initialState, Row) else initialState:
+            self.held.update((0, *[r[f] for f in STATE_FIELDS]))
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        held = self.held.get()
+        if held is None:                                  # a booking that is not known
+            return
+        n, state = held[0], dict(zip(STATE_FIELDS, held[1:]))
+        for r in sorted(rows, key=lambda r: (r.ts, r.seq)):
+            n += 1
+            ok = apply_command(state, r.kind, r.ts, r.status, r.method, r.txn, r.note)
+            yield Row(booking_id=key[0], ts=r.ts, seq=r.seq, kind=r.kind, accepted=ok, nth=n, **state)
+        self.held.update((n, *[state[f] for f in STATE_FIELDS]))
+
+    def close(self) -> None:
+        pass
+
+
 def run_booking_state_stream(stream: DataFrame, bookings: DataFrame, out_dir: str, checkpoint_dir: str) -> None:
-    """E4 on a stream of commands (``foreachBatch``).  Each micro-batch is
-    folded with ``booking_state`` over the bookings it names only, from their
-    newest state of earlier batches (``KeyedStore``), else the initial table.
-    Batch N rewrites its own states and verdicts on a replay.  Commands apply
-    in arrival order across batches (as the reference applies requests as
-    they come); a history that arrives in order gives exactly
-    ``booking_state``."""
-    spark = stream.sparkSession
-    store = KeyedStore(spark, f"{out_dir}/states", "booking_id")
-
-    def apply(batch: DataFrame, batch_id: int) -> None:
-        ids = batch.select("booking_id").distinct()
-        current = bookings.select("booking_id", *STATE_FIELDS).join(ids, "booking_id", "left_semi")
-        prev = store.rows_before(batch_id, ids)
-        if prev is not None:
-            current = current.join(prev.select("booking_id"), "booking_id", "left_anti").unionByName(prev)
-        verdicts, final = booking_state(batch, current)
-        store.write(final, batch_id)
-        write_batch(verdicts, f"{out_dir}/verdicts", batch_id)
-
-    (stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint_dir)
-     .trigger(availableNow=True).start().awaitTermination())
+    """E4 on a stream of commands, to completion (``availableNow``).
+
+    ``out_dir`` gets a row per command of a known booking: its verdict, its
+    number ``nth`` among the booking's commands and the booking's fields after
+    it.  The fields of every booking are held in the state store, loaded from
+    ``bookings`` by the first batch; a batch costs what its own commands cost.
+    Commands apply in the order of their batches (as the reference applies
+    requests as they come), in (ts, seq) order within one; a history that
+    arrives in order gives exactly ``booking_state``.  A task holds one
+    booking's commands of one micro-batch, which the source's rate limit bounds."""
+    ts = dict(stream.dtypes)["ts"]
+    kinds = dict(bookings.dtypes)
+    initial = bookings.select("booking_id", *STATE_FIELDS)
+    if kinds["payment_timestamp"] != ts:
+        initial = initial.withColumn("payment_timestamp", F.col("payment_timestamp").cast(ts))
+    commands = stream.where(F.col("booking_id").isNotNull()).select(*COMMAND_COLS)
+    schema = (f"booking_id {kinds['booking_id']}, ts {ts}, seq bigint, kind string, accepted boolean, nth bigint, booking_status string, "
+              f"payment_status string, payment_method string, gateway_transaction_id string, payment_timestamp {ts}, notes string")
+    rows = with_state(commands, "booking_id", BookingFold(ts), schema, initial)
+    start_to_files(rows, f"{out_dir}/commands", checkpoint_dir).awaitTermination()
+
+
+def stream_verdicts(spark: SparkSession, out_dir: str) -> DataFrame:
+    """Verdicts written by ``run_booking_state_stream``."""
+    return spark.read.parquet(f"{out_dir}/commands").select("booking_id", "ts", "seq", "kind", "accepted")
 
 
 def final_states(spark: SparkSession, out_dir: str) -> DataFrame:
-    """Latest state per booking written by ``run_booking_state_stream``."""
-    return KeyedStore(spark, f"{out_dir}/states", "booking_id").all_rows()
+    """Latest state per commanded booking written by ``run_booking_state_stream``."""
+    rows = spark.read.parquet(f"{out_dir}/commands")
+    last = rows.groupBy("booking_id").agg(F.max_by(F.struct(*STATE_FIELDS), "nth").alias("s"))
+    return last.select("booking_id", "s.*")

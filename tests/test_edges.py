@@ -394,7 +394,7 @@ def test_stream_rejects_have_rows(spark):
     h = lambda n: T(2024, 1, 1, n)
     base = _webhook_files(spark, "late", [[(1, 1, "cs", h(5), h(4))], [(2, 2, "cs", h(5))]])
     assert _run_gateway(spark, base, 2) == {2: 2}
-    rejected = spark.read.parquet(base + "/out/rejects").collect()
+    rejected = payments.rejected_events(spark, base + "/out").collect()
     assert [(r.event_id, r.reject_reason) for r in rejected] == [(1, "rejected_late")]
 
 
@@ -466,39 +466,124 @@ def test_admission_chain_is_not_capped(spark):
     assert got == {i: i % 2 == 0 for i in range(24)}
 
 
-def test_store_snapshots_and_replays(spark):
+def test_long_chain_is_admitted_in_few_jobs(spark, monkeypatch):
+    """A chain of 1,000 in arrival order: ten tables, not five hundred rounds."""
+    from pyspark.sql import DataFrameWriter
+
+    from fareflow.operators import admission
+    written, write = [], DataFrameWriter.parquet
+    monkeypatch.setattr(DataFrameWriter, "parquet", lambda self, path, *a, **k: (written.append(path), write(self, path, *a, **k))[1])
+    items = spark.createDataFrame([(i, i, r) for i in range(1000) for r in (i, i + 1)], "rid long, ord long, res long")
+    got = {r.rid: r.accepted for r in admission.first_come_admission(items, "rid", "ord", "res").collect()}
+    assert got == {i: i % 2 == 0 for i in range(1000)} and len(written) <= 10
+
+
+def test_components(spark):
+    from fareflow.operators import admission
     from fareflow.streaming import scratch_dir
-    from fareflow.streaming.store import KeyedStore
-    store = KeyedStore(spark, scratch_dir(spark, "store"), "k", snapshot_every=2)
-    row = lambda **kv: spark.createDataFrame([tuple(x) for x in kv.items()], "k string, v long")
-    assert store.rows_before(0) is None
-    for n in range(6):
-        store.write(row(a=n, **{f"b{n}": n}), n)
-    read = lambda n: {r.k: r.v for r in store.rows_before(n).collect()}
-    assert read(3) == {"a": 2, "b0": 0, "b1": 1, "b2": 2} and read(6)["a"] == 5 and len(read(6)) == 7
-    import re
+    rnd = __import__("random").Random(8)
+    claims = [(i, rnd.randint(0, 220)) for i in range(200) for _ in range(rnd.choice([1, 1, 2, 3]))]
+    label = {i: i for i in range(200)}
+    for _ in range(200):
+        low = {}
+        for i, r in claims:
+            low[r] = min(low.get(r, i), label[i])
+        for i, r in claims:
+            label[i] = min(label[i], low[r])
+    df = spark.createDataFrame(claims, "rid long, res long")
+    got = {r.rid: r.label for r in admission.components(df, "rid", "res", scratch_dir(spark, "components")).collect()}
+    assert got == label
+
+
+def _bucket_times(path):
+    import glob
+    import os
+    found = {}
+    for f in glob.glob(path.replace("file:", "") + "/rows/bucket=*/*.parquet"):
+        found.setdefault(int(f.split("bucket=")[1].split("/")[0]), set()).add((f, os.stat(f).st_mtime_ns))
+    return found
+
+
+def test_upsert_writes_touched_buckets_only(spark):
+    import pytest
 
     from fareflow.plans.checks import physical_plan
-    plan = physical_plan(store.rows_before(6))            # the snapshot stands for old batches: their folders are pruned
-    assert re.search(r"PartitionFilters: \[[^\]]*batch_id#\d+ > 4", plan) and "upto=4" in plan
-    store.write(row(a=50), 5)
-    assert read(6) == {"a": 50, **{f"b{n}": n for n in range(5)}}
+    from fareflow.sources.upsert import KeyedTable
+    from fareflow.streaming import scratch_dir
+    table = KeyedTable(spark, scratch_dir(spark, "table"), "k", buckets=8).create(spark.range(100).selectExpr("id k", "id * 2 v", "'a' s"))
+    before = _bucket_times(table.path)
+    changes = spark.createDataFrame([(3, 7), (4, None), (1000, 9)], "k long, v long")
+    touched = table.upsert(changes, 1)
+    after = _bucket_times(table.path)
+    assert {b for b in before if before[b] != after[b]} <= set(touched) and 0 < len(touched) <= 3 and len(before) == 8
+    rows = {r.k: (r.v, r.s) for r in table.read().collect()}
+    assert len(rows) == 100 and rows[3] == (7, "a") and rows[4] == (None, "a") and rows[5] == (10, "a")      # a null is a value, 1000 is not known
+    assert table.upsert(changes.withColumn("v", F.lit(0)), 1) == []                                      # batch 1 was applied
+    table.upsert(spark.createDataFrame([(1000, 5, "z"), (3, 8, "y")], "k long, v long, s string"), 2, insert=True)
+    rows = {r.k: (r.v, r.s) for r in table.read().collect()}
+    assert len(rows) == 101 and rows[1000] == (5, "z") and rows[3] == (8, "y")
+    one = spark.createDataFrame([(3,)], "k long")
+    assert [tuple(r) for r in table.read(one).collect()] == [(3, 8, "y")]
+    assert __import__("re").search(r"PartitionFilters: \[[^\]]*bucket", physical_plan(table.read(one)))
+    with pytest.raises(ValueError):
+        table.upsert(spark.createDataFrame([(3, 1)], "k long, other long"), 3)
+    assert table.upsert(changes.limit(0), 4) == [] and table.was_applied(4)
+    empty = KeyedTable(spark, scratch_dir(spark, "none"), "k").create(spark.range(0).selectExpr("id k", "1 v"))
+    assert empty.read().count() == 0 and empty.read(one).count() == 0
+    empty.upsert(spark.createDataFrame([(3, 1)], "k long, v int"), 0, insert=True)
+    assert [tuple(r) for r in empty.read().collect()] == [(3, 1)]
 
 
-def test_unreadable_state_is_an_error(spark):
+def test_upsert_that_failed_half_way_is_applied_again(spark, monkeypatch):
     import pytest
 
+    from fareflow.sources import upsert
     from fareflow.streaming import scratch_dir
-    from fareflow.streaming.store import KeyedStore
-    folder = scratch_dir(spark, "broken")
-    store = KeyedStore(spark, folder, "k")
-    store.write(spark.createDataFrame([("a", 1)], "k string, v long"), 0)
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder + "/deltas/batch_id=1/part-0.parquet")
+    table = upsert.KeyedTable(spark, scratch_dir(spark, "half"), "k", buckets=4).create(spark.range(40).selectExpr("id k", "id v"))
+    changes = spark.range(40).selectExpr("id k", "id + 100 v")
+    write = upsert.KeyedTable._write
+
+    def some(self, rows):
+        write(self, rows.where("bucket < 2"))
+        raise RuntimeError("lost")
+
+    monkeypatch.setattr(upsert.KeyedTable, "_write", some)
+    with pytest.raises(RuntimeError):
+        table.upsert(changes, 7)
+    monkeypatch.undo()
+    assert not table.was_applied(7)
+    table.upsert(changes, 7)
+    assert sorted(r.v for r in table.read().collect()) == list(range(100, 140))
+
+
+def test_unreadable_table_is_an_error(spark):
+    import pytest
+
+    from fareflow.sources.upsert import KeyedTable
+    from fareflow.streaming import scratch_dir
+    table = KeyedTable(spark, scratch_dir(spark, "broken"), "k", buckets=2).create(spark.range(4).selectExpr("id k"))
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(table.path + "/rows/bucket=1/part-0.parquet")
     out = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(path)
     out.write(b"not parquet at all")
     out.close()
     with pytest.raises(Exception, match="(?i)parquet"):
-        store.rows_before(5).collect()
+        table.read().collect()
+
+
+def test_high_water_mark(spark):
+    from fareflow.plans.lineage import folders_in
+    from fareflow.sources.upsert import HighWater
+    from fareflow.streaming import scratch_dir
+    mark = HighWater(spark, scratch_dir(spark, "ids"))
+    assert mark.before(0) is None
+    mark.write(-1, 500)
+    for n in range(40):
+        assert mark.before(n) == 500 + 10 * n
+        mark.write(n, 510 + 10 * n)
+        mark.write(n, 510 + 10 * n)                      # run again: the same mark
+    assert mark.before(40) == 900 and len([x for x in folders_in(spark, mark.path) if x.startswith("batch=")]) == mark.KEEP + 1
+    mark.write(39, 905)
+    assert mark.before(40) == 905 and mark.before(39) == 890
 
 
 def test_missing_table_and_missing_checkpoint_folder_fail(spark):
