@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.rules import PAYMENT_METHODS
-from ..plans.hints import per_partition
+from ..plans.hints import small_table
 from ..plans.lineage import cut_lineage, path_exists, range_partitioned, scratch_folder
 from .keyed import reasons
 from .listings import default_cancel_policy
@@ -142,7 +142,7 @@ def assign_sequence_ids(df: DataFrame, order_cols: list[str], start: Column, id_
     counts = x.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("_pid", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
-    return (x.join(per_partition(offsets), "_pid")
+    return (x.join(small_table(offsets), "_pid")
             .withColumn(id_col, (start + F.col("_off") + F.col("_local") + F.lit(1)).cast("bigint"))
             .drop("_mid", "_pid", "_local", "_off"))
 

@@ -18,8 +18,8 @@ def booking_history(users: DataFrame, bookings: DataFrame, trips: DataFrame, rou
                     sort: bool = True) -> DataFrame:
     """Every user's bookings with trip, route, class and company (the
     reference's 12 columns) plus ``booking_count`` per user, newest booking
-    first within a user.  Trips meet their four dimensions once, and are kept
-    as a table that both the count and the listing read; the
+    first within a user.  Not lazy: trips meet their four dimensions once, when
+    this is called, and are kept as a table that both the count and the listing read; the
     count runs over the two key columns of the bookings of such trips, before
     any display column is attached, and is joined on ``user_id`` (AQE splits a
     hot user), not a window."""

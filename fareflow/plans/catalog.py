@@ -19,7 +19,7 @@ from ..functions import rules as R
 from ..operators import accounts, admission, inventory, listings, money, notifications, stored
 from ..operators import bookings as B
 from ..sources import requests as S
-from ..sources import sinks
+from ..sources import layout, sinks
 from ..sources.fixtures import WEBHOOK_TEST_SECRET, build_fixtures
 from ..sources.upsert import KeyedTable
 from ..streaming import daily, payments, scratch_dir
@@ -44,6 +44,15 @@ def q_trip_search(spark, sf):
     return inventory.trip_search(fx["search_requests"], *(fx[n] for n in _CATALOG))
 
 
+@query
+def q_trip_search_by_day(spark, sf):
+    """J1 over trips stored by departure day: only the requested days are read."""
+    fx = build_fixtures(spark, sf, "search_requests", *_CATALOG)
+    path = scratch_dir(spark, "trips")
+    layout.write_with_layout(fx["trips"], path, "trips_by_day")
+    return inventory.trip_search(fx["search_requests"], layout.read_trips_by_day(spark, path), *(fx[n] for n in _CATALOG[1:]))
+
+
 @query
 def q_unmatched_searches(spark, sf):
     fx = build_fixtures(spark, sf, "search_requests", *_CATALOG)
@@ -695,6 +704,44 @@ def q_sink_json(spark, sf):
         spark.read.schema("count long").json(path + "/_envelope"), "count")
 
 
+# ---------------------------------------------------------------------------
+# Joins of tables stored in buckets of their key
+# ---------------------------------------------------------------------------
+TABLE_BUCKETS = 16
+
+
+def _bucketed(spark, fx, key, *names):
+    return [layout.write_bucketed(fx[n], scratch_dir(spark, n), key, TABLE_BUCKETS) for n in names]
+
+
+@query
+def q_booking_history_bucketed(spark, sf):
+    """J2 with users and bookings in buckets of the user."""
+    fx = build_fixtures(spark, sf, *_HISTORY)
+    return listings.booking_history(*_bucketed(spark, fx, "user_id", "users", "bookings"), *(fx[n] for n in _HISTORY[2:]))
+
+
+@query
+def q_booking_contacts_bucketed(spark, sf):
+    """J7 with both tables in buckets of the user."""
+    fx = build_fixtures(spark, sf, "bookings", "users")
+    return listings.booking_contacts(*_bucketed(spark, fx, "user_id", "bookings", "users"))
+
+
+@query
+def q_double_booked_seats_bucketed(spark, sf):
+    """J9 with both tables in buckets of the booking."""
+    fx = build_fixtures(spark, sf, "bookings", "passengers")
+    return inventory.double_booked_seats(*_bucketed(spark, fx, "booking_id", "bookings", "passengers"))
+
+
+@query
+def q_apply_gateway_payments_bucketed(spark, sf):
+    """E3 with the bookings in buckets of their id."""
+    fx, v = _verified(spark, sf)
+    return payments.apply_gateway_payments(*_bucketed(spark, fx, "booking_id", "bookings"), payments.gateway_payments(v))
+
+
 # ---------------------------------------------------------------------------
 # Keyed updates applied to stored tables, each batch twice (a retry)
 # ---------------------------------------------------------------------------

@@ -2,7 +2,7 @@
 
 Explicit ``broadcast()`` is used only behind a count: for the per-partition
 tables of the range-partitioned scans (one row of numbers per partition, which
-grows with the partition count).  Dimension tables, however
+grows with the partition count) and for the days of trip searches.  Dimension tables, however
 small they usually are, are left to Catalyst like every other join: a static
 broadcast happens only when the planner's size estimate is below
 ``spark.sql.autoBroadcastJoinThreshold``, and with AQE the decision is
@@ -17,11 +17,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-#: Rows of a per-partition table that may be broadcast (numbers only: a few MB).
+#: Rows of a table that may be broadcast (numbers only: a few MB).
 MOST_ROWS = 100_000
 
 
-def per_partition(df: DataFrame) -> DataFrame:
-    """A small table of numbers, one row per partition: broadcast if it has at
-    most ``MOST_ROWS`` rows (counted), else joined like any other table."""
+def small_table(df: DataFrame) -> DataFrame:
+    """A table of a few numbers a row that is small by its nature (a row per
+    partition, per calendar day): broadcast if it has at most ``MOST_ROWS``
+    rows (counted), else joined like any other table."""
     return F.broadcast(df) if df.limit(MOST_ROWS + 1).count() <= MOST_ROWS else df

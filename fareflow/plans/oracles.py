@@ -70,24 +70,16 @@ join offers t on (t.route_id, t.day, t.class_name) = (l.route_id, q.travel_date,
 left join free f using (bus_id)
 """)
 
-oracle("unmatched_searches", "search_requests", "trips", "routes", "route_stops", "buses", "bus_classes",
-       "partners")(f"""
-select q.request_id, q.from_stop, q.to_city, q.travel_date, q.bus_class,
-       case when {_EMPTY.format(c='q.from_stop')} or {_EMPTY.format(c='q.to_city')}
-              or {_EMPTY.format(c='q.travel_date')} or {_EMPTY.format(c='q.bus_class')}
-            then 'missing_fields' else 'no_trips' end as reject_reason
-from search_requests q
-where not exists (
-  select 1 from trips t
-  join routes r on t.route_id = r.route_id
-  join route_stops rs_from on rs_from.route_id = r.route_id and rs_from.stop_name = q.from_stop
-  join route_stops rs_to on rs_to.route_id = r.route_id and rs_to.stop_name = q.to_city
-  join buses bu on t.bus_id = bu.bus_id
-  join bus_classes bc on bu.bus_class_id = bc.bus_class_id
-  join partners p on t.partner_id = p.partner_id
-  where cast(t.departure_time as date) = q.travel_date and rs_from.stop_order < rs_to.stop_order
-    and bc.class_name = q.bus_class)
-  or not ({_nonempty('q.from_stop', 'q.to_city', 'q.travel_date', 'q.bus_class')})
+ORACLES["unmatched_searches"] = _join(duckdb_prefix("search_requests", "trips", "routes", "route_stops", "buses", "bus_classes", "partners",
+                                                    "seats").rstrip("\n") + ",\n" + _LEGS.strip() + "\n", f"""
+with full_ as (select request_id, {_nonempty('from_stop', 'to_city', 'travel_date', 'bus_class')} as complete from search_requests),
+served as (
+  select request_id from search_requests
+  where (from_stop, to_city, travel_date, bus_class) in (
+    select (l.board_at, l.leave_at, o.day, o.class_name) from legs l, offers o where o.route_id = l.route_id))
+select request_id, q.from_stop, q.to_city, q.travel_date, q.bus_class, if(complete, 'no_trips', 'missing_fields') as reject_reason
+from search_requests q join full_ using (request_id)
+where not complete or request_id in (select request_id from full_ except select request_id from served)
 """)
 
 oracle("bus_free_seats", "seats")("""
@@ -95,12 +87,16 @@ select bus_id, cast(count(*) filter (where is_available) as bigint) as available
 from seats group by bus_id
 """)
 
+# Seats a trip's bus has, less those its passengers have; a trip with a passenger
+# whose seat is not known has no free seat.
 oracle("available_seats", "trips", "buses", "seats", "bookings", "passengers")("""
-select t.trip_id, s.seat_id, s.seat_number
-from trips t join buses b on b.bus_id = t.bus_id join seats s on s.bus_id = b.bus_id
-where s.seat_id not in (
-  select ps.seat_id from bookings bk join passengers ps on ps.booking_id = bk.booking_id
-  where bk.trip_id = t.trip_id)
+with taken as (
+  select k.trip_id, list(distinct p.seat_id) as ids, count(*) > count(p.seat_id) as unknown
+  from passengers p, bookings k where k.booking_id = p.booking_id group by k.trip_id),
+owned as (select bus_id, unnest(list({'id': seat_id, 'no': seat_number})) as seat from seats semi join buses using (bus_id) group by bus_id)
+select trip_id, seat.id as seat_id, seat.no as seat_number
+from owned join trips using (bus_id) left join taken using (trip_id)
+where taken.trip_id is null or not (unknown or list_contains(ids, seat.id))
 """)
 
 oracle("double_booked_seats", "bookings", "passengers")("""
@@ -134,8 +130,9 @@ from per_user n join users h using (user_id) join bookings k using (user_id) joi
 """)
 
 oracle("booking_contacts", "bookings", "users")("""
-select b.booking_id, u.user_id, u.phone_number, u.full_name, b.total_price
-from bookings b join users u on u.user_id = b.user_id
+with known as (select user_id, {'phone': phone_number, 'name': full_name} as who from users),
+asked as (select booking_id, user_id, total_price from bookings where user_id in (select user_id from known))
+select booking_id, user_id, who.phone as phone_number, who.name as full_name, total_price from asked natural join known
 """)
 
 oracle("default_cancel_policy", "trips", "cancel_policies")("""
@@ -1212,3 +1209,7 @@ select refund_id, booking_id, created_at, case when closes then 'Completed' else
        case when closes then {AS_OF} end as completed_at
 from done
 """)
+
+ORACLES["trip_search_by_day"] = ORACLES["trip_search"]
+for _name in ("booking_history", "booking_contacts", "double_booked_seats", "apply_gateway_payments"):
+    ORACLES[f"{_name}_bucketed"] = ORACLES[_name]

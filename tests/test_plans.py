@@ -15,7 +15,7 @@ JOIN_QUERIES = ["trip_search", "unmatched_searches", "booking_history", "availab
                 "cancellation_quote", "notification_outbox", "refund_listing", "partner_commission_totals"]
 
 # Run while they are built (rounds, streams): their result is a table scan.
-EAGER_QUERIES = {"admit_accounts", "admit_tickets", "gateway_payment_stream", "stream_daily_commissions", "booking_state_stream"}
+EAGER_QUERIES = {"admit_accounts", "admit_tickets", *(n for n in QUERIES if "stream" in n or n.startswith("store_"))}
 
 
 @pytest.mark.parametrize("name", JOIN_QUERIES)
@@ -79,3 +79,58 @@ def test_listings_count_on_keys(spark, name, exchanges):
             spark.conf.set(k, v)
     print(name, len(re.findall(r"[-+] Exchange ", plan)), plan.count("SortMergeJoin"))
     assert len(re.findall(r"[-+] Exchange ", plan)) <= exchanges
+
+
+def test_requested_days_prune_the_trips(spark):
+    """the requested days reach the scan of trips stored by day while it runs, and other days are not read."""
+    import re
+
+    df = QUERIES["trip_search_by_day"](spark, SMALL)
+    plan = physical_plan(df)
+    assert re.search(r"PartitionFilters: \[[^\]]*departure_date[^\]]*dynamicpruning", plan)
+    df.collect()
+    ran = df._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"SubqueryBroadcast dynamicpruning#\d+, \[0\], \[departure_date", ran)
+
+
+def _join_inputs(plan):
+    """The lines below each sort-merge join, split into its two inputs."""
+    lines = plan.splitlines()
+    depth = lambda s: __import__("re").match(r"(?:[ :]  )*(?:[:+]- )?", s).end()
+    for i, line in enumerate(lines):
+        if "SortMergeJoin" in line:
+            below = []
+            for x in lines[i + 1:]:
+                if depth(x) <= depth(line):
+                    break
+                below.append(x)
+            first = min(depth(x) for x in below)
+            cut = [k for k, x in enumerate(below) if depth(x) == first]
+            yield ["\n".join(below[a:b]) for a, b in zip(cut, [*cut[1:], len(below)])]
+
+
+@pytest.mark.parametrize("name,moved", [("booking_contacts_bucketed", 0), ("double_booked_seats_bucketed", 0), ("apply_gateway_payments_bucketed", 1)])
+def test_bucketed_sides_are_not_shuffled(spark, name, moved):
+    """With broadcasts off: the bucketed sides of the join have no exchange (E3's payments, the small side, have one)."""
+    old = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = QUERIES[name](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    inputs = next(iter(_join_inputs(plan)))
+    assert len(inputs) == 2 and sum("Exchange" in x for x in inputs) == moved
+    assert sum("Bucketed: true" in x or "bucketed_" in x for x in inputs) == 2 - moved
+
+
+def test_json_sink_computes_its_input_once(spark):
+    """Rows are counted while they are written."""
+    from pyspark.sql import functions as F
+
+    from fareflow.sources import sinks
+    from fareflow.streaming import scratch_dir
+    seen = spark.sparkContext.accumulator(0)
+    rows = spark.range(50).select(F.udf(lambda x: (seen.add(1), x)[1], "long")("id").alias("id"))
+    assert sinks.write_json(rows, scratch_dir(spark, "once")) == 50 and seen.value == 50
