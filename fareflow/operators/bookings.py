@@ -201,11 +201,13 @@ def confirm_bookings(bookings: DataFrame, users: DataFrame, commands: DataFrame)
     confirm of one booking in the batch (the earliest wins).  Accepted:
     status Confirmed, payment status forced when given (the payment time is
     *not* set), and an audit row CONFIRM_BOOKING old -> Confirmed with notes
-    falling back (PHP ``?:``) to ``"Payment Status: <new>"``.
+    falling back (PHP ``?:``) to ``"Payment Status: <new>"`` and the
+    command's ``ip_address`` (null if commands have none).
     Returns ``(outcomes, audit)``."""
     c = commands.select(arrival(commands), "booking_id", "employee_id",
                         F.trim(F.coalesce("payment_status", F.lit(""))).alias("force"),
-                        F.trim(F.coalesce("notes", F.lit(""))).alias("notes"))
+                        F.trim(F.coalesce("notes", F.lit(""))).alias("notes"),
+                        (F.col("ip_address") if "ip_address" in commands.columns else F.lit(None).cast("string")).alias("ip_address"))
     b = (bookings.select("booking_id", "user_id", "booking_status", "payment_status")
          .join(users.select("user_id"), "user_id").withColumn("_found", F.lit(True)))
     invalid = reasons((F.col("booking_id") <= 0, "invalid_booking_id"),
@@ -225,7 +227,7 @@ def confirm_bookings(bookings: DataFrame, users: DataFrame, commands: DataFrame)
     audit = j.filter(ok).select(
         "booking_id", "employee_id", F.lit("CONFIRM_BOOKING").alias("action_type"),
         F.col("booking_status").alias("old_status"), F.lit("Confirmed").alias("new_status"),
-        falsy_default("notes", F.concat(F.lit(CONFIRM_NOTE), F.coalesce(new_pay, F.lit("")))).alias("notes"))
+        falsy_default("notes", F.concat(F.lit(CONFIRM_NOTE), F.coalesce(new_pay, F.lit("")))).alias("notes"), "ip_address")
     return outcomes, audit
 
 

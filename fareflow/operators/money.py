@@ -237,30 +237,37 @@ def mark_commissions_paid(commissions: DataFrame, commands: DataFrame, as_of) ->
     return per_cmd, updated
 
 
-def recalculate_commissions(commissions: DataFrame, adjustments: DataFrame) -> DataFrame:
-    """K2: partial refund.  ``booking_id`` and ``new_amount`` (PHP casts)
-    must both be > 0.
+def recalculate_commissions(commissions: DataFrame, adjustments: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """K2: partial refunds (command_id, booking_id, new_amount).  ``booking_id``
+    and ``new_amount`` (PHP casts) must both be > 0.
     The SQL function's body is absent; *assumption*: the commission rate is
     kept - ``commission = round(new * commission / booking_amount, 2)``
-    (multiply first, decimal HALF_UP), ``revenue = new - commission``.
-    Unknown bookings and zero old amounts are rejected."""
+    (multiply first, decimal HALF_UP), ``revenue = new - commission`` - so the
+    result of an adjustment doesn't depend on those before it, and of several
+    of one booking the last by ``command_id`` stays.
+    Unknown bookings and zero old amounts are rejected.  Returns
+    ``(outcomes, new_commissions)``: every adjustment, the changed rows."""
     amount = F.col("new_amount")
     if dict(adjustments.dtypes)["new_amount"] == "string":
         amount = lenient_float(amount)
-    adj = adjustments.select("booking_id", amount.cast("decimal(12,2)").alias("new_amount"))
+    adj = adjustments.select(arrival(adjustments), "command_id", "booking_id", amount.cast("decimal(12,2)").alias("new_amount"))
     cur = commissions.select("commission_id", "booking_id", "booking_amount", "commission_amount")
     j = adj.join(cur, "booking_id", "left")
     rate_num = F.col("new_amount").cast("decimal(12,2)") * F.col("commission_amount")
     new_comm = F.round(F.try_divide(rate_num, F.col("booking_amount")), 2).cast("decimal(12,2)")
-    reject = reasons(((F.col("booking_id") <= 0) | (F.col("new_amount") <= 0), "booking_id_and_new_amount_required"),
+    reject = reasons(((F.col("booking_id") <= 0) | (F.col("new_amount") <= 0) | F.col("new_amount").isNull(), "booking_id_and_new_amount_required"),
                      (F.col("commission_id").isNull(), "commission_not_found"),
                      (F.col("booking_amount") == 0, "zero_booking_amount"))
     ok = reject.isNull()
-    return j.select(
-        "booking_id", "commission_id", reject.alias("reject_reason"),
+    out = j.select(
+        "_arrival", "command_id", "booking_id", "commission_id", reject.alias("reject_reason"),
         F.when(ok, F.col("new_amount")).cast("decimal(12,2)").alias("booking_amount"),
         F.when(ok, new_comm).alias("commission_amount"),
         F.when(ok, (F.col("new_amount") - new_comm).cast("decimal(12,2)")).alias("partner_revenue"))
+    last = (out.filter(F.col("reject_reason").isNull()).groupBy("commission_id")
+            .agg(F.max_by(F.struct("booking_amount", "commission_amount", "partner_revenue"), "_arrival").alias("n"))
+            .select("commission_id", "n.*"))
+    return out.drop("_arrival"), last
 
 
 def process_refunds(refunds: DataFrame, commands: DataFrame, as_of) -> DataFrame:

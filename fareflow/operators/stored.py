@@ -78,6 +78,15 @@ def store_paid_commissions(table: KeyedTable, commands: DataFrame, as_of, batch_
     return table.upsert(money.mark_commissions_paid(table.read(named), commands, as_of)[1].drop("command_id"), batch_id)
 
 
+def store_recalculated_commissions(table: KeyedTable, adjustments: DataFrame, batch_id: int | str) -> list[int]:
+    """K2 on the commissions table (in buckets of the booking)."""
+    if table.was_applied(batch_id):
+        return []
+    current = table.read(adjustments)
+    changed = money.recalculate_commissions(current, adjustments)[1]
+    return table.upsert(changed.join(current.select(*table.key), "commission_id"), batch_id)
+
+
 def store_phone_updates(table: KeyedTable, updates: DataFrame, batch_id: int | str) -> list[int]:
     """A4 on the users table."""
     if table.was_applied(batch_id):

@@ -201,7 +201,13 @@ def q_mark_commissions_paid_rows(spark, sf):
 @query
 def q_recalculate_commissions(spark, sf):
     fx = build_fixtures(spark, sf, "commissions", "commission_adjustments")
-    return money.recalculate_commissions(fx["commissions"], fx["commission_adjustments"])
+    return money.recalculate_commissions(fx["commissions"], fx["commission_adjustments"])[0]
+
+
+@query
+def q_recalculate_commissions_rows(spark, sf):
+    fx = build_fixtures(spark, sf, "commissions", "commission_adjustments")
+    return money.recalculate_commissions(fx["commissions"], fx["commission_adjustments"])[1]
 
 
 @query
@@ -812,6 +818,16 @@ def q_store_paid_commissions(spark, sf):
     return table.read()
 
 
+@query
+def q_store_recalculated_commissions(spark, sf):
+    """K2 applied to the commissions table, read back."""
+    fx = build_fixtures(spark, sf, "commissions", "commission_adjustments")
+    table = _stored(spark, "commissions", fx["commissions"], ["commission_id", "booking_id"], by=["booking_id"])
+    for _ in range(2):
+        stored.store_recalculated_commissions(table, fx["commission_adjustments"], 0)
+    return table.read()
+
+
 @query
 def q_store_phone_updates(spark, sf):
     """A4 applied to the users table, read back."""

@@ -330,12 +330,12 @@ from winners where rn = 1
 """)
 
 oracle("recalculate_commissions", "commissions", "commission_adjustments")("""
-select booking_id, commission_id, reject_reason,
+select command_id, booking_id, commission_id, reject_reason,
        case when reject_reason is null then new_amount end as booking_amount,
        case when reject_reason is null then new_comm end as commission_amount,
        case when reject_reason is null then cast(new_amount - new_comm as decimal(12,2)) end as partner_revenue
 from (
-  select a.booking_id, c.commission_id, cast(a.new_amount as decimal(12,2)) as new_amount,
+  select a.command_id, a.booking_id, c.commission_id, cast(a.new_amount as decimal(12,2)) as new_amount,
          case when a.booking_id <= 0 or a.new_amount <= 0 then 'booking_id_and_new_amount_required'
               when c.commission_id is null then 'commission_not_found'
               when c.booking_amount = 0 then 'zero_booking_amount' end as reject_reason,
@@ -347,6 +347,12 @@ from (
   from commission_adjustments a left join commissions c on c.booking_id = a.booking_id) x
 """)
 
+ORACLES["recalculate_commissions_rows"] = f"""
+select commission_id, arg_max(booking_amount, command_id) as booking_amount, arg_max(commission_amount, command_id) as commission_amount,
+       arg_max(partner_revenue, command_id) as partner_revenue
+from ({ORACLES["recalculate_commissions"]}) where reject_reason is null group by commission_id
+"""
+
 _REFUND_METHODS = "('Bank Transfer', 'Kareemi', 'Cash', 'Same as Original')"
 _PROCESSING_NOTE = "'جاري معالجة طلب الاسترداد. سيتم التحويل خلال 3-5 أيام عمل.'"
 
@@ -682,7 +688,7 @@ from bookings b join last l on l.booking_id = b.booking_id
 
 _CONF_CTE = """
 with c as (
-  select command_id, booking_id, employee_id, ts,
+  select command_id, booking_id, employee_id, ts, ip_address,
          trim(coalesce(payment_status, '')) as force, trim(coalesce(notes, '')) as notes2,
          case when booking_id <= 0 then 'invalid_booking_id'
               when trim(coalesce(payment_status, '')) <> ''
@@ -711,7 +717,7 @@ from d
 oracle("confirm_bookings_audit", "bookings", "users", "confirm_commands")(_CONF_CTE + """
 select booking_id, employee_id, 'CONFIRM_BOOKING' as action_type, booking_status as old_status,
        'Confirmed' as new_status,
-       case when notes2 in ('', '0') then 'Payment Status: ' || coalesce(new_pay, '') else notes2 end as notes
+       case when notes2 in ('', '0') then 'Payment Status: ' || coalesce(new_pay, '') else notes2 end as notes, ip_address
 from d where reject_reason is null
 """)
 
@@ -1175,6 +1181,8 @@ select b.* replace ({values}) from {table} b left join (from ({ORACLES[changes]}
 _patched("store_payment_updates", "apply_payment_updates_state", "bookings", "booking_id",
          ["payment_status", "payment_method", "payment_timestamp", "gateway_transaction_id"])
 _patched("store_confirmations", "confirm_bookings", "bookings", "booking_id", ["booking_status", "payment_status"], "reject_reason is null")
+_patched("store_recalculated_commissions", "recalculate_commissions_rows", "commissions", "commission_id",
+         ["booking_amount", "commission_amount", "partner_revenue"])
 _patched("store_cancellations_seats", "apply_cancellations_freed_seats", "seats", "seat_id", ["is_available"])
 
 ORACLES["store_cancellations"] = _join(duckdb_prefix("bookings"), f"""

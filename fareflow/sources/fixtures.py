@@ -159,7 +159,8 @@ FIXTURE_SQL: dict[str, str] = {
         # every booking once; every fourth again at the same instant with another status
         "select o_orderkey*2+k.n_nationkey as command_id, o_orderkey as booking_id, o_custkey as employee_id, "
         "case when (o_orderkey + k.n_nationkey) % 2 = 0 then 'Paid' else '' end as payment_status, "
-        "case when o_orderkey % 5 = 0 then '0' else '' end as notes, o_orderdate as ts from orders cross join nation k "
+        "case when o_orderkey % 5 = 0 then '0' else '' end as notes, "
+        "case when o_orderkey % 6 <> 1 then concat('10.0.0.', cast(o_custkey % 250 as string)) end as ip_address, o_orderdate as ts from orders cross join nation k "
         "where k.n_nationkey = 0 or (k.n_nationkey = 1 and o_orderkey % 4 = 0)"),
     "payment_updates": (
         # every event once; every third again at the same instant with another status
@@ -185,9 +186,11 @@ FIXTURE_SQL: dict[str, str] = {
     "commission_commands": (
         "select o_custkey as command_id, {CAT}({LIST}(o_orderkey), {ARR}(min(o_orderkey))) as commission_ids, "
         "case when o_custkey % 2 = 0 then '' else 'batch' end as notes from orders group by o_custkey"),
+    # every commission once (some with nothing left); every fourth again, with another amount
     "commission_adjustments": (
-        "select commission_id, booking_id, cast(round(booking_amount*0.5,2) as decimal(12,2)) as new_amount "
-        "from commissions"),
+        "select commission_id*2+k.n_nationkey as command_id, commission_id, booking_id, "
+        "cast(case when k.n_nationkey = 1 then round(booking_amount*0.25,2) when commission_id % 11 = 5 then 0 else round(booking_amount*0.5,2) end as decimal(12,2)) "
+        "as new_amount from commissions cross join nation k where k.n_nationkey = 0 or (k.n_nationkey = 1 and commission_id % 4 = 1)"),
     # strings as clients send them: numbers, numbers with something around them, none
     "awkward_numbers": (
         "select o_orderkey as row_id, case o_orderkey % 21 when 0 then cast(o_orderkey as string) when 1 then concat('  ', cast(o_orderkey as string), 'abc') "
@@ -255,6 +258,7 @@ SPARK_OVERRIDES: dict[str, str] = {
     "payment_updates": _exploded("payment_updates", "events", "n_nationkey < 2"),
     "confirm_commands": _exploded("confirm_commands", "orders", "n_nationkey < 2"),
     "refund_commands": _exploded("refund_commands", "bookings", "n_nationkey < 2"),
+    "commission_adjustments": _exploded("commission_adjustments", "commissions", "n_nationkey < 2"),
     "cancel_requests": (
         FIXTURE_SQL["cancel_requests"].replace("from bookings b join trips t on t.trip_id=b.trip_id cross join nation k",
                                                f"from {_with_keys('bookings', 'n_nationkey < 3')} b "
