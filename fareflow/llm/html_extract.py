@@ -16,7 +16,6 @@ from __future__ import annotations
 import html as html_lib
 import re
 from collections.abc import Iterator
-from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -33,9 +32,10 @@ _INLINE = frozenset(("a abbr acronym b bdi bdo big cite code data del dfn em fon
                      "span strike strong sub sup time tt u var label").split())
 _CLOSES_P = frozenset(("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form "
                        "h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section summary table ul").split())
-_SIBLINGS = {"li": ("li", ("ul", "ol", "menu", "dir")), "dt": ("dt dd", ("dl",)), "dd": ("dt dd", ("dl",)),
-             "tr": ("tr td th", ("table",)), "td": ("td th", ("tr", "table")), "th": ("td th", ("tr", "table")),
-             "option": ("option", ("select",)), "tbody": ("thead tbody tr td th", ("table",)), "tfoot": ("thead tbody tr td th", ("table",))}
+_SIBLINGS = {"li": (("li",), ("ul", "ol", "menu", "dir")), "dt": (("dt", "dd"), ("dl",)), "dd": (("dt", "dd"), ("dl",)),
+             "tr": (("tr", "td", "th"), ("table",)), "td": (("td", "th"), ("tr", "table")), "th": (("td", "th"), ("tr", "table")),
+             "option": (("option",), ("select",)), "tbody": (("thead", "tbody", "tr", "td", "th"), ("table",)),
+             "tfoot": (("thead", "tbody", "tr", "td", "th"), ("table",))}
 # What is no part of an article, by element, role, and word of a class or id.
 _LEFT_OUT = frozenset("nav aside footer form menu dialog button fieldset input datalist head".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
@@ -47,6 +47,9 @@ _HINTS = frozenset((
     "form paywall teaser teasers adslot adbox adunit adsense cookiebar cookiebanner sidemenu submenu topnav sitenav mainnav "
     "leaderboard outbrain taboola sitemap").split())
 _CONTENT_HINTS = frozenset("article post entry content story main body text".split())
+# Hints that a content word beside them cancels; first words of names that say what is beside an element.
+_WEAK_HINTS = frozenset("header widget widgets".split())
+_MODIFIERS = frozenset("has with no without is".split())
 _DECLARED = frozenset(("article", "main"))
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
@@ -80,17 +83,60 @@ def _says(tag: str, attrs: str, declared: bool) -> bool:
         if key == "role" and value.lower() in _ROLES:
             return True
         if key in ("class", "id"):
-            names += [w.lower() for w in _WORD.findall(value)]
-    return bool(_HINTS.intersection(names)) and not _CONTENT_HINTS.intersection(names)
+            names += value.split()
+    return _named_out(names)
 
 
-def blocks(page: str) -> list[tuple[tuple[str, ...], bool, str, int]]:
-    """(path, in a declared article, text, code points in links) of the text
-    blocks that no element excludes, in page order."""
-    out: list[tuple[tuple[str, ...], bool, str, int]] = []
-    stack: list[str] = []                                 # open elements
+def _named_out(names: list[str]) -> bool:
+    """Whether class names or an id say that an element is no part of the
+    article.  In a compound of a hint and a content word the outer words count:
+    ``post-comments`` and ``comment-body`` are comments.  A name that speaks
+    of content only cancels plain hints (``content sidebar-right``), and names
+    such as ``has-sidebar`` say what is beside the element."""
+    plain = compound = content = weak = any_content = False
+    for name in names:
+        words = [w.lower() for w in _WORD.findall(name)]
+        if not words or words[0] in _MODIFIERS:
+            continue
+        says_content = not _CONTENT_HINTS.isdisjoint(words)
+        any_content |= says_content
+        weak |= not _WEAK_HINTS.isdisjoint(words)
+        strong = [w in _HINTS and w not in _WEAK_HINTS for w in words]
+        if not any(strong):
+            content |= says_content
+        elif not says_content:
+            plain = True
+        elif strong[0] or strong[-1]:
+            compound = True
+    return compound or plain and not content or weak and not any_content
+
+
+class Outline:
+    """The paths of structural tags of a page as a tree of numbers: a path is
+    its parent's number and its last tag; 0 is the empty path, and a parent
+    comes before its children."""
+
+    def __init__(self):
+        self.parent, self.tag, self._number = [0], [""], {}
+
+    def child(self, path: int, tag: str) -> int:
+        n = self._number.get((path, tag))
+        if n is None:
+            n = self._number[path, tag] = len(self.tag)
+            self.parent.append(path)
+            self.tag.append(tag)
+        return n
+
+
+def blocks(page: str) -> tuple[Outline, list[tuple[int, bool, str, int]]]:
+    """The outline and (path, in a declared article, text, code points in
+    links) of the text blocks that no element excludes, in page order."""
+    outline = Outline()
+    out: list[tuple[int, bool, str, int]] = []
+    stack: list[tuple[str, int, bool, bool]] = []         # open elements: tag, path above, whether it excludes, declares
+    open_at: dict[str, list[int]] = {}                    # their places in the stack, by tag
+    path = 0                                              # of structural tags
     left_out = declared = links = 0                       # how many open elements exclude, declare, link
-    marks: list[tuple[bool, bool]] = []
     held: list[str] = []
     linked = 0
 
@@ -98,18 +144,24 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], bool, str, int]]:
         nonlocal linked
         text = " ".join("".join(held).split())
         if text:
-            out.append((tuple(t for t in stack if t not in _INLINE), declared > 0, text, linked))
+            out.append((path, declared > 0, text, linked))
         held.clear()
         linked = 0
 
+    def nearest(tags: tuple[str, ...]) -> int:
+        """Place of the innermost open element with one of ``tags``; -1: none."""
+        return max((at[-1] for t in tags if (at := open_at.get(t))), default=-1)
+
     def close(depth: int) -> None:
-        nonlocal left_out, declared, links
-        if any(t not in _INLINE for t in stack[depth:]):
+        nonlocal left_out, declared, links, path
+        if stack[depth][1] != path:                       # a structural element ends
             flush()
+        path = stack[depth][1]
         while len(stack) > depth:
-            tag, (out_, said) = stack.pop(), marks.pop()
-            left_out -= out_
-            declared -= said
+            tag, _, excludes, declares = stack.pop()
+            open_at[tag].pop()
+            left_out -= excludes
+            declared -= declares
             links -= tag == "a"
 
     # past the last ">" no markup is complete: what begins there is cut off, and the text before it stays
@@ -128,8 +180,9 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], bool, str, int]]:
             continue                                      # a comment, a declaration, or raw content
         tag = tag.lower()
         if m["end"] or m["end2"]:
-            if tag in stack:
-                close(len(stack) - 1 - stack[::-1].index(tag))
+            at = nearest((tag,))
+            if at >= 0:
+                close(at)
             elif tag not in _INLINE:
                 flush()
             continue
@@ -138,74 +191,71 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], bool, str, int]]:
             continue
         if tag not in _INLINE:
             flush()
-        if tag in _CLOSES_P and "p" in stack:
-            close(len(stack) - 1 - stack[::-1].index("p"))
+        if tag in _CLOSES_P and (at := nearest(("p",))) >= 0:
+            close(at)
         if tag in _SIBLINGS:
             ends, within = _SIBLINGS[tag]
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i] in within:
-                    break
-                if stack[i] in ends.split():
-                    close(i)
-                    break
+            if (at := nearest(ends)) > nearest(within):
+                close(at)
         if tag in _VOID:
             continue
         attrs = m["attrs"] or m["attrs2"] or ""
         if attrs.endswith("/") and tag not in _INLINE and tag not in _CLOSES_P:
             continue
-        mark = (_says(tag, attrs, declared > 0), tag in _DECLARED)
-        if mark[0] and tag in _INLINE:
+        excludes, declares = _says(tag, attrs, declared > 0), tag in _DECLARED
+        if excludes and tag in _INLINE:
             flush()
-        stack.append(tag)
-        marks.append(mark)
-        left_out += mark[0]
-        declared += mark[1]
+        open_at.setdefault(tag, []).append(len(stack))
+        stack.append((tag, path, excludes, declares))
+        if tag not in _INLINE:
+            path = outline.child(path, tag)
+        left_out += excludes
+        declared += declares
         links += tag == "a"
     flush()
-    return out
+    return outline, out
 
 
-def _smooth(values: np.ndarray, groups: list[tuple[str, ...]]) -> np.ndarray:
+def _smooth(values: np.ndarray, groups: np.ndarray) -> np.ndarray:
     """Weighted mean of each value and its neighbours, among runs of blocks with one parent."""
-    out, at = values.copy(), 0
-    for _, run in groupby(groups):
-        n = len(list(run))
-        part = np.pad(values[at: at + n], 1, mode="edge")
-        out[at: at + n] = KERNEL[0] * part[:-2] + KERNEL[1] * part[1:-1] + KERNEL[2] * part[2:]
-        at += n
-    return out
+    border = np.concatenate([[True], groups[1:] != groups[:-1], [True]])
+    before, after = np.concatenate([values[:1], values[:-1]]), np.concatenate([values[1:], values[-1:]])
+    return (KERNEL[0] * np.where(border[:-1], values, before) + KERNEL[1] * values + KERNEL[2] * np.where(border[1:], values, after))
 
 
-def _keep_company(keep: np.ndarray, paths: list[tuple[str, ...]], prose: np.ndarray) -> None:
+def _keep_company(keep: np.ndarray, outline: Outline, prose: np.ndarray) -> None:
     """What stands in one element with content paths is content too, unless
     it is mostly links: headings of the same parent, and all that the element
     holds if it is not the page itself."""
-    homes = {p[:-1] for p, k in zip(paths, keep) if k}
-    within = tuple(h for h in homes if h and h[-1] not in ("html", "body"))
-    for i, p in enumerate(paths):
-        if prose[i] and not keep[i]:
-            keep[i] = p[:-1] in homes and p[-1:] and p[-1] in _HEADINGS or any(len(p) > len(h) and p[: len(h)] == h for h in within)
+    home = np.zeros(len(keep), bool)
+    home[np.array(outline.parent)[keep]] = True
+    inside = [False] * len(keep)                          # in an element that holds content paths
+    for path in range(1, len(keep)):
+        up = outline.parent[path]
+        inside[path] = inside[up] or bool(home[up]) and up > 0 and outline.tag[up] not in ("html", "body")
+    for path in np.flatnonzero(prose & ~keep).tolist():
+        keep[path] = inside[path] or home[outline.parent[path]] and outline.tag[path] in _HEADINGS
 
 
 def main_text(page: str) -> str:
     """Text blocks of the content paths, joined by line feeds."""
-    found = blocks(page)
+    outline, found = blocks(page)
     if not found:
         return ""
-    paths = [f[0] for f in found]
-    number = {p: i for i, p in enumerate(dict.fromkeys(paths))}
-    path = np.array([number[p] for p in paths])
-    count = np.bincount(path)
-    length = np.bincount(path, [max(0, len(t) - k) for _, _, t, k in found]) / count
-    marks = np.bincount(path, [len(_PUNCTUATION.findall(t)) for _, _, t, _ in found]) / count
-    parents = [p[:-1] for p in paths]
+    n = len(outline.tag)
+    path = np.array([f[0] for f in found])
+    count = np.maximum(1, np.bincount(path, minlength=n))
+    length = np.bincount(path, [max(0, len(t) - k) for _, _, t, k in found], n) / count
+    marks = np.bincount(path, [len(_PUNCTUATION.findall(t)) for _, _, t, _ in found], n) / count
+    parents = np.array(outline.parent)[path]
     fused = _smooth(length[path], parents) * np.sqrt(_smooth(marks[path], parents) + 0.25)
-    of_path = np.bincount(path, fused) / count
-    declared = np.zeros(len(count), bool)
+    of_path = np.bincount(path, fused, n) / count
+    declared, used = np.zeros(n, bool), np.zeros(n, bool)
     declared[path[[f[1] for f in found]]] = True
-    keep = of_path * np.where(declared, DECLARED_WEIGHT, 1.0) >= THRESHOLD * fused.std()
-    whole = np.bincount(path, [len(t) for _, _, t, _ in found]) / count
-    _keep_company(keep, list(number), length >= 0.5 * whole)
+    used[path] = True
+    keep = used & (of_path * np.where(declared, DECLARED_WEIGHT, 1.0) >= THRESHOLD * fused.std())
+    whole = np.bincount(path, [len(t) for _, _, t, _ in found], n) / count
+    _keep_company(keep, outline, used & (length >= 0.5 * whole))
     return "\n".join(f[2] for f, p in zip(found, path) if keep[p])
 
 

@@ -61,6 +61,84 @@ def test_ratios_decide_inside_and_outside_of_articles(page, text):
     assert html_extract.main_text(page) == text
 
 
+@pytest.mark.parametrize("name", """post-comments article-comments article-footer story-footer main-sidebar story-related post-related entry-share content-ad
+    comments comment-body comment_text sidebar sidebar-left sidebarContent footer-main main-nav articleShare post__related text-advertisement
+    relatedPosts cookie-notice newsletter-signup widget""".split())
+def test_names_of_what_is_no_article(name):
+    """By class and by id, with and without an article element around."""
+    for mark in (f'class="{name}"', f'id="{name}"', f'class="x {name} y"'):
+        body = f"<h1>T</h1><p>{LONG}</p><p>{MORE}</p><div {mark}><p>{LONG} of it</p></div>"
+        for page in (f"<body><article>{body}</article></body>", f"<body><div>{body}</div></body>"):
+            assert html_extract.main_text(page) == f"T\n{LONG.strip()}\n{MORE.strip()}", mark
+
+
+@pytest.mark.parametrize("name", """post article-body entry-content story main content has-sidebar no-comments entry-header
+    content|sidebar-right elementor-element|elementor-widget|elementor-widget-text-editor post|with-sidebar intro""".split())
+def test_names_of_content(name):
+    page = f"""<body><div class="{name.replace("|", " ")}"><h1>T</h1><p>{LONG}</p><p>{MORE}</p></div></body>"""
+    assert html_extract.main_text(page) == f"T\n{LONG.strip()}\n{MORE.strip()}"
+
+
+@pytest.mark.parametrize("page", ["<div>x" * 170_000, "<div>" * 200_000, "<div>" * 20_000 + "<tr></tr>" * 100_000 + "text", "<p><b>" * 170_000,
+                                  "<ul><li>a" * 110_000, "<span>" * 160_000 + "t", "<div><p>a" * 110_000 + "</div>" * 1000])
+def test_a_megabyte_of_nested_elements(page):
+    import time
+    import tracemalloc
+    begun = time.process_time()
+    html_extract.main_text(page)
+    assert time.process_time() - begun < 5
+    tracemalloc.start()
+    try:
+        html_extract.main_text(page[: len(page) // 2])
+        assert tracemalloc.get_traced_memory()[1] < 100 << 20      # of half a megabyte
+    finally:
+        tracemalloc.stop()
+
+
+def plain_ratios(page):
+    """Main text by the ratios worked out block by block, paths as tuples."""
+    outline, found = html_extract.blocks(page)
+
+    def whole(path):
+        return () if path == 0 else (*whole(outline.parent[path]), outline.tag[path])
+
+    rows = [(whole(p), d, t, k) for p, d, t, k in found]
+    of = lambda values: {p: sum(v for v, r in zip(values, rows) if r[0] == p) / sum(r[0] == p for r in rows) for p in {r[0] for r in rows}}
+    length = of([max(0, len(t) - k) for _, _, t, k in rows])
+    marks = of([len(html_extract._PUNCTUATION.findall(t)) for _, _, t, _ in rows])
+
+    def smooth(value):
+        out = []
+        for i, (p, *_) in enumerate(rows):
+            near = [value[rows[j][0]] if 0 <= j < len(rows) and rows[j][0][:-1] == p[:-1] else value[p] for j in (i - 1, i, i + 1)]
+            out.append(sum(w * x for w, x in zip(html_extract.KERNEL, near)))
+        return out
+
+    fused = [a * (b + 0.25) ** 0.5 for a, b in zip(smooth(length), smooth(marks))]
+    mean = sum(fused) / len(fused) if fused else 0
+    deviation = (sum((f - mean) ** 2 for f in fused) / len(fused)) ** 0.5 if fused else 0
+    score = of(fused)
+    keep = {p for p in score if score[p] * (1.5 if any(r[0] == p and r[1] for r in rows) else 1) >= 0.4 * deviation - 1e-9}
+    homes = {p[:-1] for p in keep}
+    size = of([len(t) for _, _, t, _ in rows])
+    for p in set(score) - keep:
+        if length[p] >= 0.5 * size[p] and (p[:-1] in homes and p and p[-1] in ("h1", "h2", "h3") or any(
+                h and h[-1] not in ("html", "body") and len(p) > len(h) and p[:len(h)] == h for h in homes)):
+            keep = keep | {p}
+    return "\n".join(t for p, _, t, _ in rows if p in keep)
+
+
+def test_ratios_equal_brute_force(spark):
+    import random
+    pages = [r.html for r in spark.read.parquet(f"{SMALL}/pages.parquet").collect()]
+    rng = random.Random(3)
+    parts = ["<div>", "</div>", "<p>", "<section>", "</section>", "<h2>Head</h2>", "<ul><li>", "</ul>", "<article>", "</article>", LONG, MORE, "word ",
+             "<a href=x>a link of words</a>", "A short one.", "<table><tr><td>"]
+    pages += ["<body>" + "".join(rng.choice(parts) for _ in range(rng.randint(1, 30))) for _ in range(400)]
+    for page in pages:
+        assert html_extract.main_text(page) == plain_ratios(page), page
+
+
 def test_extraction_edges(spark):
     schema = "page_id long, url string, html string, text string, n_chars string"
     rows = [(1, None, None, "t", "n"), (2, "u", "", "t", "n"), (2, "u", "", "t", "n"), (None, "v", "<p>" * 3000 + "x" * 100_000, "t", "n"),
