@@ -1,10 +1,20 @@
 """Operator 4: nearest neighbours by hierarchical navigable small-world graphs, one per shard.
 
-Vectors are dealt to shards of about ``SHARD`` rows by their hash.  Each
-shard's graph is built in one task and kept as flat neighbour arrays (one row
-per vector: its links on each layer, padded with -1).  Every query visits
-every shard's graph; a task loads one graph and streams the queries through it
-in blocks.  The shards' results are merged by exact distance, then id.
+Vectors are dealt to shards by their hash.  Each shard's graph is built in one
+task and kept as flat neighbour arrays (one row per vector: its links on each
+layer, padded with -1).  Every query visits every shard's graph: blocks of
+queries are sent to each shard, where a task loads the graph and streams them
+through.  The shards' results are merged by exact distance, then id.
+
+Shards grow with the table up to ``LARGEST`` rows, so that there are about
+``SHARDS`` of them and a query's work is that many searches at any size up to
+there (beyond, work grows with queries times shards); the search beam
+grows with the root of a shard, which keeps the recall.
+
+A graph sees its vectors moved by their median and scaled to their spread in
+double precision, so it works at any offset and scale.  Shards whose vectors or
+neighbours lie over several orders of magnitude compare differences in double
+precision.
 
 Equal vectors are one node that carries its smallest ids, so a vector that a
 third of all rows share is one node too.
@@ -25,29 +35,66 @@ from pyspark.sql import functions as F
 
 from .common import map_batches, scratch_table, ship
 
-SHARD = 8192
+#: Rows of a shard, at least and at most; shards of tables between.
+SHARD, LARGEST, SHARDS = 5_000, 65_536, 64
 #: Links per node (twice as many on the ground layer), beam widths while building and searching.
 LINKS, BUILD_BEAM, SEARCH_BEAM = 16, 96, 160
 EXPAND = 4                                    # candidates expanded at a time
 BLOCK = 256                                   # vectors inserted or searched at a time
 
 
+def _power(value: float) -> float:
+    """The power of two at or below a positive value; 1 for 0."""
+    return float(2.0 ** max(-1022, np.frexp(value)[1] - 1)) if value > 0 else 1.0
+
+
+#: Largest size, in units of the median, up to which a shard is compared in single precision.
+WIDE = 32
+#: A vector is crowded if its tenth neighbour is nearer than this share of its own size.
+CROWDED = 0.01
+
+
+def _crowded(x: np.ndarray, size: np.ndarray) -> bool:
+    """Whether one of a hundred of some vectors (128 at most, evenly taken) is
+    crowded, so that squares in single precision would not tell its neighbours."""
+    some = np.arange(0, len(x), -(-len(x) // 128))
+    if len(x) < 12:
+        return False
+    near = [np.partition(np.einsum("nd,nd->n", x - x[i], x - x[i]), 10)[10] for i in some]
+    return float(np.mean(np.sqrt(near) < CROWDED * size[some])) > 0.01
+
+
 class Graph:
     """Vectors, levels and flat neighbour arrays of one shard."""
 
     def __init__(self, vectors: np.ndarray, links: int = LINKS):
-        self.x = np.ascontiguousarray(vectors, np.float32)
-        self.norm = np.einsum("nd,nd->n", self.x, self.x)
-        n = len(self.x)
+        x = np.ascontiguousarray(vectors, np.float64)
+        n = len(x)
+        self.top = _power(np.abs(x).max(initial=0.0))
+        x = x / self.top
+        self.centre = np.median(x, 0) if n else 0.0
+        x = x - self.centre
+        size = np.sqrt(np.einsum("nd,nd->n", x, x))
+        self.unit = _power(float(np.median(size[size > 0])) if (size > 0).any() else 0.0)
+        self.wide = bool(n) and (float(size.max()) > WIDE * self.unit or _crowded(x, size))
+        self.x = np.ascontiguousarray(x / self.unit, np.float64 if self.wide else np.float32)
+        self.norm = np.zeros(n) if self.wide else np.einsum("nd,nd->n", self.x, self.x)
         self.links = links
         draw = np.random.default_rng(n).random(n)
         self.level = np.minimum((-np.log(np.maximum(draw, 1e-12)) / np.log(links)).astype(np.int64), 8)
         self.layers: list[np.ndarray] = []                # neighbour arrays, ground layer first
         self.entry = 0
 
+    def moved(self, q: np.ndarray) -> np.ndarray:
+        """Vectors as the graph sees its own."""
+        return np.ascontiguousarray((np.asarray(q, np.float64) / self.top - self.centre) / self.unit, self.x.dtype)
+
     # -- search -----------------------------------------------------------------
     def distances(self, q: np.ndarray, ids: np.ndarray) -> np.ndarray:
-        """Squared distances (up to each query's own norm) of ``q[i]`` to ``ids[i]``."""
+        """Squared distances (up to each query's own norm, unless wide) of ``q[i]`` to ``ids[i]``."""
+        if self.wide:
+            d = self.x[ids] - q[:, None, :]
+            return np.einsum("nwd,nwd->nw", d, d)
         return self.norm[ids] - 2 * np.matmul(self.x[ids], q[:, :, None])[:, :, 0]
 
     def beam(self, q: np.ndarray, start: np.ndarray, width: int, layer: int) -> tuple[np.ndarray, np.ndarray]:
@@ -57,7 +104,7 @@ class Graph:
         seen = np.zeros((n, len(self.x) + 1), bool)       # the last column takes the padding
         seen[:, -1] = True
         ids = np.full((n, width), -1, np.int64)
-        dist = np.full((n, width), np.inf, np.float32)
+        dist = np.full((n, width), np.inf, self.x.dtype)
         start = start[:, :width]
         fresh = np.zeros(start.shape, bool)
         for j in range(start.shape[1]):
@@ -102,7 +149,7 @@ class Graph:
 
     def search(self, q: np.ndarray, k: int, width: int) -> np.ndarray:
         """Ids (queries, k) of the nearest found, -1 where there are fewer."""
-        q = np.ascontiguousarray(q, np.float32)
+        q = self.moved(q)
         if len(self.x) <= max(width // 2, k):             # so few: all of them
             d = self.distances(q, np.tile(np.arange(len(self.x)), (len(q), 1)))
             ids = np.argsort(d, 1, kind="stable")[:, :k]
@@ -123,7 +170,7 @@ class Graph:
         own = dist + self.norm[of][:, None]               # true squared distances
         x = self.x[np.maximum(ids, 0)]
         kept = np.zeros((n, width), bool)
-        shadow = np.full((n, width), np.inf, np.float32)  # distance to the nearest kept neighbour
+        shadow = np.full((n, width), np.inf, self.x.dtype)  # distance to the nearest kept neighbour
         count = np.zeros(n, np.int64)
         nrm = self.norm[np.maximum(ids, 0)]
         for j in range(width):
@@ -134,7 +181,11 @@ class Graph:
             count += take
             if j + 1 < width:
                 t = np.flatnonzero(take)
-                d = nrm[t, j + 1:] + nrm[t, j][:, None] - 2 * np.matmul(x[t, j + 1:], x[t, j][:, :, None])[:, :, 0]
+                if self.wide:
+                    d = x[t, j + 1:] - x[t, j][:, None, :]
+                    d = np.einsum("nwd,nwd->nw", d, d)
+                else:
+                    d = nrm[t, j + 1:] + nrm[t, j][:, None] - 2 * np.matmul(x[t, j + 1:], x[t, j][:, :, None])[:, :, 0]
                 shadow[t, j + 1:] = np.minimum(shadow[t, j + 1:], d)
         rank = np.where(kept, 0, np.where(real, 1, 2)) * width + np.arange(width)
         order = np.argsort(rank, 1, kind="stable")[:, :k]
@@ -206,18 +257,25 @@ def usable(vector: str):
                       & F.exists(v, lambda c: c != 0), F.lit(False))
 
 
-def build_index(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", shard: int = SHARD,
+def shard_rows(rows: int) -> int:
+    """Rows of a shard of a table of ``rows`` vectors."""
+    return min(LARGEST, max(SHARD, -(-rows // SHARDS)))
+
+
+def build_index(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", shard: int | None = None,
                 keep_ids: int = 11) -> DataFrame:
     """The graphs as a table, one row per distinct vector: ``dim``, ``shard``,
     ``place`` in its shard, ``ids`` (the ``keep_ids`` smallest), ``vector``,
     ``entry`` (of the shard) and ``links`` (flat neighbour places, layer by
-    layer, with -1 for none).  Shards hold about ``shard`` rows."""
+    layer, with -1 for none).  Shards hold about ``shard`` rows (``shard_rows``
+    of the table, unless given)."""
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("vector"))
-    rows = rows.where(usable("vector") & F.col("id").isNotNull())
-    first = Window.partitionBy("vector").orderBy("id")
-    distinct = scratch_table(rows.withColumn("nth", F.dense_rank().over(first)).where(F.col("nth") <= keep_ids)
-                             .groupBy("vector").agg(F.sort_array(F.collect_set("id")).alias("ids")))
-    shards = max(1, -(-distinct.count() // shard))
+    rows = rows.where(usable("vector") & F.col("id").isNotNull()).distinct()
+    first = Window.partitionBy("vector").orderBy("id")    # tasks drop all but the first ids of a vector before the shuffle
+    distinct = scratch_table(rows.withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= keep_ids)
+                             .groupBy("vector").agg(F.sort_array(F.collect_list("id")).alias("ids")))
+    n = distinct.count()
+    shards = max(1, -(-n // (shard or shard_rows(n))))
     dealt = distinct.withColumn("dim", F.size("vector")).withColumn("shard", F.pmod(F.xxhash64("vector"), F.lit(shards)).cast("int"))
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -237,13 +295,17 @@ def search(index: DataFrame, queries: DataFrame, *, id_col: str = "vec_id", vect
            width: int = SEARCH_BEAM) -> DataFrame:
     """The ``k`` nearest rows of the index per query, without the query's own id:
     query_id, rank (from 1), ``id_col``, score (Euclidean distance in double
-    precision), nearest first, ties to the smaller id."""
+    precision), nearest first, ties to the smaller id.  ``width`` is the
+    beam of a graph of 8,192 vectors."""
     shards = index.select("shard").distinct().count()
     q = queries.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("vector"))
-    q = q.where(usable("vector") & F.col("id").isNotNull()).distinct()
-    sent = q.select(F.size("vector").alias("dim"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"),
-                    F.lit(True).alias("query"), F.lit(0).alias("place"), F.array("id").alias("ids"), "vector",
-                    F.lit(0).alias("entry"), F.array().cast("array<int>").alias("links"))
+    q = scratch_table(q.where(usable("vector") & F.col("id").isNotNull()).distinct())
+    blocks = max(1, -(-q.count() // BLOCK))
+    packed = (q.groupBy(F.size("vector").alias("dim"), F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("block"))
+              .agg(F.collect_list(F.struct("id", "vector")).alias("rows")))
+    sent = packed.select("dim", F.explode(F.sequence(F.lit(0), F.lit(max(0, shards - 1)))).alias("shard"),
+                         F.lit(True).alias("query"), F.lit(0).alias("place"), F.col("rows.id").alias("ids"),
+                         F.flatten("rows.vector").alias("vector"), F.lit(0).alias("entry"), F.array().cast("array<int>").alias("links"))
     rows = index.select("dim", "shard", F.lit(False).alias("query"), "place", "ids", "vector", "entry", "links").unionByName(sent)
     rows = rows.repartition("dim", "shard").sortWithinPartitions("dim", "shard", "query", "place")
 
@@ -259,6 +321,18 @@ def search(index: DataFrame, queries: DataFrame, *, id_col: str = "vec_id", vect
             .select("query_id", F.col("rank").cast("int").alias("rank"), id_col, "score"))
 
 
+def lengths(d: np.ndarray) -> np.ndarray:
+    """Euclidean lengths in double precision, also where squares overflow or vanish."""
+    with np.errstate(over="ignore", under="ignore"):
+        out = np.sqrt((d * d).sum(1))
+        most = np.abs(d).max(1, initial=0.0)
+        odd = np.flatnonzero((most > 0) & ((most > 1e150) | (most < 1e-150)))
+        if len(odd):
+            part = d[odd] / most[odd, None]
+            out[odd] = most[odd] * np.sqrt((part * part).sum(1))
+    return out
+
+
 def search_stream(batches: Iterator[pa.RecordBatch], k: int, width: int) -> Iterator[pa.RecordBatch]:
     """Reads a shard's index rows, then its queries, block by block."""
     key, parts, graph, ids, exact = None, [], None, [], None
@@ -284,11 +358,10 @@ def search_stream(batches: Iterator[pa.RecordBatch], k: int, width: int) -> Iter
             own = part.column("ids").flatten().to_numpy()
             for i in range(0, len(q), BLOCK):
                 block = q[i: i + BLOCK].astype(np.float64)
-                got = graph.search(q[i: i + BLOCK], k + 1, width)
+                got = graph.search(block, k + 1, round(width * max(1.0, (len(exact) / 8192) ** 0.5)))
                 r, c = np.nonzero(got >= 0)
-                d = exact[got[r, c]] - block[r]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(own[i + r], pa.int64()), pa.array(np.sqrt((d * d).sum(1)), pa.float64()),
+                    [pa.array(own[i + r], pa.int64()), pa.array(lengths(exact[got[r, c]] - block[r]), pa.float64()),
                      pa.array([ids[j] for j in got[r, c]], pa.list_(pa.int64()))], ["query_id", "score", "ids"])
 
 

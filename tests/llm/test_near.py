@@ -230,6 +230,45 @@ def test_search_shards_and_ties(spark, shard):
     assert top == list(range(1000, 1010))
 
 
+def placed(name):
+    """Vectors that are hard for single precision: far from zero, very large or small, at several scales."""
+    u = np.random.default_rng(4).standard_normal((1500, 24))
+    spread = 10.0 ** np.random.default_rng(5).uniform(-8, 8, (1500, 1))
+    far = u.copy()
+    far[:300] += 1e9
+    out = u.copy()
+    out[:5] *= 1e20
+    return {"offset": 1000 + 0.1 * u, "1e20": u * 1e20, "1e200": u * 1e200, "1e-200": u * 1e-200, "offset 1e6": 1e6 + u, "outliers": out,
+            "two clusters": far, "small cluster": np.concatenate([u[:700], u[700:] * 1e-6 + 5]), "spread": u * spread}[name]
+
+
+@pytest.mark.parametrize("name", ["offset", "1e20", "1e200", "1e-200", "offset 1e6", "outliers", "two clusters", "small cluster", "spread"])
+def test_search_at_any_offset_and_scale(spark, name):
+    x = placed(name)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in hnsw.search(hnsw.build_index(df, shard=800), df.where("vec_id % 20 = 0")).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    hit = 0
+    for q in range(0, 1500, 20):
+        d = hnsw.lengths(x - x[q])
+        d[q] = np.inf
+        best = np.lexsort((np.arange(len(x)), d))[:10]
+        mine = sorted(got[q])
+        assert [m[2] for m in mine] == pytest.approx([d[m[1]] for m in mine], rel=1e-12)
+        hit += len({m[1] for m in mine} & set(best.tolist()))
+    assert hit / (75 * 10) >= 0.95
+
+
+def test_lengths_do_not_overflow():
+    d = np.array([[3e200, 4e200], [3e-200, 4e-200], [3.0, 4.0], [0.0, 0.0], [5e-324, 0.0]])
+    assert hnsw.lengths(d) == pytest.approx([5e200, 5e-200, 5.0, 0.0, 5e-324])
+
+
+def test_shards_grow_with_the_table():
+    assert [hnsw.shard_rows(n) for n in (0, 10_000, 320_000, 1_000_000, 10_000_000)] == [5_000, 5_000, 5_000, 15_625, 65_536]
+
+
 def test_search_edges(spark):
     bad = [(100, None), (200, []), (300, [0.0, 0.0]), (400, [1.0, None]), (500, [float("nan"), 1.0]), (600, [float("inf"), 1.0]), (None, [1.0, 2.0])]
     rows = bad + [(0, [1.0, 0.0]), (0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [0.0, 3.0]), (700, [5.0, 5.0, 5.0])]
