@@ -25,7 +25,7 @@ from pyspark.sql.types import StructType
 from ..plans.lineage import cut_lineage as scratch_table
 from ..session import ensure_checkpoint_dir
 
-__all__ = ["Recent", "ship", "map_batches", "scratch_table", "shared_folder", "text_runs", "table", "whole_text"]
+__all__ = ["Recent", "ship", "map_batches", "scratch_table", "shared_folder", "text_runs", "table", "unused_prefix", "whole_text"]
 
 _SHIPPED: set[str] = set()
 #: Rows of an Arrow batch sent to Python, unless the session sets its own:
@@ -94,6 +94,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def unused_prefix(columns: list[str], *names: str) -> str:
+    """A prefix that makes each of ``names`` the name of no column (whatever its case)."""
+    taken, prefix = {c.lower() for c in columns}, "__"
+    while any((prefix + n).lower() in taken for n in names):
+        prefix += "_"
+    return prefix
+
+
 def whole_text(col: str = "text"):
     """The text itself; null counts as empty."""
     return F.coalesce(F.col(col).cast("string"), F.lit(""))

@@ -263,15 +263,16 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 def keep_first(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """One row of each class of near duplicates (see ``near_duplicates``), with all columns of ``docs``."""
     found = scratch_table(near_duplicates(docs, id_col=id_col, text_col=text_col, **options))
-    key = found.select(F.col(id_col).alias("__id"), F.col("text_md5").alias("__md5"), "is_first")
+    # the caller's columns travel as one, so none of them can clash with the keys
+    marked = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs[id_col].alias("id"), F.md5(whole_text(text_col)).alias("md5"))
+    key = found.select(F.col(id_col).alias("one"), F.col("text_md5").alias("two"), "is_first")
     others = key.where(~F.col("is_first")).distinct().drop("is_first")
-    repeated = key.where("is_first").groupBy("__id", "__md5").count().where("count > 1").drop("count")
-    marked = docs.withColumn("__text_md5", F.md5(whole_text(text_col)))
+    repeated = key.where("is_first").groupBy("one", "two").count().where("count > 1").drop("count")
 
-    same = F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__text_md5") == F.col("__md5"))
+    same = F.col("id").eqNullSafe(F.col("one")) & (F.col("md5") == F.col("two"))
     left = marked.join(others.hint("merge"), same, "left_anti")           # one plan at every size
-    if repeated.isEmpty():
-        return left.select(*docs.columns)
-    once = left.join(repeated, same, "left_anti")
-    twice = left.join(repeated, same, "left_semi").dropDuplicates([id_col, "__text_md5"])
-    return once.unionByName(twice).select(*docs.columns)
+    if not repeated.isEmpty():
+        once = left.join(repeated, same, "left_anti")
+        twice = left.join(repeated, same, "left_semi").groupBy("id", "md5").agg(F.first("row").alias("row"))
+        left = once.select("row").unionByName(twice.select("row"))
+    return left.select(*[F.col("row")[c].alias(c) for c in docs.columns])

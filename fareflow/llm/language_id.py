@@ -117,31 +117,47 @@ class LanguageModel:
         return out
 
 
-def train(texts: list[str], languages: list[str]) -> LanguageModel:
-    """Trigram models of the languages of labelled texts, and the letter background of all."""
-    names = sorted(set(languages))
-    texts_of: dict[str, list[str]] = {name: [] for name in names}
-    for t, name in zip(texts, languages):
-        texts_of[name].append(t)
+def cell_counts(texts: list[str]) -> np.ndarray:
+    """Counts of the trigram cells of texts, then of their single letters."""
+    out = np.zeros((1 << BITS) + 256, np.int64)
+    for lo, hi in text_runs(texts):
+        cells, single, _ = trigrams(texts[lo:hi])
+        out[: 1 << BITS] += np.bincount(cells[cells >= 0], minlength=1 << BITS)
+        out[1 << BITS:] += np.bincount(single, minlength=256)
+    return out
+
+
+def model_of(counts: dict[str, tuple[np.ndarray, np.ndarray]]) -> LanguageModel:
+    """Trigram models of the languages, from (places, counts) of their cells
+    and letters as ``cell_counts`` numbers them, and the letter background of all."""
+    names = sorted(counts)
     found, chances, rest = [], [], np.zeros(len(names), np.float32)
     letters = np.full(256, 0.5)
     for i, name in enumerate(names):
-        counts, mine = np.full(1 << BITS, 1e-3), texts_of[name]
-        for lo, hi in text_runs(mine):
-            cells, single, _ = trigrams(mine[lo:hi])
-            counts += np.bincount(cells[cells >= 0], minlength=1 << BITS)
-            letters += np.bincount(single, minlength=256)
-        seen = np.flatnonzero(counts >= 1)
-        found.append(seen.astype(np.uint16))
-        chances.append((counts[seen] / counts.sum()).astype(np.float32))
-        rest[i] = 1e-3 / counts.sum()
+        place, n = (np.asarray(x, np.int64) for x in counts[name])
+        cell = place < 1 << BITS
+        np.add.at(letters, place[~cell] - (1 << BITS), n[~cell])
+        total = n[cell].sum() + 1e-3 * (1 << BITS)
+        order = np.argsort(place[cell])
+        found.append(place[cell][order].astype(np.uint16))
+        chances.append(((n[cell][order] + 1e-3) / total).astype(np.float32))
+        rest[i] = 1e-3 / total
     return LanguageModel(names, found, chances, rest, np.log(letters / letters.sum()).astype(np.float32))
 
 
-def fit(rows: DataFrame, *, text_col: str, declared_col: str, per_language: int = PER_LANGUAGE, most: int = TEXTS) -> LanguageModel:
-    """Fits the model to at most ``per_language`` different texts of every
-    declared language, those of the lowest hashes; to fewer of each if there
-    are so many languages that they'd be over ``most``, but to one at least."""
+def train(texts: list[str], languages: list[str]) -> LanguageModel:
+    """The model of labelled texts at hand."""
+    counts = {}
+    for name in sorted(set(languages)):
+        n = cell_counts([t for t, x in zip(texts, languages) if x == name])
+        counts[name] = (np.flatnonzero(n), n[n > 0])
+    return model_of(counts)
+
+
+def sample(rows: DataFrame, *, text_col: str, declared_col: str, per_language: int = PER_LANGUAGE, most: int = TEXTS) -> DataFrame:
+    """(language, text): at most ``per_language`` different texts of every
+    declared language, those of the lowest hashes; fewer of each if there
+    are so many languages that they'd be over ``most``, but one at least."""
     text, declared = whole_text(text_col), language_code(F.col(declared_col))
     low = F.col("h").bitwiseAND((1 << 62) - 1)
     different = scratch_table(rows.select(declared.alias("language"), F.xxhash64(text).alias("h")).where("language is not null").distinct())
@@ -151,10 +167,29 @@ def fit(rows: DataFrame, *, text_col: str, declared_col: str, per_language: int
     share = float(max(4 * each, 100)) / F.col("count")
     picked = (different.join(F.broadcast(sizes), "language").where(low / float(1 << 62) < share)
               .withColumn("nth", F.row_number().over(Window.partitionBy("language").orderBy(low, "h"))).where(F.col("nth") <= each))
-    sample = (rows.select(declared.alias("language"), F.xxhash64(text).alias("h"), text.alias("text"))
-              .join(F.broadcast(picked.select("language", "h")), ["language", "h"]).dropDuplicates(["language", "h"])
-              .orderBy("language", "h").toPandas())
-    return train(sample["text"].tolist(), sample["language"].tolist())
+    return (rows.select(declared.alias("language"), F.xxhash64(text).alias("h"), text.alias("text"))
+            .join(F.broadcast(picked.select("language", "h")), ["language", "h"]).dropDuplicates(["language", "h"]).drop("h"))
+
+
+def fit(rows: DataFrame, *, text_col: str, declared_col: str, per_language: int = PER_LANGUAGE, most: int = TEXTS) -> LanguageModel:
+    """Fits the model to the ``sample`` of the rows.  Its texts, of any length,
+    are counted in tasks; the driver gets one row a language, of its cells."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from fareflow.llm.language_id import cell_counts
+
+        for b in batches:
+            names, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
+            for name in sorted(set(names)):
+                n = cell_counts([t for t, x in zip(texts, names) if x == name])
+                at = np.flatnonzero(n)
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(n[at], pa.int64())],
+                                                 ["language", "place", "n"])
+
+    texts = sample(rows, text_col=text_col, declared_col=declared_col, per_language=per_language, most=most)
+    counts = map_batches(texts, run, "language string, place int, n long").groupBy("language", "place").agg(F.sum("n").alias("n"))
+    each = counts.groupBy("language").agg(F.collect_list(F.struct("place", "n")).alias("c")).select("language", "c.place", "c.n").toPandas()
+    return model_of({r.language: (r.place, r.n) for r in each.itertuples()})
 
 
 def language_code(declared: Column) -> Column:
@@ -223,23 +258,22 @@ def identify(rows: DataFrame, *, text_col: str = "text", declared_col: str = "la
     Repeated rows keep a row each; columns named like the new ones are replaced.
     """
     own = {c.lower() for c in (f"{prefix}language", f"{prefix}confidence", f"{prefix}rejected")}
-    base = rows.select(*[c for c in rows.columns if c.lower() not in own])
+    base = rows.select(*[rows[c] for c in rows.columns if c.lower() not in own])
+    columns = base.columns
     model = model or fit(rows, text_col=text_col, declared_col=declared_col)
-    host = F.col(host_col).cast("string") if host_col else F.lit(None).cast("string")
+    host = rows[host_col].cast("string") if host_col else F.lit(None).cast("string")
     host = F.when(F.trim(host) != "", F.lower(F.trim(host)))
-    parent = F.col(parent_col).cast("string") if parent_col else F.regexp_extract(host, r"\.(.+)$", 1)
-    marked = base.withColumns({"__ev_declared": language_code(F.col(declared_col)), "__ev_host": host})
-    marked = marked.withColumn("__ev_suffix", F.col(suffix_col).cast("string") if suffix_col else F.lit(None).cast("string"))
+    parent = rows[parent_col].cast("string") if parent_col else F.regexp_extract(host, r"\.(.+)$", 1)
+    suffix = rows[suffix_col].cast("string") if suffix_col else F.lit(None).cast("string")
+    # the caller's columns travel as one, so none of them can clash with the evidence
+    marked = rows.select(F.struct(*[rows[c] for c in columns]).alias("row"), whole_text(text_col).alias("text"),
+                         language_code(rows[declared_col]).alias("declared"), suffix.alias("suffix"), host.alias("host"), parent.alias("parent"))
     k = len(model.languages)
     if k:
-        keys = marked.select("__ev_host", parent.alias("__ev_parent"), "__ev_declared")
-        priors, share = host_priors(keys, model.languages, host="__ev_host", parent="__ev_parent", declared="__ev_declared")
-        priors = priors.withColumnRenamed("prior", "__ev_prior")
-        marked = marked.join(priors, F.col("__ev_host") == F.col("prior_host"), "left").drop("prior_host")
+        priors, share = host_priors(marked.select("host", "parent", "declared"), model.languages, host="host", parent="parent", declared="declared")
+        marked = marked.join(priors.withColumnRenamed("prior_host", "host"), "host", "left")
     else:
-        share, marked = np.empty(0), marked.withColumn("__ev_prior", F.array().cast("array<double>"))
-    at = [marked.columns.index(c) for c in (text_col, "__ev_declared", "__ev_suffix", "__ev_prior")]
-    width = len(base.columns)
+        share, marked = np.empty(0), marked.withColumn("prior", F.array().cast("array<double>"))
     held = rows.sparkSession.sparkContext.broadcast((model, share))   # fixed size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -248,18 +282,18 @@ def identify(rows: DataFrame, *, text_col: str = "text", declared_col: str = "la
         m, whole = held.value
         names = np.array([*m.languages, "und"])
         for b in batches:
-            texts = [t or "" for t in b.column(at[0]).to_pylist()]
-            prior = np.array([whole if p is None else p for p in b.column(at[3]).to_pylist()]).reshape(len(texts), len(m.languages))
-            post = fuse(m, m.evidence(texts), b.column(at[1]).to_pylist(), b.column(at[2]).to_pylist(), prior)
+            texts = b.column(1).to_pylist()
+            prior = np.array([whole if p is None else p for p in b.column(4).to_pylist()]).reshape(len(texts), len(m.languages))
+            post = fuse(m, m.evidence(texts), b.column(2).to_pylist(), b.column(3).to_pylist(), prior)
             best = post.argmax(1)
             yield pa.RecordBatch.from_arrays(
-                [*b.columns[:width], pa.array(names[best].tolist(), pa.string()),
+                [*b.column(0).flatten(), pa.array(names[best].tolist(), pa.string()),
                  pa.array(post[np.arange(len(best)), best], pa.float64()), pa.array(best == len(m.languages))],
-                [*b.schema.names[:width], f"{prefix}language", f"{prefix}confidence", f"{prefix}rejected"])
+                [*columns, f"{prefix}language", f"{prefix}confidence", f"{prefix}rejected"])
 
     schema = StructType([*base.schema.fields, StructField(f"{prefix}language", StringType()),
                          StructField(f"{prefix}confidence", DoubleType()), StructField(f"{prefix}rejected", BooleanType())])
-    return map_batches(marked, run, schema)
+    return map_batches(marked.select("row", "text", "declared", "suffix", "prior"), run, schema)
 
 
 def page_evidence(pages: DataFrame, *, url_col: str = "url", html_col: str = "html") -> DataFrame:

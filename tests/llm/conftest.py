@@ -1,12 +1,15 @@
 import pytest
 
 SCHEMA = ("doc_id long, text string, lang string, source string, n_chars long, id string, score string, language int, "
-          "n_tokens string, bucket int, md5 string, class_id string, part int, spans int")
+          "n_tokens string, bucket int, md5 string, class_id string, part int, spans int, "
+          "__id long, __text_md5 string, prior_host string, __ev_host string, __toxicity double, __language string, __Rejected int, row string, host int")
+CLASHING = ("__id", "__text_md5", "prior_host", "__ev_host", "__toxicity", "__language", "__Rejected", "row", "host")
+CLASH_VALUES = (7, "t5", "ph", "eh", 0.25, "xx", 3, "r", 4)
 SENTENCE = "The quick brown fox and the lazy dog are here, with a word of the day for it. "
 
 
 def _row(doc_id, text, lang="en", source="src1"):
-    return (doc_id, text, lang, source, None if text is None else len(text), "x", "y", 1, "z", 2, "m", "c", 3, 4)
+    return (doc_id, text, lang, source, None if text is None else len(text), "x", "y", 1, "z", 2, "m", "c", 3, 4, *CLASH_VALUES)
 
 
 EDGE_ROWS = [
@@ -28,6 +31,11 @@ def empty(spark):
     return spark.createDataFrame([], SCHEMA)
 
 
+def clashes_kept(df):
+    """Whether the columns with clashing names came back with their values."""
+    return all(tuple(r) == CLASH_VALUES for r in df.select(*CLASHING).collect())
+
+
 def by_id(rows):
     """Rows as sorted tuples (null ids first)."""
     return sorted((tuple(r) for r in rows), key=lambda r: tuple((x is not None, x) for x in r))

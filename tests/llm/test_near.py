@@ -11,7 +11,7 @@ from fareflow.llm.components import connected
 from fareflow.llm.queries import QUERIES
 
 from ..conftest import SMALL
-from .conftest import EDGE_ROWS, SENTENCE
+from .conftest import EDGE_ROWS, SENTENCE, clashes_kept
 
 
 # -- operator 5 -------------------------------------------------------------------
@@ -104,7 +104,7 @@ def test_join_edge_rows(spark, edge, empty):
     docs = [(r[0], r[1] or "") for r in EDGE_ROWS]
     assert rows_of(jaccard_join.near_duplicates(edge)) == sorted(brute_classes(docs), key=str)
     kept = jaccard_join.keep_first(edge)
-    assert kept.columns == edge.columns
+    assert kept.columns == edge.columns and clashes_kept(kept)
     assert sorted((r.doc_id is not None, r.doc_id) for r in kept.collect() if r.doc_id is not None) == [(True, k) for k in (1, 3, 4, 6, 7, 8, 9, 10, 11)]
     assert kept.where("doc_id is null").count() == 1      # the other null id has the text of document 1
     assert jaccard_join.near_duplicates(empty).count() == 0 and jaccard_join.keep_first(empty).count() == 0

@@ -12,7 +12,7 @@ from fareflow.llm.queries import QUERIES
 from fareflow.llm.words import Words
 
 from ..conftest import MEDIUM, SMALL
-from .conftest import EDGE_ROWS
+from .conftest import EDGE_ROWS, clashes_kept
 from .test_near import brute_classes
 
 
@@ -199,18 +199,77 @@ def test_host_priors_are_smoothed_by_level(spark):
 def test_language_edges(spark, edge, empty):
     out = language_id.identify(edge)
     assert out.count() == len(EDGE_ROWS) and out.columns[-3:] == ["language", "confidence", "rejected"]
+    assert clashes_kept(out) and out.columns[:-3] == [c for c in edge.columns if c != "language"]
     assert language_id.identify(empty).count() == 0
     none = language_id.identify(edge.withColumn("lang", edge.source)).collect()   # no declared language anywhere
     assert all(r.language == "und" and r.rejected for r in none)
 
 
-def test_copies_do_not_shrink_the_sample_of_a_language(spark, monkeypatch):
-    monkeypatch.setattr(language_id, "train", lambda texts, names: sorted(zip(names, texts)))
+def test_copies_do_not_shrink_the_sample_of_a_language(spark):
+    def texts(docs):
+        return sorted(r.text for r in language_id.sample(docs, text_col="text", declared_col="lang").collect())
+
     docs = spark.range(20_000).selectExpr("case when id < 12 then concat('text ', id) else 'the copy' end text", "'en' lang")
-    assert len(language_id.fit(docs, text_col="text", declared_col="lang")) == 13
+    assert len(texts(docs)) == 13
     many = spark.range(5000).selectExpr("concat('text ', id) text", "'en' lang")
-    once = language_id.fit(many, text_col="text", declared_col="lang")
-    assert len(once) == 250 and once == language_id.fit(many.union(many).union(docs.where("false")), text_col="text", declared_col="lang")
+    assert len(texts(many)) == 250 and texts(many) == texts(many.union(many).union(docs.where("false")))
+
+
+def test_counts_in_tasks_equal_counts_at_hand(spark, languages):
+    """The fitted model is that of its sample's texts; no text reaches the driver."""
+    docs, model = languages
+    rows = language_id.sample(docs, text_col="text", declared_col="lang").collect()
+    want = language_id.train([r.text for r in rows], [r.language for r in rows])
+    assert model.languages == want.languages and np.allclose(model.letters, want.letters) and np.allclose(model.rest, want.rest)
+    for a, b, c, d in zip(model.cells, want.cells, model.chances, want.chances):
+        assert (a == b).all() and np.allclose(c, d)
+
+
+def test_posterior_equals_plain_bayes(spark, languages):
+    """The operator's language and confidence, worked out trigram by trigram, host by host."""
+    import math
+    docs, model = languages
+    docs = docs.where("n_chars < 400").limit(60)
+    rows = docs.collect()
+    every = [(r.lang, r.source) for r in rows]
+    names = model.languages
+    total = {n: 1.0 + sum(lang == n for lang, _ in every) for n in names}
+    share = {n: total[n] / sum(total.values()) for n in names}
+    out = {r.doc_id: r for r in language_id.identify(docs, model=model).collect()}
+
+    def smoothed(keep, n, up):
+        mine = [lang for lang, host in every if keep(host)]
+        return (sum(lang == n for lang in mine) + 20 * up) / (sum(lang in names for lang in mine) + 20)
+
+    for r in rows:
+        parent = r.source.partition(".")[2]
+        raw = b" " + r.text.lower().encode() + b" "
+        kept = bytearray(raw[:1])
+        for before, at in zip(raw, raw[1:]):
+            if language_id._LETTER[at]:
+                kept.append(at)
+            elif language_id._LETTER[before]:
+                kept.append(32)
+        kept[0] = 32
+        grams = [kept[i: i + 3] for i in range(len(kept) - 2)]
+        log = dict.fromkeys([*names, "und"], 0.0)
+        for g in grams:
+            cell = ((g[0] << 16 | g[1] << 8 | g[2]) * 2654435761 % (1 << 32)) >> (32 - language_id.BITS)
+            plain = math.exp(sum(float(model.letters[x]) for x in g))
+            for i, n in enumerate(names):
+                at = np.searchsorted(model.cells[i], cell)
+                seen = at < len(model.cells[i]) and model.cells[i][at] == cell
+                log[n] += math.log(0.7 * float(model.chances[i][at] if seen else model.rest[i]) + 0.3 * plain)
+            log["und"] += math.log(0.5 * plain + 0.5 / (1 << language_id.BITS))
+        scale = min(len(grams), 60) / max(1, len(grams))
+        for i, n in enumerate(names):
+            up = smoothed(lambda h: h.partition(".")[2] == parent, n, share[n])
+            log[n] = log[n] * scale + math.log(smoothed(lambda h: h == r.source, n, up) * 0.99)
+            log[n] += math.log(0.9) if n == r.lang else math.log(0.1 / len(names))
+        log["und"] = log["und"] * scale + math.log(0.01) + math.log(1 / (len(names) + 1))
+        best = max(log, key=log.get)
+        odds = math.exp(log[best]) / sum(map(math.exp, log.values()))
+        assert out[r.doc_id].language == best and out[r.doc_id].confidence == pytest.approx(odds, abs=1e-3), r.doc_id
 
 
 def test_every_declared_language_has_a_model(spark):
@@ -343,7 +402,7 @@ def test_masking(spark, edge, empty):
     assert pii.masked("a b@c.de x", [("email", 2, 8)]) == "a [EMAIL] x"
     assert pii.masked("0123456789", [("card", 2, 8), ("phone", 5, 9)]) == "01[CARD]9"
     out = pii.redact(edge, length_col="n_chars")
-    assert out.columns == edge.columns and out.count() == len(EDGE_ROWS)
+    assert clashes_kept(out) and out.columns == edge.columns and out.count() == len(EDGE_ROWS)
     r = out.where("doc_id = 10").first()
     assert r.text.startswith("Write to [EMAIL] or [PHONE] from [IP].") and r.n_chars == len(r.text)
     assert out.where("doc_id = 1").first().text is None
@@ -470,5 +529,5 @@ def test_pipeline_edges(spark, edge, empty, tmp_path):
         docs = start
         for _, stage in corpus_pipeline.STAGES[:-1]:
             docs = stage(spark, docs, str(tmp_path))
-            assert docs.columns == start.columns
+            assert docs.columns == start.columns and clashes_kept(docs)
         assert corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).count() >= 0
