@@ -11,19 +11,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fareflow.llm import jaccard_join, language_id, packing, pii, toxicity
-from fareflow.llm.common import scratch_table, table
+from fareflow.llm.common import scratch_table, table, unused_prefix
 from fareflow.llm.queries import vocabulary
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents with a toxicity score below 0.5."""
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model, out_col="__toxicity").where(F.col("__toxicity") < 0.5).select(*docs.columns)
+    column = unused_prefix(docs.columns, "toxicity") + "toxicity"
+    return toxicity.score(docs, model, out_col=column).where(F.col(column) < 0.5).select(*docs.columns)
 
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents in one of the table's languages."""
-    return language_id.identify(docs, prefix="__").where(~F.col("__rejected")).select(*docs.columns)
+    prefix = unused_prefix(docs.columns, "language", "confidence", "rejected")
+    return language_id.identify(docs, prefix=prefix).where(~F.col(f"{prefix}rejected")).select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
