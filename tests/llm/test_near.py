@@ -92,12 +92,83 @@ def test_blocks_that_the_hash_leaves_empty(spark):
     assert rows_of(jaccard_join.near_duplicates(df, block_chars=2000)) == sorted([(i, i - i % 2, 1) for i, _ in docs], key=str)
 
 
-def test_prefixes_are_shortened_until_the_recall_is_reached():
-    depth = jaccard_join.prefix_length(0.8, 24, 8, 0.999)
-    assert 1 - (1 - 0.8 ** depth) ** 24 >= 0.999 > 1 - (1 - 0.8 ** (depth + 1)) ** 24
-    assert jaccard_join.prefix_length(0.8, 24, 8, 0.9) > depth
+def test_climbing_ends_at_the_target_recall():
+    depth = jaccard_join.shortest_prefix(0.8, 24, 8, 0.999)
+    assert jaccard_join.recall_of(depth, 0.8, 24) >= 0.999 > jaccard_join.recall_of(depth + 1, 0.8, 24)
+    assert jaccard_join.shortest_prefix(0.8, 24, 8, 0.9) > depth
     with pytest.raises(ValueError):
-        jaccard_join.prefix_length(0.1, 1, 8, 0.999)
+        jaccard_join.shortest_prefix(0.1, 1, 8, 0.999)
+
+
+def test_subtrees_meet_level_by_level(spark):
+    """Links connect exactly the nodes that share a shortest prefix, at every level through the subtrees' smallest nodes."""
+    rng = random.Random(12)
+    rows = []
+    for node in range(200):
+        for tree in range(3):
+            value = [rng.randint(0, 4) for _ in range(4)]
+            rows.append((node, tree, [hash((tree, *value[:d])) for d in (4, 3, 2)]))
+    links = [(r.node, r.hub) for r in jaccard_join.climb(spark.createDataFrame(rows, "node long, tree int, path array<long>"), 3).collect()]
+    assert all(hub < node for node, hub in links)
+    for edges in (links, [(a, b) for a, t, p in rows for b, u, q in rows if t == u and p[2] == q[2] and b < a]):
+        root = list(range(200))
+
+        def find(x):
+            while root[x] != x:
+                x = root[x]
+            return x
+
+        for a, b in edges:
+            a, b = sorted((find(a), find(b)))
+            root[b] = a
+        if edges is links:
+            first = [find(x) for x in range(200)]
+    assert first == [find(x) for x in range(200)]
+    assert len(links) <= 3 * 200 + 3 * 3 * 25                # one link a node and trie, and a few of subtrees
+
+
+def percolating(seed=13, families=60, n=8):
+    """Texts that share five sixths of their words with others in long chains, and near copies among them."""
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    part = [" ".join(word() for _ in range(20)) for _ in range(families + 5)]
+    docs = []
+    for k in range(families):
+        base = " ".join(part[k: k + 6]).split()
+        for _ in range(n):
+            copy = list(base)
+            for _ in range(rng.choice([0, 1, 1, 2, 3])):
+                copy[rng.randrange(len(copy))] = word()
+            docs.append(" ".join(copy))
+    return list(enumerate(docs))
+
+
+@pytest.mark.parametrize("block", [2048, 5])
+def test_texts_that_percolate_are_compared_by_subtree(spark, monkeypatch, block):
+    docs = percolating()
+    seen, plan = [], jaccard_join.parts_to_compare
+    monkeypatch.setattr(jaccard_join, "parts_to_compare", lambda *a: (seen.append(plan(*a)), seen[-1])[1])
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    assert rows_of(jaccard_join.near_duplicates(df, block_docs=block)) == sorted(brute_classes(docs), key=str)
+    size = [r["count"] for r in seen[0].groupBy("part").count().collect()]
+    assert seen[0].where("part < 0").count() > 0              # there is a component that is not compared as a whole
+    assert sum(n * n for n in size) < len(docs) ** 2
+
+
+def test_planted_pairs_at_the_threshold_are_found(spark):
+    """2,000 pairs just above the threshold, whose texts differ in runs of words: a recall of 0.999."""
+    rng = random.Random(17)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(7))
+    docs, pairs = [], 0
+    while pairs < 2000:
+        a = [word() for _ in range(120)]
+        b = a[:109] + [word() for _ in range(11)]
+        x, y = shingles(" ".join(a)), shingles(" ".join(b))
+        if 0.8 <= len(x & y) / len(x | y) <= 0.84:
+            docs += [(2 * pairs, " ".join(a)), (2 * pairs + 1, " ".join(b))]
+            pairs += 1
+    out = jaccard_join.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string").repartition(4))
+    assert out.where("n_links = 1").count() / 4000 >= 0.998   # 0.999 expected, less chance
 
 
 def test_join_edge_rows(spark, edge, empty):
