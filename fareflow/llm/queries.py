@@ -138,4 +138,20 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 #: DuckDB SQL of the queries that SQL can express on whole tables.
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op5_ngram_jaccard_join": r"""
+with recursive t as (select doc_id, md5(coalesce(text, '')) as text_md5, coalesce(text, '') as text from documents),
+w as (select distinct text_md5, regexp_extract_all(lower(text), '[0-9a-z\x{80}-\x{10FFFF}]+') as w from t),
+s as (select distinct text_md5, unnest(case when len(w) >= 5 then list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))
+                                            when len(w) > 0 then [array_to_string(w, ' ')] else [] end) as g from w),
+n as (select text_md5, count(*) as size from s group by text_md5),
+both_ as (select a.text_md5 as x, b.text_md5 as y, count(*) as k from s a join s b on a.g = b.g and a.text_md5 <> b.text_md5 group by a.text_md5, b.text_md5),
+near as (select x, y from both_ join n a on a.text_md5 = x join n b on b.text_md5 = y where 10 * k >= 8 * (a.size + b.size - k)),
+reach(x, y) as (select distinct text_md5, text_md5 from t union select r.x, l.y from reach r join near l on l.x = r.y),
+named as (select r.x, min(t.doc_id) as class_id from reach r join t on t.text_md5 = r.y group by r.x),
+copies as (select text_md5, count(*) as c from t group by text_md5),
+linked as (select x, sum(c) as c from near join copies on text_md5 = y group by x)
+select t.doc_id, named.class_id, cast(copies.c - 1 + coalesce(linked.c, 0) as bigint) as n_links, t.text_md5
+from t join named on named.x = t.text_md5 join copies using (text_md5) left join linked on linked.x = t.text_md5
+""",
+}

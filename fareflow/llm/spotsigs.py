@@ -9,6 +9,10 @@ neighbours can't reach the threshold and are not intersected.
 
 A text without anchors takes a chain at every word; a text without words takes
 the text itself as its only signature, so no fingerprint is empty.
+
+The likeness of given pairs is exact; whether they are near (``NEAR`` or more) is
+asked of the length partitions first, and only pairs in the same or
+neighbouring ones are intersected for it.
 """
 
 from __future__ import annotations
@@ -34,8 +38,9 @@ COMMON_WORDS = (
 CHAIN = 2
 #: Likeness that the length partitions are made for.
 NEAR = 0.8
-#: Ranges of ids that are ordered apart from each other.
-MOST_RANGES = 16_384
+#: Ranges of ids that are ordered apart from each other: so many for each
+#: shuffle partition, that partitions which get ranges by hash are alike.
+RANGES, MOST_RANGES = 16, 16_384
 
 
 def words(text: Column) -> Column:
@@ -101,7 +106,7 @@ def with_next(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
     document by descending id (nulls last; equal ids by text); after the last
     comes the first.
 
-    Ids are cut into equal ranges by approximate quantiles, one range per
+    Ids are cut into equal ranges by approximate quantiles, ``RANGES`` for each
     shuffle partition (``MOST_RANGES`` at most: more data make longer ranges,
     which sort with spilling), and each range also gets the first row of the
     range after it.  The texts are shuffled once, and no task orders more than its
@@ -109,7 +114,7 @@ def with_next(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("id"), whole_text(text_col).alias("text"))
-    n = max(1, min(MOST_RANGES, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    n = max(1, min(MOST_RANGES, RANGES * int(spark.conf.get("spark.sql.shuffle.partitions"))))
     cuts = rows.agg(F.percentile_approx("id", [i / n for i in range(1, n)] or [0.5], max(10_000, 4 * n))).first()[0] or []
     cuts = sorted(set(cuts))
     bucket = F.when(F.col("id").isNull(), len(cuts) + 1).otherwise(len(cuts) - not_above(cuts, F.col("id")))
@@ -132,8 +137,9 @@ def with_next(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
 def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, ``n_chars``, ``edited_sha256``,
     ``fingerprint``, ``edited_fingerprint``, ``near_edited``, ``near_next``
-    (exact: nothing is pruned here), and ``length_partition``: fingerprints
-    that reach a likeness of ``NEAR`` lie in the same or a neighbouring one.
+    (exact), ``is_near_edited``, ``is_near_next`` (a likeness of ``NEAR`` or more,
+    by pruned Jaccard), and ``length_partition``: fingerprints that are
+    near lie in the same or a neighbouring one.
 
     The edited text is the text whose last half (rounded down) is replaced by
     as many code points from the start of the next document.  Null texts count
@@ -150,4 +156,6 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
                        fingerprint("sigs").alias("fingerprint"), fingerprint("edited_sigs").alias("edited_fingerprint"),
                        pruned_jaccard(F.col("sigs"), F.col("edited_sigs")).alias("near_edited"),
                        pruned_jaccard(F.col("sigs"), F.col("next_sigs")).alias("near_next"),
+                       (pruned_jaccard(F.col("sigs"), F.col("edited_sigs"), NEAR) >= NEAR).alias("is_near_edited"),
+                       (pruned_jaccard(F.col("sigs"), F.col("next_sigs"), NEAR) >= NEAR).alias("is_near_next"),
                        length_partition(F.col("sigs"), NEAR).cast("int").alias("length_partition"))

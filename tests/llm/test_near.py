@@ -218,6 +218,7 @@ def check_fingerprints(rows, docs):
         assert r.n_chars == len(t) and r.edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
         assert r.near_edited == pytest.approx(len(a & b) / len(a | b)) and r.near_next == pytest.approx(len(a & c) / len(a | c))
         assert len(r.fingerprint.split(",")) == len(a) and len(r.edited_fingerprint.split(",")) == len(b)
+        assert r.is_near_edited == (r.near_edited >= spotsigs.NEAR) and r.is_near_next == (r.near_next >= spotsigs.NEAR)
 
 
 def test_fingerprint_query(spark):
@@ -348,3 +349,12 @@ def test_search_edges(spark):
     got = [tuple(r) for r in hnsw.nearest(df).orderBy("query_id", "rank").collect()]
     assert got == [(0, 1, 1, 0.0), (0, 2, 2, pytest.approx(10 ** 0.5))]
     assert hnsw.nearest(spark.createDataFrame([], schema)).count() == 0
+
+
+def test_join_query_equals_its_oracle(spark):
+    from fareflow.llm.queries import ORACLES
+    from fareflow.plans.oracle_check import digest, duck
+    df = QUERIES["op5_ngram_jaccard_join"](spark, SMALL)
+    cur = duck(SMALL).execute(ORACLES["op5_ngram_jaccard_join"])
+    columns = [d[0] for d in cur.description]
+    assert sorted(columns) == sorted(df.columns) and digest(df.columns, df.collect()) == digest(columns, cur.fetchall())
