@@ -458,6 +458,51 @@ def test_gradients_are_right():
         assert (up - down) / 2e-4 == pytest.approx(float(grad[place]), abs=2e-5), name
 
 
+def plain_score(m, text):
+    """Score of an ASCII text, word by word and step by step in double precision."""
+    h, p = toxicity.HIDDEN, {k: v.astype(np.float64) for k, v in m.p.items()}
+    number = lambda known, w: int(m.rows_of(known, Words([w]).hashes)[0])
+    inputs = []
+    for w in re.findall("[0-9a-z]+", text.lower()):
+        chars = [p["char"][ord(c) * toxicity.PLACES + min(i, toxicity.PLACES - 1)] for i, c in enumerate(w)]
+        stems = [p["stem"][number(m.stems, w[:k])] for k in range(1, min(len(w), toxicity.LONGEST) + 1)]
+        inputs.append(np.concatenate([p["word"][number(m.vocabulary, w)], sum(chars) / len(chars), sum(stems) / len(stems)]))
+
+    def read(xs, side):
+        state, out = np.zeros(h), []
+        for x in xs:
+            given, kept = x @ p["w" + side] + p["b" + side], state @ p["u" + side]
+            z, r = (1 / (1 + np.exp(-(given[k * h: k * h + h] + kept[k * h: k * h + h]))) for k in (0, 1))
+            state = z * state + (1 - z) * np.tanh(given[2 * h:] + r * kept[2 * h:])
+            out.append(state)
+        return out
+
+    logits, first = [], 0
+    while True:
+        window = inputs[first: first + toxicity.WINDOW]
+        states = [np.concatenate(s) for s in zip(read(window, "f"), read(window[::-1], "b")[::-1])]
+        heat = [np.tanh(s @ p["aw"] + p["ab"]) @ p["av"] for s in states]
+        share = np.exp(np.array(heat) - max(heat, default=0))
+        pooled = sum(a * s for a, s in zip(share / share.sum(), states)) if states else np.zeros(2 * h)
+        logits.append(float((pooled @ p["ow"] + p["ob"])[0]))
+        if first + toxicity.WINDOW >= len(inputs):
+            break
+        first += toxicity.STRIDE
+    clip = lambda x, n: max(-n, min(n, x))
+    top = sorted(logits, reverse=True) + [min(logits)] * 2
+    x = [clip(top[0], 8), clip(sum(top[:3]) / 3, 8), sum(clip(v, 8) for v in logits) / len(logits), np.log(len(logits)), 1.0]
+    return 1 / (1 + np.exp(-clip(float(np.dot(x, m.weights)), 30)))
+
+
+def test_scores_equal_a_plain_network(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    model = toxicity.fit(docs, spark.read.parquet(f"{SMALL}/labels.parquet"))
+    texts = [r.text for r in docs.collect() if r.text.isascii() and len(r.text) < 3000][:25]
+    texts += ["", "one", "two words", " ".join(f"w{i}" for i in range(33)), " ".join(["you fool"] * 24), "!!!"]
+    got = model.score(texts)
+    assert len(texts) > 20 and got == pytest.approx([plain_score(model, t) for t in texts], abs=2e-4)
+
+
 def test_toxicity_query(spark):
     rows = QUERIES["op10_toxicity"](spark, MEDIUM).collect()
     labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{MEDIUM}/labels.parquet").collect()}
