@@ -250,24 +250,25 @@ def parts_to_compare(paths: DataFrame, comp: DataFrame) -> DataFrame:
     are left out: all their pairs met there."""
     last = F.element_at("path", -1)
     member = comp.union(comp.select("root", "root").distinct())
-    rows = paths.select("node", "tree", last.alias("prefix")).join(member, "node")
+    rows = scratch_table(paths.select("node", "tree", last.alias("prefix")).join(member, "node"))
     square = F.col("size").cast("double") * F.col("size")
     trees = (rows.groupBy("root", "tree", "prefix")
              .agg(F.count(F.lit(1)).alias("size"), F.sum(F.xxhash64("node").cast("decimal(20,0)")).alias("who")).where("size > 1"))
-    trees = trees.groupBy("root", "size", "who").agg(F.min(F.struct("tree", "prefix")).alias("first"))
+    trees = scratch_table(trees.groupBy("root", "size", "who").agg(F.min(F.struct("tree", "prefix")).alias("first")))
     cost = trees.groupBy("root").agg(F.sum(square).alias("apart"))
     whole = member.groupBy("root").agg(F.count(F.lit(1)).alias("size")).join(cost, "root").select("root", (square <= F.col("apart")).alias("whole"))
+    whole = scratch_table(whole)
+    flagged = scratch_table(member.join(whole, "root"))   # the only join of nodes on their component: one row a node
     none = F.array().cast("array<long>")
-    one = member.join(whole.where("whole"), "root").select(F.col("root").alias("part"), "node", none.alias("before"))
-    chosen = trees.join(whole.where("not whole"), "root").select("first.tree", "first.prefix", (F.lit(-1) - F.monotonically_increasing_id()).alias("part"))
-    chosen = scratch_table(chosen)
-    keys = paths.join(member, "node").join(whole.where("not whole"), "root").groupBy("node").agg(
-        F.map_from_entries(F.collect_list(F.struct("tree", last.alias("prefix")))).alias("keys"))
-    apart = (rows.select("node", "tree", "prefix").join(chosen, ["tree", "prefix"]).join(keys, "node")
-             # a trie in which a node is alone is no meeting: its key there is the node's own
-             .select("part", "node", F.transform(F.sequence(F.lit(0), F.col("tree") - 1), lambda t: F.coalesce(
-                 F.try_element_at("keys", t), F.xxhash64("node", t))).alias("before"), "tree"))
-    apart = apart.select("part", "node", F.when(F.col("tree") == 0, none).otherwise(F.col("before")).alias("before"))
+    one = flagged.where("whole").select(F.col("root").alias("part"), "node", none.alias("before"))
+    chosen = trees.join(whole.where("not whole").select("root"), "root", "left_semi")
+    chosen = scratch_table(chosen.select("first.tree", "first.prefix", (F.lit(-1) - F.monotonically_increasing_id()).alias("part")))
+    apart = rows.join(flagged.where("not whole").select("node"), "node", "left_semi")
+    keys = apart.groupBy("node").agg(F.map_from_entries(F.collect_list(F.struct("tree", "prefix"))).alias("keys"))
+    # a trie in which a node is alone is no meeting: its key there is the node's own
+    before = F.transform(F.sequence(F.lit(0), F.col("tree") - 1), lambda t: F.coalesce(F.try_element_at("keys", t), F.xxhash64("node", t)))
+    apart = (apart.select("node", "tree", "prefix").join(chosen, ["tree", "prefix"]).join(keys, "node")
+             .select("part", "node", F.when(F.col("tree") == 0, none).otherwise(before).alias("before")))
     return one.union(apart)
 
 
