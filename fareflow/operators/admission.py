@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.rules import PAYMENT_METHODS
-from ..plans.hints import small_table
+from ..plans.hints import large, small_table
 from ..plans.lineage import cut_lineage, path_exists, range_partitioned, scratch_folder
 from .keyed import reasons
 from .listings import default_cancel_policy
@@ -45,14 +45,14 @@ def _round(open_: DataFrame, rid: str, order: str, res: str, path: str) -> None:
     """One round: ``open_`` with the state of its requests, written by state."""
     key = F.struct(F.col(order), F.col(rid))
     first = open_.groupBy(res).agg(F.min(key).alias("_first"))
-    claims = open_.join(first, res).withColumn("_mine", key == F.col("_first"))
+    claims = open_.join(large(first), res).withColumn("_mine", key == F.col("_first"))
     wins = claims.groupBy(rid).agg(F.bool_and("_mine").alias("_wins"))
     lead = wins.select(F.col(rid).alias("_lead"), F.col("_wins").alias("_lead_wins"))
     # a request loses if the first claimant of one of its resources is accepted and is another
-    status = (claims.withColumn("_lead", F.col(f"_first.{rid}")).join(lead, "_lead")
+    status = (claims.withColumn("_lead", F.col(f"_first.{rid}")).join(large(lead), "_lead")
               .groupBy(rid).agg(F.bool_and("_mine").alias("accepted"), F.bool_or(~F.col("_mine") & F.col("_lead_wins")).alias("_lost")))
     state = F.when(F.col("accepted"), "accepted").when(F.col("_lost"), "rejected").otherwise("open")
-    open_.join(status.select(rid, state.alias("state")), rid).write.partitionBy("state").parquet(path)
+    open_.join(large(status.select(rid, state.alias("state"))), rid).write.partitionBy("state").parquet(path)
 
 
 def components(claims: DataFrame, rid: str, res: str, folder: str) -> DataFrame:
@@ -176,9 +176,9 @@ def seat_lookups(requests: DataFrame, trips: DataFrame, seats: DataFrame) -> Dat
     first and the bus's seats of that number then, so nothing is as large as
     trips x seats."""
     codes = expand_passengers(requests).filter(~F.col("seat_code").isin("", "0")).select("request_id", "seat_code")
-    codes = codes.join(requests.select("request_id", "trip_id"), "request_id").join(trips.select("trip_id", "bus_id"), "trip_id", "left")
+    codes = codes.join(large(requests.select("request_id", "trip_id")), "request_id").join(large(trips.select("trip_id", "bus_id")), "trip_id", "left")
     named = seats.groupBy("bus_id", F.col("seat_number").alias("seat_code")).agg(F.collect_set("seat_id").alias("_seats"))
-    return (codes.join(named, ["bus_id", "seat_code"], "left")
+    return (codes.join(large(named), ["bus_id", "seat_code"], "left")
             .select("request_id", "trip_id", "seat_code", F.posexplode_outer("_seats").alias("nth", "seat_id"))
             .withColumn("nth", F.coalesce("nth", F.lit(0))))
 
@@ -205,7 +205,7 @@ def resolve_seat_codes(requests: DataFrame, trips: DataFrame, seats: DataFrame)
     seat_id); per_request = (request_id, n_codes, n_found, reject_reason)."""
     lookups = seat_lookups(requests, trips, seats)
     zero = F.lit(0).cast("bigint")
-    per = (requests.select("request_id").join(_given_and_found(lookups), "request_id", "left")
+    per = (requests.select("request_id").join(large(_given_and_found(lookups)), "request_id", "left")
            .select("request_id", F.coalesce("n_codes", zero).alias("n_codes"), F.coalesce("n_found", zero).alias("n_found"))
            .withColumn("reject_reason", _seat_reason()))
     return lookups.select("request_id", "trip_id", "seat_code", "seat_id"), per
@@ -214,7 +214,7 @@ def resolve_seat_codes(requests: DataFrame, trips: DataFrame, seats: DataFrame)
 def held_seats(bookings: DataFrame, passengers: DataFrame) -> DataFrame:
     """(trip_id, seat_id) held by any passenger of any booking, cancelled ones included."""
     return (bookings.select("booking_id", "trip_id")
-            .join(passengers.select("booking_id", "seat_id").filter(F.col("seat_id").isNotNull()), "booking_id")
+            .join(large(passengers.select("booking_id", "seat_id").filter(F.col("seat_id").isNotNull())), "booking_id")
             .select("trip_id", "seat_id").distinct())        # hot seats collapse map-side
 
 
@@ -223,9 +223,9 @@ def _checked(requests: DataFrame, trips: DataFrame, policies: DataFrame, lookups
                           (F.size("passengers") == 0).alias("_no_pax"),
                           F.col("total_price").isNull().alias("_no_price"))
     pol = default_cancel_policy(trips, policies).select("trip_id", "cancel_policy_id", F.lit(True).alias("_trip"))
-    flagged = lookups.join(held.select("trip_id", "seat_id", F.lit(True).alias("_held")), ["trip_id", "seat_id"], "left")
+    flagged = lookups.join(large(held.select("trip_id", "seat_id", F.lit(True).alias("_held"))), ["trip_id", "seat_id"], "left")
     per = _given_and_found(flagged, F.bool_or(F.coalesce("_held", F.lit(False))).alias("_taken"))
-    j = (req.join(pol, "trip_id", "left").join(per, "request_id", "left")
+    j = (req.join(large(pol), "trip_id", "left").join(large(per), "request_id", "left")
          .withColumn("n_codes", F.coalesce("n_codes", F.lit(0).cast("bigint"))))
     reason = reasons(
         ((F.col("user_id") <= 0) | (F.col("trip_id") <= 0) | F.col("_no_pax"), "missing_fields"),
@@ -280,24 +280,25 @@ def admit_bookings(requests: DataFrame, trips: DataFrame, policies: DataFrame, s
     checks = cut_lineage(_checked(requests, trips, policies, codes, held))
     arrival = requests.select("request_id", F.struct("received_at", "request_id").alias("_order"))
     ok = checks.filter(F.col("reject_reason").isNull()).select("request_id")
-    items = (codes.join(ok, "request_id", "left_semi").join(arrival, "request_id")
+    items = (codes.join(large(ok), "request_id", "left_semi").join(large(arrival), "request_id")
              .select("request_id", "_order", F.struct("trip_id", "seat_id").alias("_seat")))
     verdict = first_come_admission(items, "request_id", "_order", "_seat")
     won = verdict.filter("accepted").select("request_id")
-    ids = assign_sequence_ids(won.join(arrival, "request_id").select("request_id", "_order"), ["_order"],
+    ids = assign_sequence_ids(won.join(large(arrival), "request_id").select("request_id", "_order"), ["_order"],
                               last_id, "booking_id").select("request_id", "booking_id")
+    ids = large(ids)
     out = (checks.join(ids, "request_id", "left")
            .withColumn("reject_reason", F.coalesce("reject_reason",
                                                    F.when(F.col("booking_id").isNull(), F.lit("already_booked")))))
     acc = requests.join(ids, "request_id")
-    new_bookings = (acc.join(checks.select("request_id", "cancel_policy_id"), "request_id")
+    new_bookings = (acc.join(large(checks.select("request_id", "cancel_policy_id")), "request_id")
                     .select("booking_id", "user_id", "trip_id", "total_price",
                             F.lit("Pending").alias("booking_status"), "payment_method",
                             F.lit("Unpaid").alias("payment_status"), F.col("received_at").alias("booking_date"),
                             "cancel_policy_id"))
     seat_of = codes.groupBy("request_id", "seat_code").agg(F.min("seat_id").alias("seat_id"))
-    new_pax = (expand_passengers(acc).join(acc.select("request_id", "booking_id", "trip_id"), "request_id")
-               .join(seat_of, ["request_id", "seat_code"], "left")
+    new_pax = (expand_passengers(acc).join(large(acc.select("request_id", "booking_id", "trip_id")), "request_id")
+               .join(large(seat_of), ["request_id", "seat_code"], "left")
                .select("booking_id", "passenger_no", "full_name", "id_number", "seat_id", "trip_id", "gender",
                        "birth_date", "phone_number", "id_image", F.lit("Active").alias("passenger_status")))
     taken = codes.join(ids, "request_id", "left_semi")

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.hints import large
 from ..plans.lineage import cut_lineage
 
 
@@ -55,7 +56,7 @@ def default_cancel_policy(trips: DataFrame, policies: DataFrame) -> DataFrame:
     pick = (policies.filter(F.col("is_default") & F.col("is_active"))
             .groupBy("partner_id").agg(F.min("cancel_policy_id").alias("cancel_policy_id")))
     return (trips.select("trip_id", "partner_id")
-            .join(pick, "partner_id", "left")
+            .join(large(pick), "partner_id", "left")
             .select("trip_id", "partner_id", "cancel_policy_id",
                     F.when(F.col("cancel_policy_id").isNull(), "no_default_policy").alias("reject_reason")))
 

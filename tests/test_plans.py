@@ -134,3 +134,10 @@ def test_json_sink_computes_its_input_once(spark):
     seen = spark.sparkContext.accumulator(0)
     rows = spark.range(50).select(F.udf(lambda x: (seen.add(1), x)[1], "long")("id").alias("id"))
     assert sinks.write_json(rows, scratch_dir(spark, "once")) == 50 and seen.value == 50
+
+
+@pytest.mark.parametrize("name", ["available_seats", "available_seats_not_exists", "available_seats_active", "resolve_seat_codes",
+                                  "booking_request_checks", "double_booked_seats"])
+def test_tables_that_grow_are_not_broadcast(spark, name):
+    """Seats pass for a table of 10 MB at any size: the planner doesn't see that they are exploded."""
+    assert "Broadcast" not in physical_plan(QUERIES[name](spark, SMALL))
