@@ -173,22 +173,33 @@ def sample(rows: DataFrame, *, text_col: str, declared_col: str, per_language: i
 
 def fit(rows: DataFrame, *, text_col: str, declared_col: str, per_language: int = PER_LANGUAGE, most: int = TEXTS) -> LanguageModel:
     """Fits the model to the ``sample`` of the rows.  Its texts, of any length,
-    are counted in tasks; the driver gets one row a language, of its cells."""
+    are counted in tasks, a batch at a time; the texts of a language, at most
+    ``per_language``, meet in one task, so there are as many rows of counts
+    as languages, however the rows were dealt.  The driver gets these."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from fareflow.llm.language_id import cell_counts
 
+        def row(name, n):
+            at = np.flatnonzero(n)
+            return pa.RecordBatch.from_arrays([pa.array([name], pa.string()), pa.array([at], pa.list_(pa.int32())), pa.array([n[at]], pa.list_(pa.int64()))],
+                                              ["language", "place", "n"])
+
+        held, so_far = None, None                         # one language's counts: they come in order of the language
         for b in batches:
             names, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
             for name in sorted(set(names)):
                 n = cell_counts([t for t, x in zip(texts, names) if x == name])
-                at = np.flatnonzero(n)
-                yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(n[at], pa.int64())],
-                                                 ["language", "place", "n"])
+                if held is not None and name != held:
+                    yield row(held, so_far)
+                    so_far = None
+                held, so_far = name, n if so_far is None else so_far + n
+        if held is not None:
+            yield row(held, so_far)
 
     texts = sample(rows, text_col=text_col, declared_col=declared_col, per_language=per_language, most=most)
-    counts = map_batches(texts, run, "language string, place int, n long").groupBy("language", "place").agg(F.sum("n").alias("n"))
-    each = counts.groupBy("language").agg(F.collect_list(F.struct("place", "n")).alias("c")).select("language", "c.place", "c.n").toPandas()
+    dealt = texts.repartition("language").sortWithinPartitions("language")
+    each = map_batches(dealt, run, "language string, place array<int>, n array<long>").toPandas()
     return model_of({r.language: (r.place, r.n) for r in each.itertuples()})
 
 

@@ -576,3 +576,24 @@ def test_pipeline_edges(spark, edge, empty, tmp_path):
             docs = stage(spark, docs, str(tmp_path))
             assert docs.columns == start.columns and clashes_kept(docs)
         assert corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).count() >= 0
+
+
+def test_language_counts_do_not_grow_with_partitions(spark, monkeypatch):
+    words = {"en": "the quick brown fox", "de": "der schnelle braune Fuchs", "fr": "le renard brun rapide"}
+    rows = [(f"{text} {i}", name) for name, text in words.items() for i in range(40)]
+    docs = spark.createDataFrame(rows, "text string, lang string").repartition(30)
+    made = []
+    plain = language_id.map_batches
+    monkeypatch.setattr(language_id, "map_batches", lambda *a: made.append(plain(*a)) or made[-1])
+    coalesce = "spark.sql.adaptive.coalescePartitions.enabled"
+    before = spark.conf.get(coalesce)
+    spark.conf.set(coalesce, "false")
+    try:
+        got = language_id.fit(docs, text_col="text", declared_col="lang")
+        assert made[0].count() == len(words)
+    finally:
+        spark.conf.set(coalesce, before)
+    want = language_id.train([t for t, _ in rows], [x for _, x in rows])
+    assert got.languages == want.languages
+    for a, b in zip([*got.cells, *got.chances, got.rest, got.letters], [*want.cells, *want.chances, want.rest, want.letters]):
+        assert a.tolist() == b.tolist()
