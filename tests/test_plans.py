@@ -141,3 +141,28 @@ def test_json_sink_computes_its_input_once(spark):
 def test_tables_that_grow_are_not_broadcast(spark, name):
     """Seats pass for a table of 10 MB at any size: the planner doesn't see that they are exploded."""
     assert "Broadcast" not in physical_plan(QUERIES[name](spark, SMALL))
+
+
+def test_unmatched_searches_make_no_row_per_trip(spark):
+    """Requests meet the distinct (route, day, class) on offer, not each of their trips."""
+    import datetime as dt
+    import re
+
+    from fareflow.operators import inventory
+    day = dt.date(1997, 1, 5)
+    requests = spark.createDataFrame([(1, "A", "C", day, "Gold"), (2, "C", "A", day, "Gold"), (3, "A", "C", day, "Iron"), (4, "", "C", day, "Gold"),
+                                      (5, "A", "C", None, "Gold"), (6, "A", "C", day, "Gold"), (6, "C", "A", day, "Gold"), (None, "A", "C", day, "Gold")],
+                                     "request_id long, from_stop string, to_city string, travel_date date, bus_class string")
+    at = dt.datetime(1997, 1, 5, 8)
+    trips = spark.createDataFrame([(t, 1, 1, 1, at, at, None) for t in range(50)],
+                                  "trip_id long, route_id int, bus_id long, partner_id long, departure_time timestamp_ntz, arrival_time timestamp_ntz, base_price decimal(12,2)")
+    rest = [spark.createDataFrame([(1, "A", "C")], "route_id int, origin_city string, destination_city string"),
+            spark.createDataFrame([(1, 0, "A"), (1, 1, "C")], "route_id int, stop_order int, stop_name string"),
+            spark.createDataFrame([(1, 1, "m")], "bus_id long, bus_class_id int, model string"),
+            spark.createDataFrame([(1, "Gold"), (2, "Iron")], "bus_class_id int, class_name string"),
+            spark.createDataFrame([(1, "p")], "partner_id long, company_name string"),
+            spark.createDataFrame([(1, 1, "S1", True)], "seat_id long, bus_id long, seat_number string, is_available boolean")]
+    out = inventory.unmatched_searches(requests, trips, *rest)
+    assert sorted((r.request_id or 0, r.reject_reason) for r in out.collect()) == [
+        (0, "no_trips"), (2, "no_trips"), (3, "no_trips"), (4, "missing_fields"), (5, "missing_fields")]
+    assert re.search(r"Keys \[3\]: \[route_id|keys=\[route_id", physical_plan(out))
