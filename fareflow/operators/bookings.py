@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.rules import (CANCEL_REASON, CONFIRM_NOTE, PAYMENT_METHODS, PAYMENT_STATUSES, PROOF_NOTE, falsy_default,
                                hours_before_departure, refund_amount)
+from ..plans.lineage import cut_lineage
 from .keyed import arrival, first_per_key, reasons
 
 MONEY = "decimal(12,2)"
@@ -111,19 +112,23 @@ def cancellation_quote(requests: DataFrame, bookings: DataFrame, trips: DataFram
 
 
 def apply_cancellations(requests: DataFrame, bookings: DataFrame, trips: DataFrame, rules: DataFrame,
-                        passengers: DataFrame) -> dict[str, DataFrame]:
+                        passengers: DataFrame, keep: bool = False) -> dict[str, DataFrame]:
     """C2 (confirm): like C1 but the fee defaults to the full price even
     when Unpaid, and a NULL payment status does look a rule up.  Paid
     becomes Refunded (even for a refund of 0).  Several requests for one
     booking: the earliest (by time, then ``command_id``) wins, later ones - exact
     retries too - find it cancelled.  Returns
     ``outcomes``, ``bookings`` (changed rows), ``passengers`` (set
-    Cancelled), ``freed_seats`` and ``ledger`` (booking_cancellations)."""
+    Cancelled), ``freed_seats`` and ``ledger`` (booking_cancellations).
+    ``keep`` stores the judged requests once, for a caller that uses several of these."""
     c = _cancel_core(requests, bookings, trips, rules, "confirm")
     c = first_per_key(c, "booking_id", [arrival(requests, "requested_at")])
     reason = reasons((F.col("_found").isNull() | (F.col("booking_status") == "Cancelled") | ~F.col("is_first"),
                       "invalid_or_already_cancelled"))
     c = c.withColumn("reject_reason", reason)
+    if keep:
+        c = cut_lineage(c.select("booking_id", "requested_at", "reason", "payment_status", "hours", "cancel_policy_id", "cancel_policy_rule_id",
+                                 "refund_percentage", "cancellation_fee", "refund_amount", "reject_reason"))
     ok = c.filter(F.col("reject_reason").isNull())
     reason_text = F.coalesce(F.col("reason"), F.lit(CANCEL_REASON))
     outcomes = c.select("booking_id", "requested_at", "reject_reason",

@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.lineage import cut_lineage
 from ..sources.upsert import KeyedTable
 from . import accounts, bookings, money
 
@@ -47,7 +48,8 @@ def store_cancellations(table: KeyedTable, requests: DataFrame, trips: DataFrame
     tables; the bookings last, for they decide what a retry cancels."""
     if table.was_applied(batch_id):
         return []
-    out = bookings.apply_cancellations(requests, table.read(requests), trips, rules, passengers.read(requests))
+    requests = cut_lineage(requests)                      # read for the buckets of two tables, their rows and the verdicts
+    out = bookings.apply_cancellations(requests, table.read(requests), trips, rules, passengers.read(requests), keep=True)
     seats.upsert(out["freed_seats"], batch_id)
     passengers.upsert(out["passengers"].select(*passengers.key, *[c for c in passengers.by if c not in passengers.key], "passenger_status"), batch_id)
     return table.upsert(out["bookings"], batch_id)

@@ -166,3 +166,17 @@ def test_unmatched_searches_make_no_row_per_trip(spark):
     assert sorted((r.request_id or 0, r.reject_reason) for r in out.collect()) == [
         (0, "no_trips"), (2, "no_trips"), (3, "no_trips"), (4, "missing_fields"), (5, "missing_fields")]
     assert re.search(r"Keys \[3\]: \[route_id|keys=\[route_id", physical_plan(out))
+
+
+def test_kept_cancellations_are_judged_once(spark):
+    """Stored cancellations use three outputs: none of them joins requests, trips and rules again."""
+    from fareflow.operators.bookings import apply_cancellations
+    from fareflow.sources.fixtures import build_fixtures
+    names = ("cancel_requests", "bookings", "trips", "cancel_policy_rules", "passengers")
+    fx = build_fixtures(spark, SMALL, *names)
+    plain, kept = (apply_cancellations(*(fx[n] for n in names), keep=keep) for keep in (False, True))
+    assert plain.keys() == kept.keys()
+    for name in plain:
+        assert plain[name].columns == kept[name].columns
+        assert plain[name].exceptAll(kept[name]).isEmpty() and kept[name].exceptAll(plain[name]).isEmpty()
+    assert "Join" in physical_plan(plain["bookings"]) and "Join" not in physical_plan(kept["bookings"])
