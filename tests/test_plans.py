@@ -180,3 +180,45 @@ def test_kept_cancellations_are_judged_once(spark):
         assert plain[name].columns == kept[name].columns
         assert plain[name].exceptAll(kept[name]).isEmpty() and kept[name].exceptAll(plain[name]).isEmpty()
     assert "Join" in physical_plan(plain["bookings"]) and "Join" not in physical_plan(kept["bookings"])
+
+
+@pytest.mark.parametrize("name", ["trip_search", "trip_search_by_day"])
+def test_searches_are_dealt_over_tasks_that_follow_the_requests(spark, monkeypatch, name):
+    """The join that makes a row for each request and trip runs in as many tasks as the requests ask for, not in
+    as many as AQE leaves of its (small) input; what depends on the trip alone is below the join."""
+    from fareflow.operators import inventory
+    requests = spark.read.parquet(f"{SMALL}/orders.parquet").count()
+    monkeypatch.setattr(inventory, "REQUESTS_A_TASK", 100)
+    df = QUERIES[name](spark, SMALL)
+    plan = physical_plan(df, "simple")
+    tasks = -(-requests // 100)
+    assert plan.count(f", {tasks}), REPARTITION_BY_NUM") >= 2       # by day, the pruning of days names one once more
+    assert "duration" in plan.split("SortMergeJoin")[1] and "timestampdiff" not in plan.split("SortMergeJoin")[0].lower()
+
+
+def test_a_hot_search_is_dealt_to_shares(spark):
+    """All requests ask for one route, day and class (some twice, one without an id): each meets every trip once."""
+    import datetime as dt
+
+    from pyspark.sql import functions as F
+
+    from fareflow.operators import inventory
+    day, at = dt.date(1997, 1, 5), dt.datetime(1997, 1, 5, 8)
+    ids = [*range(60), 7, 7, None]
+    requests = spark.createDataFrame([(i, "A", "C", day, "Gold") for i in ids],
+                                     "request_id long, from_stop string, to_city string, travel_date date, bus_class string")
+    trips = spark.createDataFrame([(t, 1, 1, 1, at, at + dt.timedelta(minutes=61), None if t else 40) for t in range(5)],
+                                  "trip_id long, route_id int, bus_id long, partner_id long, departure_time timestamp_ntz, arrival_time timestamp_ntz, base_price decimal(12,2)"
+                                  .replace("decimal(12,2)", "int")).withColumn("base_price", F.col("base_price").cast("decimal(12,2)"))
+    rest = [spark.createDataFrame([(1, "A", "C")], "route_id int, origin_city string, destination_city string"),
+            spark.createDataFrame([(1, 0, "A"), (1, 1, "C")], "route_id long, stop_order int, stop_name string"),
+            spark.createDataFrame([(1, 1, "m")], "bus_id long, bus_class_id int, model string"),
+            spark.createDataFrame([(1, "Gold")], "bus_class_id int, class_name string"),
+            spark.createDataFrame([(1, "p")], "partner_id long, company_name string"),
+            spark.createDataFrame([(1, 1, "S1", True)], "seat_id long, bus_id long, seat_number string, is_available boolean")]
+    out = inventory.trip_search(requests, trips, *rest)
+    rows = out.collect()
+    assert sorted((-1 if r.request_id is None else r.request_id, r.trip_id) for r in rows) == sorted(
+        (-1 if i is None else i, t) for i in ids for t in range(5))
+    assert {(r.trip_id, r.price_adult, r.price_child, r.duration_minutes) for r in rows if r.trip_id < 2} == {(0, 40, -10, 61), (1, None, None, 61)}
+    assert "_share" in physical_plan(out)
