@@ -222,3 +222,15 @@ def test_a_hot_search_is_dealt_to_shares(spark):
         (-1 if i is None else i, t) for i in ids for t in range(5))
     assert {(r.trip_id, r.price_adult, r.price_child, r.duration_minutes) for r in rows if r.trip_id < 2} == {(0, 40, -10, 61), (1, None, None, 61)}
     assert "_share" in physical_plan(out)
+
+
+def test_double_bookings_are_dealt_over_tasks_that_follow_the_bookings(spark, monkeypatch):
+    """The hash tables of the audit hold a task's triples: the number of tasks follows the bookings, whatever the session's is."""
+    from fareflow.operators import inventory
+    bookings = spark.read.parquet(f"{SMALL}/orders.parquet").count()
+    want = QUERIES["double_booked_seats"](spark, SMALL)
+    rows = sorted(map(tuple, want.collect()))
+    monkeypatch.setattr(inventory, "BOOKINGS_A_TASK", 100)
+    dealt = QUERIES["double_booked_seats"](spark, SMALL)
+    assert physical_plan(dealt, "simple").count(f", {-(-bookings // 100)}), REPARTITION_BY_NUM") == 2
+    assert rows and sorted(map(tuple, dealt.collect())) == rows
