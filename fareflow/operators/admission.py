@@ -62,13 +62,13 @@ def components(claims: DataFrame, rid: str, res: str, folder: str) -> DataFrame:
     labels = claims.select(rid, F.col(rid).alias("label")).distinct()
     n = 0
     while True:
-        low = claims.join(labels, rid).groupBy(res).agg(F.min("label").alias("low"))
-        near = claims.join(low, res).groupBy(rid).agg(F.min("low").alias("label"))
+        low = claims.join(large(labels), rid).groupBy(res).agg(F.min("label").alias("low"))
+        near = claims.join(large(low), res).groupBy(rid).agg(F.min("low").alias("label"))
         for _ in range(2):                                # labels are requests, which have labels of their own
             at = near.select(F.col(rid).alias("label"), F.col("label").alias("_next"))
-            near = near.join(at, "label").select(rid, F.col("_next").alias("label"))
+            near = near.join(large(at), "label").select(rid, F.col("_next").alias("label"))
         path = f"{folder}/labels={n}"
-        (near.join(labels.withColumnRenamed("label", "_old"), rid).select(rid, "label", (F.col("label") != F.col("_old")).alias("changed"))
+        (near.join(large(labels.withColumnRenamed("label", "_old")), rid).select(rid, "label", (F.col("label") != F.col("_old")).alias("changed"))
          .write.partitionBy("changed").parquet(path))
         schema = T.StructType([*labels.schema.fields, T.StructField("changed", T.BooleanType())])
         labels = spark.read.schema(schema).parquet(path).select(rid, "label")
@@ -110,7 +110,7 @@ def first_come_admission(items: DataFrame, rid: str, order: str, res: str, small
         if n % ROUNDS == 0:
             labels = components(open_, rid, res, f"{folder}/labels/after={n}")
             size = labels.groupBy("label").agg((F.count(F.lit(1)) <= small).alias("few"))
-            labelled = open_.join(labels.join(size, "label"), rid)
+            labelled = open_.join(large(labels.join(large(size), "label")), rid)
             path = f"{folder}/folded/after={n}"
             _fold(labelled.where("few"), rid, order, res).write.parquet(path)
             folded.append(path)

@@ -143,6 +143,20 @@ def test_tables_that_grow_are_not_broadcast(spark, name):
     assert "Broadcast" not in physical_plan(QUERIES[name](spark, SMALL))
 
 
+def test_chains_of_requests_are_not_broadcast(spark, monkeypatch):
+    """Labels of open requests are as many as the requests: no table of a round, a labelling or a fold is broadcast."""
+    from pyspark.sql import functions as F
+
+    from fareflow.operators import admission
+    plans, write = [], type(spark.range(1)).write.fget
+    monkeypatch.setattr(type(spark.range(1)), "write", property(lambda df: (plans.append(physical_plan(df)), write(df))[1]))
+    wants = F.explode(F.array("id", F.when(F.col("id") % 10 < 9, F.col("id") + 1)))         # two chains of ten
+    items = spark.range(20).select(F.col("id").alias("rid"), F.col("id").alias("at"), wants.alias("seat")).where("seat is not null")
+    out = admission.first_come_admission(items, "rid", "at", "seat")
+    assert {r.rid: r.accepted for r in out.collect()} == {i: i % 2 == 0 for i in range(20)}
+    assert len(plans) > 4 and "_all" in plans[-2] + plans[-1] and not any("Broadcast" in p for p in plans)
+
+
 def test_unmatched_searches_make_no_row_per_trip(spark):
     """Requests meet the distinct (route, day, class) on offer, not each of their trips."""
     import datetime as dt
